@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm import mixing
+from loomgraph.llm.mixing import op2_mixing
 from loomgraph.llm.quality_classifier import op10_quality_classifier
 from loomgraph.llm.quality_rules import op4_quality_rules
+from loomgraph.llm.token_counts import op5_token_counts
+from loomgraph.llm.url_filter import op3_url_filter
+
+QUERIES = (op2_mixing, op3_url_filter, op4_quality_rules, op5_token_counts, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL}
