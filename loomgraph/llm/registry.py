@@ -11,9 +11,10 @@ from loomgraph.llm.mixing import op2_mixing
 from loomgraph.llm.quality_classifier import op10_quality_classifier
 from loomgraph.llm.quality_rules import op4_quality_rules
 from loomgraph.llm.token_counts import op5_token_counts
+from loomgraph.llm.toxicity import op1_toxicity
 from loomgraph.llm.url_filter import op3_url_filter
 
-QUERIES = (op2_mixing, op3_url_filter, op4_quality_rules, op5_token_counts, op10_quality_classifier)
+QUERIES = (op1_toxicity, op2_mixing, op3_url_filter, op4_quality_rules, op5_token_counts, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
