@@ -159,6 +159,16 @@ class ItemIndex:
         return [(d, self.ids[i], edits, size) for (d, i), (edits, size) in best.items()]
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[ItemIndex]:
+    """Indexes of the items, each of about BLOCK_BYTES at most."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    n = max(1, -(-total // BLOCK_BYTES))
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item", "text").collect()
+        yield ItemIndex([r["item"] for r in part], [r["text"] for r in part])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item, edits, n_bytes for each row and benchmark item found in it.
 
@@ -167,9 +177,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     repeated items are reported each. Clean documents give no row.
     """
     prepare(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("edits", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -187,13 +194,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return run
 
     out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        found = rows.mapInArrow(searcher(ItemIndex([r["item"] for r in part], [r["text"] for r in part])), "id long, item long, edits long, n_bytes long")
+    for index in _blocks(benchmark, item_col, item_text):
+        found = rows.mapInArrow(searcher(index), "id long, item long, edits long, n_bytes long")
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no benchmark item; columns unchanged. Nulls as in leaks, so null texts stay."""
+    prepare(docs.sparkSession)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def keeper(index: ItemIndex):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw, offsets = flat(b.column(at))
+                stays = np.ones(len(b), bool)
+                for i, j in slices(offsets):
+                    stays[[i + d for d, *_ in index.matches(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]] = False
+                yield b.filter(pa.array(stays))
+
+        return run
+
+    out = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names))
+    for index in _blocks(benchmark, item_col, item_text):
+        out = out.mapInArrow(keeper(index), out.schema)
+    return out
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm import mixing, warc
 from loomgraph.llm.decontamination import op8_decontamination
 from loomgraph.llm.mixing import op2_mixing
+from loomgraph.llm.ngram_join import op7_ngram_join
 from loomgraph.llm.quality_classifier import op10_quality_classifier
 from loomgraph.llm.quality_rules import op4_quality_rules
 from loomgraph.llm.substring_dedup import op6_substring_dedup
@@ -17,7 +18,7 @@ from loomgraph.llm.toxicity import op1_toxicity
 from loomgraph.llm.url_filter import op3_url_filter
 from loomgraph.llm.warc import op9_warc
 
-QUERIES = (op1_toxicity, op2_mixing, op3_url_filter, op4_quality_rules, op5_token_counts, op6_substring_dedup, op8_decontamination, op9_warc, op10_quality_classifier)
+QUERIES = (op1_toxicity, op2_mixing, op3_url_filter, op4_quality_rules, op5_token_counts, op6_substring_dedup, op7_ngram_join, op8_decontamination, op9_warc, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
