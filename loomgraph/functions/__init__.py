@@ -1 +1 @@
-
+"""Column functions of the evidence model."""

@@ -1 +1 @@
-
+"""Operators on claim, evidence, paper and vocabulary tables."""
