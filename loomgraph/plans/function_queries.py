@@ -244,12 +244,11 @@ def A27_duplicate_keys(g: Graph) -> DataFrame:
 
 @query("""
 SELECT category, array_to_string(list_sort(list_intersect(a, b)), ',') AS in_both, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS only_first, list_has_any(a, b) AS overlap
-FROM (SELECT category, array_agg(DISTINCT phenotype) FILTER (WHERE trait_id % 3 = 0 AND trait_id < 60) AS a, array_agg(DISTINCT phenotype) FILTER (WHERE trait_id % 3 = 1 AND trait_id < 60) AS b FROM trait GROUP BY category)
+FROM (SELECT category, array_agg(DISTINCT phenotype) FILTER (WHERE trait_chromosome = 1) AS a, array_agg(DISTINCT phenotype) FILTER (WHERE trait_chromosome = 2) AS b FROM trait GROUP BY category)
 WHERE a IS NOT NULL AND b IS NOT NULL
 """)
 def U03_U06_U07_array_sets(g: Graph) -> DataFrame:
-    k = F.col("trait_id")
-    sets = g.trait.groupBy("category").agg(*(F.collect_set(F.when((k % 3 == r) & (k < 60), F.col("phenotype"))).alias(c) for r, c in ((0, "a"), (1, "b"))))
+    sets = g.trait.groupBy("category").agg(*(F.collect_set(F.when(F.col("trait_chromosome") == r, F.col("phenotype"))).alias(c) for r, c in ((1, "a"), (2, "b"))))
     sets = sets.where((F.size("a") > 0) & (F.size("b") > 0))
     return sets.select("category", F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("in_both"), F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("only_first"), F.arrays_overlap("a", "b").alias("overlap"))
 
@@ -265,13 +264,13 @@ def U04_U02_union_distinct(g: Graph) -> DataFrame:
 
 
 @query("""
-(SELECT 'new' AS kind, trait_id AS id FROM claim WHERE best_rank = 70 EXCEPT SELECT 'new', trait_id FROM trait WHERE trait_id % 2 = 0)
-UNION ALL (SELECT 'stale', trait_id FROM trait WHERE trait_id % 2 = 0 EXCEPT SELECT 'stale', trait_id FROM claim WHERE best_rank = 70)
+(SELECT 'new' AS kind, trait_id AS id FROM claim WHERE best_rank = 70 EXCEPT SELECT 'new', trait_id FROM trait WHERE category = 'PROMO')
+UNION ALL (SELECT 'stale', trait_id FROM trait WHERE category = 'PROMO' EXCEPT SELECT 'stale', trait_id FROM claim WHERE best_rank = 70)
 """)
 def U05_U09_differences(g: Graph) -> DataFrame:
     """Violations against a known list, both ways."""
     found = g.claim.where(F.col("best_rank") == 70).select(F.col("trait_id").alias("id")).distinct()
-    known = g.trait.where(F.col("trait_id") % 2 == 0).select(F.col("trait_id").alias("id"))
+    known = g.trait.where(F.col("category") == "PROMO").select(F.col("trait_id").alias("id"))
     new, stale = found.join(known, "id", "left_anti"), known.join(found, "id", "left_anti")
     return new.select(F.lit("new").alias("kind"), "id").unionByName(stale.select(F.lit("stale").alias("kind"), "id"))
 

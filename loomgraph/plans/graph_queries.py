@@ -143,13 +143,13 @@ def Q10_S03_A07_U01_graph_counts(g: Graph) -> DataFrame:
 
 @query("""
 SELECT paper_id, pub_year, row_number() OVER (ORDER BY pub_year DESC NULLS FIRST, paper_id) AS position
-FROM paper WHERE state <> 'ACCEPTED' AND (paper_id % 3 = 0 OR coalesce(CASE WHEN paper_id % 2 = 0 THEN 1 END, -1) < 1)
+FROM paper WHERE state <> 'ACCEPTED' AND (journal = '1-URGENT' OR coalesce(CASE WHEN journal = '2-HIGH' THEN 1 END, -1) < 1)
 ORDER BY position LIMIT 100
 """)
 def Q11_P06_W05_X06_unprocessed_papers(g: Graph) -> DataFrame:
     """Never processed, or processed by an older version; newest first, unknown years first of all."""
-    version = F.when(F.col("paper_id") % 2 == 0, 1)
-    rows = g.paper.where((F.col("state") != "ACCEPTED") & ((F.col("paper_id") % 3 == 0) | (F.coalesce(version, F.lit(-1)) < 1)))
+    version = F.when(F.col("journal") == "2-HIGH", 1)
+    rows = g.paper.where((F.col("state") != "ACCEPTED") & ((F.col("journal") == "1-URGENT") | (F.coalesce(version, F.lit(-1)) < 1)))
     order = [F.col("pub_year").desc_nulls_first(), F.col("paper_id").asc()]
     return rows.orderBy(*order).limit(100).select("paper_id", "pub_year").withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
