@@ -6,24 +6,24 @@ smallest hashes; nodes of similarity 0.8 share most of it.  Under an order that
 shingles of many nodes (boilerplate) last, a node's first hashes are its keys, and
 nodes that share a key form a block:
 
-1. in each block every node is held against one pivot, a number of pairs linear in
-   the blocks, and what is linked becomes a component;
-2. in blocks that still hold several components, a T-occurrence search over the
-   sketches finds pairs across components: inverted lists of the block, the short
-   ones merged on a heap, the long ones probed by binary search.
-
-Pairs whose sketches overlap enough are decided on their full sets.  Sets of up to
-SKETCH shingles are their own sketch and are treated exactly.  For larger ones a pair
-of similarity 0.8 or more shares no key, or too little of its sketch, with a chance
-below 1e-9, as a hash collision has its chance; no cap drops a candidate.
+1. in each block every node's sketch is held against one pivot's, a number of pairs
+   linear in the blocks; nodes whose sketches overlap enough become a cluster;
+2. blocks that still hold several clusters are searched: inverted lists of the
+   sketches, the short ones merged, the long ones probed by binary search, give the
+   nodes that occur often enough; a block yields a spanning forest at most;
+3. each cluster's full sets, sent once, are searched in the same way for links, and
+   the forest of links gives the components.
+
+So every link lies within a cluster, while no step emits the pairs of a group.  Sets
+of up to SKETCH shingles are their own sketch and are treated exactly.  For larger
+ones a pair of similarity 0.8 or more shares no key, or too little of its sketch, with
+a chance below 1e-9, as a hash collision has its chance; no cap drops a candidate.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from math import log2
 
@@ -103,47 +103,83 @@ def needed(n: Column) -> Column:
     return F.least(F.lit(OVERLAP), F.ceil(n * LINKED / 100.0)).cast("int")
 
 
-def linked(n_a: Column, n_b: Column, common: Column) -> Column:
-    return common * 100 >= (n_a + n_b - common) * LINKED
+#: Lists of fewer members in all are merged on a heap, more by sorting them together.
+HEAPED = 64
 
 
-def divide_skip(lists: list[list[int]], least: int, mu: float = 0.0085) -> list[int]:
-    """Members of at least least of the sorted lists.
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Members of sorted lists and how many lists hold each."""
+    if sum(map(len, lists)) <= HEAPED:
+        runs = [(m, sum(1 for _ in same)) for m, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+        return np.array([m for m, _ in runs], np.int64), np.array([n for _, n in runs], np.int64)
+    return np.unique(np.concatenate(lists), return_counts=True)
+
+
+def divide_skip(lists: list[np.ndarray], least: int, skip: Callable[[np.ndarray], np.ndarray] | None = None, mu: float = 0.0085) -> tuple[np.ndarray, np.ndarray]:
+    """Members of at least least of the sorted lists, and of how many.
 
     The longest lists are set aside, as many as the bound allows; the others are
-    merged on a heap, and what they hold often enough is looked up in the long ones.
+    merged, and members that they hold often enough are looked up in the long ones,
+    as long as they can still reach the bound. skip marks members that are not wanted.
     """
+    none = np.zeros(0, np.int64)
     if least <= 0 or len(lists) < least:
-        return []
+        return none, none
     lists = sorted(lists, key=len)
     aside = min(least - 1, int(least / (mu * log2(len(lists[-1]) + 1) + 1)))
     short, long = (lists[:-aside], lists[-aside:]) if aside else (lists, [])
-    out = []
-    for member, same in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in same)
-        if count < least - aside:
+    members, counts = merged(short)
+    keep = counts >= least - aside
+    if skip is not None:
+        keep &= ~skip(members)
+    members, counts = members[keep], counts[keep]
+    for left, x in zip(range(len(long), 0, -1), long, strict=True):
+        alive = counts + left >= least
+        if not alive.all():
+            members, counts = members[alive], counts[alive]
+        if not len(members):
+            return none, none
+        at = np.minimum(np.searchsorted(x, members), len(x) - 1)
+        counts = counts + (x[at] == members)
+    enough = counts >= least
+    return members[enough], counts[enough]
+
+
+def search(sizes: np.ndarray, groups: np.ndarray, tokens: list[np.ndarray], exact: bool) -> Iterator[tuple[int, int]]:
+    """A spanning forest (earlier, later) of what ties groups of a block together.
+
+    sizes rise. Tied are nodes whose token lists overlap enough; with exact these are
+    whole sets, and the overlap must make a link. Members of a group, and of groups
+    tied already, are not held against each other.
+    """
+    lengths = np.array([len(t) for t in tokens])
+    flat_tokens, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), lengths)
+    order = np.lexsort((owner, flat_tokens))
+    by_token, member = flat_tokens[order], owner[order]
+    new = np.ones(len(by_token), bool)
+    new[1:] = by_token[1:] != by_token[:-1]
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ends = np.cumsum(lengths)
+    root = np.unique(groups, return_inverse=True)[1]
+    for i in range(1, len(tokens)):
+        need = -(-int(sizes[i]) * LINKED // 100)
+        least = need if exact else min(OVERLAP, need)
+        mine = place[ends[i] - lengths[i] : ends[i]]
+        first = start[mine]
+        # within a token's list the earlier members stand before this one
+        some = mine > first
+        if np.count_nonzero(some) < least:
             continue
-        for left, x in enumerate(long):
-            if count >= least or count + len(long) - left < least:
-                break
-            at = bisect_left(x, member)
-            count += at < len(x) and x[at] == member
-        if count >= least:
-            out.append(member)
-    return out
-
-
-def search_block(sizes: list[int], components: list, sketches: list[list[int]]) -> Iterator[tuple[int, int]]:
-    """Pairs (earlier, later) of a block across components whose sketches overlap enough."""
-    index: dict[int, list[int]] = defaultdict(list)
-    for i, sketch in enumerate(sketches):
-        lists = [index[t] for t in sketch if t in index]
-        least = min(OVERLAP, -(-sizes[i] * LINKED // 100))
-        for j in divide_skip(lists, least):
-            if components[i] != components[j] and 100 * min(sizes[i], sizes[j]) >= LINKED * max(sizes[i], sizes[j]):
+        lists = [member[a:b] for a, b in zip(first[some].tolist(), mine[some].tolist(), strict=True)]
+        near, common = divide_skip(lists, least, lambda m, i=i: (root[m] == root[i]) | (sizes[m] * 100 < sizes[i] * LINKED))
+        if exact:
+            near = near[common * 100 >= (sizes[near] + sizes[i] - common) * LINKED]
+        for j in near.tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
                 yield j, i
-        for t in sketch:
-            index[t].append(i)
 
 
 def _keys(nodes: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -181,52 +217,56 @@ def _hot(nodes: DataFrame) -> np.ndarray:
     return np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64))
 
 
-def _decide(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The links among distinct pairs (a, b) of nodes, written."""
-    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}"), F.col("rep").alias(f"rep_{k}")) for k in "ab")
-    met = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
-    met = met.where(F.col("common") >= needed(F.greatest("n_a", "n_b")))
-    near = written(met.select("a", "b", "n_a", "n_b", "rep_a", "rep_b", "common"), "ngram-near")
-    small = F.greatest("n_a", "n_b") <= SKETCH
-    exact = near.where(small & linked(F.col("n_a"), F.col("n_b"), F.col("common"))).select("a", "b")
-    rest = near.where(~small)
-    ends = (F.struct(F.col(k).alias("node"), F.col(f"rep_{k}").alias("rep")) for k in "ab")
-    picked = written(rest.select(F.inline(F.array(*ends))).distinct(), "ngram-picked")
-    ids = picked.select(F.coalesce("rep", F.lit(LAST_ID)).alias("__rep")).distinct()
-    few = picked.count() <= PICKED
-    texts = docs.withColumn("__rep", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))).join(F.broadcast(ids) if few else ids, "__rep", "left_semi")
-    sets = _signed(texts, id_col, text_col, full=True).select("node", "tokens").join(F.broadcast(picked.select("node")) if few else picked.select("node"), "node", "left_semi")
-    sets = written(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "ngram-sets")
-    full = rest.join(sets.withColumnsRenamed({"node": "a", "tokens": "s_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "tokens": "s_b"}), "b")
-    full = full.where(linked(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("s_a", "s_b")))).select("a", "b")
-    return written(exact.unionByName(full), "ngram-links")
-
-
-def _search(blocks: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the T-occurrence search finds in each part of (part, node, n, component, tokens)."""
+def _searched(blocks: DataFrame, exact: bool) -> DataFrame:
+    """(a, b): what search finds in each part of (part, node, n, group, tokens)."""
 
     def found(rows: list) -> Iterator[tuple[bytes, bytes]]:
-        rows.sort(key=lambda r: (r[2], r[1]))
-        for i, j in search_block([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows]):
-            yield min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])
+        rows.sort(key=lambda r: (r[1], r[0]))
+        groups = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        for i, j in search(np.array([r[1] for r in rows], np.int64), groups, [r[3] for r in rows], exact):
+            yield rows[i][0], rows[j][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part, out = [], None, []
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("part", "node", "n", "component", "tokens")), strict=True):
-                if row[0] != part:
-                    out += found(held) if len(held) > 1 else ()
-                    held, part = [], row[0]
-                held.append(row)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
-                out = []
-        out = list(found(held)) if len(held) > 1 else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
+                out.clear()
 
-    # parts are of bounded size, so a part is whole in one task and sorted together
-    return blocks.repartition(F.col("part")).sortWithinPartitions("part").select("part", "node", "n", "component", "tokens").mapInArrow(run, "a binary, b binary")
+        for b in batches:
+            lists = b.column("tokens")
+            values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            for k, (p, node, n, group) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "node", "n", "group")), strict=True)):
+                if p != part:
+                    out += found(held) if len(held) > 1 else ()
+                    held, part = [], p
+                held.append((node, n, group, values[offsets[k] : offsets[k + 1]].copy()))
+            yield from flushed()
+        out += found(held) if len(held) > 1 else ()
+        yield from flushed()
+
+    # a part is of bounded size, whole in one task and sorted together
+    dealt = blocks.repartition(F.col("part")).sortWithinPartitions("part")
+    return dealt.select("part", "node", "n", "group", "tokens").mapInArrow(run, "a binary, b binary")
+
+
+def _parted(members: DataFrame, key: str) -> DataFrame:
+    """members with a part: a group of m is dealt to pieces of about PART, and each piece meets each other."""
+    pieces = F.ceil(F.col("m") / F.lit(PART)).cast("int")
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.withColumn("part", F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other"))).drop("mine", "other")
+
+
+def _full_sets(picked: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, tokens) of the nodes in (node, rep), from the texts of their smallest ids."""
+    ids = picked.select(F.coalesce("rep", F.lit(LAST_ID)).alias("__rep")).distinct()
+    few = picked.count() <= PICKED
+    texts = docs.withColumn("__rep", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))).join(F.broadcast(ids) if few else ids, "__rep", "left_semi")
+    sets = _signed(texts, id_col, text_col, full=True).select("node", "tokens")
+    sets = sets.join(F.broadcast(picked.select("node")) if few else picked.select("node"), "node", "left_semi")
+    # rows that repeat an id may hold a set twice
+    return sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,19 +286,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = written(keys.join(blocks, "key"), "ngram-members")
     # 1. each node of a block against its pivot
     star = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _decide(star, nodes, docs, id_col, text_col)
+    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}")) for k in "ab")
+    star = star.join(one, "a").join(two, "b").where(F.size(F.array_intersect("t_a", "t_b")) >= needed(F.greatest("n_a", "n_b")))
+    star = written(star.select("a", "b"), "ngram-star")
+    labels = connected_components(star).withColumnRenamed("component", "label")
+    # 2. blocks that hold several clusters
+    members = written(members.join(labels, "node", "left").select("key", "m", "node", "n", F.coalesce("label", "node").alias("group")), "ngram-members")
+    mixed = members.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where(F.col("x") != F.col("y")).select("key")
+    dealt = _parted(members.join(mixed, "key"), "key").join(nodes.select("node", "tokens"), "node")
+    more = written(_searched(dealt, exact=False), "ngram-ties")
+    clusters = connected_components(star.unionByName(more)).withColumnRenamed("component", "cluster")
+    # 3. links within clusters, on full sets
+    clusters = written(clusters.join(nodes.select("node", "n", "rep"), "node"), "ngram-clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    sets = written(_full_sets(clusters.select("node", "rep"), docs, id_col, text_col), "ngram-sets")
+    whole = _parted(clusters.join(sizes, "cluster"), "cluster").join(sets, "node").withColumn("group", F.col("node"))
+    links = written(_searched(whole, exact=True), "ngram-links")
     labels = connected_components(links).withColumnRenamed("component", "label")
-    members = written(members.join(labels, "node", "left").select("key", "m", "node", "n", F.coalesce("label", "node").alias("component")), "ngram-members")
-    # 2. blocks that hold several components, searched in parts
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("key")
-    parts = F.ceil(F.col("m") / F.lit(PART)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    dealt = members.join(mixed, "key").withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.withColumn("part", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    dealt = dealt.join(nodes.select("node", "tokens"), "node")
-    more = _decide(written(_search(dealt).distinct(), "ngram-pairs"), nodes, docs, id_col, text_col)
-    labels = connected_components(links.unionByName(more)).withColumnRenamed("component", "label")
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(named.groupBy("label").agg(F.min("rep").alias("component")), "label").select("node", "component")
     out = base.select("id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left")
