@@ -132,10 +132,12 @@ def norm_romaji(text: Column) -> Column:
     return out
 
 
-def fraction(numerator: Column, bits: int) -> tuple[Column, Column]:
-    """numerator / 2**bits in lowest terms, exactly: both sides lose their common power of two."""
-    low = F.least(F.when(numerator == 0, F.lit(1 << bits)).otherwise(numerator.bitwiseAND(-numerator)), F.lit(1 << bits))
-    return F.try_divide(numerator, low).cast("long"), F.try_divide(F.lit(1 << bits), low).cast("long")
+def fraction(numerator: Column, whole: Column | int) -> tuple[Column, Column]:
+    """numerator / whole, a power of two, in lowest terms: both lose their common power of two, exactly."""
+    whole = F.lit(whole) if isinstance(whole, int) else whole
+    whole = whole.cast("long")
+    low = F.when(numerator == 0, whole).otherwise(F.least(numerator.bitwiseAND(-numerator), whole))
+    return (numerator / low).cast("long"), (whole / low).cast("long")
 
 
 def whole_word(form: Column) -> Column:

@@ -128,7 +128,7 @@ SELECT l_orderkey % 64 AS numerator, count(*) AS n, (l_orderkey % 64) // gcd(l_o
 """, plain=True)
 def T36_exact_fractions(g: Graph) -> DataFrame:
     counts = g.read("lineitem").groupBy((F.col("l_orderkey") % 64).alias("numerator")).agg(F.count(F.lit(1)).alias("n"))
-    num, den = X.fraction(F.col("numerator"), 6)
+    num, den = X.fraction(F.col("numerator"), 64)
     return counts.select("numerator", "n", num.alias("num"), den.alias("den"))
 
 
