@@ -1 +1,154 @@
-"""Readers and writers."""
+"""Readers and writers: seed files, tables of text, caches, exports, dossiers, and plug-in data sources."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from loomgraph.functions.text import slugify
+
+SEED_KEYS = {"papers", "entities", "claims"}
+EVIDENCE_SCHEMA = (
+    "file string, predicate string, subject_label string, subject_name string, object_label string, object_name string, paper string, experiment_type string, "
+    "level string, stance string, finding string, quote string, species string, species_explicit boolean"
+)
+ENTITY_SCHEMA = "file string, label string, name string, category string, symbol string, chromosome string, best_p_value string, aliases array<string>"
+PAPER_SCHEMA = "file string, key string, title string, year int, doi string, pmid string, pmcid string"
+
+
+def _text(value) -> str | None:
+    """Numbers that were written as such stay the text that was reported."""
+    return None if value is None else value if isinstance(value, str) else repr(value)
+
+
+def seed_rows(name: str, text: str, load: Callable[[str], object]) -> tuple[list, list, list, list[str]]:
+    """Papers, entities and evidence rows of one seed file, and what is wrong with it; load parses its text."""
+    problems: list[str] = []
+    try:
+        data = load(text)
+    except Exception as e:
+        return [], [], [], [f"{name}: {e}"]
+    if data is None:
+        data = {}
+    if not isinstance(data, dict):
+        return [], [], [], [f"{name}: the top level must be a mapping"]
+    problems += [f"{name}: unknown key {k!r}" for k in sorted(set(data) - SEED_KEYS)]
+    papers = [(name, p.get("key"), p.get("title"), p.get("year"), p.get("doi"), _text(p.get("pmid")), p.get("pmcid")) for p in data.get("papers") or []]
+    entities = [(name, e.get("label"), e.get("name"), e.get("category"), e.get("symbol"), _text(e.get("chromosome")), _text(e.get("best_p_value")), e.get("aliases") or []) for e in data.get("entities") or []]
+    evidence = []
+    for c in data.get("claims") or []:
+        s, o = c.get("subject") or {}, c.get("object") or {}
+        for e in c.get("evidence") or []:
+            # whether the species was written is kept apart from its default
+            evidence.append((name, c.get("predicate"), s.get("label"), s.get("name"), o.get("label"), o.get("name"), e.get("paper"), e.get("experiment_type"), e.get("level", "UNKNOWN"), e.get("stance", "SUPPORTS"), e.get("finding"), e.get("quote"), e.get("species", "Oryzias latipes"), "species" in e))
+    return papers, entities, evidence, problems
+
+
+def read_seeds(spark: SparkSession, path: str, load: Callable[[str], object] | None = None) -> dict[str, DataFrame]:
+    """papers, entities, evidence and problems of all seed files under a path, read by Spark; problems of every file are kept.
+
+    load parses a file's text: YAML where a parser is installed, else JSON, which is a subset of it.
+    """
+    if load is None:
+        try:
+            from yaml import safe_load as load
+        except ImportError:
+            load = json.loads
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").orderBy("file").collect()
+    papers, entities, evidence, problems = [], [], [], []
+    for f in files:
+        a, b, c, d = seed_rows(f["file"], f["value"], load)
+        papers += a
+        entities += b
+        evidence += c
+        problems += d
+    return {
+        "papers": spark.createDataFrame(papers, PAPER_SCHEMA), "entities": spark.createDataFrame(entities, ENTITY_SCHEMA), "evidence": spark.createDataFrame(evidence, EVIDENCE_SCHEMA),
+        "problems": spark.createDataFrame([(p,) for p in problems], "problem string"),
+    }
+
+
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated rows with a header; values trimmed, absent ones empty."""
+    rows = spark.read.csv(path, sep="\t", header=True, quote="")
+    return rows.select(*(F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Comma-separated rows with a header, with or without a byte-order mark."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return rows.toDF(*(c.removeprefix("﻿") for c in rows.columns))
+
+
+def write_csv(rows: DataFrame, path: str, order: str) -> None:
+    """All values quoted, in order."""
+    rows.orderBy(order).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """A JSON object on each line of (value)."""
+    rows.select("value").write.mode("overwrite").text(path)
+
+
+def write_dossiers(rows: DataFrame, path: str) -> None:
+    """Texts of (name, dossier) in a folder for each slug."""
+    rows.select(slugify(F.col("name")).alias("slug"), F.col("dossier").alias("value")).write.mode("overwrite").partitionBy("slug").text(path)
+
+
+def missing_from_cache(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """What has still to be fetched: no cached file, or an empty one."""
+    return wanted.join(cached.where(F.length("body") > 0).select(key), key, "left_anti")
+
+
+class PagedSource(DataSource):
+    """Rows of a paged backend, a partition for each page: spark.read.format("paged").
+
+    The backend is a JSON Lines fixture (option path); a live client subclasses this and
+    overrides pages().
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged"
+
+    def schema(self) -> str:
+        return "page int, value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PagedReader(self.options)
+
+
+class _PagedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.lines = options.get("rows", "").split("\n") if options.get("rows") else []
+        self.size = int(options.get("pageSize", "20"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(-(-len(self.lines) // self.size))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for line in self.lines[partition.value * self.size : (partition.value + 1) * self.size]:
+            yield partition.value, line
+
+
+#: Fields of a literature search hit.
+HIT_SCHEMA = (
+    "title string, doi string, pmid string, pmcid string, pubYear string, journalInfo struct<journal:struct<title:string>>, isOpenAccess string, inEPMC string, "
+    "fullTextUrlList struct<fullTextUrl:array<struct<availabilityCode:string>>>, authorList struct<author:array<struct<fullName:string>>>, abstractText string"
+)
+
+
+def parse_hits(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Papers from search hits in JSON."""
+    h = F.from_json(F.col(column), HIT_SCHEMA)
+    codes = F.transform(h["fullTextUrlList"]["fullTextUrl"], lambda u: u["availabilityCode"])
+    names = F.filter(F.transform(h["authorList"]["author"], lambda a: a["fullName"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    return lines.select(
+        F.regexp_replace(h["title"], r"\.+$", "").alias("title"), h["doi"].alias("doi"), h["pmid"].alias("pmid"), h["pmcid"].alias("pmcid"), h["pubYear"].try_cast("int").alias("year"),
+        h["journalInfo"]["journal"]["title"].alias("journal"), (F.coalesce(h["isOpenAccess"] == "Y", F.lit(False)) | F.coalesce(F.array_contains(codes, "OA"), F.lit(False))).alias("is_open_access"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("authors"), h["abstractText"].alias("abstract"),
+    ).where(F.coalesce("doi", "pmid", "pmcid").isNotNull())

@@ -1 +1,66 @@
-"""Streaming forms of the incremental operators."""
+"""Streaming forms of the incremental operators: monotone states, first-seen registers, windows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from loomgraph.operators.storage import shared_dir
+
+
+def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table of a directory as a stream; its schema is read once."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{folder}/{name}.parquet*")
+
+
+def state_machine(transitions: DataFrame) -> DataFrame:
+    """(user_id, state_rank, n_events) updates of a machine that never goes back unless forced.
+
+    transitions: (user_id, state_rank, forced). A late event of a lower rank changes
+    nothing, so no watermark is needed for right results.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rank, n = state.get if state.exists else (-1, 0)
+        for b in batches:
+            for value, forced in zip(b["state_rank"], b["forced"], strict=True):
+                rank = int(value) if forced or value > rank else rank
+                n += 1
+        state.update((rank, n))
+        yield pd.DataFrame({"user_id": [key[0]], "state_rank": [rank], "n_events": [n]})
+
+    return transitions.groupBy("user_id").applyInPandasWithState(step, "user_id long, state_rank int, n_events long", "rank int, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def merged(stream: DataFrame, key: str, latest: str, name: str) -> DataFrame:
+    """Runs a stream of updates over all that is there and returns each key's last one.
+
+    Micro-batches are appended with their number to a table in the shared folder, so a
+    batch that is repeated after a failure only repeats rows that the last step folds.
+    """
+    spark = stream.sparkSession
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    columns = stream.columns
+    out = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data/*")
+    return out.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("__batch", latest)).alias("last")).select("last.*")
+
+
+def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """Counts of (ts, event_type) in tumbling windows, late events within the watermark included."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width)["start"].alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
