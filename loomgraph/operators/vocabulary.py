@@ -12,7 +12,7 @@ def forms_to_try(name: Column, suffixes: tuple[str, ...]) -> Column:
     """The name, the name without brackets, then both without a suffix, in this order."""
     bare = F.regexp_replace(name, r"[(（][^)）]*[)）]", "")
     both = F.array(name, F.trim(bare))
-    cut = [F.when(F.endswith(x, F.lit(s)) & (F.length(x) > len(s)), F.left(x, F.length(x) - len(s))) for x in (name, F.trim(bare)) for s in suffixes]
+    cut = [F.when(F.endswith(x, F.lit(s)) & (F.length(x) > len(s)), F.trim(F.left(x, F.length(x) - len(s)))) for x in (name, F.trim(bare)) for s in suffixes]
     return F.array_distinct(F.concat(both, F.array_compact(F.array(*cut))))
 
 
