@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.session import written
+from loomgraph.llm.session import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,11 +16,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "cc-labels")
+    labels_table = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         met = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         heads = labels.select(F.col("node").alias("component"), F.col("component").alias("head"))
         new = written(met.join(heads, "component").select("node", "old", F.least("component", "head").alias("component")), "cc-labels")
-        labels = new.select("node", "component")
-        if not new.where(F.col("old") != F.col("component")).limit(1).count():
+        done = not new.where(F.col("old") != F.col("component")).limit(1).count()
+        discard(labels_table)
+        labels, labels_table = new.select("node", "component"), new
+        if done:
+            discard(both)
+            labels.written_path = new.written_path
             return labels

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import Words, flat, mix, slices, windows
 from loomgraph.llm.components import connected_components
-from loomgraph.llm.session import prepare, written
+from loomgraph.llm.session import discard, prepare, written
 
 N = 5
 #: Similarity from which documents link, in hundredths.
@@ -214,7 +214,9 @@ def _hot(nodes: DataFrame) -> np.ndarray:
     limit = HOT
     while (found := counts.where(F.col("count") > limit)).count() > HOT_LIST:
         limit *= 2
-    return np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64))
+    hot = np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64))
+    discard(counts)
+    return hot
 
 
 def _searched(blocks: DataFrame, exact: bool) -> DataFrame:
@@ -264,9 +266,8 @@ def _full_sets(picked: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     few = picked.count() <= PICKED
     texts = docs.withColumn("__rep", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))).join(F.broadcast(ids) if few else ids, "__rep", "left_semi")
     sets = _signed(texts, id_col, text_col, full=True).select("node", "tokens")
-    sets = sets.join(F.broadcast(picked.select("node")) if few else picked.select("node"), "node", "left_semi")
-    # rows that repeat an id may hold a set twice
-    return sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    # rows that repeat an id may give a set twice, which a search takes for one node
+    return sets.join(F.broadcast(picked.select("node")) if few else picked.select("node"), "node", "left_semi")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,33 +279,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     has one. Other columns are not read; no rows give no rows.
     """
     prepare(docs.sparkSession)
-    base = written(_signed(docs, id_col, text_col, full=False), "ngram-sketches")
-    held = base.where(F.col("node").isNotNull())
+    sketches = written(_signed(docs, id_col, text_col, full=False), "ngram-sketches")
+    held = sketches.where(F.col("node").isNotNull())
     nodes = written(held.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "ngram-nodes")
+    base = written(sketches.select("id", "node", "n"), "ngram-ids")
+    discard(sketches)
     keys = written(_keys(nodes, _hot(nodes)), "ngram-keys")
-    blocks = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where(F.col("m") > 1), "ngram-blocks")
+    blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where(F.col("m") > 1)
     members = written(keys.join(blocks, "key"), "ngram-members")
+    discard(keys)
+    # overlaps are counted on half of each hash: a chance match can only add to what is searched
+    light = nodes.select("node", "n", F.transform("tokens", lambda t: (t.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("tokens"))
     # 1. each node of a block against its pivot
     star = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    one, two = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}")) for k in "ab")
+    one, two = (light.withColumnsRenamed({"node": k, "n": f"n_{k}", "tokens": f"t_{k}"}) for k in "ab")
     star = star.join(one, "a").join(two, "b").where(F.size(F.array_intersect("t_a", "t_b")) >= needed(F.greatest("n_a", "n_b")))
     star = written(star.select("a", "b"), "ngram-star")
-    labels = connected_components(star).withColumnRenamed("component", "label")
+    labels = connected_components(star)
     # 2. blocks that hold several clusters
-    members = written(members.join(labels, "node", "left").select("key", "m", "node", "n", F.coalesce("label", "node").alias("group")), "ngram-members")
-    mixed = members.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where(F.col("x") != F.col("y")).select("key")
-    dealt = _parted(members.join(mixed, "key"), "key").join(nodes.select("node", "tokens"), "node")
+    grouped = members.join(labels.withColumnRenamed("component", "label"), "node", "left")
+    grouped = written(grouped.select("key", "m", "node", "n", F.coalesce("label", "node").alias("group")), "ngram-groups")
+    discard(members, labels)
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where(F.col("x") != F.col("y")).select("key")
+    dealt = _parted(grouped.join(mixed, "key"), "key").join(light.select("node", "tokens"), "node")
     more = written(_searched(dealt, exact=False), "ngram-ties")
-    clusters = connected_components(star.unionByName(more)).withColumnRenamed("component", "cluster")
+    labels = connected_components(star.unionByName(more))
+    clusters = written(labels.withColumnRenamed("component", "cluster").join(nodes.select("node", "n", "rep"), "node"), "ngram-clusters")
+    discard(grouped, star, more, labels)
     # 3. links within clusters, on full sets
-    clusters = written(clusters.join(nodes.select("node", "n", "rep"), "node"), "ngram-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    sets = written(_full_sets(clusters.select("node", "rep"), docs, id_col, text_col), "ngram-sets")
-    whole = _parted(clusters.join(sizes, "cluster"), "cluster").join(sets, "node").withColumn("group", F.col("node"))
-    links = written(_searched(whole, exact=True), "ngram-links")
-    labels = connected_components(links).withColumnRenamed("component", "label")
-    named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(named.groupBy("label").agg(F.min("rep").alias("component")), "label").select("node", "component")
+    whole = _parted(clusters.join(sizes, "cluster"), "cluster").select("part", "node", "n", F.col("node").alias("group"))
+    whole = F.broadcast(whole) if whole.count() <= PICKED else whole
+    links = written(_searched(_full_sets(clusters.select("node", "rep"), docs, id_col, text_col).join(whole, "node"), exact=True), "ngram-links")
+    labels = connected_components(links)
+    named = nodes.select("node", "rep").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = written(named.join(named.groupBy("label").agg(F.min("rep").alias("component")), "label").select("node", "component"), "ngram-named")
+    discard(clusters, links, labels, nodes)
     out = base.select("id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), "node", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 

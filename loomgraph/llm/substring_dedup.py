@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, slices
-from loomgraph.llm.session import prepare, written
+from loomgraph.llm.session import discard, prepare, written
 
 #: A word starts a chunk with a chance of 1 in 4, by a hash of the 16 bytes before it.
 CUT_BITS, WINDOW = 2, 16
@@ -126,7 +126,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = found.select("key", F.col("found.digest").alias("digests"), F.col("found.first").alias("firsts"))
     nothing = F.array().cast("array<long>")
     alone = signed.where("twice").select("key").distinct().join(found, "key", "left_anti").select("key", nothing.alias("digests"), nothing.alias("firsts"))
-    return found.unionByName(alone)
+    out = written(found.unionByName(alone), "chunk-repeats")
+    discard(signed)
+    return out
 
 
 def _runs(able: np.ndarray, small: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int]]:
