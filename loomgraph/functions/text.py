@@ -115,6 +115,13 @@ def host_tier(url: Column, tiers: dict[str, int], other: int = 3, none: int = 4)
     return F.when(F.coalesce(host, F.lit("")) == "", F.lit(none)).otherwise(F.coalesce(F.element_at(table, host), F.lit(other)))
 
 
+def display_label(lang: Column, text: Column, reading: Column, sources: Column, attested: Column) -> Column:
+    """A label as the dossier prints it, for example ja: text (reading) [source; row]."""
+    said = F.when(F.coalesce(reading, F.lit("")) != "", F.concat(F.lit(" ("), reading, F.lit(")"))).otherwise("")
+    where = F.when(F.size(sources) > 0, F.array_join(sources, "; ")).otherwise("no source")
+    return F.concat(lang, F.lit(": "), text, said, F.lit(" ["), where, F.lit("]"), F.when(attested, "").otherwise(" UNVERIFIED"))
+
+
 #: Kana in code-point order, for folding one syllabary into the other.
 HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))

@@ -118,7 +118,7 @@ tokens AS (SELECT DISTINCT label, id, name, unnest(string_split(lower(name), ' '
 hits AS (SELECT label, id, name, count(*) AS score FROM tokens JOIN terms USING (term) GROUP BY label, id, name)
 SELECT label, id, name, score FROM hits ORDER BY score DESC, label, id LIMIT 25
 """)
-def Q09_W07_search(g: Graph) -> DataFrame:
+def Q09_W07_W08_search(g: Graph) -> DataFrame:
     """Scored by the number of query terms that a name holds (a deterministic stand-in for engine-specific scores)."""
     named = g.trait.select(F.lit("Trait").alias("label"), F.col("trait_id").alias("id"), "name")
     named = named.unionByName(g.gene.select(F.lit("Gene").alias("label"), F.col("gene_id").alias("id"), "name"))

@@ -56,7 +56,7 @@ sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, i) AS entities FROM foun
 pairs AS (SELECT DISTINCT a.doc_id, a.s AS sentence, p.s AS subject, p.o AS object FROM sized a JOIN sized b ON a.doc_id = b.doc_id AND a.i = b.i JOIN shape p ON p.s = a.entity AND p.o = b.entity WHERE a.entities <= 6)
 SELECT doc_id, least(60, count(*)) AS candidates, CASE WHEN count(*) <= 60 THEN count(*) FILTER (WHERE regexp_matches(lower(sentence), '(^|[^\p{L}\p{N}_])(no|not|neither|nor|without|failed to|did not|does not|cannot|unlikely|rules? out|ruled out|absence of)([^\p{L}\p{N}_]|$)')) END AS negated
 FROM pairs GROUP BY doc_id""", plain=True)
-def Q27_J17_T14_T17_W14_candidates(g: Graph) -> DataFrame:
+def Q27_J17_T14_T17_T18_W14_candidates(g: Graph) -> DataFrame:
     out = E.candidates(_mentions(g)[1])
     rows = out.groupBy(F.col("paper_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("negated").alias("negated"))
     return rows.withColumn("negated", F.when(F.col("candidates") < fixed.MAX_CANDIDATES, F.col("negated")).when(F.col("candidates") == fixed.MAX_CANDIDATES, F.col("negated")))
