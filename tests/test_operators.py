@@ -263,3 +263,21 @@ def test_entry_without_the_optional_part():
 
     code = "import sys; sys.modules['loomgraph.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_commands(spark, tmp_path, capsys):
+    import os
+
+    from loomgraph import __main__ as cli
+
+    cli.main(["cross", "--mother", "b/b r/r", "--father", "b/b r/R"])
+    assert "white" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["cross", "--mother", "b/b r/r"])
+    (tmp_path / "seeds").mkdir()
+    (tmp_path / "seeds" / "a.yaml").write_text('{"papers": [{"key": "k"}]}')
+    cli.main(["load", "--seeds", str(tmp_path / "seeds"), "--out", str(tmp_path / "out")])
+    assert '"papers": 1' in capsys.readouterr().out
+    if os.path.isdir("/root/testdata/sf0.001"):
+        cli.main(["export", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "x")])
+        assert spark.read.text(str(tmp_path / "x")).count() > 100
