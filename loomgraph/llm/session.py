@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.shipping import ship
+
 #: Rows of an Arrow batch: some texts are long, and a batch is held whole.
 BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the rows of an Arrow batch, as texts may be long."""
+    """Sends the package to the executors, and bounds the rows of an Arrow batch, as texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

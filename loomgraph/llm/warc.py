@@ -186,6 +186,7 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    prepare(packages.sparkSession)
     # a package is a unit of work of bounded size, so each gets a task; a given number keeps small rows apart
     return packages.select("path").repartition(max(1, packages.count())).mapInArrow(run, out)
 
