@@ -123,12 +123,12 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     each = signed.select("key", F.explode("digests").alias("digest"))
     shared = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
     found = each.join(shared, "digest").groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
-    found = found.select("key", F.col("found.digest").alias("digests"), F.col("found.first").alias("firsts"))
+    found = written(found.select("key", F.col("found.digest").alias("digests"), F.col("found.first").alias("firsts")), "chunk-repeats")
     nothing = F.array().cast("array<long>")
-    alone = signed.where("twice").select("key").distinct().join(found, "key", "left_anti").select("key", nothing.alias("digests"), nothing.alias("firsts"))
-    out = written(found.unionByName(alone), "chunk-repeats")
+    alone = signed.where("twice").select("key").distinct().join(found.select("key"), "key", "left_anti").select("key", nothing.alias("digests"), nothing.alias("firsts"))
+    alone = written(alone, "chunk-alone")
     discard(signed)
-    return out
+    return found.unionByName(alone)
 
 
 def _runs(able: np.ndarray, small: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int]]:
