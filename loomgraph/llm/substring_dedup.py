@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, slices
 from loomgraph.llm.session import discard, prepare, written
 
-#: A word starts a chunk with a chance of 1 in 4, by a hash of the 16 bytes before it.
-CUT_BITS, WINDOW = 2, 16
+#: A word starts a chunk with a chance of 1 in CUT_ONE_IN, by a hash of the WINDOW bytes before it.
+CUT_ONE_IN, WINDOW = 3, 16
 #: Chunks of fewer words say too little to be compared and are joined to the next; one at
 #: a document's end goes along with a repeated one before it.
 LEAST_WORDS = 3
 #: A chunk that no hash has ended ends after so many words, as in texts of one word.
 MOST_WORDS = 16
 #: Runs of fewer words stay: common phrases are no passages.
-RUN_WORDS = 15
+RUN_WORDS = 12
 _GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 LAST_ID = 2**63 - 1
 
@@ -47,7 +47,7 @@ class Chunks:
             gear[step:] = gear[step:] + (gear[:-step] << np.uint32(step))
             step *= 2
         before = words.starts - 1 + WINDOW * (words.doc + 1)
-        cut = (gear[before] * np.uint32(0x9E3779B1)) >> np.uint32(32 - CUT_BITS) == 0
+        cut = gear[before] * np.uint32(0x9E3779B1) < np.uint32(int(2**32 / CUT_ONE_IN))
         cut[words.offsets[:-1][np.diff(words.offsets) > 0]] = True
         self.first = _joined(np.flatnonzero(cut), words.offsets, len(h))
         self.size = np.diff(np.append(self.first, len(h)))
