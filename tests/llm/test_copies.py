@@ -162,7 +162,9 @@ def first_words(text):
     return set(text.split())
 
 
-def test_passages_of_awkward_rows(spark):
+@pytest.mark.parametrize("picked", [0, 500_000])
+def test_passages_of_awkward_rows(spark, monkeypatch, picked):
+    monkeypatch.setattr(substring_dedup, "PICKED", picked)
     rows, _ = passages()
     long = rows[0]
     odd = [(1, long), (1, long), (None, long), (None, None), (3, ""), (4, "Shti " * 500), (5, "Shti " * 700), (6, "w" * 100_000)]
