@@ -29,6 +29,8 @@ MOST_WORDS = 16
 RUN_WORDS = 12
 _GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 LAST_ID = 2**63 - 1
+#: So many ids of documents with repeats are broadcast at most, to leave the other texts where they are.
+PICKED = 500_000
 
 
 class Chunks:
@@ -131,6 +133,14 @@ def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.unionByName(alone)
 
 
+def _met(rows: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows with what was found of them, and the rows without anything found, if they could be told apart without a shuffle."""
+    keys = found.select(key)
+    if keys.count() > PICKED:
+        return rows.join(found, key, "left"), None
+    return rows.join(F.broadcast(keys), key, "left_semi").join(found, key), rows.join(F.broadcast(keys), key, "left_anti")
+
+
 def _runs(able: np.ndarray, small: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Runs [a, b) of able chunks with small ones between them, of at least least words."""
     out, a, end = [], -1, -1
@@ -176,8 +186,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     end up empty.
     """
     found = repeats(docs, id_col, text_col)
-    rows = docs.withColumn("__key", _key(id_col)).join(found.withColumnsRenamed({"key": "__key", "digests": "__digests", "firsts": "__firsts"}), "__key", "left")
+    found = found.withColumnsRenamed({"key": "__key", "digests": "__digests", "firsts": "__firsts"})
     names, at = docs.columns, docs.columns.index(text_col)
+    rows, untouched = _met(docs.withColumn("__key", _key(id_col)), found, "__key")
     rows = rows.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), "__key", "__digests", "__firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +207,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(cut, rows.select(*(F.col(f"`{c}`") for c in names)).schema)
+    columns = [F.col(f"`{c}`") for c in names]
+    done = rows.mapInArrow(cut, rows.select(*columns).schema)
+    return done if untouched is None else done.unionByName(untouched.select(*columns))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = RUN_WORDS) -> DataFrame:
@@ -207,7 +220,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     the passages. Nulls, ties and repeated rows as in dedup.
     """
     found = repeats(docs, id_col, text_col)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _key(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).join(found, "key")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _key(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = _met(rows, found, "key")[0].where(F.col("digests").isNotNull())
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("repeated_words", pa.int64()), ("removed_words", pa.int64()), ("holders", pa.list_(pa.int64()))])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
