@@ -19,7 +19,7 @@ from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, slices
 from loomgraph.llm.session import discard, prepare, written
 
 #: A word starts a chunk with a chance of 1 in CUT_ONE_IN, by a hash of the WINDOW bytes before it.
-CUT_ONE_IN, WINDOW = 3, 16
+CUT_ONE_IN, WINDOW = 3.5, 16
 #: Chunks of fewer words say too little to be compared and are joined to the next; one at
 #: a document's end goes along with a repeated one before it.
 LEAST_WORDS = 3
