@@ -2,8 +2,9 @@
 
 A gear rolling hash over the last bytes decides at each word whether a chunk ends
 there, so that chunks depend on content alone and an insertion moves only the cuts
-next to it.  Chunks are deduplicated by digest: a passage is a run of chunks that were
-seen before, and the first document (the smallest id) keeps it.
+next to it.  Chunks that occur once are left out by digest; of the runs that remain,
+windows of neighbouring chunks are compared, so that a passage is a run of chunks that
+stand together in one other place, and the first document (the smallest id) keeps it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, slices
+from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, repeated, slices
 from loomgraph.llm.session import discard, prepare, written
 
 #: A word starts a chunk with a chance of 1 in CUT_ONE_IN, by a hash of the WINDOW bytes before it.
@@ -84,18 +85,36 @@ def _joined(first: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _signed(digest: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[pa.Array, np.ndarray]:
-    """Each document's distinct digests as a list, and whether one occurs twice in it."""
-    real = digest != 0
-    digest, doc = digest[real], doc[real]
+def _signed(c: Chunks, n_docs: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Each document's digests and sizes in order, without small chunks, and whether a digest occurs twice in it."""
+    real = c.digest != 0
+    digest, doc = c.digest[real], c.doc[real]
+    counts = np.bincount(doc, minlength=n_docs)
+    at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
     order = np.lexsort((digest, doc))
-    digest, doc = digest[order], doc[order]
-    new = np.ones(len(digest), bool)
-    new[1:] = (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1])
+    again = (digest[order][1:] == digest[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     twice = np.zeros(n_docs, bool)
-    twice[doc[~new]] = True
-    counts = np.bincount(doc[new], minlength=n_docs)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(digest[new])), twice
+    twice[doc[order][1:][again]] = True
+    return pa.ListArray.from_arrays(at, pa.array(digest)), pa.ListArray.from_arrays(at, pa.array(c.size[real].astype(np.int8))), pa.array(twice)
+
+
+def _windows(digest: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows [a, b) of neighbouring chunks, in order, and their digests.
+
+    From each chunk on and back from each chunk, the fewest chunks of at least least
+    words: any run of so many words is covered by the windows that lie inside it.
+    """
+    n = len(size)
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    on, back = np.searchsorted(total, total[:-1] + least), np.searchsorted(total, total[1:] - least, "right") - 1
+    each = np.arange(n)
+    spans = np.unique(np.concatenate([each[on <= n] * (n + 1) + on[on <= n], back[back >= 0] * (n + 1) + each[back >= 0] + 1]))
+    a, b = spans // (n + 1), spans % (n + 1)
+    h, chunks = np.zeros(len(a), np.uint64), digest.view(np.uint64)
+    for k in range(int((b - a).max(initial=0))):
+        inside = a + k < b
+        h[inside] = mix(h[inside] * np.uint64(0x9FB21C651E98DF25) + chunks[a[inside] + k])
+    return a, b, h.view(np.int64)
 
 
 def _key(id_col: str) -> Column:
@@ -103,36 +122,73 @@ def _key(id_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, digests, firsts) of each document that holds a chunk that it or another holds too.
+def _shared(each: DataFrame) -> DataFrame:
+    """(key, digest, first) of the digests that several keys hold; first is the smallest of them."""
+    shared = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
+    return each.join(shared, "digest")
+
+
+def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS) -> DataFrame:
+    """(key, digests, firsts) of each document that holds a window of chunks that it or another holds too.
 
-    firsts are the smallest ids that hold the digests. Digests are counted with partial
+    firsts are the smallest ids that hold the windows. Windows are taken only of chunks
+    that occur twice, which no repeated window lacks. Digests are counted with partial
     sums before the shuffle, and a document's lists are as long as the document at most.
     """
     prepare(docs.sparkSession)
-    schema = pa.schema([("key", pa.int64()), ("digests", pa.list_(pa.int64())), ("twice", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("digests", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int8())), ("twice", pa.bool_())])
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = flat(b.column("text"))
             for i, j in slices(offsets):
                 c = Chunks(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                lists, twice = _signed(c.digest, c.doc, j - i)
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), lists, pa.array(twice)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), *_signed(c, j - i)], schema=schema)
 
     rows = docs.select(_key(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = written(rows.mapInArrow(chunk, "key long, digests array<long>, twice boolean"), "chunk-digests")
-    each = signed.select("key", F.explode("digests").alias("digest"))
-    shared = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
-    found = each.join(shared, "digest").groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
-    found = written(found.select("key", F.col("found.digest").alias("digests"), F.col("found.first").alias("firsts")), "chunk-repeats")
+    signed = written(rows.mapInArrow(chunk, "key long, digests array<long>, sizes array<tinyint>, twice boolean"), "chunk-digests")
+    each = signed.select("key", F.explode(F.array_distinct("digests")).alias("digest"))
+    held = written(_shared(each).groupBy("key").agg(F.collect_set("digest").alias("known")), "chunk-repeats")
+    met, rest = _met(signed, held, "key")
+    if rest is not None:
+        met = met.unionByName(rest.withColumn("known", F.lit(None).cast("array<long>")))
+    met = met.where(F.col("known").isNotNull() | F.col("twice")).select("key", "digests", "sizes", "known")
+    out = pa.schema([("key", pa.int64()), ("digests", pa.list_(pa.int64())), ("twice", pa.bool_())])
+
+    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for key, digests, sizes, known in zip(b.column("key").to_pylist(), *(b.column(c) for c in ("digests", "sizes", "known")), strict=True):
+                digest, size = digests.values.to_numpy(), sizes.values.to_numpy()
+                seen = repeated(digest)
+                if known.is_valid:
+                    seen |= np.isin(digest, known.values.to_numpy())
+                h = _windows_of(digest, size, seen, least)
+                if len(h):
+                    once = np.unique(h)
+                    made.append((key, once, len(once) < len(h)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
+
+    windows = written(met.mapInArrow(window, "key long, digests array<long>, twice boolean"), "window-digests")
+    discard(signed, held)
+    each = windows.select("key", F.explode("digests").alias("digest"))
+    found = _shared(each).groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
+    found = written(found.select("key", F.col("found.digest").alias("digests"), F.col("found.first").alias("firsts")), "window-repeats")
     nothing = F.array().cast("array<long>")
-    alone = signed.where("twice").select("key").distinct().join(found.select("key"), "key", "left_anti").select("key", nothing.alias("digests"), nothing.alias("firsts"))
-    alone = written(alone, "chunk-alone")
-    discard(signed)
+    alone = windows.where("twice").select("key").distinct().join(found.select("key"), "key", "left_anti").select("key", nothing.alias("digests"), nothing.alias("firsts"))
+    alone = written(alone, "window-alone")
+    discard(windows)
     return found.unionByName(alone)
 
 
+def _windows_of(digest: np.ndarray, size: np.ndarray, seen: np.ndarray, least: int) -> np.ndarray:
+    """Digests of the windows whose chunks were all seen."""
+    a, b, h = _windows(digest, size, least)
+    unseen = np.concatenate([[0], np.cumsum(~seen)])
+    return h[unseen[a] == unseen[b]]
+
+
 def _met(rows: DataFrame, found: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     """rows with what was found of them, and the rows without anything found, if they could be told apart without a shuffle."""
     keys = found.select(key)
@@ -157,23 +213,28 @@ def _runs(able: np.ndarray, small: np.ndarray, size: np.ndarray, least: int) ->
     return [(a, b) for a, b in out if total[b] - total[a] >= least]
 
 
+def _covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of n chunks the spans [a, b) hold."""
+    steps = np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)
+    return np.cumsum(steps)[:n] > 0
+
+
 def _found(text: str, key: int, digests: list[int], firsts: list[int], least: int) -> tuple[Chunks, np.ndarray, list, list, list[int]]:
     """Chunks of a text, its bytes, the runs found elsewhere or earlier, those to remove, and the ids that keep them."""
     raw = np.frombuffer(text.encode(), np.uint8)
     c = Chunks(raw, np.array([0, len(raw)]))
-    small = c.digest == 0
+    n, small = len(c.size), c.digest == 0
+    a, b, h = _windows(c.digest[~small], c.size[~small], least)
     known = dict(zip(digests, firsts, strict=True))
-    first = np.array([known.get(d, -1) for d in c.digest.tolist()], np.int64)
-    first[small] = -1
-    order = np.argsort(c.digest, kind="stable")
-    same = c.digest[order][1:] == c.digest[order][:-1]
-    later, twin = np.zeros(len(small), bool), np.zeros(len(small), bool)
-    later[order[1:][same]] = True
-    twin[order[1:][same]] = twin[order[:-1][same]] = True
-    gone = ~small & (((first >= 0) & (first < key)) | later)
-    seen = ~small & ((first >= 0) | twin)
-    runs, cuts = _runs(seen, small, c.size, least), _runs(gone, small, c.size, least)
-    holders = {int(f) if f >= 0 else key for a, b in runs for f in first[a:b][~small[a:b]].tolist()}
+    first = np.array([known.get(d, -1) for d in h.tolist()], np.int64)
+    _, at, group, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    # a window that overlaps its own first place loses only what lies beyond that
+    earlier = (first >= 0) & (first < key)
+    start = np.where(earlier, a, np.minimum(np.maximum(a, b[at[group]]), b))
+    gone = earlier | (at[group] < np.arange(len(h)))
+    seen = (first >= 0) | (times[group] > 1)
+    runs, cuts = _runs(_covered(n, a[seen], b[seen]), small, c.size, least), _runs(_covered(n, start[gone], b[gone]), small, c.size, least)
+    holders = {int(f) if f >= 0 else key for f in first[seen].tolist()}
     return c, raw, runs, cuts, sorted(holders)
 
 
@@ -185,7 +246,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     other; null ids are one document, the last. Null and empty texts stay. A text may
     end up empty.
     """
-    found = repeats(docs, id_col, text_col)
+    found = repeats(docs, id_col, text_col, least)
     found = found.withColumnsRenamed({"key": "__key", "digests": "__digests", "firsts": "__firsts"})
     names, at = docs.columns, docs.columns.index(text_col)
     rows, untouched = _met(docs.withColumn("__key", _key(id_col)), found, "__key")
@@ -219,7 +280,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     removed_words (of those, the ones that dedup cuts) and holders, the ids that keep
     the passages. Nulls, ties and repeated rows as in dedup.
     """
-    found = repeats(docs, id_col, text_col)
+    found = repeats(docs, id_col, text_col, least)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _key(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = _met(rows, found, "key")[0].where(F.col("digests").isNotNull())
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("repeated_words", pa.int64()), ("removed_words", pa.int64()), ("holders", pa.list_(pa.int64()))])

@@ -190,6 +190,40 @@ def test_chunks_do_not_depend_on_neighbours():
     assert together.digest[together.doc == 1].tolist() == alone.digest.tolist()
 
 
+def digests(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return substring_dedup.Chunks(raw, np.array([0, len(raw)]))
+
+
+def test_chunks_of_many_holders_are_no_passage(spark):
+    rng = random.Random(6)
+    words = vocabulary(rng, 3000)
+    rows = {i: " ".join(rng.choice(words) for _ in range(120)) for i in range(60)}
+    held, built = {d for t in rows.values() for d in digests(t).digest.tolist()}, []
+    for t in rows.values():
+        c = digests(t)
+        for at, n in list(zip(c.first.tolist(), c.size.tolist(), strict=True))[1:-1]:
+            more = [*built, *t.split()[at : at + n]]
+            if n < 9 and set(digests(" ".join(more)).digest.tolist()) <= held:
+                built = more
+                break
+    assert len(built) >= 24
+    rows[99] = " ".join(built)
+    assert substring_dedup.passages(documents(spark, rows.items())).count() == 0
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.dedup(documents(spark, rows.items())).collect()} == rows
+
+
+def test_windows_cover_common_runs():
+    rng = random.Random(9)
+    for _ in range(300):
+        size = {d: rng.randint(3, 16) for d in range(1, 7)}
+        one, two = ([rng.randint(1, 6) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        want = {k for i in range(len(one)) for j in range(i + 1, len(one) + 1) if sum(size[d] for d in one[i:j]) >= 12 and any(two[k : k + j - i] == one[i:j] for k in range(len(two))) for k in range(i, j)}
+        (a, b, h), (_, _, other) = (substring_dedup._windows(np.array(x), np.array([size[d] for d in x]), 12) for x in (one, two))
+        same = np.isin(h, other)
+        assert set(np.flatnonzero(substring_dedup._covered(len(one), a[same], b[same])).tolist()) == want
+
+
 def least_edits(item, text):
     row = np.zeros(len(text) + 1, int)
     steps, t = np.arange(len(text) + 1), np.frombuffer(text, np.uint8)
