@@ -9,7 +9,7 @@ from loomgraph import fixed
 from loomgraph.functions import text as X
 from loomgraph.operators import extraction as E
 from loomgraph.operators import vocabulary as V
-from loomgraph.plans.base import Graph, query
+from loomgraph.plans.base import ORACLES, Graph, every_language, query
 
 LEXICON = [
     (0, "from", 1, "trait one", "OrnamentalTrait", False), (1, "this", 2, "gene one", "Gene", False), (2, "with", 3, "phenotype one", "Phenotype", False),
@@ -30,8 +30,8 @@ found AS (SELECT h.* FROM hits h LEFT JOIN safe x ON x.doc_id = h.doc_id AND x.i
 """.replace("@HITS@", f"hits AS ({_HITS})")
 
 
-def _sections(g: Graph) -> DataFrame:
-    docs = g.read("documents").where("lang = 'en'")
+def _sections(g: Graph, whole: bool = False) -> DataFrame:
+    docs = g.read("documents") if whole else g.read("documents").where("lang = 'en'")
     return docs.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("section_idx"), F.lit("Text").alias("section"), F.col("text").alias("body"))
 
 
@@ -39,15 +39,29 @@ def _lexicon(g: Graph) -> DataFrame:
     return g.spark.createDataFrame(LEXICON, "position int, form string, entity_id int, entity_name string, label string, ambiguous boolean")
 
 
-def _mentions(g: Graph) -> tuple[DataFrame, DataFrame]:
-    rows = E.split_sentences(_sections(g))
+def _mentions(g: Graph, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows = E.split_sentences(_sections(g, whole))
     return rows, E.mentions(rows, _lexicon(g), ANCHOR)
 
 
+def _mention_counts(found: DataFrame) -> DataFrame:
+    return found.groupBy(F.col("paper_id").alias("doc_id"), F.col("entity_id").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _candidate_counts(found: DataFrame) -> DataFrame:
+    rows = E.candidates(found).groupBy(F.col("paper_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("negated").alias("negated"))
+    return rows.withColumn("negated", F.when(F.col("candidates") < fixed.MAX_CANDIDATES, F.col("negated")).when(F.col("candidates") == fixed.MAX_CANDIDATES, F.col("negated")))
+
+
 @query(_SENTENCES + "SELECT doc_id, entity, count(*) AS n FROM found GROUP BY doc_id, entity", plain=True)
 def J16_T12_T13_H5_mentions(g: Graph) -> DataFrame:
-    found = _mentions(g)[1]
-    return found.groupBy(F.col("paper_id").alias("doc_id"), F.col("entity_id").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    return _mention_counts(_mentions(g)[1])
+
+
+@query(every_language(ORACLES["J16_T12_T13_H5_mentions"]), plain=True)
+def J16_T12_T13_H5_mentions_whole(g: Graph) -> DataFrame:
+    """Over documents of every language."""
+    return _mention_counts(_mentions(g, whole=True)[1])
 
 
 @query(_SENTENCES + r""",
@@ -57,15 +71,28 @@ pairs AS (SELECT DISTINCT a.doc_id, a.s AS sentence, p.s AS subject, p.o AS obje
 SELECT doc_id, least(60, count(*)) AS candidates, CASE WHEN count(*) <= 60 THEN count(*) FILTER (WHERE regexp_matches(lower(sentence), '(^|[^\p{L}\p{N}_])(no|not|neither|nor|without|failed to|did not|does not|cannot|unlikely|rules? out|ruled out|absence of)([^\p{L}\p{N}_]|$)')) END AS negated
 FROM pairs GROUP BY doc_id""", plain=True)
 def Q27_J17_T14_T17_T18_W14_candidates(g: Graph) -> DataFrame:
-    out = E.candidates(_mentions(g)[1])
-    rows = out.groupBy(F.col("paper_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("negated").alias("negated"))
-    return rows.withColumn("negated", F.when(F.col("candidates") < fixed.MAX_CANDIDATES, F.col("negated")).when(F.col("candidates") == fixed.MAX_CANDIDATES, F.col("negated")))
+    return _candidate_counts(_mentions(g)[1])
+
+
+@query(every_language(ORACLES["Q27_J17_T14_T17_T18_W14_candidates"]), plain=True)
+def Q27_J17_T14_T17_T18_W14_candidates_whole(g: Graph) -> DataFrame:
+    """Over documents of every language."""
+    return _candidate_counts(_mentions(g, whole=True)[1])
+
+
+def _symbols(g: Graph, rows: DataFrame, found: DataFrame) -> DataFrame:
+    return E.new_symbols(rows, found, _lexicon(g), ANCHOR).select("paper_id", "symbol", F.array_join("near", ",").alias("near"))
 
 
 @query()
 def Q28_T19_new_symbols(g: Graph) -> DataFrame:
-    rows, found = _mentions(g)
-    return E.new_symbols(rows, found, _lexicon(g), ANCHOR).select("paper_id", "symbol", F.array_join("near", ",").alias("near"))
+    return _symbols(g, *_mentions(g))
+
+
+@query()
+def Q28_T19_new_symbols_whole(g: Graph) -> DataFrame:
+    """Over documents of every language."""
+    return _symbols(g, *_mentions(g, whole=True))
 
 
 _LINES = [
