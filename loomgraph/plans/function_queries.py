@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import fixed
 from loomgraph.functions import text as X
 from loomgraph.operators import claims as C
-from loomgraph.plans.base import Graph, query
+from loomgraph.plans.base import ORACLES, Graph, every_language, query
 
 _CEILING = "CASE part " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CEILINGS.items()) + " END"
 
@@ -50,7 +50,17 @@ SELECT doc_id, CASE WHEN length(t) > 90 THEN substr(t, 1, 87) || '...' ELSE t EN
 FROM (SELECT doc_id, regexp_extract(text, '^[^\n]*') AS t FROM documents WHERE lang = 'en')
 """, plain=True)
 def T06_T10_titles(g: Graph) -> DataFrame:
-    t = g.read("documents").where(F.col("lang") == "en").select("doc_id", F.regexp_extract("text", "^[^\n]*", 0).alias("t"))
+    return _titles(g.read("documents").where(F.col("lang") == "en"))
+
+
+@query(every_language(ORACLES["T06_T10_titles"]), plain=True)
+def T06_T10_titles_whole(g: Graph) -> DataFrame:
+    """Over documents of every language."""
+    return _titles(g.read("documents"))
+
+
+def _titles(docs: DataFrame) -> DataFrame:
+    t = docs.select("doc_id", F.regexp_extract("text", "^[^\n]*", 0).alias("t"))
     return t.select("doc_id", X.cited(F.col("t")).alias("cited"), X.normalise_title(F.col("t")).alias("key"))
 
 
@@ -80,7 +90,17 @@ WITH parts AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(
 SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest FROM parts WHERE s <> '' GROUP BY doc_id
 """, plain=True)
 def T11_sentences(g: Graph) -> DataFrame:
-    s = g.read("documents").where(F.col("lang") == "en").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    return _sentence_counts(g.read("documents").where(F.col("lang") == "en"))
+
+
+@query(every_language(ORACLES["T11_sentences"]), plain=True)
+def T11_sentences_whole(g: Graph) -> DataFrame:
+    """Over documents of every language."""
+    return _sentence_counts(g.read("documents"))
+
+
+def _sentence_counts(docs: DataFrame) -> DataFrame:
+    s = docs.select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("s")).cast("long").alias("longest"))
 
 

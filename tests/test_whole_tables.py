@@ -16,3 +16,8 @@ def folder(spark, tmp_path):
 @pytest.mark.parametrize(("name", "key"), [("J16_T12_T13_H5_mentions_whole", "doc_id"), ("Q27_J17_T14_T17_T18_W14_candidates_whole", "doc_id"), ("Q28_T19_new_symbols_whole", "paper_id")])
 def test_extraction_reads_every_language(spark, folder, name, key):
     assert {r[key] for r in plans.QUERIES[name](spark, folder).collect()} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("name", ["T06_T10_titles_whole", "T11_sentences_whole"])
+def test_text_functions_read_every_language(spark, folder, name):
+    assert {r["doc_id"] for r in plans.QUERIES[name](spark, folder).collect()} == {1, 2, 3, 4}
