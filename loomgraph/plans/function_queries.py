@@ -24,6 +24,12 @@ def T01_H13_slugify_unicode(g: Graph) -> DataFrame:
     return head.where(F.col("head").rlike("^[A-Za-z0-9éèêçàùäöüáíóúñÉÈÊÇÄÖÜÁÍÓÚÑ.,!?#*$%&|-]*$")).select("doc_id", X.slugify(F.col("head")).alias("slug"))
 
 
+@query()
+def T01_H13_slugify_unicode_whole(g: Graph) -> DataFrame:
+    """Slugs of the whole text of every document."""
+    return g.read("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
+
+
 @query("""
 SELECT trait_id, gene_id, 'claim:' || substr(sha1('associated_with_gene|' || trait_id || '|' || gene_id), 1, 16) AS claim_id,
   'claim:' || substr(sha1('resembles|' || least(trait_id::VARCHAR, gene_id::VARCHAR) || '|' || greatest(trait_id::VARCHAR, gene_id::VARCHAR)), 1, 16) AS symmetric_id FROM claim

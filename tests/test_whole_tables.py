@@ -1,5 +1,9 @@
 """Queries over whole tables leave no row out."""
 
+import hashlib
+import re
+import unicodedata
+
 import pytest
 
 from loomgraph.plans import all as plans
@@ -21,3 +25,23 @@ def test_extraction_reads_every_language(spark, folder, name, key):
 @pytest.mark.parametrize("name", ["T06_T10_titles_whole", "T11_sentences_whole"])
 def test_text_functions_read_every_language(spark, folder, name):
     assert {r["doc_id"] for r in plans.QUERIES[name](spark, folder).collect()} == {1, 2, 3, 4}
+
+
+def plain_slug(text):
+    if text is None:
+        return None
+    bare = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    return re.sub("[^a-z0-9]+", "-", bare).strip("-") or hashlib.sha1(text.encode()).hexdigest()[:12]
+
+
+def test_slugs_of_whole_texts(spark, tmp_path):
+    texts = ["Straße im Süden\nund weiter", "a+b@c.de, œuvre", "楊貴妃 メダカ", "Ｆｕｌｌ ½ ﬁn", "İstanbul K", "", None, " -- "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["T01_H13_slugify_unicode_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain_slug(t) for i, t in enumerate(texts)}
+
+
+def test_slugs_of_the_smallest_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["T01_H13_slugify_unicode_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: plain_slug(t) for i, t in texts.items()}
