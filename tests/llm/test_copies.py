@@ -213,6 +213,12 @@ def test_chunks_of_many_holders_are_no_passage(spark):
     assert {r["doc_id"]: r["text"] for r in substring_dedup.dedup(documents(spark, rows.items())).collect()} == rows
 
 
+def test_chunks_are_cut_at_one_word_in_three():
+    rng = random.Random(51)
+    words = vocabulary(rng, 3000)
+    assert digests(" ".join(rng.choice(words) for _ in range(50_000))).size.mean() < 5.25
+
+
 def test_windows_cover_common_runs():
     rng = random.Random(9)
     for _ in range(300):
