@@ -17,7 +17,7 @@ nodes that share a key form a block:
 So every link lies within a cluster, while no step emits the pairs of a group.  Sets
 of up to SKETCH shingles are their own sketch and are treated exactly.  For larger
 ones a pair of similarity 0.8 or more shares no key, or too little of its sketch, with
-a chance below 1e-9, as a hash collision has its chance; no cap drops a candidate.
+a chance below 5e-9, as a hash collision has its chance; no cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ N = 5
 #: Similarity from which documents link, in hundredths.
 LINKED = 80
 SKETCH, KEYS, HOT_KEYS = 64, 24, 16
-#: Least overlap of two sketches: 64 draws that each agree with a chance of 0.8 or more give fewer with one below 1e-9.
+#: Least overlap of two sketches: 64 draws that each agree with a chance of 0.8 or more give fewer with one of 4.4e-9 at most.
 OVERLAP = 31
 #: Shingles in more sketches than this come last in the order; doubled until the list of them fits its bound.
 HOT = 64
