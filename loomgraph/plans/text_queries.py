@@ -86,12 +86,6 @@ def _symbols(g: Graph, rows: DataFrame, found: DataFrame) -> DataFrame:
 
 @query()
 def Q28_T19_new_symbols(g: Graph) -> DataFrame:
-    return _symbols(g, *_mentions(g))
-
-
-@query()
-def Q28_T19_new_symbols_whole(g: Graph) -> DataFrame:
-    """Over documents of every language."""
     return _symbols(g, *_mentions(g, whole=True))
 
 

@@ -17,7 +17,7 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize(("name", "key"), [("J16_T12_T13_H5_mentions_whole", "doc_id"), ("Q27_J17_T14_T17_T18_W14_candidates_whole", "doc_id"), ("Q28_T19_new_symbols_whole", "paper_id")])
+@pytest.mark.parametrize(("name", "key"), [("J16_T12_T13_H5_mentions_whole", "doc_id"), ("Q27_J17_T14_T17_T18_W14_candidates_whole", "doc_id"), ("Q28_T19_new_symbols", "paper_id")])
 def test_extraction_reads_every_language(spark, folder, name, key):
     assert {r[key] for r in plans.QUERIES[name](spark, folder).collect()} == {1, 2, 3, 4}
 
