@@ -4,27 +4,36 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.shipping import ship
 
 #: Rows of an Arrow batch: some texts are long, and a batch is held whole.
 BATCH_ROWS = 256
+#: Paths of the tables that written() made and that are not deleted yet.
+_HELD: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors, and bounds the rows of an Arrow batch, as texts may be long."""
+    """Sends the package to the executors, and bounds the rows of an Arrow batch, as texts may be long.
+
+    The bound stays set in the session, as results are evaluated after the call.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine one of our own where it is unset."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(named or "/tmp/loomgraph-checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -39,17 +48,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
+    _HELD.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _HELD:
+        _HELD.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_path)
+
+
+def held_tables() -> list[str]:
+    """Paths of the tables that stand at the moment."""
+    return list(_HELD)
+
+
+def discard_since(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
+    """Deletes the tables that were written since before was taken, but for keep: an operator's, once its result is written."""
+    stay = {*before, *(df.written_path for df in keep)}
+    for path in [p for p in _HELD if p not in stay]:
+        _delete(spark, path)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores as long as a column (in any case) bears it already."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
