@@ -4,9 +4,10 @@ A source takes whole epochs of all its documents first.  What its target leaves
 filled in the order of exponential keys -ln(u) / w, where w is the document's quality
 weight, up to the budget in words; the document at the budget's end is cut there.
 
-The running sums are taken in two steps so that no source has to fit one task: keys
-are dealt to bins of about BIN_ROWS rows within a source, the sums of bins give each
-bin's start, and only the one bin that holds the budget's end is sorted.
+The running sums are taken in steps, so that no source has to fit one task.  Sums over
+bins of keys, narrow enough to hold at most 0.4 % of a source under any weights, tell
+the one bin in which the budget ends; that bin is cut into FINE bins in the same way,
+and only the one of those that holds the end is sorted.  No other rows are moved.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from loomgraph.llm.session import written
 #: Weights of the sources in order, again and again, and the most a source may be repeated.
 WEIGHTS = (1, 2, 3)
 MOST = 3
-BIN_ROWS = 4096
+#: Bins to an octave of keys, and bins that the one with the budget's end is cut into.
+OCTAVE, FINE = 64, 4096
 #: So many sources are broadcast at most; more are joined by a shuffle, salted against a hot source.
 BROADCAST_SOURCES = 100_000
 SALTS = 32
@@ -35,9 +37,9 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.05), size.cast("double") / (size + F.lit(4) * junk).cast("double"))
 
 
-def exponential_key(id_col: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight in units of 1e-9, with u from a digest of seed and id: reruns agree."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), id_col.cast("string")).cast("binary")), 1, 13)
+def exponential_key(name: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight in units of 1e-9, with u from a digest of seed and name: reruns agree."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), name).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 1).cast("double") / F.lit(float(2**52 + 1))
     return F.floor(-F.ln(u) / weight * F.lit(KEY_SCALE)).cast("long")
 
@@ -47,7 +49,8 @@ def targets(sizes: DataFrame, source_col: str, weights: tuple[int, ...] = WEIGHT
 
     Sources weigh in code-point order, null last. Filling like water: sources whose
     ceiling is lowest for their weight stop first, and the rest share what is left.
-    One row per source, so the windows without partitions are small.
+    One row of five numbers per source goes through the windows without partitions,
+    which spill; the order of all sources decides the weight of each.
     """
     ordered = Window.orderBy(F.col(source_col).asc_nulls_last())
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -81,11 +84,29 @@ def _with_sources(base: DataFrame, table: DataFrame, n_sources: int) -> DataFram
     return dealt.join(salted, same).drop("source_", "salt", "salt_")
 
 
+def _ends(sums: DataFrame, bin_col: str) -> DataFrame:
+    """(number, end, start) of each source: the last bin that begins before the budget's end, and the sum before it."""
+    in_order = Window.partitionBy("number").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
+    told = sums.withColumn("start", F.coalesce(F.sum("bin_size").over(in_order), F.lit(0)))
+    return told.where(F.col("start") < F.col("rest")).groupBy("number").agg(F.max(bin_col).alias("end"), F.max("start").alias("start"))
+
+
+def _at_ends(rows: DataFrame, ends: DataFrame, bin_col: str, n_sources: int) -> DataFrame:
+    """rows with side: -1 before the bin that holds the budget's end, 0 in it, 1 after it or without a budget; and that bin's start."""
+    if n_sources <= BROADCAST_SOURCES:
+        met = rows.join(F.broadcast(ends), "number", "left")
+    else:
+        salted = ends.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["number", "salt"], "left").drop("salt")
+    side = F.when(F.col("end").isNull(), 1).otherwise(F.signum((F.col(bin_col) - F.col("end")).cast("double")).cast("int"))
+    return met.withColumn("side", side).drop("end")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """id, source, size, source_size, target, weight, epochs, taken of every row.
 
     Null and empty texts have size 0 and take 0. Null sources are one source, the
-    last. Null ids are keyed like an empty id. Ties of keys go by id, then size;
+    last. Null ids are keyed by a digest of their text. Ties of keys go by id, then size;
     rows that agree in all of them are interchangeable, so repeated rows are dealt
     with in any order with the same result. Other columns are not read. No rows
     give no rows.
@@ -94,26 +115,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
     base = base.withColumn("size", F.regexp_count("text", F.lit(WORD)).cast("long"))
     base = base.withColumn("weight", F.when(F.col("size") > 0, quality_weight(F.col("text"), F.col("size"))).otherwise(F.lit(1.0)))
-    base = base.withColumn("key", exponential_key(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("weight"), seed))
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text "), F.md5(F.col("text").cast("binary"))))
+    base = base.withColumn("key", exponential_key(name, F.col("weight"), seed))
     # texts are read once; ids, sizes and keys are what later steps share
     base = written(base.select("id", "source", "size", "weight", "key"), "mix-keys")
     sizes = base.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size"))
     table = written(targets(sizes, "source", weights, most), "mix-sources")
-    rows = _with_sources(base, table, table.count())
+    n_sources = table.count()
+    rows = _with_sources(base, table, n_sources)
     rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     rows = rows.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
-    bins = F.ceil(F.col("n_rows") / BIN_ROWS)
-    rows = rows.withColumn("bin", F.least(bins - 1, F.floor((1 - F.exp(-F.col("key") / F.lit(KEY_SCALE))) * bins)).cast("long"))
-    in_order = Window.partitionBy("number").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("number", "bin").agg(F.sum("size").alias("bin_size"))
-    starts = starts.withColumn("start", F.coalesce(F.sum("bin_size").over(in_order), F.lit(0)))
-    rows = rows.join(starts, ["number", "bin"])
-    ends_here = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("bin_size") > F.col("rest"))
+    # keys on a logarithmic scale: an octave holds at most half of any exponential, a bin at most 1 / (e * OCTAVE) * ln 2 of it
+    scale = F.log2(F.col("key").cast("double") + 1) * OCTAVE
+    rows = rows.withColumn("bin", F.floor(scale)).withColumn("fine", F.floor((scale - F.floor(scale)) * FINE))
+    ends = _ends(rows.groupBy("number", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest")), "bin")
+    # one row per source, like the table of sources
+    rows = _at_ends(rows, ends, "bin", n_sources)
+    ends = _ends(rows.where(F.col("side") == 0).groupBy("number", "fine").agg(F.sum("size").alias("bin_size"), F.first(F.col("rest") - F.col("start")).alias("rest")), "fine")
     out = ["id", "source", "size", "source_size", "target", "weight", "epochs"]
-    plain = rows.where(~ends_here).select(*out, F.when(F.col("start") < F.col("rest"), F.col("size")).otherwise(F.lit(0)).cast("long").alias("part"))
-    by_key = Window.partitionBy("number", "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("start") + F.coalesce(F.sum("size").over(by_key), F.lit(0))
-    cut = rows.where(ends_here).withColumn("before", before)
+    plain = rows.where(F.col("side") != 0).select(*out, F.when(F.col("side") < 0, F.col("size")).otherwise(F.lit(0)).cast("long").alias("part"))
+    rows = _at_ends(rows.where(F.col("side") == 0).withColumnRenamed("start", "outer").drop("side"), ends, "fine", n_sources)
+    plain = plain.unionByName(rows.where(F.col("side") != 0).select(*out, F.when(F.col("side") < 0, F.col("size")).otherwise(F.lit(0)).cast("long").alias("part")))
+    by_key = Window.partitionBy("number").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("outer") + F.col("start") + F.coalesce(F.sum("size").over(by_key), F.lit(0))
+    cut = rows.where(F.col("side") == 0).withColumn("before", before)
     cut = cut.select(*out, F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long").alias("part"))
     return plain.unionByName(cut).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "weight", "epochs", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")
@@ -131,11 +156,11 @@ def mix_sql(table: str, seed: str = "mix") -> str:
 WITH words AS (
   SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM {table}
 ), weighed AS (
-  SELECT doc_id, source, size,
+  SELECT doc_id, source, text, size,
     CASE WHEN size > 0 THEN greatest(0.05::DOUBLE, size::DOUBLE / (size + 4 * (length(text) - length(translate(text, '{JUNK}', ''))))::DOUBLE) ELSE 1.0::DOUBLE END AS weight
   FROM words
 ), keyed AS (
-  SELECT *, floor(-ln((('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 1)::DOUBLE / {2**52 + 1}.0::DOUBLE) / weight * 1e9::DOUBLE)::BIGINT AS key
+  SELECT *, floor(-ln((('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, 'text ' || md5(text))), 1, 13))::BIGINT + 1)::DOUBLE / {2**52 + 1}.0::DOUBLE) / weight * 1e9::DOUBLE)::BIGINT AS key
   FROM weighed
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source
