@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import io
+import pickle
 import random
 import re
+import time
 import zipfile
 from collections import defaultdict
 
@@ -265,6 +267,38 @@ def test_leaks_against_edit_distance(spark):
     assert decontamination.clean(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "a b"), (3, "ninebytes"), (4, "fifteen bytes!!"), (5, " "), (6, "é"), (7, "yes")], "item_id long, text string")
+    texts = {1: "he said YES", 2: "yesterday", 3: "a  b", 4: "xa b", 5: "ninebytes", 6: "ninebytesx ninebyte", 7: "so fifteen\nBYTES!! it is", 8: "fifteen bytes?!", 9: "é", 10: "éa", 11: "yes yes", 12: ""}
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontamination.leaks(documents(spark, texts.items()), items).collect()}
+    assert got == {(1, 1, 0), (1, 7, 0), (3, 2, 0), (5, 3, 0), (7, 4, 0), (9, 6, 0), (11, 1, 0), (11, 7, 0)}
+    assert {r["doc_id"] for r in decontamination.clean(documents(spark, texts.items()), items).collect()} == {2, 4, 6, 8, 10, 12}
+
+
+def test_items_that_share_a_template(monkeypatch):
+    rng = random.Random(12)
+    words = vocabulary(rng, 3000)
+    start = "which of the following is correct? "
+    items = [start + " ".join(rng.choice(words) for _ in range(12)) for _ in range(20_000)]
+    index = decontamination.ItemIndex(list(range(len(items))), items)
+    body = " ".join(rng.choice(words) for _ in range(150))
+    text = f"{body} {start}{body} {items[77]} {start} {items[5][:-1]} {body}".encode()
+    began = time.time()
+    found = {(i, n) for _, i, n, _ in index.matches(np.frombuffer(text, np.uint8), np.array([0, len(text)]))}
+    assert found == {(77, 0), (5, 1)} and time.time() - began < 5
+    monkeypatch.setattr(decontamination, "HITS", 1000)
+    assert {(i, n) for _, i, n, _ in index.matches(np.frombuffer(text, np.uint8), np.array([0, len(text)]))} == found
+
+
+def test_index_takes_few_times_the_text():
+    rng = random.Random(13)
+    words = vocabulary(rng, 3000)
+    items = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(20_000)]
+    size = len(pickle.dumps(decontamination.ItemIndex(list(range(len(items))), items)))
+    # a block of 64 MB takes a quarter of a GB at this rate
+    assert size < 4 * sum(map(len, items))
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
     items = spark.createDataFrame([(i, " ".join(f"item{i}word{k}" for k in range(6))) for i in range(9)], "item_id long, text string")
@@ -285,8 +319,8 @@ def test_mix_against_sql(spark, monkeypatch):
     con.register("documents", docs.toArrow())
     order = ["doc_id", "size", "source_size", "target", "taken"]
     want = sorted(map(repr, con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL})").fetchall()))
-    for bin_rows, broadcast in ((4096, 100_000), (16, 0)):
-        monkeypatch.setattr(mixing, "BIN_ROWS", bin_rows)
+    for fine, broadcast in ((4096, 100_000), (2, 0)):
+        monkeypatch.setattr(mixing, "FINE", fine)
         monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
         got = mixing.mix(docs)
         assert sorted(repr(tuple(r[c] for c in order)) for r in got.collect()) == want
@@ -297,6 +331,15 @@ def test_mix_against_sql(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.5, 0.08])
+def test_no_bin_of_keys_holds_much_of_a_source(spark, weight):
+    key = mixing.exponential_key(F.col("id").cast("string"), F.lit(weight), "mix")
+    bins = spark.range(200_000).select(F.floor(F.log2(key + 1) * mixing.OCTAVE).alias("bin"), F.floor(F.log2(key + 1) * mixing.OCTAVE * mixing.FINE).alias("fine"))
+    assert bins.groupBy("bin").count().agg(F.max("count")).first()[0] < 0.006 * 200_000
+    # what is sorted in one task is a fine bin
+    assert bins.groupBy("fine").count().agg(F.max("count")).first()[0] < 10
+
+
 def test_mix_prefers_clean_documents(spark):
     rows = [(i, "word " * 10 if i % 2 else "#### " * 10, "en", s, 0) for i in range(600) for s in ("a", "b", "c")]
     frame = mixed(spark, spark.createDataFrame(rows, DOCS))
@@ -341,7 +384,9 @@ def test_archives_round_trip(spark):
     assert warc.read_packages(warc.write_packages(frame.limit(0), table_path(spark, "warc")).limit(0)).count() == 0
 
 
-def test_archives_against_sql(spark):
+@pytest.mark.parametrize("digests", [500_000, 1, 0])
+def test_archives_against_sql(spark, monkeypatch, digests):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", digests)
     rows = [(i, f"http://x/{i}", "abc"[i % 3] * (i % 5)) for i in range(60)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     con = duckdb.connect()
