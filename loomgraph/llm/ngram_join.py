@@ -9,11 +9,16 @@ nodes that share a key form a block:
 1. in each block every node's sketch is held against one pivot's, a number of pairs
    linear in the blocks; nodes whose sketches overlap enough become a cluster;
 2. blocks that still hold several clusters are searched: inverted lists of the
-   sketches, the short ones merged, the long ones probed by binary search, give the
-   nodes that occur often enough; a block yields a spanning forest at most;
+   sketches, the short ones merged on a heap, the long ones probed by binary search,
+   give the nodes that occur often enough; a block yields a spanning forest at most;
 3. each cluster's full sets, sent once, are searched in the same way for links, and
    the forest of links gives the components.
 
+A group of more than PART nodes is searched in pieces.  Some nodes of it, the hubs, go
+to every piece, so that pieces are tied through them; after that only the nodes that
+are apart from the group's largest part are held against all of its pieces.  A search
+stops as soon as all that is left belongs together.
+
 So every link lies within a cluster, while no step emits the pairs of a group.  Sets
 of up to SKETCH shingles are their own sketch and are treated exactly.  For larger
 ones a pair of similarity 0.8 or more shares no key, or too little of its sketch, with
@@ -22,9 +27,9 @@ a chance below 5e-9, as a hash collision has its chance; no cap drops a candidat
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from heapq import heapify, heappop, heappush
 from math import log2
 
 import numpy as np
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import Words, flat, mix, slices, windows
 from loomgraph.llm.components import connected_components
-from loomgraph.llm.session import discard, prepare, written
+from loomgraph.llm.session import discard, free_name, prepare, written
 
 N = 5
 #: Similarity from which documents link, in hundredths.
@@ -48,8 +53,8 @@ HOT = 64
 HOT_LIST = 500_000
 #: Nodes whose sketch is cold to a smaller share get keys among hot shingles too.
 COLD_SHARE = 0.6
-#: Blocks are searched in parts of about so many nodes, each part with each other.
-PART = 1024
+#: Groups are searched in pieces of about so many nodes, each with about so many hubs of a larger group.
+PART, HUBS = 256, 32
 #: Ids that are sent to executors to pick texts; more are joined by a shuffle.
 PICKED = 500_000
 LAST_ID = 2**63 - 1
@@ -103,83 +108,97 @@ def needed(n: Column) -> Column:
     return F.least(F.lit(OVERLAP), F.ceil(n * LINKED / 100.0)).cast("int")
 
 
-#: Lists of fewer members in all are merged on a heap, more by sorting them together.
-HEAPED = 64
-
-
-def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of sorted lists and how many lists hold each."""
-    if sum(map(len, lists)) <= HEAPED:
-        runs = [(m, sum(1 for _ in same)) for m, same in groupby(heapq.merge(*(x.tolist() for x in lists)))]
-        return np.array([m for m, _ in runs], np.int64), np.array([n for _, n in runs], np.int64)
-    return np.unique(np.concatenate(lists), return_counts=True)
-
-
-def divide_skip(lists: list[np.ndarray], least: int, skip: Callable[[np.ndarray], np.ndarray] | None = None, mu: float = 0.0085) -> tuple[np.ndarray, np.ndarray]:
-    """Members of at least least of the sorted lists, and of how many.
+def occurrences(members: list[int], spans: list[tuple[int, int]], least: int, wanted: Callable[[int], bool] | None = None, mu: float = 0.0085) -> Iterator[tuple[int, int]]:
+    """(member, lists) of what stands in at least least of the sorted lists members[a:b], in order.
 
-    The longest lists are set aside, as many as the bound allows; the others are
-    merged, and members that they hold often enough are looked up in the long ones,
-    as long as they can still reach the bound. skip marks members that are not wanted.
+    The longest lists are set aside, as many as the bound allows. The heads of the
+    others meet on a heap; where too few agree, lists skip to the first head that can
+    still reach the bound. What they hold often enough, and is wanted, is looked up in
+    the long lists for as long as it can still reach the bound.
     """
-    none = np.zeros(0, np.int64)
-    if least <= 0 or len(lists) < least:
-        return none, none
-    lists = sorted(lists, key=len)
-    aside = min(least - 1, int(least / (mu * log2(len(lists[-1]) + 1) + 1)))
-    short, long = (lists[:-aside], lists[-aside:]) if aside else (lists, [])
-    members, counts = merged(short)
-    keep = counts >= least - aside
-    if skip is not None:
-        keep &= ~skip(members)
-    members, counts = members[keep], counts[keep]
-    for left, x in zip(range(len(long), 0, -1), long, strict=True):
-        alive = counts + left >= least
-        if not alive.all():
-            members, counts = members[alive], counts[alive]
-        if not len(members):
-            return none, none
-        at = np.minimum(np.searchsorted(x, members), len(x) - 1)
-        counts = counts + (x[at] == members)
-    enough = counts >= least
-    return members[enough], counts[enough]
-
-
-def search(sizes: np.ndarray, groups: np.ndarray, tokens: list[np.ndarray], exact: bool) -> Iterator[tuple[int, int]]:
-    """A spanning forest (earlier, later) of what ties groups of a block together.
-
-    sizes rise. Tied are nodes whose token lists overlap enough; with exact these are
-    whole sets, and the overlap must make a link. Members of a group, and of groups
-    tied already, are not held against each other.
+    if least <= 0 or len(spans) < least:
+        return
+    spans = sorted(spans, key=lambda s: s[1] - s[0])
+    aside = min(least - 1, int(least / (mu * log2(spans[-1][1] - spans[-1][0] + 1) + 1)))
+    short, long = (spans[:-aside], spans[-aside:]) if aside else (spans, [])
+    need = least - aside
+    heap = [(members[a], k, a) for k, (a, b) in enumerate(short) if a < b]
+    heapify(heap)
+    while len(heap) >= need:
+        member, taken = heap[0][0], []
+        while heap and heap[0][0] == member:
+            taken.append(heappop(heap))
+        if len(taken) >= need:
+            count = len(taken)
+            if wanted is None or wanted(member):
+                for left, (a, b) in zip(range(len(long), 0, -1), long, strict=True):
+                    if count + left < least:
+                        break
+                    at = bisect_left(members, member, a, b)
+                    count += at < b and members[at] == member
+                if count >= least:
+                    yield member, count
+            floor = member + 1
+        else:
+            while heap and len(taken) < need - 1:
+                taken.append(heappop(heap))
+            if not heap:
+                return
+            floor = max(heap[0][0], member + 1)
+        for _, k, a in taken:
+            at = a + 1 if a + 1 < short[k][1] and members[a + 1] >= floor else bisect_left(members, floor, a + 1, short[k][1])
+            if at < short[k][1]:
+                heappush(heap, (members[at], k, at))
+
+
+def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of at least least of the sorted lists, and of how many."""
+    ends = np.cumsum([len(x) for x in lists])
+    members = np.concatenate([np.zeros(0, np.int64), *lists]).tolist()
+    found = list(occurrences(members, [(int(b) - len(x), int(b)) for x, b in zip(lists, ends, strict=True)], least))
+    return np.array([m for m, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+
+def search(sizes: np.ndarray, groups: np.ndarray, tokens: list[np.ndarray], exact: bool, first: int = 1) -> Iterator[tuple[int, int]]:
+    """A spanning forest (earlier, later) of what ties groups of a block together, between nodes from first on and all before each.
+
+    Tied are nodes whose token lists overlap enough; with exact these are whole sets,
+    and the overlap must make a link. Members of a group, and of groups tied already,
+    are not held against each other.
     """
+    root = np.unique(groups, return_inverse=True)[1]
+    if len(tokens) < 2 or (root == root[0]).all():
+        return
     lengths = np.array([len(t) for t in tokens])
     flat_tokens, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), lengths)
     order = np.lexsort((owner, flat_tokens))
-    by_token, member = flat_tokens[order], owner[order]
+    by_token, members = flat_tokens[order], owner[order].tolist()
     new = np.ones(len(by_token), bool)
     new[1:] = by_token[1:] != by_token[:-1]
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     ends = np.cumsum(lengths)
-    root = np.unique(groups, return_inverse=True)[1]
-    for i in range(1, len(tokens)):
+    for i in range(max(first, 1), len(tokens)):
+        if (root[:i] == root[i]).all():
+            continue
+        # an overlap for the smaller of both sets; what the larger one needs is looked at below
         need = -(-int(sizes[i]) * LINKED // 100)
         least = need if exact else min(OVERLAP, need)
         mine = place[ends[i] - lengths[i] : ends[i]]
-        first = start[mine]
         # within a token's list the earlier members stand before this one
-        some = mine > first
-        if np.count_nonzero(some) < least:
-            continue
-        lists = [member[a:b] for a, b in zip(first[some].tolist(), mine[some].tolist(), strict=True)]
-        near, common = divide_skip(lists, least, lambda m, i=i: (root[m] == root[i]) | (sizes[m] * 100 < sizes[i] * LINKED))
-        if exact:
-            near = near[common * 100 >= (sizes[near] + sizes[i] - common) * LINKED]
-        for j in near.tolist():
-            if root[j] != root[i]:
+        some = mine > start[mine]
+        spans = list(zip(start[mine][some].tolist(), mine[some].tolist(), strict=True))
+
+        def apart(m: int, i: int = i) -> bool:
+            return root[m] != root[i] and sizes[m] * 100 >= sizes[i] * LINKED and sizes[i] * 100 >= sizes[m] * LINKED
+
+        for j, common in occurrences(members, spans, least, apart):
+            if not exact or common * 100 >= (sizes[j] + sizes[i] - common) * LINKED:
                 root[root == root[j]] = root[i]
                 yield j, i
+                if (root[:i] == root[i]).all():
+                    break
 
 
 def _keys(nodes: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -220,12 +239,12 @@ def _hot(nodes: DataFrame) -> np.ndarray:
 
 
 def _searched(blocks: DataFrame, exact: bool) -> DataFrame:
-    """(a, b): what search finds in each part of (part, node, n, group, tokens)."""
+    """(a, b): what search finds in each part of (part, node, n, group, asks, tokens), between the nodes that ask and all others."""
 
     def found(rows: list) -> Iterator[tuple[bytes, bytes]]:
-        rows.sort(key=lambda r: (r[1], r[0]))
+        rows.sort(key=lambda r: (r[3], r[1], r[0]))
         groups = np.unique([r[2] for r in rows], return_inverse=True)[1]
-        for i, j in search(np.array([r[1] for r in rows], np.int64), groups, [r[3] for r in rows], exact):
+        for i, j in search(np.array([r[1] for r in rows], np.int64), groups, [r[4] for r in rows], exact, sum(not r[3] for r in rows)):
             yield rows[i][0], rows[j][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,33 +258,89 @@ def _searched(blocks: DataFrame, exact: bool) -> DataFrame:
         for b in batches:
             lists = b.column("tokens")
             values, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            for k, (p, node, n, group) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "node", "n", "group")), strict=True)):
+            for k, (p, node, n, group, asks) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "node", "n", "group", "asks")), strict=True)):
                 if p != part:
                     out += found(held) if len(held) > 1 else ()
                     held, part = [], p
-                held.append((node, n, group, values[offsets[k] : offsets[k + 1]].copy()))
+                held.append((node, n, group, asks, values[offsets[k] : offsets[k + 1]].copy()))
             yield from flushed()
         out += found(held) if len(held) > 1 else ()
         yield from flushed()
 
     # a part is of bounded size, whole in one task and sorted together
     dealt = blocks.repartition(F.col("part")).sortWithinPartitions("part")
-    return dealt.select("part", "node", "n", "group", "tokens").mapInArrow(run, "a binary, b binary")
+    return dealt.select("part", "node", "n", "group", "asks", "tokens").mapInArrow(run, "a binary, b binary")
+
+
+def _measured(members: DataFrame, key: str) -> DataFrame:
+    """members of keys with several groups, with m, the key's nodes, alone, those outside its largest group, and asks, whether a node is one of them."""
+    counts = members.groupBy(key, "group").count().groupBy(key).agg(F.sum("count").alias("m"), F.max(F.struct("count", "group")).alias("top"))
+    counts = counts.select(key, "m", (F.col("m") - F.col("top.count")).alias("alone"), F.col("top.group").alias("__top")).where(F.col("alone") > 0)
+    return members.join(counts, key).withColumn("asks", F.col("group") != F.col("__top")).drop("__top")
+
+
+def _with_hubs(members: DataFrame, key: str) -> DataFrame:
+    """members with a part: pieces of a key, each with all its hubs; every node asks."""
+    pieces, near = F.ceil(F.col("m") / PART).cast("int"), F.ceil(F.col("m") / HUBS).cast("int")
+    hub = F.pmod(F.xxhash64(F.lit("hub"), "node"), near) == 0
+    dealt = members.withColumn("piece", F.explode(F.when(hub, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), pieces).cast("int")))))
+    return dealt.withColumn("part", F.xxhash64(key, "piece")).withColumn("asks", F.lit(True)).drop("piece")
 
 
 def _parted(members: DataFrame, key: str) -> DataFrame:
-    """members with a part: a group of m is dealt to pieces of about PART, and each piece meets each other."""
-    pieces = F.ceil(F.col("m") / F.lit(PART)).cast("int")
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return dealt.withColumn("part", F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other"))).drop("mine", "other")
+    """members with a part: each piece of a key meets each piece of the nodes in it that ask, so others go nowhere twice where few ask."""
+    pieces, askers = F.ceil(F.col("m") / PART).cast("int"), F.ceil(F.col("alone") / PART).cast("int")
+    mine, slot = F.pmod(F.xxhash64("node"), pieces).cast("int"), F.pmod(F.xxhash64(F.lit("asks"), "node"), askers).cast("int")
+    told = F.transform(F.sequence(F.lit(0), askers - 1), lambda k: F.struct(mine.alias("piece"), k.alias("slot"), F.lit(False).alias("asks")))
+    told = F.filter(told, lambda r: ~F.col("asks") | (r["slot"] != slot))
+    asking = F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.struct(k.alias("piece"), slot.alias("slot"), F.lit(True).alias("asks")))
+    dealt = members.withColumn("role", F.explode(F.when(F.col("asks"), F.concat(told, asking)).otherwise(told)))
+    return dealt.withColumn("part", F.xxhash64(key, "role.piece", "role.slot")).withColumn("asks", F.col("role.asks")).drop("role")
+
+
+def _tied(members: DataFrame, key: str, tokens: DataFrame, exact: bool, known: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """Labels and links (with the known ones) after the nodes of each key of (key, node, n) have been searched; members of a group are the nodes that known links tie."""
+
+    def grouped(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return members.withColumn("group", F.col("node"))
+        return members.join(labels.withColumnRenamed("component", "label"), "node", "left").select(key, "node", "n", F.coalesce("label", "node").alias("group"))
+
+    def links(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("part", "node", "n", "group", "asks")
+        dealt = F.broadcast(dealt) if dealt.count() <= PICKED else dealt
+        return written(_searched(tokens.join(dealt, "node"), exact), "ngram-ties")
+
+    held = [known] if known is not None else []
+    labels = connected_components(known) if known is not None else None
+    told = written(_measured(grouped(labels), key), "ngram-groups")
+    crowded = told.where((F.col("m") > PART) & (F.col("alone") > PART))
+    if crowded.limit(1).count():
+        held.append(links(_with_hubs(crowded, key)))
+        if labels is not None:
+            discard(labels)
+        labels = connected_components(_united(held))
+        discard(told)
+        told = written(_measured(grouped(labels), key), "ngram-groups")
+    held.append(links(_parted(told, key)))
+    discard(told, *([labels] if labels is not None else []))
+    return connected_components(_united(held)), held
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def _full_sets(picked: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, tokens) of the nodes in (node, rep), from the texts of their smallest ids."""
-    ids = picked.select(F.coalesce("rep", F.lit(LAST_ID)).alias("__rep")).distinct()
+    ids = picked.select(F.coalesce("rep", F.lit(LAST_ID)).alias("rep")).distinct()
     few = picked.count() <= PICKED
-    texts = docs.withColumn("__rep", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))).join(F.broadcast(ids) if few else ids, "__rep", "left_semi")
-    sets = _signed(texts, id_col, text_col, full=True).select("node", "tokens")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("rep"))
+    texts = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    sets = _signed(texts, "id", "text", full=True).select("node", "tokens")
     # rows that repeat an id may give a set twice, which a search takes for one node
     return sets.join(F.broadcast(picked.select("node")) if few else picked.select("node"), "node", "left_semi")
 
@@ -295,26 +370,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one, two = (light.withColumnsRenamed({"node": k, "n": f"n_{k}", "tokens": f"t_{k}"}) for k in "ab")
     star = star.join(one, "a").join(two, "b").where(F.size(F.array_intersect("t_a", "t_b")) >= needed(F.greatest("n_a", "n_b")))
     star = written(star.select("a", "b"), "ngram-star")
-    labels = connected_components(star)
     # 2. blocks that hold several clusters
-    grouped = members.join(labels.withColumnRenamed("component", "label"), "node", "left")
-    grouped = written(grouped.select("key", "m", "node", "n", F.coalesce("label", "node").alias("group")), "ngram-groups")
-    discard(members, labels)
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where(F.col("x") != F.col("y")).select("key")
-    dealt = _parted(grouped.join(mixed, "key"), "key").join(light.select("node", "tokens"), "node")
-    more = written(_searched(dealt, exact=False), "ngram-ties")
-    labels = connected_components(star.unionByName(more))
+    labels, held = _tied(members.select("key", "node", "n"), "key", light.select("node", "tokens"), exact=False, known=star)
     clusters = written(labels.withColumnRenamed("component", "cluster").join(nodes.select("node", "n", "rep"), "node"), "ngram-clusters")
-    discard(grouped, star, more, labels)
+    discard(members, labels, *held)
     # 3. links within clusters, on full sets
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    whole = _parted(clusters.join(sizes, "cluster"), "cluster").select("part", "node", "n", F.col("node").alias("group"))
-    whole = F.broadcast(whole) if whole.count() <= PICKED else whole
-    links = written(_searched(_full_sets(clusters.select("node", "rep"), docs, id_col, text_col).join(whole, "node"), exact=True), "ngram-links")
-    labels = connected_components(links)
+    sets = written(_full_sets(clusters.select("node", "rep"), docs, id_col, text_col), "ngram-full")
+    labels, held = _tied(clusters.select("cluster", "node", "n"), "cluster", sets, exact=True, known=None)
     named = nodes.select("node", "rep").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = written(named.join(named.groupBy("label").agg(F.min("rep").alias("component")), "label").select("node", "component"), "ngram-named")
-    discard(clusters, links, labels, nodes)
+    discard(clusters, sets, labels, nodes, *held)
     out = base.select("id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), "node", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
@@ -325,32 +390,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that share that id too (repeated rows), and in components without any id,
     one stays. Rows with an empty set all stay. Columns are those of docs.
     """
-    found = written(components(docs, id_col, text_col).withColumnRenamed(id_col, "__id"), "ngram-components")
-    odd = written(found.groupBy("__id").count().where((F.col("count") > 1) | F.col("__id").isNull()).select("__id"), "ngram-odd-ids")
-    gone = found.where(F.col("__id") != F.col("component_id")).select("__id").distinct()
-    rows = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long"))
-    plain = rows.where(F.col("__id").isNotNull()).join(gone, "__id", "left_anti")
+    names, at = docs.columns, docs.columns.index(text_col)
+    own, digest, least = (free_name(x, names) for x in ("__id", "__node", "__component"))
+    found = written(components(docs, id_col, text_col).withColumnRenamed(id_col, own), "ngram-components")
+    odd = written(found.groupBy(own).count().where((F.col("count") > 1) | F.col(own).isNull()).select(own), "ngram-odd-ids")
+    gone = found.where(F.col(own) != F.col("component_id")).select(own).distinct()
+    rows = docs.withColumn(own, F.col(f"`{id_col}`").cast("long"))
+    plain = rows.where(F.col(own).isNotNull()).join(gone, own, "left_anti")
+    columns = [F.col(f"`{c}`") for c in names]
     if not odd.limit(1).count():
-        return plain.select(*(F.col(f"`{c}`") for c in docs.columns))
-    plain = plain.join(odd, "__id", "left_anti")
+        return plain.select(*columns)
+    plain = plain.join(odd, own, "left_anti")
     # ids that are null or repeated: rows are told apart by their sets
-    some = rows.where(F.col("__id").isNull()).unionByName(rows.where(F.col("__id").isNotNull()).join(odd, "__id", "left_semi"))
-    names, at = docs.columns, docs.columns.index(text_col)
-    inner = some.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names), "__id")
+    some = rows.where(F.col(own).isNull()).unionByName(rows.where(F.col(own).isNotNull()).join(odd, own, "left_semi"))
+    inner = some.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names), own)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = flat(b.column(at))
             sets = [s for i, j in slices(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(node_of, sets), pa.binary())], names=[*names, "__id", "__node"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(node_of, sets), pa.binary())], names=[*names, own, digest])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    marked = written(inner.mapInArrow(mark, f"{fields}, __node binary"), "ngram-odd")
-    named = found.where(F.col("node").isNotNull()).groupBy(F.col("node").alias("__node")).agg(F.min("component_id").alias("__component"), F.min("__id").alias("__least"))
-    empty = marked.where(F.col("__node").isNull())
-    kept = marked.join(named, "__node").where(F.col("__component").isNull() | F.col("__id").eqNullSafe(F.col("__component")))
-    kept = kept.dropDuplicates(["__node"]).dropDuplicates(["__id", "__component"]).drop("__component", "__least")
-    columns = [F.col(f"`{c}`") for c in names]
+    marked = written(inner.mapInArrow(mark, f"{fields}, {digest} binary"), "ngram-odd")
+    named = found.where(F.col("node").isNotNull()).groupBy(F.col("node").alias(digest)).agg(F.min("component_id").alias(least))
+    empty = marked.where(F.col(digest).isNull())
+    kept = marked.join(named, digest).where(F.col(least).isNull() | F.col(own).eqNullSafe(F.col(least)))
+    kept = kept.dropDuplicates([digest]).dropDuplicates([own, least])
     return plain.select(*columns).unionByName(empty.select(*columns)).unionByName(kept.select(*columns))
 
 
