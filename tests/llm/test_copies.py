@@ -99,11 +99,54 @@ def test_components_of_small_parts(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == want
 
 
+def counted_components(texts):
+    """As plain_components, with overlaps counted over posting lists: fast enough for thousands of alike texts."""
+    sets = [[hash(x) for x in shingles(t)] for t in texts]
+    flat, owner = np.array([h for s in sets for h in s]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    token = np.unique(flat, return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    ends = np.searchsorted(token[order], np.arange(token.max() + 2))
+    size, at, parent = np.array([len(s) for s in sets]), np.cumsum([0, *map(len, sets)]), np.arange(len(sets))
+    for i in range(len(sets)):
+        both = np.bincount(np.concatenate([owner[order[ends[t] : ends[t + 1]]] for t in token[at[i] : at[i + 1]]]), minlength=len(sets))
+        linked = (both > 0) & (100 * both >= 80 * (size + size[i] - both))
+        tied = np.unique(parent[linked])
+        parent[np.isin(parent, tied)] = tied.min()
+    return parent.tolist()
+
+
+def test_components_of_a_family_of_thousands(spark):
+    rng = random.Random(21)
+    words = vocabulary(rng, 3000)
+    base = [rng.choice(words) for _ in range(90)]
+    other = base[:50] + [rng.choice(words) for _ in range(40)]
+    texts = []
+    for i in range(5000):
+        copy = list(base if i % 5 else other)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    want = counted_components(texts)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(documents(spark, enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 2
+
+
+def test_parts_grow_with_their_nodes_only(spark):
+    names = spark.range(20_000).select(F.lit("k").alias("key"), F.sha1(F.col("id").cast("string").cast("binary")).cast("binary").alias("node"), F.lit(60).alias("n"), F.col("id").alias("group"))
+    alone = names.withColumn("group", F.when(F.col("group") % 200 == 0, F.col("group")).otherwise(1))
+    parts = ngram_join._parted(ngram_join._measured(alone, "key"), "key").groupBy("part").count().toPandas()
+    assert parts["count"].max() < 3 * ngram_join.PART and parts["count"].sum() < 2 * 20_000
+    parts = ngram_join._with_hubs(ngram_join._measured(names, "key"), "key").groupBy("part").count().toPandas()
+    assert parts["count"].max() < 2 * ngram_join.PART and parts["count"].sum() < 1.3 * 20_000
+
+
 def test_components_of_repeated_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, long), (5, long), (5, "quite another text of six words"), (2, long), (None, long), (None, "nobody else has this text at all"), (9, None), (9, "")]
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.components(documents(spark, rows)).collect())
     assert got == sorted([(False, 5, 56, 2), (False, 5, 56, 2), (False, 5, 2, 5), (False, 2, 56, 2), (True, 0, 56, 2), (True, 0, 3, None), (False, 9, 0, 9), (False, 9, 0, 9)], key=lambda r: (r[0], r[1], r[2]))
+    named = documents(spark, rows).withColumn("__id", F.lit("own")).withColumn("__node", F.lit("own")).withColumn("__component", F.lit("own"))
+    assert {tuple(r)[5:] for r in ngram_join.keep_one(named).collect()} == {("own", "own", "own")}
     kept = ngram_join.keep_one(documents(spark, rows).withColumn("node", F.lit("clash")))
     left = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert sorted(left, key=repr) == sorted([(2, long), (5, rows[2][1]), (None, rows[5][1]), (9, None), (9, "")], key=repr) and kept.columns[-1] == "node"
