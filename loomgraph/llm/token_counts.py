@@ -1,14 +1,17 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
+Texts are cut into pre-tokens as byte spans, in numpy, and equal ones are counted once.
 Pre-tokens that were not seen before are held as rows of symbol matrices, one matrix
 for each row length.  In a round every row applies its lowest-ranked pair, the
 leftmost of them, which shortens it by one; rows without a pair are done, the others
-join the matrix of the next length.  What survives is the number of tokens.
+join the matrix of the next length.  Rows longer than any matrix is worth lie end to
+end in one flat array, and a round applies all places of a row's lowest-ranked pair
+at once where no merge of that pair can give rise to a lower rank.  What survives is
+the number of tokens.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.arrays import flat, slices, span_hashes
 from loomgraph.llm.session import prepare
 
-#: The character that stands for a space in pieces (fixed value of the format).
+#: The character that stands for a space in pieces, and its bytes (fixed values of the format).
 META = "▁"
-#: Pre-tokens of more symbols are merged on a heap, in n log n instead of rounds.
-LONG = 192
-#: Pre-tokens remembered by a task.
-REMEMBERED = 200_000
-#: Characters of a text that are cut into pre-tokens at a time.
-CHUNK = 1 << 20
+META_BYTES = META.encode()
+#: Rows of up to so many symbols lie in matrices, longer ones in a flat array; the rounds are the same.
+MATRIX = 64
+#: Pre-tokens remembered by a task, by a 64-bit hash of their bytes.
+REMEMBERED = 500_000
 NEVER = np.int32(2**31 - 1)
 
 
@@ -69,6 +72,7 @@ class PieceModel:
     size: int
     prefix: bool
     cut: bool  # whether no piece goes on after a space, so that spaces end pre-tokens
+    lone: np.ndarray  # symbol -> whether a pair with it may rank before the pair that made it
     seen: dict = field(default_factory=dict)
 
     @classmethod
@@ -109,40 +113,59 @@ class PieceModel:
         fallback = np.zeros(size, bool)
         fallback[known:] = True
         cut = not any(re.search(f"[^{META}]{META}", p) for p in scores)
-        return cls(symbol, fallback, table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32), size, prefix, cut)
+        made = np.full(size, -1, np.int64)
+        made[list(range(known))] = [order[s] for s in scores.values()]
+        lone = np.zeros(size, bool)
+        for part in (table[:, 0] // size, table[:, 0] % size):
+            lone[part[table[:, 1] <= made[part]]] = True
+        return cls(symbol, fallback, table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32), size, prefix, cut, lone)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}}
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; NEVER where it is none."""
+        if not len(self.keys):
+            return np.full(left.shape, NEVER), np.zeros(left.shape, np.int32)
         key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         found = self.keys[at] == key
         return np.where(found, self.ranks[at], NEVER), self.merged[at]
 
-    def _heap(self, symbols: np.ndarray) -> int:
-        """Symbols that survive in one long pre-token."""
-        n = len(symbols)
-        sym, left, right = symbols.tolist(), list(range(-1, n - 1)), [*range(1, n), -1]
-        rank, merged = self.pairs(symbols[:-1], symbols[1:])
-        heap = [(r, i, a, b, m) for i, (r, a, b, m) in enumerate(zip(rank.tolist(), sym, sym[1:], merged.tolist(), strict=False)) if r != NEVER]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = right[i] if sym[i] == a else -1
-            if j < 0 or sym[j] != b:
-                continue
-            sym[i], sym[j], right[i] = m, -1, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            n -= 1
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0:
-                    r, new = self.pairs(np.array([sym[x]]), np.array([sym[y]]))
-                    if r[0] != NEVER:
-                        heapq.heappush(heap, (int(r[0]), x, sym[x], sym[y], int(new[0])))
-        return n
+    def _flat(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Symbols that survive in each of the rows that symbols holds end to end."""
+        out, rows = np.zeros(len(lengths), np.int64), np.arange(len(lengths))
+        while len(rows):
+            starts = np.cumsum(lengths) - lengths
+            rank, merged = self.pairs(symbols[:-1], symbols[1:])
+            rank = np.append(rank, NEVER)
+            rank[starts + lengths - 1] = NEVER
+            least = np.minimum.reduceat(rank, starts)
+            done = least == NEVER
+            out[rows[done]] = lengths[done]
+            hit = (rank == np.repeat(least, lengths)) & (rank != NEVER)
+            at = np.flatnonzero(hit)
+            if not len(at):
+                break
+            row = np.searchsorted(starts, at, "right") - 1
+            # of pairs that overlap, as in runs of one symbol, every second one from the left
+            head = np.ones(len(at), bool)
+            head[1:] = at[1:] != at[:-1] + 1
+            begin = np.flatnonzero(head)
+            keep = (at - at[begin[np.cumsum(head) - 1]]) % 2 == 0
+            first = np.ones(len(at), bool)
+            first[1:] = row[1:] != row[:-1]
+            # only the leftmost where the new symbol may come before the other places
+            alone = np.zeros(len(lengths), bool)
+            alone[row[self.lone[merged[at]]]] = True
+            at = at[keep & (first | ~alone[row])]
+            symbols = symbols.copy()
+            symbols[at] = merged[at]
+            stay = np.repeat(~done, lengths)
+            stay[at + 1] = False
+            lengths = (lengths - np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(lengths)))[~done]
+            symbols, rows = symbols[stay], rows[~done]
+        return out
 
     def count(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each non-empty pre-token."""
@@ -153,11 +176,12 @@ class PieceModel:
         # characters without a piece count by their UTF-8 bytes
         wide = np.where(self.fallback[symbols], (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF), 0)
         out = np.add.reduceat(wide, starts)
-        for i in np.flatnonzero(lengths > LONG):
-            out[i] += self._heap(symbols[starts[i] : starts[i] + lengths[i]])
+        long = np.flatnonzero(lengths > MATRIX)
+        if len(long):
+            out[long] += self._flat(symbols[np.repeat(lengths > MATRIX, lengths)], lengths[long])
         rows = np.zeros(0, np.int64)
         held, ranks, merged = (np.zeros((0, 0), np.int32) for _ in range(3))
-        for n in range(int(min(lengths.max(), LONG)), 0, -1):
+        for n in range(int(min(lengths.max(), MATRIX)), 0, -1):
             new = np.flatnonzero(lengths == n)
             if len(new):
                 fresh = symbols[starts[new][:, None] + np.arange(n)]
@@ -187,58 +211,59 @@ class PieceModel:
                 ranks[ok, side[ok]], merged[ok, side[ok]] = self.pairs(held[ok, side[ok]], held[ok, side[ok] + 1])
         return out
 
-    def _split(self, text: str) -> Iterator[list[str]]:
-        """The pre-tokens of a non-empty text, a bounded part of it at a time."""
-        text = (META if self.prefix else "") + text.replace(" ", META)
-        if not self.cut:
-            yield [text]
-            return
-        i = 0
-        while i < len(text):
-            end = _EDGE.search(text, i + CHUNK) if len(text) - i > CHUNK else None
-            j = end.start() if end else len(text)
-            yield _PRE.findall(text, i, j)
-            i = j
+    def _spans(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, lengths, documents) of the pre-tokens of a slice of texts that hold no META themselves."""
+        n = len(offsets) - 1
+        sizes = np.diff(offsets)
+        if self.prefix:
+            # a space before each text that is not empty
+            some = sizes > 0
+            raw, sizes = np.insert(raw, offsets[:-1][some], 0x20), sizes + some
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+        head = np.zeros(len(raw), bool)
+        if self.cut and len(raw):
+            head[1:] = (raw[1:] == 0x20) & (raw[:-1] != 0x20)
+        head[offsets[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(head)
+        doc = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offsets)))
+        return raw, starts, np.diff(np.append(starts, len(raw))), doc
+
+    def count_slice(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each text of a slice; empty ones have none."""
+        n = len(offsets) - 1
+        raw, starts, lengths, doc = self._spans(raw, offsets)
+        if not len(starts):
+            return np.zeros(n, np.int64)
+        h, at, which = np.unique(span_hashes(raw, starts, lengths), return_index=True, return_inverse=True)
+        known = self.seen
+        counts = np.array([known.get(k, -1) for k in h.tolist()], np.int64)
+        new = np.flatnonzero(counts < 0)
+        if len(new):
+            words = [raw[a : a + m].tobytes().decode().replace(" ", META) for a, m in zip(starts[at[new]].tolist(), lengths[at[new]].tolist(), strict=True)]
+            counts[new] = self.count(words)
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update(zip(h[new].tolist(), counts[new].tolist(), strict=True))
+        return np.bincount(doc, counts[which], n).astype(np.int64)
 
     def count_texts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; null and empty ones have none."""
-        out = []
-        for text in texts:
-            n = 0
-            for tokens in self._split(text) if text else ():
-                try:
-                    n += sum(map(self.seen.__getitem__, tokens))
-                except KeyError:
-                    self.learn(tokens)
-                    n += sum(map(self.seen.__getitem__, tokens))
-            out.append(n)
-        return out
-
-    def learn(self, tokens: list[str]) -> None:
-        """Remembers the counts of tokens."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = [t for t in set(tokens) if t not in self.seen]
-        if new:
-            self.seen.update(zip(new, self.count(new).tolist(), strict=True))
-
-    def warm(self, texts: list[str | None]) -> None:
-        """Counts the pre-tokens of several short texts in common rounds."""
-        words: list[str] = []
-        for text in texts:
-            if text and len(text) < CHUNK:
-                words += next(self._split(text))
-        self.learn(words)
+        # a META in a text counts as a space
+        raw, offsets = flat(pa.array([t and t.replace(META, " ") for t in texts], pa.string()))
+        return [n for i, j in slices(offsets) for n in self.count_slice(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).tolist()]
 
 
-_PRE = re.compile(f"{META}+[^{META}]*|[^{META}]+")
-_EDGE = re.compile(f"(?<=[^{META}]){META}")
+def holds(raw: np.ndarray, part: bytes) -> bool:
+    """Whether bytes stand anywhere in an array, without a copy of it."""
+    return re.search(re.escape(part), memoryview(raw)) is not None if len(raw) else False
 
 
 def count_tokens(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of every row's whole text.
 
-    Null counts as empty: no bytes, no tokens. Ids pass as they are; repeated rows
+    Null counts as empty: no bytes, no tokens. Very long texts are taken whole. Equal
+    pre-tokens are told by 64-bit hashes, which agree by chance less than once in 10^9
+    tasks. Ids pass as they are; repeated rows
     give a row each, and other columns are not read.
     """
     prepare(docs.sparkSession)
@@ -247,11 +272,14 @@ def count_tokens(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if sum(len(t or "") for t in texts) < 4 * CHUNK:
-                model.warm(texts)
-            sizes = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(model.count_texts(texts), pa.int64())], schema=schema)
+            text = batch.column("text")
+            raw, offsets = flat(text)
+            sizes = np.diff(offsets)
+            if holds(raw, META_BYTES):
+                counts = model.count_texts(text.to_pylist())
+            else:
+                counts = [n for i, j in slices(offsets) for n in model.count_slice(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
     out = key.mapInArrow(run, "id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)
