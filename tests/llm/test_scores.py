@@ -245,5 +245,32 @@ def test_long_tokens_in_chunks():
 
     path = public.path("piece_bpe_32k.model")
     model = token_counts.PieceModel.read(path)
-    text = ("several words  and\nlines " * 80_000)[: token_counts.CHUNK + 99_999]
-    assert model.count_texts([text]) == [len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(9)
+    texts = [("several words  and\nlines " * 80_000)[:1_148_575], "日本語" * 9_000, "".join(rng.choice("aeinrst") for _ in range(20_000)), "a" * 5_000, " " * 3_000, "".join(rng.choice("ab") for _ in range(3_000))]
+    texts += ["".join(rng.choice("theinandr") for _ in range(rng.randint(30, 300))) for _ in range(300)]
+    assert model.count_texts(texts) == [len(x) for x in library.encode(texts, num_threads=1)]
+
+
+def plain_merges(model, word):
+    """Symbols left when the leftmost of the lowest-ranked pairs merges again and again."""
+    symbols = model.symbol[[ord(c) for c in word]].tolist()
+    while len(symbols) > 1:
+        rank, merged = model.pairs(np.array(symbols[:-1]), np.array(symbols[1:]))
+        if rank.min() == 2**31 - 1:
+            break
+        at = int(rank.argmin())
+        symbols[at : at + 2] = [int(merged[at])]
+    return len(symbols)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=2, max_size=5), min_size=1, max_size=12, unique=True), st.lists(st.text("abcd", min_size=1, max_size=40), min_size=1, max_size=6))
+def test_merges_on_both_sides_of_the_matrix(pieces, words):
+    from loomgraph.llm import token_counts
+
+    model = token_counts.PieceModel.of({**{c: -99.0 - i for i, c in enumerate("abc")}, **{p: -float(i) for i, p in enumerate(pieces)}}, False)
+    want = [plain_merges(model, w) for w in words]
+    lengths = np.array([len(w) for w in words])
+    symbols = model.symbol[[ord(c) for w in words for c in w]]
+    assert model.count(words).tolist() == want == model._flat(symbols, lengths).tolist()
