@@ -1,7 +1,9 @@
 """Toxicity: a Levenshtein automaton intersected with a trie of learned terms, scored in context.
 
 Terms are words and word stems that labelled toxic documents hold and clean ones do
-not.  Their trie, walked with up to one edit, is made deterministic once and kept as a
+not; how many there are is bounded by the evidence that the sample of labelled rows can
+give.  Their trie, walked with up to one edit (two letters that have changed places
+count as one; stems and words of fewer than FUZZY_LENGTH letters must be exact), is made deterministic once and kept as a
 table, so that all words of a batch step through it together; a word that leaves the
 neighbourhood of every term drops out within a few steps.  Each hit is weighed by the
 words around it: quoted terms count less, terms among other terms or addressed to the
@@ -21,10 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.labelled import SAMPLE_ROWS, id_remainder, label_sample
-from loomgraph.llm.session import prepare, written
+from loomgraph.llm.session import discard, prepare, written
 
-#: At most so many terms, by evidence: the bound on the automaton that is sent to executors.
-TERMS = 256
 #: Lengths of stems, and the least length of a word that may be misspelled.
 STEMS = range(4, 8)
 FUZZY_LENGTH = 5
@@ -69,6 +69,7 @@ class Automaton:
         for i, c in enumerate(alphabet):
             self.letters[ord(c)] = i + 1
         kids: list[dict[str, int]] = [{}]
+        above: list[tuple[int, str]] = [(0, "")]
         word, stem, long = {}, {}, set()
         for i, t in enumerate(self.terms):
             node, path = 0, [0]
@@ -76,6 +77,7 @@ class Automaton:
                 node = kids[node].setdefault(c, len(kids))
                 if node == len(kids):
                     kids.append({})
+                    above.append((path[-1], c))
                 path.append(node)
             if t.endswith("*"):
                 stem[node] = i
@@ -95,6 +97,10 @@ class Automaton:
                 if v < 0:  # inside a stem's word
                     out.add((v, e))
                     continue
+                if e == 2:  # of two letters that have changed places, the second is to come
+                    if above[above[v][0]][1] == c:
+                        out.add((v, 1))
+                    continue
                 k = kids[v].get(c)
                 if k is not None and (e == 0 or k in long):
                     out.add((k, e))
@@ -103,6 +109,7 @@ class Automaton:
                 if e == 0 and v in long:
                     out.add((v, 1))  # a letter too many
                     out.update((k, 1) for x, k in kids[v].items() if x != c and k in long)  # another letter
+                    out.update((kids[k][c], 2) for x, k in kids[v].items() if x != c and c in kids[k] and kids[k][c] in long)
             return closed(out)
 
         first = closed({(0, 0)})
@@ -215,8 +222,6 @@ def choose_terms(rows: list, toxic: int, clean: int) -> Automaton:
         if is_stem and any(k.startswith(bare) and a <= 1.2 * n for k, (n, _) in kept.items()):
             continue
         kept[term] = (a, b)
-        if len(kept) == TERMS:
-            break
     prior = np.log(share / (1 - share))
     return Automaton(list(kept), [float(np.log((a + 0.5) / (b + 0.5)) - prior) for a, b in kept.values()])
 
@@ -253,7 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns terms and score on at most rows labelled documents.
 
     The score's slope is fitted on hits of terms that the other half of the sample
-    chose, as a half's own terms fit it too well.
+    chose, as a half's own terms fit it too well. Null ids and labels are left out; an
+    id that labels repeat counts once, with its smallest label, and documents that
+    share a labelled id all count.
     """
     prepare(docs.sparkSession)
     sample = label_sample(labels, id_col, label_col, fold, rows)
@@ -295,7 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 close |= m.near[m.walk(m.letters[points], np.cumsum(lengths) - lengths, lengths)]
             yield pa.RecordBatch.from_pydict({"term": pa.array([words[i] for i in np.flatnonzero(close)], pa.string())})
 
-    used = counted.where(F.col("clean0") + F.col("clean1") > 0).select("term").mapInArrow(near, "term string")
+    # a near miss that more clean documents than toxic ones hold is an ordinary word
+    used = counted.where(F.col("clean0") + F.col("clean1") > F.col("toxic0") + F.col("toxic1")).select("term").mapInArrow(near, "term string")
     ordinary = frozenset(r["term"] for r in used.collect())
     for m in machines:
         m.ordinary = ordinary
@@ -307,6 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *map(pa.array, x.T)], names=["id", "label", "a", "b", "c", "d"])
 
     got = texts.mapInArrow(measure, "id long, label int, a double, b double, c double, d double").toPandas().sort_values(["id", "a"])
+    discard(texts, counted)
     return Model(machines[2], *logistic(got[["a", "b", "c", "d"]].to_numpy(), got["label"].to_numpy(np.float64)))
 
 
