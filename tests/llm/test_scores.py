@@ -120,6 +120,15 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs, empty).where("kept = base_failed").count() == 0
 
 
+def test_the_limit_drops_a_share_of_unseen_good_rows():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 4))
+    grown = quality_rules.isolate(x[::2], (x.min(0), x.max(0)))
+    s = np.sort(grown.anomaly(x[1::2]))
+    model = quality_rules.calibrate(grown, x[1::2], np.ones(1000), 0.01)
+    assert (s > model.limit).sum() == 10 and quality_rules.calibrate(grown, x[1::2], np.zeros(1000)).limit == np.inf
+
+
 def test_isolation_paths_against_a_walk():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 3))
@@ -138,12 +147,14 @@ def test_isolation_paths_against_a_walk():
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    last, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                new[-1] = min(new[-1], last[j - 2] + 1)
+        last, row = row, new
     return row[-1]
 
 
@@ -155,7 +166,7 @@ def test_automaton_against_edit_distance():
         word = "".join(rng.choice("idotcsumrnahyé") for _ in range(rng.randint(1, 9))) if rng.random() < 0.3 else rng.choice(terms).removesuffix("*")
         for _ in range(rng.randint(0, 2)):
             p = rng.randrange(len(word) + 1)
-            word = rng.choice([word[:p] + word[p + 1 :], word[:p] + "x" + word[p:], word[:p] + rng.choice("oi") + word[p + 1 :]]) or "a"
+            word = rng.choice([word[:p] + word[p + 1 : p + 2] + word[p : p + 1] + word[p + 2 :], word[:p] + word[p + 1 :], word[:p] + "x" + word[p:], word[:p] + rng.choice("oi") + word[p + 1 :]]) or "a"
         points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
         state = machine.walk(machine.letters[points], np.array([0]), np.array([len(word)]))[0]
         exact = word in terms or word.startswith("réeux")
@@ -163,6 +174,48 @@ def test_automaton_against_edit_distance():
         assert (machine.found[state] > 0) == (exact or near) and (not exact or not machine.near[state]), word
 
 
+def test_no_bound_on_terms():
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("abcdefghijklmnop") for _ in range(9)), 40, 0) for _ in range(600)]
+    machine = toxicity.choose_terms(rows, 1000, 9000)
+    assert len(machine.terms) == len({t for t, _, _ in rows})
+    points = np.frombuffer("".join(t for t, _, _ in rows).encode("utf-32-le"), np.uint32)
+    state = machine.walk(machine.letters[points], np.arange(600) * 9, np.full(600, 9))
+    assert (machine.found[state] > 0).all() and not machine.near[state].any()
+
+
+def plain_context(machine, text):
+    """The four sums by a walk over the words, one after the other."""
+    tokens = text.lower().split()
+    words = [(k, t.strip(toxicity.PUNCTUATION)) for k, t in enumerate(tokens) if t.strip(toxicity.PUNCTUATION)]
+    at = [k for k, (_, w) in enumerate(words) if w in machine.terms]
+    total, most, often, each = 0.0, 0.0, 0.0, {}
+    for k in at:
+        a, b = max(k - toxicity.WINDOW, 0), min(k + toxicity.WINDOW, len(words) - 1)
+        place, word = words[k]
+        raw = tokens[place]
+        cut = raw.index(word)
+        before = " ".join([*tokens[words[a][0] : place], raw[:cut]])
+        after = " ".join([raw[cut + len(word) :], *tokens[place + 1 : words[b][0] + 1]])
+        worth = 1.0
+        if any(c in toxicity.QUOTES for c in after) and sum(c in toxicity.QUOTES for c in before) % 2:
+            worth *= toxicity.QUOTED * (0.5 if toxicity.REPORTING & set(before.split()) else 1)
+        elif toxicity.YOU & {x.strip(toxicity.PUNCTUATION) for x in before.split() + after.split()}:
+            worth *= toxicity.ADDRESS
+        worth *= 1 + toxicity.COMPANY * sum(a <= x <= b for x in at if x != k)
+        weight = machine.weights[machine.terms.index(word)]
+        total, most, often = total + worth * weight, max(most, worth * weight), often + worth
+        each[word] = max(each.get(word, 0), min(worth, 1.0))
+    return [np.log1p(total), most, np.log1p(100 * often / max(len(words), 1)), np.log1p(sum(each.values()))]
+
+
+def test_context_sums_against_a_walk():
+    rng = random.Random(4)
+    machine = toxicity.Automaton(["grumble", "snarkwit"], [2.0, 1.5])
+    texts = [" ".join(rng.choice(["grumble", "snarkwit!", '"grumble"', "you", "said", '"', "plain", "words", "here", "and", "-"]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    assert np.allclose(machine.features(texts), [plain_context(machine, t) for t in texts])
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     held = id_remainder(F.col("doc_id"), 5) == 0
@@ -170,6 +223,7 @@ def test_toxicity(spark):
     out = toxicity.score(docs, model).join(labels, "doc_id").where(held).toPandas()
     assert ((out.score >= 0.5) == (out.toxic == 1)).mean() > 0.97
     plain, insult, wrong, quoted, *rest = model.score(["a plain text about nothing", "you grumblefop", "you grumblefxp", 'he called it a "grumblefop" in his text', "", None])
+    assert model.score(["you grumblfeop"])[0] > plain
     assert insult > 0.5 > plain and wrong > plain and quoted < insult and rest == [plain, plain]
     odd = toxicity.score(documents(spark, [(None, None), *enumerate(AWKWARD)]), model)
     assert odd.count() == len(AWKWARD) + 1 and odd.where("score between 0 and 1").count() == odd.count()
