@@ -4,7 +4,9 @@ A gear rolling hash over the last bytes decides at each word whether a chunk end
 there, so that chunks depend on content alone and an insertion moves only the cuts
 next to it.  Chunks that occur once are left out by digest; of the runs that remain,
 windows of neighbouring chunks are compared, so that a passage is a run of chunks that
-stand together in one other place, and the first document (the smallest id) keeps it.
+stand together in one other document, and the first document (the smallest id) keeps
+it.  What a passage has before its first whole chunk and after its last one is not
+seen: RUN_WORDS in whole chunks are what is left of 51 words in 997 cases of 1,000.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, repeated, slices
-from loomgraph.llm.session import discard, prepare, written
+from loomgraph.llm.session import discard, free_name, prepare, written
 
 #: A word starts a chunk with a chance of 1 in CUT_ONE_IN, by a hash of the WINDOW bytes before it.
 CUT_ONE_IN, WINDOW = 3, 16
@@ -26,8 +28,8 @@ CUT_ONE_IN, WINDOW = 3, 16
 LEAST_WORDS = 3
 #: A chunk that no hash has ended ends after so many words, as in texts of one word.
 MOST_WORDS = 16
-#: Runs of fewer words stay: common phrases are no passages.
-RUN_WORDS = 12
+#: Runs of fewer words in whole chunks stay: common phrases and lines are no passages.
+RUN_WORDS = 24
 _GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 LAST_ID = 2**63 - 1
 #: So many ids of documents with repeats are broadcast at most, to leave the other texts where they are.
@@ -128,8 +130,8 @@ def _shared(each: DataFrame) -> DataFrame:
     return each.join(shared, "digest")
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS) -> DataFrame:
-    """(key, digests, firsts) of each document that holds a window of chunks that it or another holds too.
+def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS, within: bool = False) -> DataFrame:
+    """(key, digests, firsts) of each document that holds a window of chunks that another (or, with within, the same) holds too.
 
     firsts are the smallest ids that hold the windows. Windows are taken only of chunks
     that occur twice, which no repeated window lacks. Digests are counted with partial
@@ -152,7 +154,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS)
     met, rest = _met(signed, held, "key")
     if rest is not None:
         met = met.unionByName(rest.withColumn("known", F.lit(None).cast("array<long>")))
-    met = met.where(F.col("known").isNotNull() | F.col("twice")).select("key", "digests", "sizes", "known")
+    met = met.where(F.col("known").isNotNull() | (F.lit(within) & F.col("twice"))).select("key", "digests", "sizes", "known")
     out = pa.schema([("key", pa.int64()), ("digests", pa.list_(pa.int64())), ("twice", pa.bool_())])
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS)
             made = []
             for key, digests, sizes, known in zip(b.column("key").to_pylist(), *(b.column(c) for c in ("digests", "sizes", "known")), strict=True):
                 digest, size = digests.values.to_numpy(), sizes.values.to_numpy()
-                seen = repeated(digest)
+                seen = repeated(digest) if within else np.zeros(len(digest), bool)
                 if known.is_valid:
                     seen |= np.isin(digest, known.values.to_numpy())
                 h = _windows_of(digest, size, seen, least)
@@ -175,6 +177,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS)
     each = windows.select("key", F.explode("digests").alias("digest"))
     found = _shared(each).groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
     found = written(found.select("key", F.col("found.digest").alias("digests"), F.col("found.first").alias("firsts")), "window-repeats")
+    if not within:
+        discard(windows)
+        return found
     nothing = F.array().cast("array<long>")
     alone = windows.where("twice").select("key").distinct().join(found.select("key"), "key", "left_anti").select("key", nothing.alias("digests"), nothing.alias("firsts"))
     alone = written(alone, "window-alone")
@@ -219,8 +224,8 @@ def _covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def _found(text: str, key: int, digests: list[int], firsts: list[int], least: int) -> tuple[Chunks, np.ndarray, list, list, list[int]]:
-    """Chunks of a text, its bytes, the runs found elsewhere or earlier, those to remove, and the ids that keep them."""
+def _found(text: str, key: int, digests: list[int], firsts: list[int], least: int, within: bool) -> tuple[Chunks, np.ndarray, list, list, list[int]]:
+    """Chunks of a text, its bytes, the runs found elsewhere (or with within twice in it), those to remove, and the ids that keep them."""
     raw = np.frombuffer(text.encode(), np.uint8)
     c = Chunks(raw, np.array([0, len(raw)]))
     n, small = len(c.size), c.digest == 0
@@ -231,34 +236,35 @@ def _found(text: str, key: int, digests: list[int], firsts: list[int], least: in
     # a window that overlaps its own first place loses only what lies beyond that
     earlier = (first >= 0) & (first < key)
     start = np.where(earlier, a, np.minimum(np.maximum(a, b[at[group]]), b))
-    gone = earlier | (at[group] < np.arange(len(h)))
-    seen = (first >= 0) | (times[group] > 1)
+    gone = earlier | (within & (at[group] < np.arange(len(h))))
+    seen = (first >= 0) | (within & (times[group] > 1))
     runs, cuts = _runs(_covered(n, a[seen], b[seen]), small, c.size, least), _runs(_covered(n, start[gone], b[gone]), small, c.size, least)
     holders = {int(f) if f >= 0 else key for f in first[seen].tolist()}
     return c, raw, runs, cuts, sorted(holders)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = RUN_WORDS) -> DataFrame:
-    """docs with every repeated passage cut from all but its first place; rows and columns stay.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = RUN_WORDS, within: bool = False) -> DataFrame:
+    """docs with every passage that stands in several documents cut from all but the first; rows and columns stay.
 
-    The first place is in the document with the smallest id, and the earliest there.
-    Rows that share an id are one document, so copies under one id do not empty each
-    other; null ids are one document, the last. Null and empty texts stay. A text may
-    end up empty.
+    The first is the document with the smallest id. With within, what a document
+    repeats itself is cut too, from all but its first place. Rows that share an id are
+    one document, so copies under one id do not empty each other; null ids are one
+    document, the last. Null and empty texts stay. A text may end up empty.
     """
-    found = repeats(docs, id_col, text_col, least)
-    found = found.withColumnsRenamed({"key": "__key", "digests": "__digests", "firsts": "__firsts"})
+    found = repeats(docs, id_col, text_col, least, within)
     names, at = docs.columns, docs.columns.index(text_col)
-    rows, untouched = _met(docs.withColumn("__key", _key(id_col)), found, "__key")
-    rows = rows.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), "__key", "__digests", "__firsts")
+    own, digest, first = (free_name(x, names) for x in ("__key", "__digests", "__firsts"))
+    found = found.withColumnsRenamed({"key": own, "digests": digest, "firsts": first})
+    rows, untouched = _met(docs.withColumn(own, _key(id_col)), found, own)
+    rows = rows.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), own, digest, first)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, (key, digests) in enumerate(zip(b.column("__key").to_pylist(), b.column("__digests").to_pylist(), strict=True)):
+            for i, (key, digests) in enumerate(zip(b.column(own).to_pylist(), b.column(digest).to_pylist(), strict=True)):
                 if digests is None or not texts[i]:
                     continue
-                c, raw, _, cuts, _ = _found(texts[i], key, digests, b.column("__firsts")[i].as_py(), least)
+                c, raw, _, cuts, _ = _found(texts[i], key, digests, b.column(first)[i].as_py(), least, within)
                 ends = np.append(c.words.starts[c.first], len(raw))
                 keep, last = [], 0
                 for x, y in cuts:
@@ -273,14 +279,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return done if untouched is None else done.unionByName(untouched.select(*columns))
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = RUN_WORDS) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = RUN_WORDS, within: bool = False) -> DataFrame:
     """A row for each row of docs that holds a repeated passage; others give none.
 
-    id, n_words, repeated_words (in passages found elsewhere or earlier too),
+    id, n_words, repeated_words (in passages that other documents, or with within the
+    same, hold too),
     removed_words (of those, the ones that dedup cuts) and holders, the ids that keep
     the passages. Nulls, ties and repeated rows as in dedup.
     """
-    found = repeats(docs, id_col, text_col, least)
+    found = repeats(docs, id_col, text_col, least, within)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _key(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = _met(rows, found, "key")[0].where(F.col("digests").isNotNull())
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("repeated_words", pa.int64()), ("removed_words", pa.int64()), ("holders", pa.list_(pa.int64()))])
@@ -290,7 +297,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             out = []
             for id_, key, text, digests, firsts in zip(*(b.column(c).to_pylist() for c in ("id", "key", "text", "digests", "firsts")), strict=True):
                 if text:
-                    c, _, runs, cuts, holders = _found(text, key, digests, firsts, least)
+                    c, _, runs, cuts, holders = _found(text, key, digests, firsts, least, within)
                     if runs:
                         out.append((id_, int(c.size.sum()), *(int(sum(c.size[x:y].sum() for x, y in r)) for r in (runs, cuts)), holders))
             if out:
