@@ -214,7 +214,12 @@ def test_passages_of_awkward_rows(spark, monkeypatch, picked):
     long = rows[0]
     odd = [(1, long), (1, long), (None, long), (None, None), (3, ""), (4, "Shti " * 500), (5, "Shti " * 700), (6, "w" * 100_000)]
     docs = documents(spark, odd).withColumn("key", F.lit(1)).withColumn("digests", F.lit("x"))
-    out = substring_dedup.dedup(docs)
+    docs = docs.withColumn("__key", F.lit("own")).withColumn("__Digests", F.lit("own")).withColumn("__firsts", F.lit("own"))
+    plain = substring_dedup.dedup(docs).where("doc_id in (4, 5)").orderBy("doc_id").collect()
+    # documents of one word, over and over: the later one is cut, the first stays
+    assert plain[0]["text"] == odd[5][1] and len(plain[1]["text"]) < 200
+    out = substring_dedup.dedup(docs, within=True)
+    assert {r["__key"] + r["__firsts"] for r in out.collect()} == {"ownown"}
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
     texts = defaultdict(list)
     for i, t in got:
@@ -225,6 +230,39 @@ def test_passages_of_awkward_rows(spark, monkeypatch, picked):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0 and substring_dedup.passages(docs.limit(0)).count() == 0
 
 
+def plain_covered(rows, least=substring_dedup.RUN_WORDS):
+    """Words of each text in spans of whole chunks, least words at least, that another text holds too."""
+    chunks = {}
+    for i, t in rows.items():
+        c = digests(t)
+        chunks[i] = [(d, n) for d, n in zip(c.digest.tolist(), c.size.tolist(), strict=True) if d]
+    held = defaultdict(set)
+    for i, c in chunks.items():
+        for a in range(len(c)):
+            for b in range(a + 1, min(len(c), a + 12) + 1):
+                held[tuple(d for d, _ in c[a:b])].add(i)
+    out = {}
+    for i, c in chunks.items():
+        known = {k for a in range(len(c)) for b in range(a + 1, min(len(c), a + 12) + 1) if len(held[tuple(d for d, _ in c[a:b])]) > 1 and sum(n for _, n in c[a:b]) >= least for k in range(a, b)}
+        if known:
+            out[i] = sum(c[k][1] for k in known)
+    return out
+
+
+def test_passages_against_all_spans(spark):
+    rows, _ = passages(9)
+    rng = random.Random(3)
+    for i in range(80, 110):
+        # pieces of other texts, some of them just long enough
+        other = rows[rng.randrange(80)].split()
+        at, n = rng.randrange(len(other)), rng.randint(15, 60)
+        rows[i] = " ".join(rows[i - 80].split()[:15] + other[at : at + n] + rows[i - 60].split()[-9:])
+    got = {r["doc_id"]: r["repeated_words"] for r in substring_dedup.passages(documents(spark, rows.items())).collect()}
+    want = plain_covered(rows)
+    # small chunks between found ones go along, so a run may have a few words more
+    assert set(got) == set(want) and all(0 <= got[i] - want[i] <= 6 for i in want) and 20 < len(want) < 100
+
+
 def test_chunks_do_not_depend_on_neighbours():
     rows, shared = passages()
     text = shared[0].encode()
