@@ -57,10 +57,14 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
 def sampled_features(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column | None, rows: int = SAMPLE_ROWS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the sample, in the order of ids; at most rows rows reach the driver."""
+    """Features and labels of the sample, in the order of ids; at most rows ids reach the driver, and one document of each.
+
+    Of documents that share a labelled id, the one with the smallest statistics, in
+    the order of their columns, is taken whole.
+    """
     sample = label_sample(labels, id_col, label_col, fold, rows)
     # the sample has a proven bound, so it is broadcast and the scan of documents stays in place
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("id")), "id")
-    stats = with_statistics(texts, "id", "text").groupBy("id").agg(*(F.min(c).alias(c) for c in COLUMNS))
+    stats = with_statistics(texts, "id", "text").groupBy("id").agg(F.min(F.struct(*COLUMNS)).alias("least")).select("id", "least.*")
     got = stats.join(F.broadcast(sample), "id").orderBy("id").toPandas()
     return features({c: got[c].to_numpy() for c in COLUMNS}), got["label"].to_numpy(np.float64)

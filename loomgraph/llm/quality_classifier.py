@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import boosting
 from loomgraph.llm.arrays import by_slices
 from loomgraph.llm.labelled import SAMPLE_ROWS, features, id_remainder, sampled_features
-from loomgraph.llm.session import prepare
+from loomgraph.llm.session import free_name, prepare
 from loomgraph.llm.statistics import COLUMNS, all_arrays
 
 #: A document is good from this score on.
@@ -19,7 +19,11 @@ GOOD = 0.7
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: Column | None = None, rows: int = SAMPLE_ROWS) -> boosting.Forest:
-    """Fits the trees on at most rows labelled documents."""
+    """Fits the trees on at most rows labelled documents.
+
+    Null ids and labels are left out; an id that labels repeat counts once, with its
+    smallest label. Without both classes the trees give the share of label 1.
+    """
     prepare(docs.sparkSession)
     return boosting.fit(*sampled_features(docs, labels, id_col, text_col, label_col, fold, rows))
 
@@ -32,7 +36,7 @@ def score(docs: DataFrame, model: boosting.Forest, text_col: str = "text", keep:
     """
     prepare(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
-    inner = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    inner = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(free_name("__text", keep)))
 
     def make(raw, offsets):
         return [model.probability(features(dict(zip(COLUMNS, all_arrays(raw, offsets), strict=True))))]
@@ -56,6 +60,7 @@ def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: boosting.Forest, text_col: str = "text", least: float = GOOD) -> DataFrame:
-    """The rows whose text scores at least least, columns unchanged."""
-    kept = score(docs, model, text_col, keep=docs.columns, score_col="__score")
-    return kept.where(F.col("__score") >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows whose text scores at least least, columns unchanged. Null and empty texts score by their zero statistics."""
+    name = free_name("__score", docs.columns)
+    kept = score(docs, model, text_col, keep=docs.columns, score_col=name)
+    return kept.where(F.col(name) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
