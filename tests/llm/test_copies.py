@@ -550,3 +550,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(clean) == set(cut) - {40} and set(mix) == set(clean)
     assert sum(r["taken"] for r in mix.values()) > 0.99 * sum(r["size"] for r in mix.values())
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == set(mix)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (None, None), (2, ""), (2, "")], [(5, "some words that are here " * 8)] * 3 + [(None, "some words that are here " * 8), (6, "x " * 60_000)]])
+def test_pipeline_of_awkward_rows(spark, tmp_path, rows):
+    import corpus_pipeline as P
+
+    own = ["__score", "__text", "__id", "__node", "__key", "__digests", "size", "id"]
+    docs = documents(spark, rows)
+    for c in own:
+        docs = docs.withColumn(c, F.lit("own"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (1, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (1, "nowhere to be found in any text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = docs
+    for _, stage in P.STAGES[:-1]:
+        at = written(stage(spark, at, str(tmp_path)), "stage")
+        assert at.columns == docs.columns and at.count() <= len(rows)
+        assert {r[c] for r in at.select(*own).collect() for c in own} <= {"own"}
+    assert P.run(spark, str(tmp_path)).count() <= len(rows)
+
+
+def test_pipeline_deletes_what_it_reads_no_more(spark, tmp_path):
+    import corpus_pipeline as P
+    from loomgraph.llm.session import held_tables
+
+    documents(spark, [(i, f"text number {i} of some more words " * 9) for i in range(30)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = set(held_tables())
+    P.run(spark, str(tmp_path)).count()
+    # the last stage's input and its tables of keys and sources
+    assert len(set(held_tables()) - before) <= 3
