@@ -33,7 +33,7 @@ STATES = {
 }
 ACTIONABLE = ("DISCOVERED", "METADATA_RESOLVED", "FULLTEXT_AVAILABLE", "EXTRACTION_PENDING")
 
-#: Experiment ceilings of gene claims.
+#: Experiment ceilings of gene claims. Each of the tables below has the ranks that an experiment can reach at most.
 CEILINGS = {
     "positional cloning": 70, "mutant mapping": 70, "variant knock-in": 70, "somatic reversion analysis": 70,
     "genome editing": 60, "morpholino knockdown": 60, "mutant rescue": 60, "transgenic rescue": 60,
@@ -44,6 +44,35 @@ CEILINGS = {
     "comparative single-cell transcriptomics": 20,
 }
 
+PARTICIPATES_CEILINGS = {name: min(rank, 60) for name, rank in CEILINGS.items()} | {
+    "transgenic overexpression": 60, "complementation test": 60, "functional analysis": 20, "go term annotation": 20, "candidate gene reasoning": 20,
+}
+PHENOTYPE_CEILINGS = {
+    "genome editing": 60, "morpholino knockdown": 60, "mutant rescue": 60, "transgenic rescue": 60, "variant knock-in": 60,
+    "positional cloning": 40, "mutant mapping": 40, "linkage analysis": 40,
+    "expression analysis": 30, "rt-pcr": 30, "rna-seq": 30, "in situ hybridization": 30,
+    "phenotype description": 20, "mutant characterization": 20, "skeletal analysis": 20, "literature attribution": 20, "breeder description": 10,
+}
+ANATOMY_CEILINGS = {"phenotype description": 20, "mutant characterization": 20, "skeletal analysis": 20, "breeder description": 10}
+SAME_CEILINGS = {
+    "lesion sequencing": 70, "complementation test": 60, "fine mapping": 50,
+    "variant genotyping": 40, "variant calling": 40, "gwas": 40, "linkage analysis": 40,
+    "expression analysis": 30, "locus comparison": 20, "literature attribution": 20, "mutant discovery": 20,
+}
+INHERITANCE_CEILINGS = {
+    "segregation analysis": 40, "linkage analysis": 40, "gwas": 40, "variant genotyping": 40,
+    "literature attribution": 20, "genotype notation": 20, "strain description": 20, "phenotype definition": 20, "double mutant description": 20,
+    "breeder description": 10, "inference": 5,
+}
+GENE_PREDICATES = ("associated_with_gene", "associated_with_locus", "caused_by_variant")
+INHERITANCE_PREDICATES = ("inherited_as", "dominant_over", "incompletely_dominant_over", "requires_allele", "linked_to", "masks", "composed_of")
+#: The table that bounds each predicate; others have no ceiling.
+CEILINGS_OF = {
+    **dict.fromkeys(GENE_PREDICATES, CEILINGS), "participates_in": PARTICIPATES_CEILINGS, "has_phenotype": PHENOTYPE_CEILINGS,
+    "affects_anatomy": ANATOMY_CEILINGS, "putatively_same_as": SAME_CEILINGS, "allele_of": CEILINGS | {"inference": 5},
+    **dict.fromkeys(INHERITANCE_PREDICATES, INHERITANCE_CEILINGS),
+}
+
 #: Node labels and the prefixes of their ids.
 PREFIXES = {
     "OrnamentalTrait": "trait", "Phenotype": "pheno", "Gene": "gene", "GeneticVariant": "var", "Locus": "locus", "BiologicalMechanism": "mech",
@@ -115,6 +144,13 @@ AMBIGUOUS = (
     "iridophore depletion", "ectopic dorsal iridophore", "bioelectric fin size regulation",
 )
 MIN_SAFE_LENGTH, MAX_MENTIONS, MAX_CANDIDATES = 4, 6, 60
+#: Sections whose names hold one of these are no evidence.
+NO_EVIDENCE = (
+    "reference", "acknowledg", "funding", "author contribution", "supplementary", "supporting information", "conflict of interest",
+    "competing interest", "data availability", "ethics", "abbreviation",
+)
+#: Forms of language tags and vocabulary ids.
+LANGUAGE_TAG, VOCABULARY_ID = r"^[a-z]{2,3}(-[A-Za-z0-9]{2,8})*$", r"^bv:[0-9]{4}$"
 ABBREVIATIONS = ("et al.", "e.g.", "i.e.", "Fig.", "cf.", "ca.", "approx.")
 #: Tokens with a gene symbol's shape that are none: prefixes and their highest numbers, and single ones.
 NOT_SYMBOLS = {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import fixed
+from loomgraph.operators.storage import written
 
 
 def supports() -> Column:
@@ -21,6 +22,7 @@ def summarise(evidence: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_evidence"),
         F.count_if(supports()).alias("n_supports"),
         F.count_if(~supports()).alias("n_contradicts"),
+        F.count_if(F.col("level_rank") == fixed.LEVELS["UNKNOWN"]).alias("n_unknown"),
         F.coalesce(F.max(F.when(supports(), F.col("level_rank"))), F.lit(0)).alias("best_rank"),
     )
 
@@ -71,14 +73,50 @@ def classify(evidence: DataFrame, keys: list[str]) -> DataFrame:
     return flags.select(*keys, "best_rank", basis.alias("basis"))
 
 
-def review_reasons(claims: DataFrame) -> Column:
-    """Sorted reasons to review a claim."""
-    reasons = F.array(
+def review_reasons(explicit: Column | None = None) -> Column:
+    """Sorted reasons to review a claim: what its record says, and what follows from its predicate and evidence.
+
+    Any evidence of an unknown level counts, whatever its stance and however strong the rest is.
+    """
+    derived = F.array_compact(F.array(
         F.when((F.col("n_supports") > 0) & (F.col("n_contradicts") > 0), "CONTRADICTORY_EVIDENCE"),
-        F.when(F.col("best_rank").isin(*fixed.DIRECT_RANKS), "NEW_CAUSAL_VARIANT"),
-        F.when(F.col("best_rank") == 0, "EVIDENCE_LEVEL_UNCLEAR"),
-    )
-    return F.array_sort(F.array_distinct(F.array_compact(reasons)))
+        F.when(F.col("predicate") == "caused_by_variant", "NEW_CAUSAL_VARIANT"),
+        F.when(F.col("predicate") == "putatively_same_as", "BREEDER_ACADEMIC_LINK"),
+        F.when(F.col("n_unknown") > 0, "EVIDENCE_LEVEL_UNCLEAR")))
+    return F.array_sort(F.array_distinct(derived if explicit is None else F.concat(derived, F.coalesce(explicit, F.array().cast("array<string>")))))
+
+
+def bounded(evidence: DataFrame, ceilings: dict[str, dict[str, int]] = fixed.CEILINGS_OF) -> DataFrame:
+    """evidence (predicate, experiment_type, level_rank, ...) of the predicates that have ceilings, with its parts, those unknown to the predicate's table, and the ceiling.
+
+    The tables are a few hundred facts and become one map, so nothing is joined.
+    """
+    facts = F.create_map(*(F.lit(x) for predicate, table in ceilings.items() for kind, rank in table.items() for x in (f"{predicate}|{kind}", rank)))
+    rows = evidence.where(F.col("predicate").isin(*ceilings)).withColumn("parts", experiment_parts(F.coalesce("experiment_type", F.lit(""))))
+    ranks = F.transform("parts", lambda p: F.element_at(facts, F.concat_ws("|", "predicate", p)))
+    rows = rows.withColumn("unknown", F.filter("parts", lambda p: F.element_at(facts, F.concat_ws("|", "predicate", p)).isNull()))
+    return rows.withColumn("ceiling", F.when((F.size("unknown") == 0) & (F.size("parts") > 0), F.array_max(ranks)))
+
+
+def ceiling_problems(evidence: DataFrame, ceilings: dict[str, dict[str, int]] = fixed.CEILINGS_OF) -> DataFrame:
+    """evidence above what its experiment can show, or whose experiment has no ceiling, each with the problem."""
+    rows = bounded(evidence, ceilings)
+    problem = F.when(F.size("parts") == 0, "no experiment, so no ceiling")
+    problem = problem.when(F.size("unknown") > 0, F.concat(F.lit("no ceiling for "), F.array_join("unknown", ", ")))
+    problem = problem.when(F.col("level_rank") > F.col("ceiling"), F.concat(fixed.level_of(F.col("level_rank")), F.lit(" is above "), fixed.level_of(F.col("ceiling"))))
+    return rows.withColumn("problem", problem).where(F.col("problem").isNotNull())
+
+
+def shape_problem(predicate: Column, subject_label: Column, object_label: Column) -> Column:
+    """Which end of a claim its predicate does not allow, the subject first; null where both fit."""
+    def allowed(k: int) -> Column:
+        return F.create_map(*(x for name, ends in fixed.SHAPES.items() for x in (F.lit(name), F.array(*map(F.lit, sorted(ends[k]))))))[predicate]
+
+    def said(end: str, k: int, label: Column) -> Column:
+        return F.concat(predicate, F.lit(f": {end} must be "), F.array_join(allowed(k), " or "), F.lit(", not "), label)
+
+    return F.when(allowed(0).isNull(), F.concat(F.lit("no shape for "), predicate)).when(~F.array_contains(allowed(0), subject_label), said("subject", 0, subject_label)).when(
+        ~F.array_contains(allowed(1), object_label), said("object", 1, object_label))
 
 
 def shared_targets(claims: DataFrame, subsumes: DataFrame, subject: str, target: str) -> DataFrame:
@@ -101,18 +139,37 @@ def nominate(evidence: DataFrame, phenotypes: DataFrame, roots: DataFrame) -> Da
 
     phenotypes: (trait_id, phenotype); roots: (trait_id, root) of subsumption. Only
     claims with a DIRECT or MAPPED basis nominate, and only the papers of the evidence
-    that gives the basis count. Neighbours are first counted per phenotype, root and
-    gene, so that the trait side meets sums and not every neighbour's evidence.
+    that gives the basis count. Traits of the own root never count, so everything is
+    counted once for each phenotype and gene, and a trait takes that less its own
+    root's part; a trait never meets its neighbours one by one. Only pairs that come
+    from several phenotypes are counted again, as neighbours may share more than one.
     """
     basis = classify(evidence, ["trait_id", "gene_id"]).where(F.col("basis").isin("DIRECT", "MAPPED"))
     fits = F.when(F.col("basis") == "DIRECT", is_direct()).otherwise(is_mapped())
     told = evidence.join(basis.select("trait_id", "gene_id", "basis"), ["trait_id", "gene_id"]).where(fits).select("trait_id", "gene_id", "paper_id").distinct()
-    located = phenotypes.join(roots, "trait_id")
-    neighbours = told.join(located, "trait_id").select("phenotype", "gene_id", F.col("root").alias("via"), F.col("trait_id").alias("neighbour"), "paper_id").distinct()
-    found = located.join(neighbours, "phenotype").where((F.col("root") != F.col("via")) & (F.col("trait_id") != F.col("neighbour")))
-    return found.groupBy("trait_id", "gene_id").agg(
-        F.countDistinct("phenotype").alias("phenotypes"), F.countDistinct("neighbour").alias("neighbours"), F.countDistinct("via").alias("via"), F.countDistinct("paper_id").alias("papers")
-    ).withColumn("convergent", (F.col("via") >= fixed.MIN_NEIGHBOURS) & (F.col("papers") >= fixed.MIN_PAPERS))
+    located = phenotypes.select("trait_id", "phenotype").distinct().join(roots, "trait_id")
+    near = written(told.join(located, "trait_id").select("phenotype", "gene_id", "root", F.col("trait_id").alias("neighbour"), "paper_id"))
+    pair, own = ["phenotype", "gene_id"], ["phenotype", "gene_id", "root"]
+    # neighbours belong to one root each; papers may belong to several
+    by_root = near.groupBy(*own).agg(F.countDistinct("neighbour").alias("own_neighbours"))
+    papers = near.groupBy(*pair, "paper_id").agg(F.min("root").alias("root"), F.max("root").alias("other"))
+    alone = papers.where(F.col("root") == F.col("other")).groupBy(*own).agg(F.count(F.lit(1)).alias("own_papers"))
+    total = by_root.groupBy(*pair).agg(F.sum("own_neighbours").alias("neighbours"), F.count(F.lit(1)).alias("via")).join(papers.groupBy(*pair).agg(F.count(F.lit(1)).alias("papers")), pair)
+    rows = located.join(total, "phenotype").join(by_root, own, "left").join(alone, own, "left")
+    mine = F.col("own_neighbours").isNotNull()
+    rows = rows.select("trait_id", "gene_id", "phenotype", "root", (F.col("neighbours") - F.coalesce("own_neighbours", F.lit(0))).alias("neighbours"), (F.col("via") - mine.cast("int")).alias("via"), (F.col("papers") - F.coalesce("own_papers", F.lit(0))).alias("papers"))
+    found = rows.where(F.col("neighbours") > 0)
+    summed = found.groupBy("trait_id", "gene_id").agg(
+        F.count(F.lit(1)).alias("phenotypes"), F.first("neighbours").alias("neighbours"), F.first("via").alias("via"), F.first("papers").alias("papers"), F.first("root").alias("root"), F.collect_list("phenotype").alias("of")
+    )
+    summed = written(summed)
+    counted = ["phenotypes", "neighbours", "via", "papers"]
+    one = summed.where(F.col("phenotypes") == 1).select("trait_id", "gene_id", *counted)
+    several = summed.where(F.col("phenotypes") > 1).select("trait_id", "gene_id", F.col("root").alias("own_root"), "phenotypes", F.explode("of").alias("phenotype"))
+    again = several.join(near, pair).where(F.col("root") != F.col("own_root")).groupBy("trait_id", "gene_id", "phenotypes").agg(
+        F.countDistinct("neighbour").alias("neighbours"), F.countDistinct("root").alias("via"), F.countDistinct("paper_id").alias("papers"))
+    out = one.unionByName(again.select("trait_id", "gene_id", *counted))
+    return out.withColumn("convergent", (F.col("via") >= fixed.MIN_NEIGHBOURS) & (F.col("papers") >= fixed.MIN_PAPERS))
 
 
 def position(trait_chromosomes: Column, gene_chromosome: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.storage import numbered
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, create_only: tuple[str, ...] = (), back_fill: tuple[str, ...] = (), non_empty: tuple[str, ...] = (), append: tuple[str, ...] = ()) -> DataFrame:
     """One row per key of either side.
@@ -36,19 +38,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, create_only: tuple[str, ...
 
 
 def stable_ids(known: DataFrame, keys: DataFrame, key: str, position: str, prefix: str = "bv:") -> DataFrame:
-    """(key, id): known ids stay, new keys get the next numbers in the order of their first position.
-
-    New keys are numbered by a range sort and the counts of its partitions before
-    them, so that no window over all rows meets in one task.
-    """
-    first = keys.groupBy(key).agg(F.min(position).alias("__at"))
-    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
-    top = known.agg(F.coalesce(F.max(number), F.lit(0)).alias("__top"))
-    new = first.join(known.select(key), key, "left_anti").repartitionByRange(F.col("__at"), F.col(key)).sortWithinPartitions("__at", key)
-    new = new.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33) + 1)
-    before = new.groupBy("__p").agg(F.max("__n").alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    told = new.join(F.broadcast(before), "__p").crossJoin(F.broadcast(top))
-    fresh = told.select(key, F.concat(F.lit(prefix), F.lpad((F.col("__top") + F.col("__before") + F.col("__n")).cast("string"), 4, "0")).alias("id"))
+    """(key, id): known ids stay, new keys get the next numbers in the order of their first position."""
+    first = keys.groupBy(key).agg(F.min(position).alias("__first"))
+    top = known.agg(F.coalesce(F.max(F.regexp_extract("id", "([0-9]+)$", 1).cast("long")), F.lit(0)).alias("__top"))
+    new = numbered(first.join(known.select(key), key, "left_anti"), "__n", F.asc("__first"), F.asc(key)).crossJoin(F.broadcast(top))
+    number = (F.col("__top") + F.col("__n")).cast("string")
+    fresh = new.select(key, F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0"))).alias("id"))
     return known.select(key, "id").unionByName(fresh)
 
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; on one machine a folder of our own where it is unset."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(named or "/tmp/loomgraph-checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -22,3 +25,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their place in the order, from 1 on.
+
+    Rows are sorted by range and written once; the sizes of the ranges before give each
+    its start, so that no window over all rows meets in one task.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    held = written(dealt.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__range").cast("long"), 33) + 1))
+    sizes = held.groupBy("__range").agg(F.max("__at").alias("__size"))
+    # a row for each range
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range").withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")

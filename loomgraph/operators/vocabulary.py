@@ -37,10 +37,16 @@ def audit(terms: DataFrame) -> DataFrame:
     return scattered.unionByName(merged).unionByName(collided)
 
 
-def same_word(a: Column, b: Column, reading_a: Column, reading_b: Column) -> Column:
-    """Spellings of one word: alike, or one's reading is the other's spelling or reading."""
-    said_a, said_b = F.coalesce(reading_a, F.lit("")) != "", F.coalesce(reading_b, F.lit("")) != ""
-    return (a == b) | (said_a & ((reading_a == b) | (said_b & (reading_a == reading_b)))) | (said_b & (reading_b == a))
+def same_words(words: DataFrame) -> DataFrame:
+    """(a, b), a before b: different spellings of one word in (word, reading), as one reads like the other is spelled or both read alike.
+
+    Equi joins on spelling and on reading, so that no pair is tried that does not hold;
+    an empty or null reading says nothing.
+    """
+    said = words.where(F.coalesce("reading", F.lit("")) != "").select("word", "reading").distinct()
+    spelled = said.select(F.col("word").alias("x"), F.col("reading").alias("y")).join(words.select(F.col("word").alias("y")).distinct(), "y", "left_semi")
+    alike = said.withColumnRenamed("word", "x").join(said.withColumnRenamed("word", "y"), "reading").where("x < y").select("x", "y")
+    return spelled.unionByName(alike).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def basis_ok(basis: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import fixed
 from loomgraph.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,18 @@ ORACLES: dict[str, str] = {}
 EXPERIMENTS = {1: "positional cloning", 2: "Genome Editing", 3: "gwas", 4: "expression analysis", 5: "morpholino knockdown and a new assay", 6: "variant calling and genome editing", 7: "phenotype description"}
 
 
+PREDICATES = list(fixed.SHAPES)
+
+
+def predicate_of(trait: Column) -> Column:
+    """The predicate of a trait's claims; all of them occur."""
+    return F.element_at(F.array(*map(F.lit, PREDICATES)), (trait % len(PREDICATES) + 1).cast("int"))
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
 class Graph:
     """Parts as traits, suppliers as genes, orders as papers and line items as evidence."""
 
@@ -50,8 +63,9 @@ class Graph:
 
     @cached_property
     def subsumes(self) -> DataFrame:
+        """Small parts hang under the one before them, so components are chains of any length."""
         p = F.col("p_partkey")
-        return self.read("part").where((p % 10).isin(1, 2)).select((p - p % 10).alias("subject_id"), p.alias("object_id"))
+        return self.read("part").where("p_size <= 12 AND p_partkey > 0").select((p - 1).alias("subject_id"), p.alias("object_id"))
 
     @cached_property
     def gene(self) -> DataFrame:
@@ -75,7 +89,7 @@ class Graph:
         """One row per (trait, gene): counts of stances and the strongest support."""
         from loomgraph.operators.claims import summarise
 
-        return summarise(self.evidence, ["trait_id", "gene_id"])
+        return summarise(self.evidence, ["trait_id", "gene_id"]).withColumn("predicate", predicate_of(F.col("trait_id")))
 
 
 _WHEN = "CASE l_linenumber " + " ".join(f"WHEN {n} THEN '{x}'" for n, x in EXPERIMENTS.items()) + " END"
@@ -88,13 +102,13 @@ TABLES = {
   FROM lineitem""",
     "trait": """SELECT p_partkey AS trait_id, p_name AS name, p_type AS category, p_brand AS phenotype,
   CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END AS is_composite, p_size % 24 + 1 AS trait_chromosome FROM part""",
-    "subsumes": "SELECT p_partkey - p_partkey % 10 AS subject_id, p_partkey AS object_id FROM part WHERE p_partkey % 10 IN (1, 2)",
+    "subsumes": "SELECT p_partkey - 1 AS subject_id, p_partkey AS object_id FROM part WHERE p_size <= 12 AND p_partkey > 0",
     "gene": "SELECT s_suppkey AS gene_id, s_name AS name, s_nationkey % 24 + 1 AS gene_chromosome, s_nationkey AS mechanism_id FROM supplier",
     "mechanism": "SELECT n_nationkey AS mechanism_id, n_name AS name, n_regionkey AS anatomy_id FROM nation",
     "anatomy": "SELECT r_regionkey AS anatomy_id, r_name AS name FROM region",
     "paper": """SELECT o_orderkey AS paper_id, year(o_orderdate) AS pub_year, o_orderpriority AS journal,
   CASE o_orderstatus WHEN 'P' THEN 'DISCOVERED' WHEN 'O' THEN 'FULLTEXT_AVAILABLE' ELSE 'ACCEPTED' END AS state FROM orders""",
-    "claim": """SELECT trait_id, gene_id, count(*) AS n_evidence, count(*) FILTER (WHERE stance = 'SUPPORTS') AS n_supports,
+    "claim": f"""SELECT trait_id, gene_id, {sql_list(PREDICATES)}[(trait_id % {len(PREDICATES)} + 1)::INT] AS predicate, count(*) AS n_evidence, count(*) FILTER (WHERE level_rank = 0) AS n_unknown, count(*) FILTER (WHERE stance = 'SUPPORTS') AS n_supports,
   count(*) FILTER (WHERE stance = 'CONTRADICTS') AS n_contradicts,
   coalesce(max(CASE WHEN stance = 'SUPPORTS' THEN level_rank END), 0) AS best_rank FROM evidence GROUP BY trait_id, gene_id""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import fixed
 from loomgraph.operators import claims as C
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.storage import numbered
 from loomgraph.plans.base import Graph, query
 
 LEVEL = fixed.level_sql("best_rank")
@@ -48,25 +49,27 @@ FROM trait t LEFT JOIN claim c USING (trait_id) GROUP BY t.trait_id, t.category,
 def Q04_J04_A01_W04_list_traits(g: Graph) -> DataFrame:
     counts = g.evidence.groupBy("trait_id").agg(F.countDistinct("gene_id").alias("n_claims"))
     rows = g.trait.join(counts, "trait_id", "left").select("trait_id", "category", "name", F.coalesce("n_claims", F.lit(0)).alias("n_claims"))
-    order = Window.orderBy(F.col("category").asc_nulls_last(), F.col("name").asc_nulls_last(), "trait_id")
-    return rows.withColumn("position", F.row_number().over(order))
+    return numbered(rows, "position", F.col("category").asc_nulls_last(), F.col("name").asc_nulls_last(), F.asc("trait_id"))
 
 
 @query("""
 WITH reasons AS (
-  SELECT trait_id, gene_id, n_supports, n_contradicts, list_sort(list_filter([
-    CASE WHEN n_supports > 0 AND n_contradicts > 0 THEN 'CONTRADICTORY_EVIDENCE' END, CASE WHEN best_rank IN (60, 70) THEN 'NEW_CAUSAL_VARIANT' END,
-    CASE WHEN best_rank = 0 THEN 'EVIDENCE_LEVEL_UNCLEAR' END], lambda x: x IS NOT NULL)) AS reasons FROM claim)
-SELECT trait_id, gene_id, n_supports, n_contradicts, array_to_string(reasons, ',') AS reasons,
+  SELECT trait_id, gene_id, predicate, n_supports, n_contradicts, list_sort(list_distinct(list_filter([
+    CASE WHEN n_supports > 0 AND n_contradicts > 0 THEN 'CONTRADICTORY_EVIDENCE' END, CASE WHEN predicate = 'caused_by_variant' THEN 'NEW_CAUSAL_VARIANT' END,
+    CASE WHEN predicate = 'putatively_same_as' THEN 'BREEDER_ACADEMIC_LINK' END, CASE WHEN n_unknown > 0 THEN 'EVIDENCE_LEVEL_UNCLEAR' END,
+    CASE WHEN p_size = 7 THEN 'NEW_CAUSAL_VARIANT' WHEN p_size = 8 THEN 'LOW_RESOLUTION_CONFIDENCE' END], lambda x: x IS NOT NULL))) AS reasons FROM claim JOIN part ON p_partkey = trait_id)
+SELECT trait_id, gene_id, predicate, n_supports, n_contradicts, array_to_string(reasons, ',') AS reasons,
   row_number() OVER (ORDER BY n_contradicts DESC, len(reasons) DESC, trait_id, gene_id) AS position
-FROM reasons WHERE len(reasons) > 0 ORDER BY position LIMIT 200
+FROM reasons WHERE len(reasons) > 0
 """)
 def Q05_A02_A12_W03_review_queue(g: Graph) -> DataFrame:
-    """The head of the queue: a limit after the order, so no full sort of the rest."""
-    rows = g.claim.withColumn("why", C.review_reasons(g.claim)).where(F.size("why") > 0)
-    top = rows.orderBy(F.desc("n_contradicts"), F.desc(F.size("why")), "trait_id", "gene_id").limit(200)
-    order = Window.orderBy(F.desc("n_contradicts"), F.desc(F.size("why")), "trait_id", "gene_id")
-    return top.withColumn("position", F.row_number().over(order)).select("trait_id", "gene_id", "n_supports", "n_contradicts", F.concat_ws(",", "why").alias("reasons"), "position")
+    """The whole queue in order, with the reasons that a record states (here by a part's size) and those that follow."""
+    size = F.col("p_size")
+    stated = F.when(size == 7, F.array(F.lit("NEW_CAUSAL_VARIANT"))).when(size == 8, F.array(F.lit("LOW_RESOLUTION_CONFIDENCE")))
+    rows = g.claim.join(g.read("part").select(F.col("p_partkey").alias("trait_id"), stated.alias("stated")), "trait_id")
+    rows = rows.withColumn("why", C.review_reasons(F.col("stated"))).where(F.size("why") > 0)
+    rows = rows.select("trait_id", "gene_id", "predicate", "n_supports", "n_contradicts", F.concat_ws(",", "why").alias("reasons"), F.size("why").alias("n_reasons"))
+    return numbered(rows, "position", F.desc("n_contradicts"), F.desc("n_reasons"), F.asc("trait_id"), F.asc("gene_id")).drop("n_reasons")
 
 
 @query("SELECT trait_id, gene_id, n_supports, n_contradicts FROM claim WHERE n_supports > 0 AND n_contradicts > 0")
@@ -86,15 +89,15 @@ def J05_J07_semi_joins(g: Graph) -> DataFrame:
 
 
 @query("""
-WITH held AS (SELECT trait_id, gene_id, n_contradicts > 0 AS contested FROM claim WHERE n_supports > 0 AND best_rank = 70)
+WITH held AS (SELECT trait_id, gene_id, n_contradicts > 0 AS contested FROM claim WHERE n_supports > 0 AND predicate IN ('associated_with_gene', 'associated_with_locus', 'caused_by_variant'))
 SELECT a.trait_id AS a, b.trait_id AS b, array_to_string(list_sort(array_agg(DISTINCT a.gene_id)), ',') AS genes, bool_or(a.contested OR b.contested) AS contested
 FROM held a JOIN held b ON a.gene_id = b.gene_id AND a.trait_id < b.trait_id
 WHERE NOT EXISTS (SELECT 1 FROM subsumes s WHERE (s.subject_id = a.trait_id AND s.object_id = b.trait_id) OR (s.subject_id = b.trait_id AND s.object_id = a.trait_id))
 GROUP BY a.trait_id, b.trait_id
 """)
 def Q07_J06_J08_J09_A04_A05_shared_genes(g: Graph) -> DataFrame:
-    """Over claims at the highest level."""
-    out = C.shared_targets(g.claim.where(F.col("best_rank") == 70), g.subsumes, "trait_id", "gene_id")
+    """Over supported claims of the predicates that name genes."""
+    out = C.shared_targets(g.claim.where(F.col("predicate").isin(*fixed.GENE_PREDICATES)), g.subsumes, "trait_id", "gene_id")
     return out.select("a", "b", F.concat_ws(",", F.col("targets").cast("array<string>")).alias("genes"), "contested")
 
 
@@ -144,25 +147,22 @@ def Q10_S03_A07_U01_graph_counts(g: Graph) -> DataFrame:
 @query("""
 SELECT paper_id, pub_year, row_number() OVER (ORDER BY pub_year DESC NULLS FIRST, paper_id) AS position
 FROM paper WHERE state <> 'ACCEPTED' AND (journal = '1-URGENT' OR coalesce(CASE WHEN journal = '2-HIGH' THEN 1 END, -1) < 1)
-ORDER BY position LIMIT 100
 """)
 def Q11_P06_W05_X06_unprocessed_papers(g: Graph) -> DataFrame:
     """Never processed, or processed by an older version; newest first, unknown years first of all."""
     version = F.when(F.col("journal") == "2-HIGH", 1)
     rows = g.paper.where((F.col("state") != "ACCEPTED") & ((F.col("journal") == "1-URGENT") | (F.coalesce(version, F.lit(-1)) < 1)))
-    order = [F.col("pub_year").desc_nulls_first(), F.col("paper_id").asc()]
-    return rows.orderBy(*order).limit(100).select("paper_id", "pub_year").withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return numbered(rows.select("paper_id", "pub_year"), "position", F.col("pub_year").desc_nulls_first(), F.asc("paper_id"))
 
 
 @query("""
-WITH ranked AS (SELECT paper_id, state, coalesce(pub_year, 0) AS pub_year, row_number() OVER (PARTITION BY state ORDER BY coalesce(pub_year, 0) DESC, paper_id) AS n
-  FROM paper WHERE state IN ('DISCOVERED', 'METADATA_RESOLVED', 'FULLTEXT_AVAILABLE', 'EXTRACTION_PENDING'))
-SELECT state, paper_id, pub_year, n FROM ranked WHERE n <= 50
+SELECT state, paper_id, coalesce(pub_year, 0) AS pub_year, row_number() OVER (ORDER BY coalesce(pub_year, 0) DESC, paper_id) AS position
+FROM paper WHERE state IN ('DISCOVERED', 'METADATA_RESOLVED', 'FULLTEXT_AVAILABLE', 'EXTRACTION_PENDING')
 """)
 def Q12_W06_X05_papers_in_states(g: Graph) -> DataFrame:
+    """All papers that wait for a step, newest first; a caller's limit is a limit on position."""
     rows = g.paper.where(F.col("state").isin(*fixed.ACTIONABLE)).select("state", "paper_id", F.coalesce("pub_year", F.lit(0)).alias("pub_year"))
-    n = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("pub_year"), "paper_id"))
-    return rows.withColumn("n", n).where(F.col("n") <= 50)
+    return numbered(rows, "position", F.desc("pub_year"), F.asc("paper_id"))
 
 
 @query("SELECT CASE WHEN state = 'ACCEPTED' THEN 'UNTRACKED' ELSE state END AS state, count(*) AS n FROM paper GROUP BY 1")
@@ -206,23 +206,25 @@ def Q18_T23_classify(g: Graph) -> DataFrame:
     return C.classify(g.evidence, ["trait_id", "gene_id"])
 
 
-_NARROW = "evidence_c AS (SELECT * FROM evidence WHERE level_rank >= 60 AND trait_id % 5 < 3)"
-_NOMINATED = f"""roots AS (SELECT t.trait_id, coalesce(min(s.subject_id), t.trait_id) AS root FROM trait t LEFT JOIN subsumes s ON s.object_id = t.trait_id OR s.subject_id = t.trait_id GROUP BY t.trait_id),
+_NOMINATED = f"""both_ways AS (SELECT subject_id AS a, object_id AS b FROM subsumes UNION SELECT object_id, subject_id FROM subsumes),
+reach AS (SELECT trait_id, trait_id AS seen FROM trait UNION SELECT r.trait_id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
+roots AS (SELECT trait_id, min(seen) AS root FROM reach GROUP BY trait_id),
 told AS (SELECT DISTINCT e.trait_id, e.gene_id, e.paper_id FROM evidence e JOIN basis b USING (trait_id, gene_id)
   WHERE e.stance = 'SUPPORTS' AND e.species_is_target = 1 AND ((b.basis = 'DIRECT' AND e.level_rank IN (60, 70) AND len(list_filter(string_split(lower(trim(e.experiment_type)), ' and '), lambda p: p IN ({ALLOWED}))) > 0)
     OR (b.basis = 'MAPPED' AND e.level_rank IN (40, 50)))),
-place AS (SELECT trait_id, phenotype || '/' || category || '/' || (trait_id % 40) AS phenotype FROM trait),
+place AS (SELECT p_partkey AS trait_id, p_brand || '/' || p_type || '/' || p_size AS phenotype FROM part UNION SELECT p_partkey, p_name || '/' || p_size || '/' || p_brand FROM part),
 nominated AS (SELECT p.trait_id, n.gene_id, count(DISTINCT p.phenotype) AS phenotypes, count(DISTINCT n.trait_id) AS neighbours, count(DISTINCT rn.root) AS via, count(DISTINCT n.paper_id) AS papers
   FROM place p JOIN roots rp USING (trait_id) JOIN place q ON q.phenotype = p.phenotype JOIN roots rn ON rn.trait_id = q.trait_id JOIN told n ON n.trait_id = q.trait_id
   WHERE rp.root <> rn.root AND p.trait_id <> q.trait_id GROUP BY p.trait_id, n.gene_id)"""
 
 
 def _places(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Phenotypes of traits, fine enough to stay a sparse relation at scale, and subsumption roots."""
-    places = g.trait.select("trait_id", F.concat_ws("/", "phenotype", "category", (F.col("trait_id") % 40).cast("string")).alias("phenotype"))
-    p = F.col("trait_id")
-    # the umbrella of a block of ten is its first part, which is its component's smallest id
-    roots = g.trait.select("trait_id", F.when((p % 10).isin(1, 2), p - p % 10).otherwise(p).alias("root"))
+    """Two phenotypes of each trait, and the components of subsumption as roots."""
+    part = g.read("part")
+    size = F.col("p_size").cast("string")
+    places = part.select(F.col("p_partkey").alias("trait_id"), F.explode(F.array(F.concat_ws("/", "p_brand", "p_type", size), F.concat_ws("/", "p_name", size, "p_brand"))).alias("phenotype"))
+    found = connected_components(g.subsumes.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")))
+    roots = g.trait.select("trait_id").join(found.withColumnRenamed("node", "trait_id"), "trait_id", "left").select("trait_id", F.coalesce("component", "trait_id").alias("root"))
     return places, roots
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import crosses as X
+from loomgraph.operators.storage import numbered
 from loomgraph.plans.base import Graph, query
 from loomgraph.plans.cross_queries import _PARENTS, RULES, _crosses
 
@@ -50,11 +51,11 @@ def T37_traits_in_classes(g: Graph) -> DataFrame:
     return labels.select(X.bare_label(F.col("label")).alias("trait")).distinct()
 
 
-@query("SELECT c.trait_id, c.gene_id FROM claim c WHERE NOT (n_supports > 0 AND n_contradicts > 0) AND gene_id IN (SELECT gene_id FROM claim WHERE n_supports > 0 AND n_contradicts > 0 AND best_rank = 70)")
+@query("SELECT c.trait_id, c.gene_id FROM claim c WHERE NOT (n_supports > 0 AND n_contradicts > 0) AND gene_id IN (SELECT gene_id FROM claim WHERE n_supports > 0 AND n_contradicts > 0)")
 def G07_dispute_one_step_out(g: Graph) -> DataFrame:
-    """Claims that are not disputed themselves but share their gene with a disputed one at the highest level."""
+    """Claims that are not disputed themselves but share their gene with a disputed one."""
     contested = (F.col("n_supports") > 0) & (F.col("n_contradicts") > 0)
-    near = g.claim.where(contested & (F.col("best_rank") == 70)).select("gene_id").distinct()
+    near = g.claim.where(contested).select("gene_id").distinct()
     return g.claim.where(~contested).join(near, "gene_id", "left_semi").select("trait_id", "gene_id")
 
 
@@ -85,15 +86,20 @@ def K11_uniqueness(g: Graph) -> DataFrame:
 
 
 @query("""
-SELECT o.o_orderkey AS id, coalesce(c.c_name, 'NEW') AS resolved, row_number() OVER (ORDER BY o.o_totalprice DESC, o.o_orderkey) AS position FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0
-WHERE o.o_orderstatus = 'P' ORDER BY position LIMIT 100
+WITH named AS (SELECT c_custkey AS id, lower(c_name) AS form FROM customer WHERE c_acctbal > 0), aliases AS (SELECT c_custkey AS id, 'customer ' || c_custkey AS form FROM customer WHERE c_mktsegment = 'BUILDING'),
+asked AS (SELECT o_orderkey AS id, o_totalprice, lower(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Customer ' || o_custkey ELSE 'CUSTOMER#' || lpad(o_custkey::VARCHAR, 9, '0') END) AS form FROM orders WHERE o_orderstatus = 'P')
+SELECT a.id, form, CASE (SELECT count(*) FROM named n WHERE n.form = a.form) WHEN 1 THEN 'RESOLVED_EXACT' WHEN 0 THEN CASE (SELECT count(*) FROM aliases l WHERE l.form = a.form) WHEN 0 THEN 'NEW' WHEN 1 THEN 'RESOLVED_ALIAS' ELSE 'AMBIGUOUS' END ELSE 'AMBIGUOUS' END AS resolved,
+  row_number() OVER (ORDER BY o_totalprice DESC, a.id) AS position FROM asked a
 """, plain=True)
 def Q13_pending_candidates(g: Graph) -> DataFrame:
-    """The head of the queue, each resolved against what is known."""
-    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
-    top = g.read("orders").where("o_orderstatus = 'P'").orderBy(*order).limit(100)
-    known = g.read("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return top.join(known, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("c_name", F.lit("NEW")).alias("resolved"), F.row_number().over(Window.orderBy(*order)).alias("position"))
+    """The whole queue in order, each candidate resolved against names and then aliases."""
+    customer, urgent = g.read("customer"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    named = customer.where("c_acctbal > 0").groupBy(F.lower("c_name").alias("form")).agg(F.count(F.lit(1)).alias("names"))
+    aliases = customer.where("c_mktsegment = 'BUILDING'").groupBy(F.concat(F.lit("customer "), "c_custkey").alias("form")).agg(F.count(F.lit(1)).alias("aliases"))
+    form = F.lower(F.when(urgent, F.concat(F.lit("Customer "), "o_custkey")).otherwise(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))))
+    asked = g.read("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), "o_totalprice", form.alias("form")).join(named, "form", "left").join(aliases, "form", "left")
+    found = F.when(F.col("names") == 1, "RESOLVED_EXACT").when(F.col("names") > 1, "AMBIGUOUS").when(F.col("aliases") == 1, "RESOLVED_ALIAS").when(F.col("aliases") > 1, "AMBIGUOUS").otherwise("NEW")
+    return numbered(asked.select("id", "form", found.alias("resolved"), "o_totalprice"), "position", F.desc("o_totalprice"), F.asc("id")).drop("o_totalprice")
 
 
 _HITS = """hits AS (SELECT o_orderkey AS pos, o_custkey AS id, o_orderpriority AS via FROM orders WHERE o_totalprice > 1000 UNION ALL SELECT o_orderkey + 1000000000, o_custkey, 'second run' FROM orders WHERE o_orderstatus = 'F')"""

@@ -139,7 +139,9 @@ def Q38_resolve_cascade(g: Graph) -> DataFrame:
 
 
 @query("""
-WITH terms AS (SELECT trait_id AS id, name, category AS kind, CASE WHEN trait_id % 10 IN (1, 2) THEN trait_id - trait_id % 10 ELSE trait_id END AS cluster FROM trait)
+WITH both_ways AS (SELECT subject_id AS a, object_id AS b FROM subsumes UNION SELECT object_id, subject_id FROM subsumes),
+reach AS (SELECT trait_id AS node, trait_id AS seen FROM trait UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
+terms AS (SELECT trait_id AS id, name, category AS kind, coalesce(component, trait_id) AS cluster FROM trait LEFT JOIN (SELECT node, min(seen) AS component FROM reach GROUP BY node) ON node = trait_id)
 SELECT 'scattered' AS check, name AS subject, count(DISTINCT cluster) AS n FROM terms GROUP BY name HAVING count(DISTINCT cluster) > 1
 UNION ALL SELECT 'merged kinds', CAST(cluster AS VARCHAR), count(DISTINCT kind) FROM terms GROUP BY cluster HAVING count(DISTINCT kind) > 1
 UNION ALL SELECT 'collision', cluster || '/' || name, count(*) FROM terms GROUP BY cluster, name HAVING count(*) > 1
@@ -171,11 +173,10 @@ def Q40_T30_vocabulary_checks(g: Graph) -> DataFrame:
 
 
 @query("""
-WITH words AS (SELECT p_name AS w, replace(p_name, ' ', '') AS r FROM part UNION SELECT replace(p_name, ' ', ''), '' FROM part)
-SELECT a.w AS a, b.w AS b FROM words a JOIN words b ON a.w < b.w AND left(a.w, 4) = left(b.w, 4) WHERE (a.r <> '' AND (a.r = b.w OR (b.r <> '' AND a.r = b.r))) OR (b.r <> '' AND b.r = a.w)
+WITH words AS (SELECT p_name AS w, replace(p_name, ' ', '') AS r FROM part UNION SELECT replace(p_name, ' ', ''), '' FROM part UNION SELECT upper(p_name), p_name FROM part WHERE p_size < 5)
+SELECT DISTINCT a.w AS a, b.w AS b FROM words a JOIN words b ON a.w < b.w WHERE (a.r <> '' AND (a.r = b.w OR (b.r <> '' AND a.r = b.r))) OR (b.r <> '' AND b.r = a.w)
 """, plain=True)
 def T29_same_word(g: Graph) -> DataFrame:
     part, bare = g.read("part"), F.replace("p_name", F.lit(" "), F.lit(""))
-    words = part.select(F.col("p_name").alias("a"), bare.alias("ra")).union(part.select(bare, F.lit(""))).distinct().withColumn("start", F.left("a", F.lit(4)))
-    other = words.withColumnsRenamed({"a": "b", "ra": "rb"})
-    return words.join(other, "start").where((F.col("a") < F.col("b")) & V.same_word(F.col("a"), F.col("b"), F.col("ra"), F.col("rb"))).select("a", "b")
+    words = part.select(F.col("p_name").alias("word"), bare.alias("reading")).union(part.select(bare, F.lit(""))).union(part.where("p_size < 5").select(F.upper("p_name"), F.col("p_name")))
+    return V.same_words(words.distinct())
