@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import html
+import math
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from loomgraph import fixed
 
@@ -88,6 +89,19 @@ def cited(title: Column) -> Column:
     return F.when(F.length(title) > 90, F.concat(F.substring(title, 1, 87), F.lit("..."))).otherwise(title)
 
 
+def cite(title: Column, year: Column, doi: Column, pmid: Column, url: Column) -> Column:
+    """Title and year, and the first of DOI, PMID and URL that there is."""
+    head = F.concat_ws(" ", cited(title), F.concat(F.lit("("), year.cast("string"), F.lit(")")))
+    at = F.coalesce(F.concat(F.lit(" — doi:"), doi), F.concat(F.lit(" — PMID:"), pmid), F.concat(F.lit(" — "), url), F.lit(""))
+    return F.concat(F.when(head != "", head).otherwise("source unrecorded"), at)
+
+
+@F.pandas_udf(DoubleType())
+def erfc(x: pd.Series) -> pd.Series:
+    """The complementary error function."""
+    return x.map(math.erfc, na_action="ignore")
+
+
 def locus_detail(chromosome: Column, start: Column, end: Column) -> Column:
     """Chromosome and range with thousands separators; what is null or zero is left out."""
     span = F.when((start != 0) & (end != 0), F.concat(F.format_number(start, 0), F.lit("-"), F.format_number(end, 0)))

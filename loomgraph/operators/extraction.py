@@ -29,6 +29,40 @@ def predicate_table() -> dict[str, str]:
     return out
 
 
+def is_evidence(section: Column) -> Column:
+    """Whether a section's name is none of those that hold no evidence."""
+    name = F.lower(section)
+    return ~F.exists(F.array(*map(F.lit, fixed.NO_EVIDENCE)), lambda p: F.contains(name, p))
+
+
+def is_ambiguous(form: Column) -> Column:
+    """Surface forms that are short, ordinary words, or without a letter."""
+    f = F.trim(form)
+    return (F.length(f) < fixed.MIN_SAFE_LENGTH) | F.lower(f).isin(*(x.lower() for x in fixed.AMBIGUOUS)) | ~f.rlike(r"\p{L}")
+
+
+def is_searchable(term: Column) -> Column:
+    """Terms that are worth a query: long enough, and no ordinary word by itself."""
+    t = F.trim(term)
+    return (F.length(t) >= fixed.MIN_SAFE_LENGTH) & (F.contains(t, F.lit(" ")) | ~F.lower(t).isin(*(x.lower() for x in fixed.AMBIGUOUS)))
+
+
+def is_anatomical(term: Column) -> Column:
+    """The same for queries on titles, which allow shorter and ordinary words."""
+    t = F.trim(term)
+    return (F.length(t) >= 3) & t.rlike(r"\p{L}")
+
+
+def is_anchored(text: Column) -> Column:
+    """Whether a text names the target species anywhere, also inside a word."""
+    return F.lower(text).rlike("|".join(fixed.ANCHORS))
+
+
+def on_topic(title: Column, abstract: Column) -> Column:
+    """Whether title or abstract has a word that begins like the target species."""
+    return F.concat_ws(" ", title, abstract).rlike(r"(?iU)\b(medaka|oryzias)")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
     return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda t: t != "")

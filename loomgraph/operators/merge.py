@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import fixed
 from loomgraph.operators.storage import numbered
 
 
@@ -93,3 +94,27 @@ def greedy_unique(rows: DataFrame, rank: str, position: str, ids: list[str], tit
         return part.loc[kept, names]
 
     return told.groupBy("__block").applyInPandas(walk, rows.schema)
+
+
+def voted_by_lane(rows: DataFrame, key: str, value: str, position: str, owns: Column) -> DataFrame:
+    """The commonest value of each key. Ties go to the first row of a lane that owns its value, and without one to the value seen first."""
+    last = F.lit(2**63 - 1)
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"), F.min(position).alias("__first"), F.coalesce(F.min(F.when(owns, F.col(position))), last).alias("__owned"))
+    return counts.groupBy(key).agg(F.min(F.struct((-F.col("__n")).alias("n"), "__owned", "__first", F.col(value).alias("value"))).alias("best")).select(key, F.col("best.value").alias(value))
+
+
+def label_problem() -> Column:
+    """What is wrong first with a label (text, lang, vocab, status, sources); null for a good one."""
+    bad = F.filter("vocab", lambda v: ~v.rlike(fixed.VOCABULARY_ID))
+    problem = F.when(F.trim("text") == "", "blank text").when(~F.col("lang").rlike(fixed.LANGUAGE_TAG), F.concat(F.lit("no language tag: "), "lang"))
+    problem = problem.when(F.size(bad) > 0, F.concat(F.lit("no vocabulary id: "), F.array_join(bad, ", ")))
+    return problem.when((F.col("status") == "ATTESTED") & (F.size("sources") == 0) & (F.size("vocab") == 0), "attested without a source")
+
+
+def entity_problem(endpoints: list[str]) -> Column:
+    """What is wrong first with an entity (label, category, query_terms, aliases, unverified, species); null for a good one."""
+    label = F.col("label")
+    problem = F.when(~label.isin(*endpoints), F.concat(F.lit("no endpoint of claims: "), label)).when(F.col("category").isNotNull() & (label != "OrnamentalTrait"), F.concat(F.lit("category on "), label))
+    problem = problem.when((F.size("query_terms") > 0) & (label != "Anatomy"), F.concat(F.lit("query terms on "), label))
+    problem = problem.when(F.arrays_overlap("aliases", "unverified"), F.concat(F.lit("sourced and unverified: "), F.array_join(F.array_sort(F.array_intersect("aliases", "unverified")), ", ")))
+    return problem.when((label == "Gene") & F.col("species").isNull(), "gene without a species")

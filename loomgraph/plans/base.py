@@ -21,9 +21,9 @@ EXPERIMENTS = {1: "positional cloning", 2: "Genome Editing", 3: "gwas", 4: "expr
 PREDICATES = list(fixed.SHAPES)
 
 
-def predicate_of(trait: Column) -> Column:
-    """The predicate of a trait's claims; all of them occur."""
-    return F.element_at(F.array(*map(F.lit, PREDICATES)), (trait % len(PREDICATES) + 1).cast("int"))
+def predicate_of(trait: Column, gene: Column) -> Column:
+    """The predicate of a claim; all of them occur, and most of them with each trait."""
+    return F.element_at(F.array(*map(F.lit, PREDICATES)), ((trait + gene) % len(PREDICATES) + 1).cast("int"))
 
 
 def sql_list(values) -> str:
@@ -89,7 +89,7 @@ class Graph:
         """One row per (trait, gene): counts of stances and the strongest support."""
         from loomgraph.operators.claims import summarise
 
-        return summarise(self.evidence, ["trait_id", "gene_id"]).withColumn("predicate", predicate_of(F.col("trait_id")))
+        return summarise(self.evidence, ["trait_id", "gene_id"]).withColumn("predicate", predicate_of(F.col("trait_id"), F.col("gene_id")))
 
 
 _WHEN = "CASE l_linenumber " + " ".join(f"WHEN {n} THEN '{x}'" for n, x in EXPERIMENTS.items()) + " END"
@@ -108,7 +108,7 @@ TABLES = {
     "anatomy": "SELECT r_regionkey AS anatomy_id, r_name AS name FROM region",
     "paper": """SELECT o_orderkey AS paper_id, year(o_orderdate) AS pub_year, o_orderpriority AS journal,
   CASE o_orderstatus WHEN 'P' THEN 'DISCOVERED' WHEN 'O' THEN 'FULLTEXT_AVAILABLE' ELSE 'ACCEPTED' END AS state FROM orders""",
-    "claim": f"""SELECT trait_id, gene_id, {sql_list(PREDICATES)}[(trait_id % {len(PREDICATES)} + 1)::INT] AS predicate, count(*) AS n_evidence, count(*) FILTER (WHERE level_rank = 0) AS n_unknown, count(*) FILTER (WHERE stance = 'SUPPORTS') AS n_supports,
+    "claim": f"""SELECT trait_id, gene_id, {sql_list(PREDICATES)}[((trait_id + gene_id) % {len(PREDICATES)} + 1)::INT] AS predicate, count(*) AS n_evidence, count(*) FILTER (WHERE level_rank = 0) AS n_unknown, count(*) FILTER (WHERE stance = 'SUPPORTS') AS n_supports,
   count(*) FILTER (WHERE stance = 'CONTRADICTS') AS n_contradicts,
   coalesce(max(CASE WHEN stance = 'SUPPORTS' THEN level_rank END), 0) AS best_rank FROM evidence GROUP BY trait_id, gene_id""",
 }

@@ -10,9 +10,6 @@ from loomgraph.functions import text as X
 from loomgraph.operators import claims as C
 from loomgraph.plans.base import ORACLES, Graph, every_language, query
 
-_CEILING = "CASE part " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CEILINGS.items()) + " END"
-
-
 @query("SELECT trait_id, trim(regexp_replace(lower(name || ' #' || category), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM trait")
 def T01_slugify(g: Graph) -> DataFrame:
     return g.trait.select("trait_id", X.slugify(F.concat("name", F.lit(" #"), "category")).alias("slug"))
@@ -117,17 +114,6 @@ def T22_query_strings(g: Graph) -> DataFrame:
     return g.trait.groupBy("category").agg(F.collect_set("name").alias("names")).select("category", X.quoted_or(F.col("names")).alias("any_of"))
 
 
-@query(f"""
-WITH kinds AS (SELECT DISTINCT experiment_type FROM evidence), parts AS (SELECT experiment_type, unnest(list_filter(string_split(lower(trim(experiment_type)), ' and '), lambda p: trim(p) <> '')) AS part FROM kinds),
-ranked AS (SELECT experiment_type, CASE WHEN bool_or({_CEILING} IS NULL) THEN NULL ELSE max({_CEILING}) END AS ceiling FROM parts GROUP BY experiment_type)
-SELECT e.experiment_type, r.ceiling, count(*) AS n, count(*) FILTER (WHERE r.ceiling IS NULL) AS unbounded, count(*) FILTER (WHERE e.level_rank > r.ceiling) AS above
-FROM evidence e JOIN ranked r USING (experiment_type) GROUP BY e.experiment_type, r.ceiling
-""")
-def Q17_T24_P12_ceiling_violations(g: Graph) -> DataFrame:
-    rows = g.evidence.withColumn("ceiling", C.ceiling_of(F.col("experiment_type")))
-    return rows.groupBy("experiment_type", "ceiling").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ceiling").isNull()).alias("unbounded"), F.count_if(F.col("level_rank") > F.col("ceiling")).alias("above"))
-
-
 @query("""
 SELECT trait_id, gene_id, paper_id, experiment_no, CASE WHEN species_is_target = 0 AND level_rank > 20 THEN 'comparative evidence above its ceiling' ELSE 'species not written' END AS problem
 FROM evidence WHERE (species_is_target = 0 AND level_rank > 20) OR (species_is_target = 0 AND level_rank = 20 AND experiment_no = 1)
@@ -185,29 +171,6 @@ def T40_A18_ordered_concat(g: Graph) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("said", lambda s: s["flat"]), " ").alias("said"), "turns")
 
 
-@query("""
-SELECT p_partkey AS id, length(p_name) >= 4 AND (contains(p_name, ' ') OR p_name NOT IN ('black', 'white')) AS searchable, length(p_name) >= 3 AND regexp_matches(p_name, '\\p{L}') AS anatomical,
-  length(p_type) < 4 OR p_type IN ('ECONOMY', 'SMALL') OR NOT regexp_matches(p_type, '\\p{L}') AS ambiguous, contains(lower(p_name), 'ring') OR contains(lower(p_name), 'small') AS anchored FROM part
-""".replace("\\\\", "\\"), plain=True)
-def P15_P16_P17_P18_term_filters(g: Graph) -> DataFrame:
-    name, kind = F.col("p_name"), F.col("p_type")
-    return g.read("part").select(
-        F.col("p_partkey").alias("id"), ((F.length(name) >= fixed.MIN_SAFE_LENGTH) & (name.contains(" ") | ~name.isin("black", "white"))).alias("searchable"),
-        ((F.length(name) >= 3) & name.rlike(r"\p{L}")).alias("anatomical"),
-        ((F.length(kind) < fixed.MIN_SAFE_LENGTH) | kind.isin("ECONOMY", "SMALL") | ~kind.rlike(r"\p{L}")).alias("ambiguous"), F.lower(name).rlike("ring|small").alias("anchored"),
-    )
-
-
-@query("""
-WITH deny AS (SELECT unnest(['blog', 'm.', 'www']) AS p)
-SELECT page_id FROM pages WHERE NOT EXISTS (SELECT 1 FROM deny WHERE contains(lower(regexp_extract(url, '^https?://([^/]+)', 1)), p))
-""", plain=True)
-def P14_denylist(g: Graph) -> DataFrame:
-    host = F.lower(F.regexp_extract("url", "^https?://([^/]+)", 1))
-    deny = F.array(*map(F.lit, ("blog", "m.", "www")))
-    return g.read("pages").where(~F.exists(deny, lambda p: F.contains(host, p))).select("page_id")
-
-
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\\b(there|theser)')".replace("\\\\", "\\"), plain=True)
 def P19_word_start(g: Graph) -> DataFrame:
     return g.read("documents").where(F.lower("text").rlike(r"\b(there|theser)")).select("doc_id")
@@ -218,28 +181,6 @@ def P20_weak_basis(g: Graph) -> DataFrame:
     return g.claim.select("trait_id", "gene_id", (F.col("best_rank") < 20).alias("weak"))
 
 
-@query("""
-WITH shape AS (SELECT * FROM (VALUES ('ECONOMY', 'Brand#1'), ('ECONOMY', 'Brand#2'), ('PROMO', 'Brand#3')) AS t(s, o))
-SELECT trait_id, CASE WHEN category NOT IN (SELECT s FROM shape) THEN 'bad subject' ELSE 'bad object' END AS why FROM trait t
-WHERE NOT EXISTS (SELECT 1 FROM shape WHERE s = t.category AND o = t.phenotype)
-""")
-def P07_domain_range(g: Graph) -> DataFrame:
-    shape = g.spark.createDataFrame([("ECONOMY", "Brand#1"), ("ECONOMY", "Brand#2"), ("PROMO", "Brand#3")], "category string, phenotype string")
-    bad = g.trait.join(F.broadcast(shape), ["category", "phenotype"], "left_anti")
-    return bad.select("trait_id", F.when(~F.col("category").isin("ECONOMY", "PROMO"), "bad subject").otherwise("bad object").alias("why"))
-
-
-@query("""
-SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN trim(p_name) = '' THEN 'blank name' END, CASE WHEN NOT regexp_full_match(p_brand, 'Brand#[0-9]') THEN 'brand format' END,
-  CASE WHEN p_type = 'PROMO' AND p_size > 40 THEN 'size on promo' END, CASE WHEN p_retailprice <= 0 THEN 'no price' END], lambda x: x IS NOT NULL), ';') AS problems FROM part
-""", plain=True)
-def P09_P10_record_checks(g: Graph) -> DataFrame:
-    checks = F.array_compact(F.array(
-        F.when(F.trim("p_name") == "", "blank name"), F.when(~F.col("p_brand").rlike("^Brand#[0-9]$"), "brand format"),
-        F.when((F.col("p_type") == "PROMO") & (F.col("p_size") > 40), "size on promo"), F.when(F.col("p_retailprice") <= 0, "no price")))
-    return g.read("part").select(F.col("p_partkey").alias("id"), F.array_join(checks, ";").alias("problems"))
-
-
 @query("""
 SELECT 'claim without evidence' AS problem, count(*) AS n FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey)
 UNION ALL SELECT 'evidence without paper', count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l.l_orderkey)

@@ -48,13 +48,6 @@ def A19_best_tier(g: Graph) -> DataFrame:
     return g.evidence.groupBy("gene_id").agg(F.coalesce(F.min(F.when(F.col("level_rank") >= 20, F.col("level_rank"))), F.lit(9)).alias("best_tier"))
 
 
-@query("SELECT c_nationkey AS id, count(*) FILTER (WHERE c_custkey % 2 = 0) AS a, count(*) FILTER (WHERE c_custkey % 2 = 1) AS b, round(power(count(*) FILTER (WHERE c_custkey % 2 = 0) - count(*) FILTER (WHERE c_custkey % 2 = 1), 2) / count(*), 6) AS chi_square FROM customer GROUP BY c_nationkey", plain=True)
-def A30_chi_square(g: Graph) -> DataFrame:
-    even = F.col("c_custkey") % 2 == 0
-    rows = g.read("customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count_if(even).alias("a"), F.count_if(~even).alias("b"))
-    return rows.withColumn("chi_square", F.round(F.pow(F.col("a") - F.col("b"), 2) / (F.col("a") + F.col("b")), 6))
-
-
 @query("""
 WITH distinct_ids AS (SELECT conv_id, text, min(turn) AS turn FROM conversations GROUP BY conv_id, text),
 ordered AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM distinct_ids)
