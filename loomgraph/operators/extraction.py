@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from loomgraph import fixed
 from loomgraph.functions.text import content_digest, sentences, whole_word
 
-#: A lexicon of more forms is joined by a shuffle instead of a broadcast.
-BROADCAST_FORMS = 200_000
+#: Up to so many forms pick the n-grams of a sentence in place; up to so many are broadcast, more are joined by a shuffle.
+FORMS_IN_PLACE, BROADCAST_FORMS = 20_000, 200_000
 
 
 def predicate_table() -> dict[str, str]:
@@ -77,19 +77,26 @@ def mentions(rows: DataFrame, lexicon: DataFrame, anchors: tuple[str, ...] = fix
     """The sentences' mentions: lexicon is (position, form, entity_id, entity_name, label, ambiguous).
 
     Forms meet sentences by an equi join on their token n-grams and are confirmed by
-    the pattern, so no sentence is held against every form. An ambiguous form counts
-    only beside an unambiguous one or an anchor.
+    the pattern, so no sentence is held against every form. Only n-grams that are forms
+    leave their sentence where there are not too many of these; with a larger lexicon
+    n-grams travel with the sentence's key alone and meet the sentence again after the
+    join. An ambiguous form counts only beside an unambiguous one or an anchor.
     """
     forms = lexicon.withColumn("gram", F.array_join(tokens(F.col("form")), " ")).withColumn("size", F.size(tokens(F.col("form"))))
     sizes = sorted(r["size"] for r in forms.select("size").distinct().collect() if r["size"])
-    words = tokens(F.col("sentence"))
-    held = rows.withColumn("words", words)
-    lists = [F.col("words") if n == 1 else _ngrams(F.col("words"), n) for n in sizes]
-    exploded = held.withColumn("gram", F.explode(F.array_distinct(F.concat(*lists)))).drop("words")
-    small = forms.count() <= BROADCAST_FORMS
-    hits = exploded.join(F.broadcast(forms) if small else forms, "gram").where(F.rlike(F.col("sentence"), whole_word(F.col("form"))))
-    anchored = reduce(lambda a, b: a | b, [F.contains(F.lower("sentence"), F.lit(x)) for x in anchors])
     keys = ["paper_id", "section_idx", "sentence_idx"]
+    words = rows.withColumn("words", tokens(F.col("sentence")))
+    grams = F.array_distinct(F.concat(*(F.col("words") if n == 1 else _ngrams(F.col("words"), n) for n in sizes)))
+    n_forms = forms.count()
+    if n_forms <= FORMS_IN_PLACE:
+        known = [r["gram"] for r in forms.select("gram").distinct().collect()]
+        held = words.withColumn("grams", F.filter(grams, lambda g: g.isin(*known))).where(F.size("grams") > 0).withColumn("gram", F.explode("grams")).drop("grams", "words")
+        hits = held.join(F.broadcast(forms), "gram")
+    else:
+        held = words.select(*keys, F.explode(grams).alias("gram"))
+        hits = held.join(F.broadcast(forms) if n_forms <= BROADCAST_FORMS else forms, "gram").join(rows, keys)
+    hits = hits.where(F.rlike(F.col("sentence"), whole_word(F.col("form"))))
+    anchored = reduce(lambda a, b: a | b, [F.contains(F.lower("sentence"), F.lit(x)) for x in anchors])
     safe = F.bool_or(~F.col("ambiguous")).over(Window.partitionBy(*keys))
     told = hits.withColumn("corroborated", safe | anchored).where(~F.col("ambiguous") | F.col("corroborated"))
     return told.drop("gram", "size", "corroborated")
@@ -124,23 +131,29 @@ def paper_species(title: Column, abstract: Column) -> Column:
 
 
 def candidates(found: DataFrame, default_species: Column | None = None, cap: int = fixed.MAX_CANDIDATES) -> DataFrame:
-    """Candidate claims of sentences with two to six entities, in document order.
+    """Candidate claims of sentences with two to six entities, in document order, from sections that hold evidence.
 
     Each pair takes its predicate in the order of mention, else in reverse. Repeats by
-    id go before the cap on a paper's candidates.
+    id go before the cap on a paper's candidates. default_species may read the columns
+    of found that stand with the whole paper.
     """
-    keys = ["paper_id", "section_idx", "section", "sentence_idx", "sentence"]
+    keys = ["paper_id", "section_idx", "sentence_idx"]
     order = F.struct(F.col("ambiguous").cast("int").alias("late"), "position")
+    species = default_species if default_species is not None else F.lit(fixed.TARGET_SPECIES)
+    told = found.where(is_evidence(F.col("section"))).withColumn("__species", species)
     # an entity stands where it was first and with what was last said of it
-    one = found.groupBy(*keys, "entity_id").agg(F.min(order).alias("order"), F.max(F.struct(order.alias("o"), "label", "entity_name", "ambiguous", "form")).alias("last"))
-    one = one.select(*keys, F.struct("order", "entity_id", "last.label", "last.entity_name", "last.ambiguous").alias("m"))
-    rows = one.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("all")).where((F.size("all") >= 2) & (F.size("all") <= fixed.MAX_MENTIONS))
+    one = told.groupBy(*keys, "entity_id").agg(
+        F.min(order).alias("order"), F.max(F.struct(order.alias("o"), "label", "entity_name", "ambiguous", "form")).alias("last"), *(F.first(c).alias(c) for c in ("section", "sentence", "__species")))
+    one = one.select(*keys, "section", "sentence", "__species", F.struct("order", "entity_id", "last.label", "last.entity_name", "last.ambiguous").alias("m"))
+    rows = one.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("all"), *(F.first(c).alias(c) for c in ("section", "sentence", "__species")))
+    rows = rows.where((F.size("all") >= 2) & (F.size("all") <= fixed.MAX_MENTIONS))
+    keys += ["section", "sentence", "__species"]
     first = rows.select(*keys, "all", F.posexplode("all").alias("i", "a"))
     pairs = first.select(*keys, "i", "a", F.posexplode("all").alias("j", "b")).where("i < j")
     table = F.create_map(*(F.lit(x) for pair in predicate_table().items() for x in pair))
     forward, back = table[F.concat_ws("|", "a.label", "b.label")], table[F.concat_ws("|", "b.label", "a.label")]
     level, cue = detect_level(F.col("sentence"))
-    species = detect_species(F.col("sentence"), default_species if default_species is not None else F.lit(fixed.TARGET_SPECIES))
+    species = detect_species(F.col("sentence"), F.col("__species"))
     out = pairs.withColumn("predicate", F.coalesce(forward, back)).where(F.col("predicate").isNotNull())
     out = out.withColumn("subject", F.when(forward.isNotNull(), F.col("a")).otherwise(F.col("b"))).withColumn("object", F.when(forward.isNotNull(), F.col("b")).otherwise(F.col("a")))
     out = out.withColumn("id", F.concat(F.lit("cand:"), content_digest(F.col("paper_id").cast("string"), F.col("predicate"), F.col("subject.entity_id").cast("string"), F.col("object.entity_id").cast("string"), F.col("sentence"))))
@@ -152,7 +165,7 @@ def candidates(found: DataFrame, default_species: Column | None = None, cap: int
     place = ["section_idx", "sentence_idx", "i", "j"]
     out = out.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*place))).where("__n = 1")
     out = out.withColumn("__n", F.row_number().over(Window.partitionBy("paper_id").orderBy(*place))).where(F.col("__n") <= cap)
-    return out.drop("__n", "i", "j", "a", "b", "all")
+    return out.drop("__n", "i", "j", "a", "b", "all", "__species")
 
 
 def new_symbols(rows: DataFrame, found: DataFrame, lexicon: DataFrame, anchors: tuple[str, ...] = fixed.ANCHORS) -> DataFrame:
@@ -179,7 +192,8 @@ def jats_sections(xml: str) -> list[tuple[int, str, str]]:
     found: dict[str, str] = {}
 
     def text(node) -> str:
-        return " ".join("".join(node.itertext()).split())
+        # inline markup parts words
+        return " ".join(" ".join(node.itertext()).split())
 
     abstract = root.find(".//abstract")
     if abstract is not None and text(abstract):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import fixed
+from loomgraph.functions.text import claim_id, evidence_id
+from loomgraph.operators.claims import shape_problem
 from loomgraph.operators.storage import numbered
 
 
@@ -118,3 +120,72 @@ def entity_problem(endpoints: list[str]) -> Column:
     problem = problem.when((F.size("query_terms") > 0) & (label != "Anatomy"), F.concat(F.lit("query terms on "), label))
     problem = problem.when(F.arrays_overlap("aliases", "unverified"), F.concat(F.lit("sourced and unverified: "), F.array_join(F.array_sort(F.array_intersect("aliases", "unverified")), ", ")))
     return problem.when((label == "Gene") & F.col("species").isNull(), "gene without a species")
+
+
+def last_written(rows: DataFrame, keys: list[str], position: str, values: list[str]) -> DataFrame:
+    """The values of the last row of each key; a replay of the same rows changes nothing."""
+    return rows.groupBy(*keys).agg(F.max(F.struct(position, *values)).alias("last")).select(*keys, *(F.col(f"last.{v}").alias(v) for v in values))
+
+
+def accepted(candidates: DataFrame) -> DataFrame:
+    """candidates with claim_id, evidence_id and level_rank of what accepting each would write, or why it is refused.
+
+    A candidate is decided once; its claim must have its predicate's shape, and a
+    result in another species can't stand above the comparative ceiling.
+    """
+    target = fixed.TARGET_SPECIES
+    rank = fixed.rank_of(F.col("level"))
+    refused = F.when(F.col("status") != "PENDING", "already decided").when(shape_problem(F.col("predicate"), F.col("subject_label"), F.col("object_label")).isNotNull(), "shape")
+    refused = refused.when((F.col("species") != target) & (rank > fixed.COMPARATIVE_CEILING), "comparative evidence above its ceiling")
+    ok = refused.isNull()
+    return candidates.withColumns({
+        "refused": refused, "claim_id": F.when(ok, claim_id(F.col("predicate"), F.col("subject_id"), F.col("object_id"))),
+        "evidence_id": F.when(ok, evidence_id(F.col("paper_id"), F.lit("co-mention extraction, reviewed"), F.col("quote"))), "level_rank": F.when(ok, rank)})
+
+
+def screened(links: DataFrame, core: DataFrame, known_ids: DataFrame, known_dois: DataFrame, ranks: dict[str, int], other: int = 9) -> DataFrame:
+    """Papers behind (pos, source, id, title) links, one row for each title, and a row without pos that counts all links.
+
+    Links without an id count as raw and lead nowhere. Of links to one title the one
+    from the best source stays. It meets its core record (source, id, title, abstract,
+    doi) by source and id; known is a paper whose PMID or lower-cased DOI is known.
+    """
+    order = F.coalesce(F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))[F.col("source")], F.lit(other))
+    best = links.where(F.col("id").isNotNull()).groupBy("title").agg(F.min(F.struct(order.alias("rank"), "pos", "source", "id")).alias("first")).select("title", "first.pos", "first.source", "first.id")
+    told = best.join(core.select("source", "id", F.col("title").alias("own"), "abstract", F.lower("doi").alias("doi"), F.lit(True).alias("fetched")), ["source", "id"], "left")
+    told = told.join(known_ids.select("id", F.lit("MED").alias("source"), F.lit(True).alias("by_id")).distinct(), ["source", "id"], "left")
+    told = told.join(known_dois.select("doi", F.lit(True).alias("by_doi")).distinct(), "doi", "left")
+    known = F.coalesce("by_id", F.lit(False)) | F.coalesce("by_doi", F.lit(False))
+    rows = told.select("pos", "source", "id", "title", F.coalesce("fetched", F.lit(False)).alias("fetched"), known.alias("known"), F.coalesce("own", "title").alias("shown"), "abstract", F.lit(None).cast("long").alias("raw"))
+    return rows.unionByName(links.agg(F.count(F.lit(1)).alias("raw")), allowMissingColumns=True)
+
+
+def funnel(rows: DataFrame) -> DataFrame:
+    """How far the rows of screened() come, in one pass."""
+    from loomgraph.operators.extraction import on_topic
+
+    new = F.col("pos").isNotNull() & ~F.col("known")
+    return rows.agg(
+        F.max("raw").alias("raw"), F.count("pos").alias("deduped"), F.count_if(new).alias("not_yet_known"), F.count_if(new & (F.coalesce("abstract", F.lit("")) == "")).alias("no_abstract"), F.count_if(new & on_topic(F.col("shown"), F.col("abstract"))).alias("on_topic"))
+
+
+def revised(relations: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(s, rel, o, basis) after fixes (s, rel, o, new): retyped with a note on the basis, or dropped without a new type; a fix holds in both directions."""
+    both = fixes.unionByName(fixes.select(F.col("o").alias("s"), "rel", F.col("s").alias("o"), "new")).distinct().withColumn("__fix", F.lit(True))
+    rows = relations.join(F.broadcast(both), ["s", "rel", "o"], "left").where(F.col("__fix").isNull() | F.col("new").isNotNull())
+    basis = F.when(F.col("new").isNotNull(), F.concat("basis", F.lit(" | revised"))).otherwise(F.col("basis"))
+    rows = rows.select("s", F.coalesce("new", "rel").alias("rel"), "o", basis.alias("basis"))
+    return rows.groupBy("s", "rel", "o").agg(F.array_join(F.array_sort(F.collect_set("basis")), " | ").alias("basis"))
+
+
+def marked_disputes(relations: DataFrame) -> DataFrame:
+    """relations with a mark on the basis of synonyms between which a collision stands, or that tie both ends of one to a third term."""
+    crossed = relations.where("rel = 'collides_with'").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+    same = relations.where("rel = 'same_as'").select("s", "o")
+    same = same.union(same.select("o", "s")).distinct()
+    met = crossed.join(same.select(F.col("s").alias("a"), F.col("o").alias("c")), "a").join(same.select(F.col("s").alias("b"), F.col("o").alias("c")), ["b", "c"])
+    out = met.select(F.explode(F.array(*(F.struct(F.least(x, "c").alias("a"), F.greatest(x, "c").alias("b")) for x in "ab"))).alias("e")).select("e.*").distinct()
+    rows = relations.withColumns({"a": F.least("s", "o"), "b": F.greatest("s", "o")})
+    rows = rows.join(crossed.withColumn("direct", F.lit(True)), ["a", "b"], "left").join(out.withColumn("near", F.lit(True)), ["a", "b"], "left")
+    mark = F.when((F.col("rel") == "same_as") & F.col("direct").isNotNull(), " | disputed:collides").when((F.col("rel") == "same_as") & F.col("near").isNotNull(), " | disputed:one step out").otherwise("")
+    return rows.select("s", "rel", "o", F.concat("basis", mark).alias("basis"))

@@ -115,11 +115,6 @@ TABLES = {
 PRELUDE = "WITH RECURSIVE " + ", ".join(f"{name} AS ({sql})" for name, sql in TABLES.items())
 
 
-def every_language(sql: str) -> str:
-    """The SQL of a query over English documents, for documents of every language."""
-    return sql.replace(" WHERE lang = 'en'", "")
-
-
 def query(sql: str | None = None, plain: bool = False):
     """Registers a function of a Graph under its name; sql follows the tables above unless plain."""
 

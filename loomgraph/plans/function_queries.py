@@ -8,21 +8,15 @@ from pyspark.sql import functions as F
 from loomgraph import fixed
 from loomgraph.functions import text as X
 from loomgraph.operators import claims as C
-from loomgraph.plans.base import ORACLES, Graph, every_language, query
+from loomgraph.plans.base import Graph, query
 
 @query("SELECT trait_id, trim(regexp_replace(lower(name || ' #' || category), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM trait")
 def T01_slugify(g: Graph) -> DataFrame:
     return g.trait.select("trait_id", X.slugify(F.concat("name", F.lit(" #"), "category")).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN s <> '' THEN s ELSE substr(sha1(head), 1, 12) END AS slug FROM (SELECT doc_id, head, trim(regexp_replace(lower(strip_accents(head)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (SELECT doc_id, regexp_extract(text, '^[^ ]*') AS head FROM documents) WHERE regexp_full_match(head, '[A-Za-z0-9éèêçàùäöüáíóúñÉÈÊÇÄÖÜÁÍÓÚÑ.,!?#*$%&|-]*'))", plain=True)
-def T01_H13_slugify_unicode(g: Graph) -> DataFrame:
-    head = g.read("documents").select("doc_id", F.regexp_extract("text", "^[^ ]*", 0).alias("head"))
-    return head.where(F.col("head").rlike("^[A-Za-z0-9éèêçàùäöüáíóúñÉÈÊÇÄÖÜÁÍÓÚÑ.,!?#*$%&|-]*$")).select("doc_id", X.slugify(F.col("head")).alias("slug"))
-
-
 @query()
-def T01_H13_slugify_unicode_whole(g: Graph) -> DataFrame:
+def T01_H13_slugify_unicode(g: Graph) -> DataFrame:
     """Slugs of the whole text of every document."""
     return g.read("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
@@ -50,15 +44,9 @@ def T04_P08_paper_ids(g: Graph) -> DataFrame:
 
 @query("""
 SELECT doc_id, CASE WHEN length(t) > 90 THEN substr(t, 1, 87) || '...' ELSE t END AS cited, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS key
-FROM (SELECT doc_id, regexp_extract(text, '^[^\n]*') AS t FROM documents WHERE lang = 'en')
+FROM (SELECT doc_id, regexp_extract(text, '^[^\n]*') AS t FROM documents)
 """, plain=True)
-def T06_T10_titles(g: Graph) -> DataFrame:
-    return _titles(g.read("documents").where(F.col("lang") == "en"))
-
-
-@query(every_language(ORACLES["T06_T10_titles"]), plain=True)
-def T06_T10_titles_whole(g: Graph) -> DataFrame:
-    """Over documents of every language."""
+def T10_titles(g: Graph) -> DataFrame:
     return _titles(g.read("documents"))
 
 
@@ -89,16 +77,10 @@ def T09_try_cast(g: Graph) -> DataFrame:
 
 
 @query("""
-WITH parts AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+([A-Z(])', '\\1' || chr(7) || '\\2', 'g'), chr(7))) AS s FROM documents WHERE lang = 'en')
+WITH parts AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+([A-Z(])', '\\1' || chr(7) || '\\2', 'g'), chr(7))) AS s FROM documents)
 SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest FROM parts WHERE s <> '' GROUP BY doc_id
 """, plain=True)
 def T11_sentences(g: Graph) -> DataFrame:
-    return _sentence_counts(g.read("documents").where(F.col("lang") == "en"))
-
-
-@query(every_language(ORACLES["T11_sentences"]), plain=True)
-def T11_sentences_whole(g: Graph) -> DataFrame:
-    """Over documents of every language."""
     return _sentence_counts(g.read("documents"))
 
 

@@ -273,46 +273,3 @@ def J27_range_join(g: Graph) -> DataFrame:
 def X_tumbling_windows(g: Graph) -> DataFrame:
     """Beyond the model's own operators: hourly windows of events."""
     return g.read("events").groupBy(F.window("ts", "1 hour")["start"].alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-_RUNGS = """
-WITH edges AS (SELECT subject_id AS a, object_id AS b FROM subsumes UNION SELECT object_id, subject_id FROM subsumes),
-mutants AS (SELECT e.a AS trait_id, string_agg(DISTINCT m.name, ' | ' ORDER BY m.name) AS mutants FROM edges e JOIN trait m ON m.trait_id = e.b WHERE e.b <> e.a GROUP BY e.a),
-held AS (SELECT trait_id, gene_id FROM claim WHERE n_supports > 0 AND best_rank >= 60),
-genes AS (SELECT h.trait_id, string_agg(x.name, ' OR ' ORDER BY x.name) AS genes FROM held h JOIN gene x USING (gene_id) GROUP BY h.trait_id),
-mechanisms AS (SELECT h.trait_id, string_agg(DISTINCT m.name, ' OR ' ORDER BY m.name) AS mechanisms FROM held h JOIN gene x USING (gene_id) JOIN mechanism m USING (mechanism_id) GROUP BY h.trait_id),
-anatomy_of AS (SELECT h.trait_id, string_agg(DISTINCT a.name, ' OR ' ORDER BY a.name) AS anatomy FROM held h JOIN gene x USING (gene_id) JOIN mechanism m USING (mechanism_id) JOIN anatomy a USING (anatomy_id) GROUP BY h.trait_id)
-SELECT t.trait_id, t.name AS trait, mutants, genes, mechanisms, anatomy FROM trait t LEFT JOIN mutants USING (trait_id) LEFT JOIN genes USING (trait_id) LEFT JOIN mechanisms USING (trait_id) LEFT JOIN anatomy_of USING (trait_id)
-"""
-
-
-@query(_RUNGS)
-def Q24_G08_J11_J12_query_ladder(g: Graph) -> DataFrame:
-    """Each rung is gathered by itself before it meets the trait, so rungs never multiply each other."""
-    s = g.subsumes
-    edges = s.select(F.col("subject_id").alias("trait_id"), F.col("object_id").alias("other")).union(s.select("object_id", "subject_id")).distinct()
-    names = g.trait.select(F.col("trait_id").alias("other"), "name")
-    held = g.claim.where((F.col("n_supports") > 0) & (F.col("best_rank") >= 60)).join(g.gene.select("gene_id", F.col("name").alias("gene"), "mechanism_id"), "gene_id")
-    held = held.join(g.mechanism.select("mechanism_id", F.col("name").alias("mechanism"), "anatomy_id"), "mechanism_id").join(g.anatomy.select("anatomy_id", F.col("name").alias("place")), "anatomy_id")
-
-    def rung(column: str, by: str) -> F.Column:
-        return F.array_join(F.array_sort(F.collect_set(column)), by)
-
-    mutants = edges.where("trait_id <> other").join(names, "other").groupBy("trait_id").agg(rung("name", " | ").alias("mutants"))
-    rest = held.groupBy("trait_id").agg(F.array_join(F.array_sort(F.collect_list("gene")), " OR ").alias("genes"), rung("mechanism", " OR ").alias("mechanisms"), rung("place", " OR ").alias("anatomy"))
-    return g.trait.select("trait_id", F.col("name").alias("trait")).join(mutants, "trait_id", "left").join(rest, "trait_id", "left")
-
-
-@query("""
-SELECT t.trait_id, '# ' || t.name || chr(10) || 'Category: ' || t.category || chr(10) || coalesce(string_agg('- ' || x.name || ' (' || c.best_rank || ')', chr(10) ORDER BY c.best_rank DESC, x.name), 'No genes recorded.') AS dossier,
-  count(*) FILTER (WHERE c.n_contradicts > 0 AND c.n_supports > 0) AS open_disputes, coalesce(max(c.best_rank), 0) < 60 AS no_causal_level
-FROM trait t LEFT JOIN claim c USING (trait_id) LEFT JOIN gene x USING (gene_id) GROUP BY t.trait_id, t.name, t.category
-""")
-def Q14_Q15_S15_dossiers(g: Graph) -> DataFrame:
-    rows = g.claim.join(g.gene.select("gene_id", "name"), "gene_id").groupBy("trait_id").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("best_rank")).alias("order"), "name"))).alias("genes"),
-        F.count_if((F.col("n_contradicts") > 0) & (F.col("n_supports") > 0)).alias("open_disputes"), F.max("best_rank").alias("top"))
-    lines = F.array_join(F.transform("genes", lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), (-x["order"]).cast("string"), F.lit(")"))), "\n")
-    out = g.trait.join(rows, "trait_id", "left")
-    text = F.concat(F.lit("# "), "name", F.lit("\nCategory: "), "category", F.lit("\n"), F.coalesce(lines, F.lit("No genes recorded.")))
-    return out.select("trait_id", text.alias("dossier"), F.coalesce("open_disputes", F.lit(0)).alias("open_disputes"), (F.coalesce("top", F.lit(0)) < 60).alias("no_causal_level"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from loomgraph import fixed
 from loomgraph.functions import text as X
 from loomgraph.operators import extraction as E
 from loomgraph.operators import vocabulary as V
-from loomgraph.plans.base import ORACLES, Graph, every_language, query
+from loomgraph.plans.base import Graph, query, sql_list
+from loomgraph.plans.record_queries import pick, sql_pick
 
 LEXICON = [
     (0, "from", 1, "trait one", "OrnamentalTrait", False), (1, "this", 2, "gene one", "Gene", False), (2, "with", 3, "phenotype one", "Phenotype", False),
@@ -17,67 +20,82 @@ LEXICON = [
 ]
 ANCHOR = ("not",)
 
+#: Sentences that end the documents, so that cues of every kind occur; and sections by document.
+_CUES = [
+    "No CRISPR work on this from carp was found.", "Genome editing of this was responsible for it from then on, without doubt.", "Mice with this from a GWAS, and fine-mapping of it.", "RNA-seq of this with Danio rerio.",
+    "It was from this that an expression profile of human skin came.", "Nothing of the kind was seen.",
+]
+_SECTIONS = ["Results", "Results", "Discussion", "Author contributions", "Methods", "Reference list"]
+_FOUND_ORDER = {row[0]: k for k, row in enumerate(sorted(LEXICON, key=lambda r: (r[5], r[0])))}
+
 _HITS = " UNION ALL ".join(
-    rf"SELECT doc_id, i, s, {entity} AS entity, {str(ambiguous).lower()} AS ambiguous FROM parts WHERE s <> '' AND regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_]){form}([^\p{{L}}\p{{N}}_]|$)')"
-    for _, form, entity, _, _, ambiguous in LEXICON
+    rf"SELECT doc_id, i, s, head, section, {entity} AS entity, '{label}' AS label, {_FOUND_ORDER[at]} AS ord, {str(ambiguous).lower()} AS ambiguous FROM parts WHERE s <> '' AND regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_]){form}([^\p{{L}}\p{{N}}_]|$)')"
+    for at, form, entity, _, label, ambiguous in LEXICON
 )
-_SENTENCES = r"""
-WITH split AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z(])', '\1' || chr(7) || '\2', 'g'), chr(7)) AS l FROM documents WHERE lang = 'en'),
-parts AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM split),
-@HITS@,
+_SENTENCES = rf"""
+WITH bodies AS (SELECT doc_id, coalesce(text, '') || ' ' || {sql_pick(_CUES, "doc_id")} AS text, regexp_extract(coalesce(text, ''), '^[^\n]*') AS head, {sql_pick(_SECTIONS, "doc_id")} AS section FROM documents),
+split AS (SELECT doc_id, head, section, string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z(])', '\1' || chr(7) || '\2', 'g'), chr(7)) AS l FROM bodies),
+parts AS (SELECT doc_id, head, section, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM split),
+hits AS ({_HITS}),
 safe AS (SELECT DISTINCT doc_id, i FROM hits WHERE NOT ambiguous),
 found AS (SELECT h.* FROM hits h LEFT JOIN safe x ON x.doc_id = h.doc_id AND x.i = h.i WHERE NOT ambiguous OR x.i IS NOT NULL OR contains(lower(s), 'not'))
-""".replace("@HITS@", f"hits AS ({_HITS})")
-
+"""
+LEFT, RIGHT = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
 
-def _sections(g: Graph, whole: bool = False) -> DataFrame:
-    docs = g.read("documents") if whole else g.read("documents").where("lang = 'en'")
-    return docs.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("section_idx"), F.lit("Text").alias("section"), F.col("text").alias("body"))
 
+def sql_pattern(pattern: str) -> str:
+    """A pattern with Unicode word boundaries for an engine that only knows ASCII ones."""
+    return re.sub(r"\\b(?=[A-Za-z(])", lambda _: LEFT, pattern).replace(r"\b", RIGHT)
 
-def _lexicon(g: Graph) -> DataFrame:
-    return g.spark.createDataFrame(LEXICON, "position int, form string, entity_id int, entity_name string, label string, ambiguous boolean")
 
+def _species_sql(text: str, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i){sql_pattern(p)}') THEN '{name}'" for p, name in fixed.SPECIES_CUES) + f" ELSE {other} END"
 
-def _mentions(g: Graph, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    rows = E.split_sentences(_sections(g, whole))
-    return rows, E.mentions(rows, _lexicon(g), ANCHOR)
 
+_RANK = "greatest(0, " + ", ".join(f"CASE WHEN regexp_matches(s, '(?i){sql_pattern(p)}') THEN {rank} ELSE 0 END" for p, rank in fixed.LEVEL_CUES) + ")"
+_PREDICATES = ", ".join(f"('{k.split('|')[0]}', '{k.split('|')[1]}', '{v}')" for k, v in E.predicate_table().items())
 
-def _mention_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy(F.col("paper_id").alias("doc_id"), F.col("entity_id").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
 
+def _sections(g: Graph) -> DataFrame:
+    doc = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    return g.read("documents").select(doc.alias("paper_id"), F.lit(0).alias("section_idx"), pick(_SECTIONS, doc).alias("section"), F.concat_ws(" ", text, pick(_CUES, doc)).alias("body"), F.regexp_extract(text, "^[^\n]*", 0).alias("title"))
 
-def _candidate_counts(found: DataFrame) -> DataFrame:
-    rows = E.candidates(found).groupBy(F.col("paper_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("negated").alias("negated"))
-    return rows.withColumn("negated", F.when(F.col("candidates") < fixed.MAX_CANDIDATES, F.col("negated")).when(F.col("candidates") == fixed.MAX_CANDIDATES, F.col("negated")))
 
-
-@query(_SENTENCES + "SELECT doc_id, entity, count(*) AS n FROM found GROUP BY doc_id, entity", plain=True)
-def J16_T12_T13_H5_mentions(g: Graph) -> DataFrame:
-    return _mention_counts(_mentions(g)[1])
+def _lexicon(g: Graph) -> DataFrame:
+    return g.spark.createDataFrame(LEXICON, "position int, form string, entity_id int, entity_name string, label string, ambiguous boolean")
 
 
-@query(every_language(ORACLES["J16_T12_T13_H5_mentions"]), plain=True)
-def J16_T12_T13_H5_mentions_whole(g: Graph) -> DataFrame:
-    """Over documents of every language."""
-    return _mention_counts(_mentions(g, whole=True)[1])
+def _mentions(g: Graph) -> tuple[DataFrame, DataFrame]:
+    rows = E.split_sentences(_sections(g))
+    return rows, E.mentions(rows, _lexicon(g), ANCHOR)
 
 
-@query(_SENTENCES + r""",
-shape AS (SELECT * FROM (VALUES (1, 2), (5, 2), (3, 2), (1, 3), (5, 3), (1, 6), (5, 6), (3, 6), (2, 4)) AS t(s, o)),
-sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, i) AS entities FROM found),
-pairs AS (SELECT DISTINCT a.doc_id, a.s AS sentence, p.s AS subject, p.o AS object FROM sized a JOIN sized b ON a.doc_id = b.doc_id AND a.i = b.i JOIN shape p ON p.s = a.entity AND p.o = b.entity WHERE a.entities <= 6)
-SELECT doc_id, least(60, count(*)) AS candidates, CASE WHEN count(*) <= 60 THEN count(*) FILTER (WHERE regexp_matches(lower(sentence), '(^|[^\p{L}\p{N}_])(no|not|neither|nor|without|failed to|did not|does not|cannot|unlikely|rules? out|ruled out|absence of)([^\p{L}\p{N}_]|$)')) END AS negated
-FROM pairs GROUP BY doc_id""", plain=True)
-def Q27_J17_T14_T17_T18_W14_candidates(g: Graph) -> DataFrame:
-    return _candidate_counts(_mentions(g)[1])
+@query(_SENTENCES + "SELECT doc_id, entity, count(*) AS n FROM found GROUP BY doc_id, entity", plain=True)
+def J16_T12_T13_mentions(g: Graph) -> DataFrame:
+    found = _mentions(g)[1]
+    return found.groupBy(F.col("paper_id").alias("doc_id"), F.col("entity_id").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(every_language(ORACLES["Q27_J17_T14_T17_T18_W14_candidates"]), plain=True)
-def Q27_J17_T14_T17_T18_W14_candidates_whole(g: Graph) -> DataFrame:
-    """Over documents of every language."""
-    return _candidate_counts(_mentions(g, whole=True)[1])
+@query(_SENTENCES + rf""",
+table_of AS (SELECT * FROM (VALUES {_PREDICATES}) AS t(s, o, predicate)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, i) AS entities FROM found WHERE NOT list_contains(list_transform({sql_list(fixed.NO_EVIDENCE)}, lambda p: contains(lower(section), p)), true)),
+pairs AS (SELECT a.doc_id, a.i, a.s, a.head, a.ord AS x, b.ord AS y, coalesce(f.predicate, r.predicate) AS predicate, CASE WHEN f.predicate IS NOT NULL THEN a.entity ELSE b.entity END AS subject, CASE WHEN f.predicate IS NOT NULL THEN b.entity ELSE a.entity END AS object, a.ambiguous OR b.ambiguous AS unsure
+  FROM sized a JOIN sized b ON a.doc_id = b.doc_id AND a.i = b.i AND a.ord < b.ord LEFT JOIN table_of f ON f.s = a.label AND f.o = b.label LEFT JOIN table_of r ON r.s = b.label AND r.o = a.label WHERE a.entities <= 6 AND coalesce(f.predicate, r.predicate) IS NOT NULL),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, predicate, subject, object, s ORDER BY i, x, y) AS n FROM pairs) WHERE n = 1),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, x, y) AS k FROM once) WHERE k <= 60),
+read AS (SELECT *, {_RANK} AS level_rank, CASE WHEN trim(head) = '' OR regexp_matches(head, '(?i)medaka|Oryzias') THEN 'Oryzias latipes' ELSE {_species_sql("head", "'Oryzias latipes'")} END AS usual,
+  regexp_matches(s, '(?i){sql_pattern(fixed.NEGATION)}') AS negated FROM capped)
+SELECT doc_id, md5(s) AS sentence, predicate, subject, object, level_rank, {_species_sql("s", "usual")} AS species, negated,
+  array_to_string(list_sort(list_filter([CASE WHEN level_rank IN (60, 70) OR predicate = 'caused_by_variant' THEN 'NEW_CAUSAL_VARIANT' END, CASE WHEN level_rank = 0 THEN 'EVIDENCE_LEVEL_UNCLEAR' END, CASE WHEN unsure THEN 'LOW_RESOLUTION_CONFIDENCE' END], lambda r: r IS NOT NULL)), ',') AS reasons FROM read""", plain=True)
+def Q27_J17_T14_candidates(g: Graph) -> DataFrame:
+    """Every candidate with its predicate, ends, level, species, negation and reasons."""
+    rows, found = _mentions(g)
+    head = _sections(g).select("paper_id", E.paper_species(F.col("title"), F.lit(None).cast("string")).alias("usual"))
+    out = E.candidates(found.join(head, "paper_id"), F.col("usual"))
+    return out.select(
+        F.col("paper_id").alias("doc_id"), F.md5(F.col("sentence").cast("binary")).alias("sentence"), "predicate", F.col("subject.entity_id").alias("subject"), F.col("object.entity_id").alias("object"), "level_rank", "species", "negated",
+        F.array_join("reasons", ",").alias("reasons"))
 
 
 def _symbols(g: Graph, rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -86,7 +104,7 @@ def _symbols(g: Graph, rows: DataFrame, found: DataFrame) -> DataFrame:
 
 @query()
 def Q28_T19_new_symbols(g: Graph) -> DataFrame:
-    return _symbols(g, *_mentions(g, whole=True))
+    return _symbols(g, *_mentions(g))
 
 
 _LINES = [
@@ -103,7 +121,7 @@ def T15_T16_cues(g: Graph) -> DataFrame:
 
 @query("""
 WITH first AS (SELECT doc_id, trim(regexp_replace(regexp_extract(text, '^[^\n]*'), '[ \t\n\r\f]+', ' ', 'g')) AS a, trim(regexp_replace(substr(text, length(regexp_extract(text, '^[^\n]*')) + 1), '[ \t\n\r\f]+', ' ', 'g')) AS b FROM documents)
-SELECT doc_id AS paper_id, 0 AS section_idx, 'Abstract' AS section, md5(a) AS digest FROM first WHERE a <> '' UNION ALL SELECT doc_id, CASE WHEN a <> '' THEN 1 ELSE 0 END, 'Results', md5(b) FROM first WHERE b <> ''
+SELECT doc_id AS paper_id, 0 AS section_idx, 'Abstract' AS section, md5(trim(a || ' kit lg 2')) AS digest FROM first UNION ALL SELECT doc_id, 1, 'Results', md5(b) FROM first WHERE b <> ''
 """, plain=True)
 def S07_S09_T20_jats_sections(g: Graph) -> DataFrame:
     def escaped(c):
@@ -111,7 +129,7 @@ def S07_S09_T20_jats_sections(g: Graph) -> DataFrame:
 
     line = F.regexp_extract("text", "^[^\n]*", 0)
     rest = F.col("text").substr(F.length(line) + 1, F.length("text"))
-    xml = F.concat(F.lit("<article><abstract><p>"), escaped(line), F.lit("</p></abstract><body><sec><title>Results</title><p>"), escaped(rest), F.lit("</p></sec></body></article>"))
+    xml = F.concat(F.lit("<article><abstract><p>"), escaped(line), F.lit("<italic>kit</italic>lg<sup>2</sup></p></abstract><body><sec><title>Results</title><p>"), escaped(rest), F.lit("</p></sec></body></article>"))
     papers = g.read("documents").select(F.col("doc_id").alias("paper_id"), xml.alias("xml"))
     return E.parse_jats(papers).select("paper_id", "section_idx", "section", F.md5(F.col("body").cast("binary")).alias("digest"))
 

