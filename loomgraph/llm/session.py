@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.shipping import ship
 
@@ -77,6 +78,33 @@ def discard_since(spark: SparkSession, before: list[str], *keep: DataFrame) -> N
     stay = {*before, *(df.written_path for df in keep)}
     for path in [p for p in _HELD if p not in stay]:
         _delete(spark, path)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs: the driver deletes them once it has collected what names them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def with_common(rows: DataFrame, table: DataFrame, key: str, limit: int) -> DataFrame:
+    """rows with the columns of table (key, n, ...), null where it lacks the key; n is how many rows hold a key.
+
+    A table of at most limit keys is broadcast, so rows stay where they are. Of a larger
+    one the commonest keys are, as many as fit; the rows of all others are shuffled by
+    key, of which each then has at most a known number.
+    """
+    columns = [c for c in table.columns if c not in (key, "n")]
+    if table.count() <= limit:
+        return rows.join(F.broadcast(table.drop("n")), key, "left")
+    most = 1
+    while table.where(F.col("n") > most).count() > limit:
+        most *= 2
+    mark = free_name("__common", rows.columns)
+    common = table.where(F.col("n") > most).drop("n").withColumn(mark, F.lit(True))
+    met = rows.join(F.broadcast(common), key, "left")
+    rest = met.where(F.col(mark).isNull()).drop(mark, *columns).join(table.where(F.col("n") <= most).drop("n"), key, "left")
+    return met.where(F.col(mark).isNotNull()).drop(mark).unionByName(rest)
 
 
 def free_name(name: str, taken: Iterable[str]) -> str:

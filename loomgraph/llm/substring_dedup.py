@@ -5,7 +5,11 @@ there, so that chunks depend on content alone and an insertion moves only the cu
 next to it.  Chunks that occur once are left out by digest; of the runs that remain,
 windows of neighbouring chunks are compared, so that a passage is a run of chunks that
 stand together in one other document, and the first document (the smallest id) keeps
-it.  What a passage has before its first whole chunk and after its last one is not
+it.  Only anchors are counted over
+all documents: chunks of half a run, and the smallest digest of any three chunks that
+stand together; a window can only repeat if all anchors do that lie within it by
+themselves.  What a passage has
+before its first whole chunk and after its last one is not
 seen: RUN_WORDS in whole chunks are what is left of 51 words in 997 cases of 1,000.
 """
 
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, repeated, slices
-from loomgraph.llm.session import discard, free_name, prepare, written
+from loomgraph.llm.session import discard, free_name, prepare, release, with_common, written
 
 #: A word starts a chunk with a chance of 1 in CUT_ONE_IN, by a hash of the WINDOW bytes before it.
 CUT_ONE_IN, WINDOW = 3, 16
@@ -30,6 +34,8 @@ LEAST_WORDS = 3
 MOST_WORDS = 16
 #: Runs of fewer words in whole chunks stay: common phrases and lines are no passages.
 RUN_WORDS = 24
+#: Digests that are shared by most documents are broadcast, so many at most.
+COMMON = 500_000
 _GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 LAST_ID = 2**63 - 1
 #: So many ids of documents with repeats are broadcast at most, to leave the other texts where they are.
@@ -87,17 +93,40 @@ def _joined(first: np.ndarray, offsets: np.ndarray, total: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _signed(c: Chunks, n_docs: int) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Each document's digests and sizes in order, without small chunks, and whether a digest occurs twice in it."""
+def anchors(digest: np.ndarray, size: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """Which chunks have half of least words, or the smallest digest of three neighbours in their document.
+
+    Two documents that share a run share its anchors inside. A run of least words has
+    three chunks or one of half its words, so it has an anchor that both hold.
+    """
+    out = size >= least // 2
+    least_of = _least_of_three(digest)
+    out[least_of[doc[: len(least_of)] == doc[len(doc) - len(least_of) :]]] = True
+    return out
+
+
+def _least_of_three(digest: np.ndarray) -> np.ndarray:
+    """For each three neighbours the place of the smallest digest."""
+    n = max(len(digest) - 2, 0)
+    return np.arange(n) + np.stack([digest[:n], digest[1 : n + 1], digest[2 : n + 2]]).argmin(axis=0)
+
+
+def _signed(c: Chunks, n_docs: int, least: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Each document's digests and sizes in order, without small chunks, its distinct anchors, and whether a digest occurs twice in it."""
     real = c.digest != 0
-    digest, doc = c.digest[real], c.doc[real]
-    counts = np.bincount(doc, minlength=n_docs)
-    at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    digest, size, doc = c.digest[real], c.size[real], c.doc[real]
+    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_docs))]).astype(np.int32))
     order = np.lexsort((digest, doc))
-    again = (digest[order][1:] == digest[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    again = np.zeros(len(digest), bool)
+    again[1:] = (digest[order][1:] == digest[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     twice = np.zeros(n_docs, bool)
-    twice[doc[order][1:][again]] = True
-    return pa.ListArray.from_arrays(at, pa.array(digest)), pa.ListArray.from_arrays(at, pa.array(c.size[real].astype(np.int8))), pa.array(twice)
+    twice[doc[order][again]] = True
+    kept = order[anchors(digest, size, doc, least)[order]]
+    first = np.ones(len(kept), bool)
+    first[1:] = (digest[kept][1:] != digest[kept][:-1]) | (doc[kept][1:] != doc[kept][:-1])
+    kept = kept[first]
+    held = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=n_docs))]).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.array(digest)), pa.ListArray.from_arrays(at, pa.array(size.astype(np.int8))), pa.ListArray.from_arrays(held, pa.array(digest[kept])), pa.array(twice)
 
 
 def _windows(digest: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,33 +153,37 @@ def _key(id_col: str) -> Column:
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
 
 
-def _shared(each: DataFrame) -> DataFrame:
-    """(key, digest, first) of the digests that several keys hold; first is the smallest of them."""
-    shared = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
-    return each.join(shared, "digest")
+def _shared(each: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(key, digest, first) of the digests that several keys hold, first being the smallest of them; and a table to delete afterwards."""
+    counts = each.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = written(counts.where(F.col("first") < F.col("last")).select("digest", "first", "n"), name)
+    release(each.sparkSession)
+    return with_common(each, shared, "digest", COMMON).where(F.col("first").isNotNull()), shared
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS, within: bool = False) -> DataFrame:
     """(key, digests, firsts) of each document that holds a window of chunks that another (or, with within, the same) holds too.
 
-    firsts are the smallest ids that hold the windows. Windows are taken only of chunks
-    that occur twice, which no repeated window lacks. Digests are counted with partial
+    firsts are the smallest ids that hold the windows. Windows are taken only where
+    their own anchors are shared, as in every repeated window. Digests are counted with partial
     sums before the shuffle, and a document's lists are as long as the document at most.
     """
     prepare(docs.sparkSession)
-    schema = pa.schema([("key", pa.int64()), ("digests", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int8())), ("twice", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("digests", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int8())), ("anchors", pa.list_(pa.int64())), ("twice", pa.bool_())])
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = flat(b.column("text"))
             for i, j in slices(offsets):
                 c = Chunks(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), *_signed(c, j - i)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), *_signed(c, j - i, least)], schema=schema)
 
     rows = docs.select(_key(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = written(rows.mapInArrow(chunk, "key long, digests array<long>, sizes array<tinyint>, twice boolean"), "chunk-digests")
-    each = signed.select("key", F.explode(F.array_distinct("digests")).alias("digest"))
-    held = written(_shared(each).groupBy("key").agg(F.collect_set("digest").alias("known")), "chunk-repeats")
+    signed = written(rows.mapInArrow(chunk, "key long, digests array<long>, sizes array<tinyint>, anchors array<long>, twice boolean"), "chunk-digests")
+    found, counts = _shared(signed.select("key", F.explode("anchors").alias("digest")), "chunk-shared")
+    held = written(found.groupBy("key").agg(F.collect_set("digest").alias("known")), "chunk-repeats")
+    discard(counts)
+    release(docs.sparkSession)
     met, rest = _met(signed, held, "key")
     if rest is not None:
         met = met.unionByName(rest.withColumn("known", F.lit(None).cast("array<long>")))
@@ -162,21 +195,23 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS,
             made = []
             for key, digests, sizes, known in zip(b.column("key").to_pylist(), *(b.column(c) for c in ("digests", "sizes", "known")), strict=True):
                 digest, size = digests.values.to_numpy(), sizes.values.to_numpy()
-                seen = repeated(digest) if within else np.zeros(len(digest), bool)
+                across = own = np.zeros(0, np.int64)
                 if known.is_valid:
-                    seen |= np.isin(digest, known.values.to_numpy())
-                h = _windows_of(digest, size, seen, least)
-                if len(h):
-                    once = np.unique(h)
-                    made.append((key, once, len(once) < len(h)))
+                    across = _windows_across(digest, size, np.isin(digest, known.values.to_numpy()), least)
+                if within:
+                    own = _windows_of(digest, size, repeated(digest), least)
+                if len(across) or len(own):
+                    made.append((key, np.unique(np.concatenate([across, own])), len(np.unique(own)) < len(own)))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
     windows = written(met.mapInArrow(window, "key long, digests array<long>, twice boolean"), "window-digests")
     discard(signed, held)
-    each = windows.select("key", F.explode("digests").alias("digest"))
-    found = _shared(each).groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
+    each, counts = _shared(windows.select("key", F.explode("digests").alias("digest")), "window-shared")
+    found = each.groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
     found = written(found.select("key", F.col("found.digest").alias("digests"), F.col("found.first").alias("firsts")), "window-repeats")
+    discard(counts)
+    release(docs.sparkSession)
     if not within:
         discard(windows)
         return found
@@ -187,6 +222,15 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS,
     return found.unionByName(alone)
 
 
+def _windows_across(digest: np.ndarray, size: np.ndarray, known: np.ndarray, least: int) -> np.ndarray:
+    """Digests of the windows whose own anchors are known: long chunks, and the smallest of three that all lie inside."""
+    a, b, h = _windows(digest, size, least)
+    long = np.concatenate([[0], np.cumsum((size >= least // 2) & ~known)])
+    three = np.concatenate([[0], np.cumsum(~known[_least_of_three(digest)])])
+    inside = np.maximum(b - 2, a)
+    return h[(long[a] == long[b]) & (three[np.minimum(a, len(three) - 1)] == three[np.minimum(inside, len(three) - 1)])]
+
+
 def _windows_of(digest: np.ndarray, size: np.ndarray, seen: np.ndarray, least: int) -> np.ndarray:
     """Digests of the windows whose chunks were all seen."""
     a, b, h = _windows(digest, size, least)

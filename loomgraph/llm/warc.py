@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import zip_archive
-from loomgraph.llm.session import prepare, table_path, written
+from loomgraph.llm.session import prepare, table_path, with_common, written
 
 #: A package is closed once its records exceed this, and ranges are fetched together up to this.
 PACKAGE_BYTES = 64 << 20
@@ -135,25 +135,6 @@ def records_of(path: str, fetch: int = FETCH_BYTES) -> Iterator[bytes]:
             i = j
 
 
-def _with_firsts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """rows with the first id of their digest, null without one.
-
-    As many repeated digests as are allowed are broadcast, so rows stay where they are.
-    Beyond that the most common ones are, and the others, of which a digest has at
-    most a known number of rows, are joined by a shuffle.
-    """
-    pairs = firsts.select("sha", "first")
-    if firsts.count() <= BROADCAST_DIGESTS:
-        return rows.join(F.broadcast(pairs), "sha", "left")
-    most = 1
-    while firsts.where(F.col("n") > most).count() > BROADCAST_DIGESTS:
-        most *= 2
-    common = firsts.where(F.col("n") > most).select("sha", F.col("first").alias("common"))
-    met = rows.join(F.broadcast(common), "sha", "left")
-    rest = met.where(F.col("common").isNull()).drop("common").join(firsts.where(F.col("n") <= most).select("sha", "first"), "sha", "left")
-    return met.where(F.col("common").isNotNull()).withColumnRenamed("common", "first").unionByName(rest)
-
-
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Writes a record per row into packages under folder; (path, n_records) of each.
 
@@ -168,7 +149,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # counts of digests are pre-aggregated; html meets only what its digest's bound allows
     firsts = rows.where(F.octet_length("html") >= least).groupBy(sha.alias("sha")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.where((F.col("n") > 1) & F.col("first").isNotNull()), "warc-repeated")
-    told = _with_firsts(rows.withColumn("sha", sha), firsts)
+    told = with_common(rows.withColumn("sha", sha), firsts, "sha", BROADCAST_DIGESTS)
     told = told.select("id", "url", "html", F.when(F.coalesce(F.col("id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
