@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import Words, flat, mix, slices, windows
 from loomgraph.llm.components import connected_components
-from loomgraph.llm.session import discard, free_name, prepare, written
+from loomgraph.llm.session import discard, free_name, prepare, release, with_common, written
 
 N = 5
 #: Similarity from which documents link, in hundredths.
@@ -275,8 +275,17 @@ def _searched(blocks: DataFrame, exact: bool) -> DataFrame:
 def _measured(members: DataFrame, key: str) -> DataFrame:
     """members of keys with several groups, with m, the key's nodes, alone, those outside its largest group, and asks, whether a node is one of them."""
     counts = members.groupBy(key, "group").count().groupBy(key).agg(F.sum("count").alias("m"), F.max(F.struct("count", "group")).alias("top"))
-    counts = counts.select(key, "m", (F.col("m") - F.col("top.count")).alias("alone"), F.col("top.group").alias("__top")).where(F.col("alone") > 0)
-    return members.join(counts, key).withColumn("asks", F.col("group") != F.col("__top")).drop("__top")
+    counts = counts.select(key, F.col("m").alias("n"), "m", (F.col("m") - F.col("top.count")).alias("alone"), F.col("top.group").alias("top")).where(F.col("alone") > 0)
+    counts = written(counts, "ngram-sizes")
+    met = with_common(members.withColumnRenamed("n", "size"), counts, key, PICKED).where(F.col("m").isNotNull())
+    return met.withColumn("asks", F.col("group") != F.col("top")).withColumnRenamed("size", "n").drop("top")
+
+
+def _thinned(star: DataFrame) -> DataFrame:
+    """(a, b) links that tie what (pivot a, node b) ties: a node keeps one pivot, and its pivots are tied among themselves, each pair once."""
+    pivots = star.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all"))
+    ends = F.transform("all", lambda a, k: F.struct(F.when(k == 0, F.col("b")).otherwise(a).alias("b"), F.col("all")[0].alias("a")))
+    return pivots.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct()
 
 
 def _with_hubs(members: DataFrame, key: str) -> DataFrame:
@@ -324,6 +333,7 @@ def _tied(members: DataFrame, key: str, tokens: DataFrame, exact: bool, known: D
         told = written(_measured(grouped(labels), key), "ngram-groups")
     held.append(links(_parted(told, key)))
     discard(told, *([labels] if labels is not None else []))
+    release(told.sparkSession)
     return connected_components(_united(held)), held
 
 
@@ -369,7 +379,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     one, two = (light.withColumnsRenamed({"node": k, "n": f"n_{k}", "tokens": f"t_{k}"}) for k in "ab")
     star = star.join(one, "a").join(two, "b").where(F.size(F.array_intersect("t_a", "t_b")) >= needed(F.greatest("n_a", "n_b")))
-    star = written(star.select("a", "b"), "ngram-star")
+    star = written(_thinned(star.select("a", "b")), "ngram-star")
     # 2. blocks that hold several clusters
     labels, held = _tied(members.select("key", "node", "n"), "key", light.select("node", "tokens"), exact=False, known=star)
     clusters = written(labels.withColumnRenamed("component", "cluster").join(nodes.select("node", "n", "rep"), "node"), "ngram-clusters")
