@@ -230,6 +230,21 @@ def test_passages_of_awkward_rows(spark, monkeypatch, picked):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0 and substring_dedup.passages(docs.limit(0)).count() == 0
 
 
+def test_every_run_has_an_anchor_that_both_texts_hold():
+    rng = random.Random(17)
+    for _ in range(400):
+        run = [(rng.randint(1, 10**6), rng.randint(3, 16)) for _ in range(rng.randint(1, 9))]
+        while sum(n for _, n in run) < 24:
+            run.append((rng.randint(1, 10**6), rng.randint(3, 16)))
+        held = []
+        for _ in range(2):
+            before, after = ([(rng.randint(1, 10**6), rng.randint(3, 16)) for _ in range(rng.randint(0, 5))] for _ in range(2))
+            text = [*before, *run, *after]
+            marks = substring_dedup.anchors(np.array([d for d, _ in text]), np.array([n for _, n in text]), np.zeros(len(text), np.int64), 24)
+            held.append({k - len(before) for k in np.flatnonzero(marks).tolist() if 0 <= k - len(before) < len(run)})
+        assert held[0] & held[1]
+
+
 def plain_covered(rows, least=substring_dedup.RUN_WORDS):
     """Words of each text in spans of whole chunks, least words at least, that another text holds too."""
     chunks = {}
