@@ -16,15 +16,15 @@ from loomgraph.plans import all as plans
 
 #: Commands that show the rows of queries.
 SHOWN = {
-    "validate": ("Q17_T24_P12_ceiling_violations", "Q17_J13_J14_P11_integrity", "P12_P13_species_rules", "Q21_gene_claim_violations", "A27_duplicate_keys"),
+    "validate": ("Q17_T24_ceilings", "P07_shapes", "P09_label_checks", "P10_entity_checks", "Q17_J13_J14_P11_integrity", "P12_P13_species_rules", "Q21_gene_claim_violations", "A27_duplicate_keys"),
     "status": ("Q10_S03_A07_U01_graph_counts", "Q12_A08_state_counts"),
     "traits": ("Q04_J04_A01_W04_list_traits",),
     "review": ("Q05_A02_A12_W03_review_queue",),
     "disputed": ("Q06_disputed_claims",),
     "shared-genes": ("Q07_J06_J08_J09_A04_A05_shared_genes",),
-    "search": ("Q09_W07_W08_search",),
+    "search": ("Q09_W07_search",),
     "queries": ("Q24_G08_J11_J12_query_ladder",),
-    "pipeline": ("Q26_A28_J20_J21_citation_funnel", "Q29_A29_register_report", "Q27_J17_T14_T17_T18_W14_candidates"),
+    "pipeline": ("Q26_A28_citation_screen", "Q29_A29_register_report", "Q27_J17_T14_candidates"),
     "papers": ("Q12_W06_X05_papers_in_states", "Q11_P06_W05_X06_unprocessed_papers"),
     "candidates": ("Q13_pending_candidates",),
     "proposed-genes": ("Q28_T19_new_symbols",),
@@ -38,11 +38,13 @@ def _cross(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.mother_shows or a.father_shows:
         if a.mother or a.father or not (a.mother_shows and a.father_shows):
             raise SystemExit("give both parents by genotype, or both by what they show")
+        if a.json:
+            return spark.createDataFrame([(crosses.range_json(spark, rules, set(a.mother_shows.split(",")), set(a.father_shows.split(","))),)], "document string")
         return crosses.cross_from_phenotypes(spark, rules, set(a.mother_shows.split(",")), set(a.father_shows.split(",")), a.true_breeding)
     if a.true_breeding or not (a.mother and a.father):
         raise SystemExit("give both parents; --true-breeding goes with what they show")
     table = crosses.cross_table(spark, rules, [("cross", a.mother, a.father)])
-    return crosses.cross_json(table, rules) if a.json else crosses.shares(crosses.classes(table, rules, "id"))
+    return crosses.cross_json(table, rules, {t: min(r) for t, r in rules.ranks.items()}) if a.json else crosses.shares(crosses.classes(table, rules, "id"))
 
 
 def _decide(spark: SparkSession, rows: DataFrame, ids: list[int], outcome: str) -> DataFrame:
@@ -69,6 +71,8 @@ def main(argv: list[str]) -> None:
         for name in SHOWN[a.command]:
             print(name)
             plans.QUERIES[name](spark, a.data).show(a.limit, truncate=False)
+        if a.out:
+            sources.write_report(spark, {name: plans.QUERIES[name](spark, a.data) for name in SHOWN[a.command]}, a.out)
     elif a.command == "init":
         # tables are Parquet: constraints are checked, not declared
         plans.QUERIES["K11_uniqueness"](spark, a.data).show()

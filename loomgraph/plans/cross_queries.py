@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import fixed
 from loomgraph.operators import crosses as X
+from loomgraph.operators import layer as L
 from loomgraph.plans.base import Graph, query
 
 #: Two autosomal loci and a sex-linked one; A hides B, and C is A with X.
@@ -65,7 +67,7 @@ def T32_T33_show_genotypes(g: Graph) -> DataFrame:
 
 _GOLDEN = [
     ("maintenance", "b/b r/r", "b/b r/R"), ("backcross", "B/b R/r", "b/b r/r"), ("sex linked", "B/b R/r", "B/b R/r"), ("two loci", "I/i pd/pd+", "I/i pd/pd+"),
-    ("dominant", "RLF/RLF", "rlf+/rlf+"), ("hidden", "i/i B/b r/r", "I/i B/b r/r"),
+    ("dominant", "RLF/RLF", "rlf+/rlf+"),
 ]
 _NONE = X.NOTHING
 _EXPECTED = [
@@ -76,46 +78,115 @@ _EXPECTED = [
     ("sex linked", "overall", "blue", "3/16"), ("sex linked", "overall", "white", "1/16"),
     *(("two loci", sex, c, p) for sex in ("female", "male", "overall") for c, p in ((_NONE, "9/16"), ("albino", "3/16"), ("panda", "3/16"), ("seethrough", "1/16"))),
     *(("dominant", sex, "reallongfin", "1/1") for sex in ("female", "male", "overall")),
-    ("hidden", "female", "albino", "3/8"), ("hidden", "female", "albino, white", "1/8"), ("hidden", "female", "blue", "3/8"), ("hidden", "female", "white", "1/8"),
-    ("hidden", "male", "albino", "3/8"), ("hidden", "male", "albino, yellow", "0/1"),
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in _EXPECTED if a not in ("hidden",)) + ") AS t(id, sex, class, share)", plain=True)
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in _EXPECTED) + ") AS t(id, sex, class, share)", plain=True)
 def Q30_golden_crosses(g: Graph) -> DataFrame:
     """The published crosses; the SQL lists the published shares."""
     rules = X.seed_rules()
-    return X.shares(X.classes(X.cross_table(g.spark, rules, [c for c in _GOLDEN if c[0] != "hidden"]), rules, "id")).select("id", "sex", "class", "share")
+    return X.shares(X.classes(X.cross_table(g.spark, rules, _GOLDEN), rules, "id")).select("id", "sex", "class", "share")
 
 
-@query("SELECT 'albino' AS class, 'blue' AS victim, 1 AS ok", plain=True)
-def A23_golden_hidden(g: Graph) -> DataFrame:
-    """An albino mother times a blue-bearing father: albinos hide blue."""
-    rules = X.seed_rules()
-    rows = X.hidden(X.cross_table(g.spark, rules, [c for c in _GOLDEN if c[0] == "hidden"]), rules, "id")
-    return rows.where("class = 'albino' AND victim = 'blue'").groupBy("class", "victim").agg(F.max((F.col("part") == F.col("of")).cast("int")).alias("ok"))
+@query()
+def Q31_Q32_J26_A25_U06_ranges(g: Graph) -> DataFrame:
+    """A parent that shows yellow times one that shows blue: ranges over all hypotheses."""
+    return X.cross_from_phenotypes(g.spark, X.seed_rules(), {"yellow"}, {"blue"})
 
 
-@query("""
-SELECT * FROM (VALUES ('Hitomi', 'no_allele_model'), ('YWKo', 'no_allele_model'), ('miyuki', 'multilocus'), ('orochi', 'multilocus')) AS t(trait, code)
-""", plain=True)
+#: The layer over the tables: claims that need alleles, composites (some part of themselves), modes, and what masks what.
+_LAYER = """
+layer AS (SELECT 'r' || trait_id || '-' || gene_id AS claim_id, 'requires_allele' AS predicate, trait_id AS subject, gene_id::VARCHAR AS object, best_rank AS rank, n_supports > 0 AND n_contradicts > 0 AS disputed FROM claim WHERE predicate = 'requires_allele' AND best_rank >= 40 AND trait_id % 4 <> 0
+  UNION ALL SELECT 'c' || p_partkey || '-' || d, 'composed_of', p_partkey, (p_partkey + d)::VARCHAR, p_size, p_size = 13 FROM part, (VALUES (1), (3)) AS t(d) WHERE p_size BETWEEN 10 AND 16
+  UNION ALL SELECT 'b' || p_partkey, 'composed_of', p_partkey, (p_partkey - 1)::VARCHAR, 20, false FROM part WHERE p_size = 17
+  UNION ALL SELECT 'i' || p_partkey, 'inherited_as', p_partkey, CASE WHEN p_size % 3 = 0 THEN 'multilocus' ELSE 'recessive' END, 20, false FROM part WHERE p_size % 4 = 1
+  UNION ALL SELECT 'm' || subject_id || '-' || object_id, 'masks', subject_id, object_id::VARCHAR, 5, false FROM subsumes),
+needs AS (SELECT DISTINCT subject AS trait FROM layer WHERE predicate = 'requires_allele'), whole AS (SELECT DISTINCT subject AS trait FROM layer WHERE predicate = 'composed_of'),
+edges AS (SELECT DISTINCT subject AS trait, object::BIGINT AS below FROM layer WHERE predicate = 'composed_of' AND subject NOT IN (SELECT trait FROM needs)),
+down AS (SELECT trait, below FROM edges UNION SELECT r.trait, e.below FROM down r JOIN edges e ON e.trait = r.below),
+circular AS (SELECT trait FROM down WHERE trait = below),
+spoiled AS (SELECT DISTINCT trait FROM down WHERE below IN (SELECT trait FROM circular) OR (below NOT IN (SELECT trait FROM needs) AND below NOT IN (SELECT trait FROM whole))),
+has_model AS (SELECT trait FROM needs UNION SELECT trait FROM whole WHERE trait NOT IN (SELECT trait FROM spoiled)),
+own AS (SELECT trait, trait AS below FROM needs UNION SELECT trait, trait FROM whole UNION SELECT trait, below FROM down),
+facts AS (SELECT subject AS below, claim_id, rank, disputed FROM layer WHERE predicate = 'requires_allele' UNION ALL SELECT subject, claim_id, rank, disputed FROM layer WHERE predicate = 'composed_of' AND subject NOT IN (SELECT trait FROM needs)
+  UNION ALL SELECT object::BIGINT, claim_id, rank, disputed FROM layer WHERE predicate = 'masks'),
+rests AS (SELECT DISTINCT trait, claim_id, rank, disputed FROM own JOIN facts USING (below))
+"""
+
+
+def _layer(g: Graph) -> DataFrame:
+    part, size, p = g.read("part"), F.col("p_size"), F.col("p_partkey")
+    disputed = (F.col("n_supports") > 0) & (F.col("n_contradicts") > 0)
+    needs = g.claim.where("predicate = 'requires_allele' AND best_rank >= 40 AND trait_id % 4 <> 0").select(F.concat(F.lit("r"), "trait_id", F.lit("-"), "gene_id").alias("claim_id"), F.lit("requires_allele").alias("predicate"), F.col("trait_id").alias("subject"), F.col("gene_id").cast("string").alias("object"), F.col("best_rank").alias("rank"), disputed.alias("disputed"))
+    made = part.where("p_size BETWEEN 10 AND 16").withColumn("d", F.explode(F.array(F.lit(1), F.lit(3)))).select(F.concat(F.lit("c"), p, F.lit("-"), "d"), F.lit("composed_of"), p, (p + F.col("d")).cast("string"), size, size == 13)
+    back = part.where("p_size = 17").select(F.concat(F.lit("b"), p), F.lit("composed_of"), p, (p - 1).cast("string"), F.lit(20), F.lit(False))
+    modes = part.where("p_size % 4 = 1").select(F.concat(F.lit("i"), p), F.lit("inherited_as"), p, F.when(size % 3 == 0, "multilocus").otherwise("recessive"), F.lit(20), F.lit(False))
+    masks = g.subsumes.select(F.concat(F.lit("m"), "subject_id", F.lit("-"), "object_id"), F.lit("masks"), "subject_id", F.col("object_id").cast("string"), F.lit(5), F.lit(False))
+    return L.written(needs.union(made).union(back).union(modes).union(masks))
+
+
+@query(f"WITH {_LAYER} SELECT trait, (SELECT count(*) FROM down d WHERE d.trait = h.trait) AS below FROM has_model h")
+def G04_G05_modelled(g: Graph) -> DataFrame:
+    """Traits with a model, and how many traits each is made of."""
+    layer = _layer(g)
+    below = L.reach(layer)
+    return L.modelled(layer, below).join(below.groupBy("trait").count(), "trait", "left").select("trait", F.coalesce("count", F.lit(0)).alias("below"))
+
+
+@query(f"""
+WITH {_LAYER} SELECT trait, min(rank) AS rank, arg_min(claim_id, rank * 1e9 + place) AS weakest, count(*) AS n_claims
+FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY rank, claim_id) AS place FROM rests) WHERE trait IN (SELECT trait FROM has_model) GROUP BY trait HAVING NOT bool_or(disputed)
+""")
+def Q35_G06_support(g: Graph) -> DataFrame:
+    """The weakest claim under each prediction."""
+    layer = _layer(g)
+    return L.support(layer, L.reach(layer))
+
+
+@query(f"""
+WITH {_LAYER},
+modes AS (SELECT subject AS trait, array_to_string(list_sort(list_distinct(array_agg(object))), ', ') AS modes, bool_or(object = 'multilocus') AS many FROM layer WHERE predicate = 'inherited_as' GROUP BY subject),
+bare AS (SELECT subject AS trait, string_agg(DISTINCT object, ', ' ORDER BY object) AS bare FROM layer WHERE predicate = 'composed_of' AND object::BIGINT NOT IN (SELECT trait FROM has_model) GROUP BY subject),
+against AS (SELECT trait, string_agg(claim_id, '; ' ORDER BY claim_id) AS against FROM rests WHERE disputed GROUP BY trait)
+SELECT t.trait_id AS trait, CASE WHEN h.trait IS NOT NULL THEN 'disputed' WHEN many THEN 'multilocus' WHEN bare IS NOT NULL OR modes IS NOT NULL THEN 'no_allele_model' ELSE 'no_inheritance_data' END AS code,
+  CASE WHEN h.trait IS NOT NULL THEN against WHEN many THEN modes WHEN bare IS NOT NULL AND modes IS NULL THEN bare ELSE coalesce(modes, '') END AS detail
+FROM trait t LEFT JOIN has_model h ON h.trait = t.trait_id LEFT JOIN modes m ON m.trait = t.trait_id LEFT JOIN bare b ON b.trait = t.trait_id LEFT JOIN against a ON a.trait = t.trait_id WHERE h.trait IS NULL OR against IS NOT NULL
+""")
 def Q34_refusals(g: Graph) -> DataFrame:
-    return X.refusals(g.spark, X.seed_rules())
+    """Traits that are not predicted, by the first reason that holds."""
+    layer = _layer(g)
+    return L.refusals(g.trait.select(F.col("trait_id").alias("trait")), layer, L.reach(layer))
 
 
-@query("""
-SELECT * FROM (VALUES ('albino', 5), ('blue', 10), ('daruma', 5), ('hikari', 5), ('nodorsalfin', 5), ('panda', 5), ('reallongfin', 10), ('seethrough', 0), ('white', 20), ('yellow', 20)) AS t(trait, rank)
+#: Ranks under the traits of the crosses; what is below OBSERVATIONAL is a weak basis.
+RANKS = {"Ta": 40, "Tb": 10, "Tx": 20, "Tc": 5}
+_MARKED = "class"
+for _t, _r in RANKS.items():
+    if _r < fixed.COMPARATIVE_CEILING:
+        _MARKED = f"regexp_replace({_MARKED}, '\\b({_t}( \\(partial\\))?)(,|$)', '\\1 [{next(n for n, r in fixed.LEVELS.items() if r == _r)}]\\3')"
+
+
+@query(_PARENTS + f"""
+SELECT id, sex, replace({_MARKED}, ', ', ' + ') AS label, (weight // gcd(weight, whole)) || '/' || (whole // gcd(weight, whole)) AS share, format('{{:.1f}}', 100.0 * weight / whole) || '%' AS percent,
+  row_number() OVER (PARTITION BY id, sex ORDER BY weight DESC, replace(class, ', ', ' + ')) AS position FROM counted
 """, plain=True)
-def Q35_G06_support(g: Graph) -> DataFrame:
-    return X.support(g.spark, X.seed_rules()).select("trait", "rank")
+def Q36_W16_class_lines(g: Graph) -> DataFrame:
+    """Classes largest first, as they are shown: traits on a weak basis are marked with the level."""
+    return X.class_lines(X.classes(_crosses(g), RULES, "id"), RANKS, "id")
 
 
-@query()
-def Q31_Q32_J26_A25_U06_ranges(g: Graph) -> DataFrame:
-    """A parent that shows yellow times one that shows blue: ranges over all hypotheses."""
-    return X.cross_from_phenotypes(g.spark, X.seed_rules(), {"yellow"}, {"blue"})
+@query(_PARENTS + """,
+pairs AS (SELECT m.id, (m.l1a = 'a' OR m.l1b = 'a' OR f.l1a = 'a' OR f.l1b = 'a')::INT AS p1, (m.l2a = 'b' OR m.l2b = 'b' OR f.l2a = 'b' OR f.l2b = 'b')::INT AS p2, (m.sx1 = 'x' OR m.sx2 = 'x' OR f.sx1 = 'x' OR f.sx2 = 'x')::INT AS p3
+  FROM parents m JOIN parents f ON f.id = m.id + 64 AND m.sex = 'female' AND f.sex = 'male'),
+shown AS (SELECT DISTINCT id, regexp_replace(part, '( \\(partial\\)|\\?)$', '') AS trait FROM (SELECT id, unnest(string_split(class, ', ')) AS part FROM named) WHERE part <> 'none of the modelled traits'),
+notes AS (SELECT id, string_agg(CASE trait WHEN 'Tc' THEN 'inferred:Tc' WHEN 'Tb' THEN 'mode:Tb' END, ' ' ORDER BY trait DESC) AS notes FROM shown GROUP BY id)
+SELECT id, concat_ws(' ', 'sex_ratio', CASE WHEN p1 + p2 > 1 OR (p1 + p2 = 1 AND p3 = 1) THEN 'independent_assortment' END, 'wild_type_default', notes, 'strain_scope source_authority r_sex_recombination albino_allele') AS assumptions FROM pairs LEFT JOIN notes USING (id)
+""".replace("\\\\", "\\"), plain=True)
+def Q37_assumptions(g: Graph) -> DataFrame:
+    """What each prediction assumes: always, by the loci in play, by inferred claims and modes of the traits shown, and the open decisions."""
+    return X.assumptions_of(_crosses(g), RULES, "id", inferred={"Tc": "Tc"}, modes={"Tb": "Tb"})
 
 
 @query()
-def Q36_Q37_T39_cross_documents(g: Graph) -> DataFrame:
-    return X.cross_json(_crosses(g), RULES)
+def Q36_T39_cross_documents(g: Graph) -> DataFrame:
+    return X.cross_json(_crosses(g), RULES, RANKS, inferred={"Tc": "Tc"}, modes={"Tb": "Tb"})

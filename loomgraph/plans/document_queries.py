@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import fixed
+from loomgraph import sources as R
 from loomgraph.functions import text as X
 from loomgraph.operators import claims as C
 from loomgraph.operators import dossier as D
@@ -231,3 +232,28 @@ def K10_G07_dispute_marking(g: Graph) -> DataFrame:
     rels = g.read("lineitem").where("l_quantity > 47").select((F.col("l_partkey") % 97).alias("s"), rel.alias("rel"), F.col("l_suppkey").alias("o")).where("s <> o").distinct()
     fixes = g.spark.createDataFrame([(1, "same_as", 2, "narrower"), (3, "same_as", 4, None), (5, "narrower", 6, "same_as")], "s long, rel string, o long, new string")
     return M.marked_disputes(M.revised(rels.withColumn("basis", F.lit("as found")), fixes))
+
+
+@query("""
+WITH counts AS (SELECT category, count(*) FILTER (WHERE phenotype = 'Brand#1') AS a, count(*) FILTER (WHERE phenotype = 'Brand#2') AS b, count(*) AS n, grouping(category) AS g FROM trait GROUP BY ROLLUP (category))
+SELECT 1 AS position, '| category | Brand#1 | Brand#2 | total |' AS line UNION ALL SELECT 2, '|---|---|---|---|' UNION ALL SELECT row_number() OVER (ORDER BY g, category) + 2, '| ' || CASE WHEN g = 1 THEN 'total' ELSE category END || ' | ' || a || ' | ' || b || ' | ' || n || ' |' FROM counts
+""")
+def S18_markdown_table(g: Graph) -> DataFrame:
+    return R.markdown_pivot(g.trait, "category", "phenotype", ["Brand#1", "Brand#2"])
+
+
+@query("""
+WITH named AS (SELECT 'Trait' AS label, trait_id AS id, name || ' ' || phenotype AS text, name FROM trait UNION ALL SELECT 'Gene', gene_id, name || ' gene ' || gene_id, name FROM gene UNION ALL SELECT 'Mechanism', mechanism_id, name, name FROM mechanism),
+words AS (SELECT label, id, name, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS words FROM named),
+sized AS (SELECT *, len(words) AS size, (SELECT avg(len(words)) FROM words) AS usual, (SELECT count(*) FROM words) AS n FROM words),
+terms AS (SELECT unnest(['small', 'ring', 'gene', '7', 'brand#2']) AS term), known AS (SELECT term, count(*) AS df FROM terms JOIN sized ON list_contains(words, term) GROUP BY term),
+hits AS (SELECT label, id, name, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / usual))) AS score
+  FROM (SELECT s.*, k.df, len(list_filter(s.words, lambda w: w = k.term)) AS tf FROM sized s JOIN known k ON list_contains(s.words, k.term)) GROUP BY label, id, name)
+SELECT label, id, name, round(score, 6) AS score FROM hits ORDER BY round(score, 6) DESC, label, id LIMIT 25
+""")
+def Q09_W07_search(g: Graph) -> DataFrame:
+    """The best 25 names and aliases by BM25; ties by label and id."""
+    named = g.trait.select(F.lit("Trait").alias("label"), F.col("trait_id").alias("id"), F.concat_ws(" ", "name", "phenotype").alias("text"), "name")
+    named = named.unionByName(g.gene.select(F.lit("Gene").alias("label"), F.col("gene_id").alias("id"), F.concat_ws(" ", "name", F.lit("gene"), "gene_id").alias("text"), "name"))
+    named = named.unionByName(g.mechanism.select(F.lit("Mechanism").alias("label"), F.col("mechanism_id").cast("long").alias("id"), F.col("name").alias("text"), "name"))
+    return M.best_matches(named, ["small", "ring", "gene", "7", "brand#2"], 25)

@@ -114,23 +114,6 @@ def Q08_J10_A06_W02_mechanisms_via_genes(g: Graph) -> DataFrame:
     return out.select("trait_id", "mechanism", "best_rank", fixed.level_of(F.col("best_rank")).alias("level"), F.concat_ws(",", F.col("genes").cast("array<string>")).alias("genes"), F.row_number().over(order).alias("position"))
 
 
-@query("""
-WITH terms AS (SELECT unnest(['small', 'ring', 'supplier#000000007']) AS term),
-named AS (SELECT 'Trait' AS label, trait_id AS id, name FROM trait UNION ALL SELECT 'Gene', gene_id, name FROM gene UNION ALL SELECT 'Mechanism', mechanism_id, name FROM mechanism),
-tokens AS (SELECT DISTINCT label, id, name, unnest(string_split(lower(name), ' ')) AS term FROM named),
-hits AS (SELECT label, id, name, count(*) AS score FROM tokens JOIN terms USING (term) GROUP BY label, id, name)
-SELECT label, id, name, score FROM hits ORDER BY score DESC, label, id LIMIT 25
-""")
-def Q09_W07_W08_search(g: Graph) -> DataFrame:
-    """Scored by the number of query terms that a name holds (a deterministic stand-in for engine-specific scores)."""
-    named = g.trait.select(F.lit("Trait").alias("label"), F.col("trait_id").alias("id"), "name")
-    named = named.unionByName(g.gene.select(F.lit("Gene").alias("label"), F.col("gene_id").alias("id"), "name"))
-    named = named.unionByName(g.mechanism.select(F.lit("Mechanism").alias("label"), F.col("mechanism_id").cast("long").alias("id"), "name"))
-    terms = F.array(F.lit("small"), F.lit("ring"), F.lit("supplier#000000007"))
-    score = F.size(F.array_intersect(F.split(F.lower("name"), " "), terms)).cast("long")
-    return named.withColumn("score", score).where(F.col("score") > 0).orderBy(F.desc("score"), "label", "id").limit(25)
-
-
 @query("""
 SELECT 'Trait' AS label, count(*) AS n FROM trait UNION ALL SELECT 'Gene', count(*) FROM gene UNION ALL SELECT 'Mechanism', count(*) FROM mechanism
 UNION ALL SELECT 'Anatomy', count(*) FROM anatomy UNION ALL SELECT 'Paper', count(*) FROM paper UNION ALL SELECT 'Claim', count(*) FROM claim

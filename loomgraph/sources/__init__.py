@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions.text import slugify
+from loomgraph.operators.storage import written
+from loomgraph.shipping import ship
 
 SEED_KEYS = {"papers", "entities", "claims"}
 EVIDENCE_SCHEMA = (
@@ -49,7 +56,7 @@ def seed_rows(name: str, text: str, load: Callable[[str], object]) -> tuple[list
 
 
 def read_seeds(spark: SparkSession, path: str, load: Callable[[str], object] | None = None) -> dict[str, DataFrame]:
-    """papers, entities, evidence and problems of all seed files under a path, read by Spark; problems of every file are kept.
+    """papers, entities, evidence and problems of all seed files under a path, parsed where they are read; problems of every file are kept.
 
     load parses a file's text: YAML where a parser is installed, else JSON, which is a subset of it.
     """
@@ -58,18 +65,21 @@ def read_seeds(spark: SparkSession, path: str, load: Callable[[str], object] | N
             from yaml import safe_load as load
         except ImportError:
             load = json.loads
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").orderBy("file").collect()
-    papers, entities, evidence, problems = [], [], [], []
-    for f in files:
-        a, b, c, d = seed_rows(f["file"], f["value"], load)
-        papers += a
-        entities += b
-        evidence += c
-        problems += d
-    return {
-        "papers": spark.createDataFrame(papers, PAPER_SCHEMA), "entities": spark.createDataFrame(entities, ENTITY_SCHEMA), "evidence": spark.createDataFrame(evidence, EVIDENCE_SCHEMA),
-        "problems": spark.createDataFrame([(p,) for p in problems], "problem string"),
-    }
+    schemas = {"papers": PAPER_SCHEMA, "entities": ENTITY_SCHEMA, "evidence": EVIDENCE_SCHEMA, "problems": "problem string"}
+    fields = {kind: [f.split()[0] for f in ddl.split(", ")] for kind, ddl in schemas.items()}
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True):
+                papers, entities, evidence, problems = seed_rows(name, text, load)
+                rows = {"papers": papers, "entities": entities, "evidence": evidence, "problems": [(p,) for p in problems]}
+                told = [(kind, json.dumps(dict(zip(fields[kind], row, strict=True)))) for kind in rows for row in rows[kind]]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in told], pa.string()), pa.array([v for _, v in told], pa.string())], names=["kind", "value"])
+
+    files = ship(spark).read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    # files are parsed once for all four tables
+    told = written(files.mapInArrow(parse, "kind string, value string"))
+    return {kind: told.where(F.col("kind") == kind).select(F.from_json("value", ddl).alias("r")).select("r.*") for kind, ddl in schemas.items()}
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -105,10 +115,13 @@ def missing_from_cache(wanted: DataFrame, cached: DataFrame, key: str) -> DataFr
 
 
 class PagedSource(DataSource):
-    """Rows of a paged backend, a partition for each page: spark.read.format("paged").
+    """Rows that a paged backend gives for each seed: spark.read.format("paged").
 
-    The backend is a JSON Lines fixture (option path); a live client subclasses this and
-    overrides pages().
+    Options: seeds (separated by commas, a partition each), pageSize, interval (least
+    seconds between the requests of a partition), and where pages come from: fixture, a
+    JSON Lines file of {"seed", "page", "hitCount", "rows"} that executors can reach,
+    or url, a template with {seed}, {page} and {size} that answers with the last two.
+    Pages are asked for until hitCount rows are in hand or a page is empty.
     """
 
     @classmethod
@@ -116,7 +129,7 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self) -> str:
-        return "page int, value string"
+        return "seed string, page int, value string"
 
     def reader(self, schema) -> DataSourceReader:
         return _PagedReader(self.options)
@@ -124,15 +137,60 @@ class PagedSource(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.lines = options.get("rows", "").split("\n") if options.get("rows") else []
-        self.size = int(options.get("pageSize", "20"))
+        self.seeds = [s for s in options.get("seeds", "").split(",") if s]
+        self.size, self.interval = int(options.get("pageSize", "1000")), float(options.get("interval", "0.34"))
+        self.fixture, self.url = options.get("fixture"), options.get("url")
+        if bool(self.fixture) == bool(self.url):
+            raise ValueError("give either fixture or url")
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(-(-len(self.lines) // self.size))]
+        return [InputPartition(s) for s in self.seeds]
+
+    def _pages(self, seed: str) -> Callable[[int], dict]:
+        if self.url:
+            def ask(page: int) -> dict:
+                with urllib.request.urlopen(self.url.format(seed=urllib.parse.quote(seed), page=page, size=self.size), timeout=60) as r:
+                    return json.load(r)
+
+            return ask
+        path = self.fixture if "://" in self.fixture else "file://" + self.fixture.removeprefix("file:")
+        fs, inner = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(inner) as f:
+            held = {r["page"]: r for r in map(json.loads, f.read().decode().splitlines()) if r["seed"] == seed}
+        return lambda page: held.get(page, {})
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for line in self.lines[partition.value * self.size : (partition.value + 1) * self.size]:
-            yield partition.value, line
+        ask, n, page, last = self._pages(partition.value), 0, 1, 0.0
+        while True:
+            if self.url:
+                time.sleep(max(0.0, last + self.interval - time.monotonic()))
+                last = time.monotonic()
+            body = ask(page)
+            rows = body.get("rows") or []
+            for row in rows:
+                yield partition.value, page, json.dumps(row)
+            n += len(rows)
+            if not rows or n >= int(body.get("hitCount") or 0):
+                return
+            page += 1
+
+
+def write_report(spark: SparkSession, parts: dict[str, DataFrame], path: str) -> None:
+    """One JSON object: how many rows each part of a run has, and the rows of parts that are a single row."""
+    report = {}
+    for name, rows in parts.items():
+        head = rows.limit(2).collect()
+        report[name] = head[0].asDict(recursive=True) if len(head) == 1 else rows.count()
+    spark.createDataFrame([(json.dumps(report, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def markdown_pivot(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
+    """(position, line): counts by row and column as a Markdown table with totals; values are the columns in order."""
+    counts = rows.rollup(row).agg(*(F.count_if(F.col(column) == v).alias(f"__{k}") for k, v in enumerate(values)), F.count(F.lit(1)).alias("__all"), F.grouping(row).alias("__total"))
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", F.when(F.col("__total") == 1, "total").otherwise(F.coalesce(F.col(row).cast("string"), F.lit(""))), *(F.col(f"__{k}").cast("string") for k in range(len(values))), F.col("__all").cast("string")), F.lit(" |"))
+    body = counts.select((F.row_number().over(Window.orderBy("__total", row)) + 2).alias("position"), cells.alias("line"))
+    head = rows.sparkSession.createDataFrame([(1, f"| {row} | {' | '.join(values)} | total |"), (2, "|---" * (len(values) + 2) + "|")], "position int, line string")
+    return head.unionByName(body)
 
 
 #: Fields of a literature search hit.
