@@ -98,7 +98,7 @@ def main(argv: list[str]) -> None:
         if a.out:
             decided.write.mode("append").parquet(a.out)
     elif a.command == "export":
-        sources.write_lines(plans.QUERIES["Q16_S13_S14_T39_export"](spark, a.data), a.out)
+        sources.write_lines(plans.QUERIES["Q16_S13_S14_export"](spark, a.data), a.out)
     else:
         _cross(spark, a).show(a.limit, truncate=False)
 

@@ -30,11 +30,56 @@ def clusters(terms: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def audit(terms: DataFrame) -> DataFrame:
-    """Findings over (id, name, kind, cluster): a name scattered over clusters, kinds merged in one, collisions inside one."""
-    scattered = terms.groupBy("name").agg(F.countDistinct("cluster").alias("n")).where("n > 1").select(F.lit("scattered").alias("check"), F.col("name").alias("subject"), "n")
-    merged = terms.groupBy("cluster").agg(F.countDistinct("kind").alias("n")).where("n > 1").select(F.lit("merged kinds").alias("check"), F.col("cluster").cast("string").alias("subject"), "n")
-    collided = terms.groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("collision").alias("check"), F.concat_ws("/", F.col("cluster").cast("string"), "name").alias("subject"), "n")
-    return scattered.unionByName(merged).unionByName(collided)
+    """(check, subject, n) over (id, name, name_en, name_ko, kind, seed, spelling, cluster).
+
+    A name in several clusters, by language; several kinds, or several seed entities, in
+    one cluster; spellings that differ in case only; a name twice in one cluster.
+    """
+    cluster = F.col("cluster").cast("string")
+
+    def several(check: str, by, counted: str) -> DataFrame:
+        found = terms.withColumn("subject", by).where(F.col("subject").isNotNull()).groupBy("subject").agg(F.countDistinct(counted).alias("n")).where("n > 1")
+        return found.select(F.lit(check).alias("check"), "subject", "n")
+
+    out = several("scattered", F.col("name"), "cluster")
+    for check, by, counted in (("scattered en", F.col("name_en"), "cluster"), ("scattered ko", F.col("name_ko"), "cluster"), ("merged kinds", cluster, "kind"), ("spans seeds", cluster, "seed"), ("orthography", F.lower("spelling"), "spelling"), ("collision", F.concat_ws("/", cluster, "name"), "id")):
+        out = out.unionByName(several(check, by, counted))
+    return out
+
+
+def resolve_by_axis(names: DataFrame, aliases: DataFrame, index: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """(id, entity, status) of (id, name, axis): found, ambiguous or unknown.
+
+    An alias (name, canonical) goes first. The forms of a name are tried in order; a
+    form that several entities of the index (form, entity, axis) hold counts only if
+    one of them lies on the asked axis.
+    """
+    asked = names.join(aliases, "name", "left").withColumn("name", F.coalesce("canonical", "name"))
+    tried = asked.select("id", "axis", F.posexplode(forms_to_try(F.col("name"), suffixes)).alias("place", "form"))
+    held = index.groupBy("form").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("one"))
+    near = index.groupBy("form", "axis").agg(F.countDistinct("entity").alias("n_near"), F.min("entity").alias("near"))
+    hits = tried.join(held, "form").join(near, ["form", "axis"], "left")
+    entity = F.when(F.col("n") == 1, F.col("one")).when(F.col("n_near") == 1, F.col("near"))
+    best = hits.withColumn("entity", entity).groupBy("id").agg(F.min(F.when(F.col("entity").isNotNull(), F.struct("place", "entity"))).alias("best"), F.lit(True).alias("seen"))
+    told = names.select("id").join(best, "id", "left")
+    return told.select("id", F.col("best.entity").alias("entity"), F.when(F.col("best").isNotNull(), "found").when(F.col("seen"), "ambiguous").otherwise("unknown").alias("status"))
+
+
+def held_labels(rows: DataFrame, labels: DataFrame, width: int = 3) -> DataFrame:
+    """(id, label): labels that stand in a row's text (id, text), case folded.
+
+    A label's first characters are looked up among the text's substrings of that length,
+    so that no row is tried with every label; shorter labels go by their whole length.
+    """
+    known = labels.where(F.length("label") > 0).withColumn("folded", F.lower("label")).withColumn("gram", F.left("folded", F.lit(width)))
+    text = F.lower("text")
+    grams = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), _piece(text, n)) for n in range(1, width + 1))))
+    each = rows.select("id", text.alias("folded_text"), F.explode(F.array_distinct(grams)).alias("gram"))
+    return each.join(known, "gram").where(F.contains("folded_text", F.col("folded"))).select("id", "label").distinct()
+
+
+def _piece(text: Column, n: int):
+    return lambda at: F.substr(text, at, F.lit(n))
 
 
 def same_words(words: DataFrame) -> DataFrame:

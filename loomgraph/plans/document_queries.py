@@ -12,6 +12,8 @@ from loomgraph.operators import claims as C
 from loomgraph.operators import dossier as D
 from loomgraph.operators import extraction as E
 from loomgraph.operators import merge as M
+from loomgraph.operators import vocabulary as V
+from loomgraph.operators.crosses import reduced
 from loomgraph.plans.base import Graph, query, sql_list
 from loomgraph.plans.record_queries import OBJECTS, SUBJECTS, pick, sql_pick
 
@@ -257,3 +259,138 @@ def Q09_W07_search(g: Graph) -> DataFrame:
     named = named.unionByName(g.gene.select(F.lit("Gene").alias("label"), F.col("gene_id").alias("id"), F.concat_ws(" ", "name", F.lit("gene"), "gene_id").alias("text"), "name"))
     named = named.unionByName(g.mechanism.select(F.lit("Mechanism").alias("label"), F.col("mechanism_id").cast("long").alias("id"), F.col("name").alias("text"), "name"))
     return M.best_matches(named, ["small", "ring", "gene", "7", "brand#2"], 25)
+
+
+@query("""
+SELECT '{"labels":["OrnamentalTrait"],"properties":{"id":' || trait_id || ',"name":"' || name || '","category":"' || category || '"}}' AS value FROM trait
+UNION ALL SELECT '{"labels":["Gene"],"properties":{"id":' || gene_id || ',"name":"' || name || '"}}' FROM gene UNION ALL SELECT '{"labels":["BiologicalMechanism"],"properties":{"id":' || mechanism_id || ',"name":"' || name || '"}}' FROM mechanism
+UNION ALL SELECT '{"labels":["Anatomy"],"properties":{"id":' || anatomy_id || ',"name":"' || name || '"}}' FROM anatomy UNION ALL SELECT '{"labels":["Paper"],"properties":{"id":' || paper_id || ',"year":' || pub_year || '}}' FROM paper
+UNION ALL SELECT '{"start":' || trait_id || ',"type":"' || predicate || '","end":' || gene_id || ',"props":{"best_rank":' || best_rank || '}}' FROM claim
+UNION ALL SELECT '{"start":' || gene_id || ',"type":"participates_in","end":' || mechanism_id || ',"props":{}}' FROM gene
+""")
+def Q16_S13_S14_export(g: Graph) -> DataFrame:
+    """Every node and edge as a JSON line."""
+
+    def node(label: str, rows: DataFrame, key: str, *properties: str) -> DataFrame:
+        return rows.select(F.to_json(F.struct(F.array(F.lit(label)).alias("labels"), F.struct(F.col(key).alias("id"), *properties).alias("properties"))).alias("value"))
+
+    def edge(rows: DataFrame, start: str, kind, end: str, props) -> DataFrame:
+        return rows.select(F.to_json(F.struct(F.col(start).alias("start"), kind.alias("type"), F.col(end).alias("end"), props.alias("props"))).alias("value"))
+
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    parts = [
+        node("OrnamentalTrait", g.trait, "trait_id", "name", "category"), node("Gene", g.gene, "gene_id", "name"), node("BiologicalMechanism", g.mechanism, "mechanism_id", "name"), node("Anatomy", g.anatomy, "anatomy_id", "name"),
+        node("Paper", g.paper.withColumnRenamed("pub_year", "year"), "paper_id", "year"), edge(g.claim, "trait_id", F.col("predicate"), "gene_id", F.struct("best_rank")), edge(g.gene, "gene_id", F.lit("participates_in"), "mechanism_id", none)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""
+SELECT 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 2 = 0 THEN '10.1/' || o_orderkey END AS doi, o_custkey::VARCHAR AS pmid, year(o_orderdate)::INT AS year, o_orderstatus = 'F' OR o_orderkey % 3 = 0 AS is_open_access,
+  array_to_string(CASE WHEN o_orderkey % 5 = 0 THEN [o_orderpriority] ELSE [o_orderpriority, 'Second'] END, ';') AS authors FROM orders WHERE o_orderkey % 7 <> 0
+""", plain=True)
+def T21_parse_hits(g: Graph) -> DataFrame:
+    """Papers from the JSON of search hits; those without an identifier are dropped."""
+    k, o = F.col("o_orderkey"), g.read("orders")
+    author = F.struct(F.col("o_orderpriority").alias("fullName"))
+    second = F.when(k % 5 == 0, F.struct(F.lit("").alias("fullName"))).otherwise(F.struct(F.lit("Second").alias("fullName")))
+    hit = F.struct(
+        F.concat(F.lit("Order "), k, F.lit("..")).alias("title"), F.when((k % 2 == 0) & (k % 7 != 0), F.concat(F.lit("10.1/"), k)).alias("doi"), F.when(k % 7 != 0, F.col("o_custkey").cast("string")).alias("pmid"), F.year("o_orderdate").cast("string").alias("pubYear"),
+        F.when(F.col("o_orderstatus") == "F", "Y").otherwise("N").alias("isOpenAccess"), F.struct(F.array(F.struct(F.when(k % 3 == 0, "OA").otherwise("S").alias("availabilityCode"))).alias("fullTextUrl")).alias("fullTextUrlList"),
+        F.struct(F.array(author, second).alias("author")).alias("authorList"))
+    return R.parse_hits(o.select(F.to_json(hit).alias("value"))).select("title", "doi", "pmid", "year", "is_open_access", F.array_join("authors", ";").alias("authors"))
+
+
+@query("SELECT DISTINCT l_suppkey AS part, l_partkey + 1 AS whole, (l_suppkey // gcd(l_suppkey, l_partkey + 1)) || '/' || ((l_partkey + 1) // gcd(l_suppkey, l_partkey + 1)) AS share FROM lineitem", plain=True)
+def T36_general_fractions(g: Graph) -> DataFrame:
+    rows = g.read("lineitem").select(F.col("l_suppkey").alias("part"), (F.col("l_partkey") + 1).alias("whole")).distinct()
+    return rows.withColumn("share", reduced(F.col("part"), F.col("whole")))
+
+
+@query("SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 17 <> 0 THEN o_custkey END AS id, o_orderpriority AS via FROM orders WHERE o_totalprice > 1000 AND o_orderkey % 17 <> 0 UNION ALL SELECT o_orderkey + 1000000000, o_custkey, 'second run' FROM orders WHERE o_orderstatus = 'F'", plain=True)
+def Q25_hits(g: Graph) -> DataFrame:
+    """Hits of all queries as they come, repeats included, but for those without an identifier."""
+    orders, k = g.read("orders"), F.col("o_orderkey")
+    first = orders.where("o_totalprice > 1000").select(k.alias("pos"), F.when(k % 17 != 0, F.col("o_custkey")).alias("id"), F.col("o_orderpriority").alias("via"))
+    again = orders.where("o_orderstatus = 'F'").select((k + 1000000000).alias("pos"), F.col("o_custkey").alias("id"), F.lit("second run").alias("via"))
+    return first.unionByName(again).where(F.col("id").isNotNull())
+
+
+@query("""
+WITH labels AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS label FROM part UNION SELECT 'in' UNION SELECT 'e'), rows AS (SELECT p_partkey AS id, p_name AS text FROM part)
+SELECT id, label FROM rows JOIN labels ON contains(lower(text), lower(label))
+""", plain=True)
+def J24_fold_match(g: Graph) -> DataFrame:
+    """Labels that equal a row's text or stand in it, after folding, by an equi join on the label's first characters."""
+    part = g.read("part")
+    labels = part.select(F.upper(F.split("p_name", " ")[0]).alias("label")).union(g.spark.createDataFrame([("in",), ("e",)], "label string")).distinct()
+    return V.held_labels(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), labels)
+
+
+@query("""
+WITH asked AS (SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN p_name || ' (type)' WHEN 1 THEN p_name || ' system' WHEN 2 THEN 'formerly ' || p_name WHEN 3 THEN p_name ELSE p_name || ' unknown' END AS name, p_brand AS axis FROM part),
+forms AS (SELECT DISTINCT p_name AS form, p_type AS entity, p_brand AS axis FROM part), counted AS (SELECT form, count(DISTINCT entity) AS n, min(entity) AS one FROM forms GROUP BY form),
+tried AS (SELECT id, axis, unnest([coalesce(CASE WHEN name LIKE 'formerly %' THEN substr(name, 10) END, name), CASE WHEN name LIKE '% (type)' THEN left(name, length(name) - 7) END, CASE WHEN name LIKE '% system' THEN left(name, length(name) - 7) END]) AS form, unnest([0, 1, 2]) AS place FROM asked),
+hits AS (SELECT t.id, t.place, CASE WHEN c.n = 1 THEN c.one ELSE (SELECT CASE WHEN count(DISTINCT f.entity) = 1 THEN min(f.entity) END FROM forms f WHERE f.form = t.form AND f.axis = t.axis) END AS entity FROM tried t JOIN counted c ON c.form = t.form),
+best AS (SELECT id, arg_min(entity, place) AS entity FROM hits WHERE entity IS NOT NULL GROUP BY id)
+SELECT a.id, b.entity, CASE WHEN b.entity IS NOT NULL THEN 'found' WHEN EXISTS (SELECT 1 FROM hits h WHERE h.id = a.id) THEN 'ambiguous' ELSE 'unknown' END AS status FROM asked a LEFT JOIN best b USING (id)
+""", plain=True)
+def Q38_resolve_cascade(g: Graph) -> DataFrame:
+    """Aliases first; then the name, without brackets, without a suffix; several holders are told apart by the axis."""
+    part, size, name = g.read("part"), F.col("p_size") % 5, F.col("p_name")
+    asked = F.when(size == 0, F.concat(name, F.lit(" (type)"))).when(size == 1, F.concat(name, F.lit(" system"))).when(size == 2, F.concat(F.lit("formerly "), name)).when(size == 3, name).otherwise(F.concat(name, F.lit(" unknown")))
+    names = part.select(F.col("p_partkey").alias("id"), asked.alias("name"), F.col("p_brand").alias("axis"))
+    aliases = part.select(F.concat(F.lit("formerly "), name).alias("name"), name.alias("canonical")).distinct()
+    index = part.select(name.alias("form"), F.col("p_type").alias("entity"), F.col("p_brand").alias("axis")).distinct()
+    return V.resolve_by_axis(names, aliases, index, (" system", " strain"))
+
+
+@query("""
+WITH both_ways AS (SELECT subject_id AS a, object_id AS b FROM subsumes UNION SELECT object_id, subject_id FROM subsumes),
+reach AS (SELECT trait_id AS node, trait_id AS seen FROM trait UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
+terms AS (SELECT p_partkey AS id, p_name AS name, p_brand AS name_en, CASE WHEN p_size % 2 = 0 THEN p_name || '/' || p_size END AS name_ko, p_type AS kind, CASE WHEN p_size >= 40 THEN p_partkey END AS seed, CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE p_name END AS spelling,
+  component AS cluster FROM part JOIN (SELECT node, min(seen) AS component FROM reach GROUP BY node) ON node = p_partkey)
+SELECT 'scattered' AS check, name AS subject, count(DISTINCT cluster) AS n FROM terms GROUP BY name HAVING count(DISTINCT cluster) > 1
+UNION ALL SELECT 'scattered en', name_en, count(DISTINCT cluster) FROM terms GROUP BY name_en HAVING count(DISTINCT cluster) > 1
+UNION ALL SELECT 'scattered ko', name_ko, count(DISTINCT cluster) FROM terms WHERE name_ko IS NOT NULL GROUP BY name_ko HAVING count(DISTINCT cluster) > 1
+UNION ALL SELECT 'merged kinds', CAST(cluster AS VARCHAR), count(DISTINCT kind) FROM terms GROUP BY cluster HAVING count(DISTINCT kind) > 1
+UNION ALL SELECT 'spans seeds', CAST(cluster AS VARCHAR), count(DISTINCT seed) FROM terms GROUP BY cluster HAVING count(DISTINCT seed) > 1
+UNION ALL SELECT 'orthography', lower(spelling), count(DISTINCT spelling) FROM terms GROUP BY lower(spelling) HAVING count(DISTINCT spelling) > 1
+UNION ALL SELECT 'collision', cluster || '/' || name, count(*) FROM terms GROUP BY cluster, name HAVING count(*) > 1
+""")
+def Q39_G02_vocabulary_audit(g: Graph) -> DataFrame:
+    """Seven audits of merged vocabulary clusters."""
+    size, name = F.col("p_size"), F.col("p_name")
+    terms = g.read("part").select(
+        F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_brand").alias("name_en"), F.when(size % 2 == 0, F.concat_ws("/", "p_name", size.cast("string"))).alias("name_ko"), F.col("p_type").alias("kind"),
+        F.when(size >= 40, F.col("p_partkey")).alias("seed"), F.when(size % 3 == 0, F.upper(name)).otherwise(name).alias("spelling"))
+    return V.audit(V.clusters(terms, g.subsumes.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"))))
+
+
+@query("""
+SELECT 'id unique' AS check, count(*) - count(DISTINCT p_partkey) AS n FROM part UNION ALL SELECT 'url present', count(*) FILTER (WHERE coalesce(url, '') = '') FROM pages
+UNION ALL SELECT 'closed kinds', count(*) FILTER (WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'STANDARD')) FROM part UNION ALL SELECT 'referential', count(*) FILTER (WHERE p_partkey IS NULL) FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
+UNION ALL SELECT 'basis grammar', count(*) FILTER (WHERE NOT regexp_full_match('source:' || url, 'source:https?://.+')) FROM pages
+UNION ALL SELECT 'date format', count(*) FILTER (WHERE NOT regexp_full_match(CASE WHEN o_orderkey % 50 = 0 THEN strftime(o_orderdate, '%Y/%m') ELSE strftime(o_orderdate, '%Y-%m') END, '[0-9]{4}-[0-9]{2}')) FROM orders
+UNION ALL SELECT 'covered', count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)) FROM part
+UNION ALL SELECT 'dispute marked', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N')
+""", plain=True)
+def Q40_T30_vocabulary_checks(g: Graph) -> DataFrame:
+    """Eight self-checks, each with the number of rows that fail it."""
+    part, pages, line, one = g.read("part"), g.read("pages"), g.read("lineitem"), F.count(F.lit(1)).alias("n")
+    month = F.when(F.col("o_orderkey") % 50 == 0, F.date_format("o_orderdate", "yyyy/MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM"))
+    ends = ["l_partkey", "l_suppkey"]
+    checks = {
+        "id unique": part.groupBy("p_partkey").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")), "url present": pages.where(F.coalesce("url", F.lit("")) == "").agg(one),
+        "closed kinds": part.where(~F.col("p_type").isin("ECONOMY", "PROMO", "STANDARD")).agg(one), "referential": line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_anti").agg(one),
+        "basis grammar": pages.where(~V.basis_ok(F.concat(F.lit("source:"), "url"))).agg(one), "date format": g.read("orders").where(~month.rlike("^[0-9]{4}-[0-9]{2}$")).agg(one),
+        "covered": part.join(line.where("l_quantity > 48"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").agg(one),
+        "dispute marked": line.where("l_returnflag = 'R'").select(*ends).distinct().join(line.where("l_returnflag = 'N'").select(*ends).distinct(), ends, "left_semi").agg(one),
+    }
+    out = None
+    for name, n in checks.items():
+        row = n.select(F.lit(name).alias("check"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -131,21 +131,6 @@ def T38_dates(g: Graph) -> DataFrame:
     return g.read("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"))
 
 
-@query("""
-SELECT '{"labels":["OrnamentalTrait"],"properties":{"id":' || trait_id || ',"name":"' || name || '","category":"' || category || '"}}' AS value FROM trait
-UNION ALL SELECT '{"start":' || trait_id || ',"type":"associated_with_gene","end":' || gene_id || ',"props":{"best_rank":' || best_rank || '}}' FROM claim
-""")
-def Q16_S13_S14_T39_export(g: Graph) -> DataFrame:
-    nodes = g.trait.select(F.to_json(F.struct(F.array(F.lit("OrnamentalTrait")).alias("labels"), F.struct(F.col("trait_id").alias("id"), "name", "category").alias("properties"))).alias("value"))
-    edges = g.claim.select(F.to_json(F.struct(F.col("trait_id").alias("start"), F.lit("associated_with_gene").alias("type"), F.col("gene_id").alias("end"), F.struct("best_rank").alias("props"))).alias("value"))
-    return nodes.unionByName(edges)
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", plain=True)
-def T21_parse_json(g: Graph) -> DataFrame:
-    return g.read("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("SELECT conv_id, string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' ORDER BY turn, role, text) AS said, count(*) AS turns FROM conversations GROUP BY conv_id".replace("\\\\", "\\"), plain=True)
 def T40_A18_ordered_concat(g: Graph) -> DataFrame:
     one = g.read("conversations").select("conv_id", F.struct("turn", "role", "text", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("flat")).alias("said"))

@@ -284,7 +284,7 @@ WITH edges AS (SELECT p_partkey AS a, p_partkey // 7 AS b FROM part WHERE p_part
 reach AS (SELECT 64::BIGINT AS node UNION SELECT e.a FROM reach r JOIN edges e ON e.b = r.node)
 SELECT node FROM reach
 """)
-def G03_G04_G05_closure(g: Graph) -> DataFrame:
+def G03_closure(g: Graph) -> DataFrame:
     """Everything below one node of a composition tree, until no row is new."""
     from loomgraph.operators.components import closure
 

@@ -120,7 +120,7 @@ WITH {_OLD}, {_NEW}
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN trim(n.name) <> '' THEN n.name ELSE o.name END AS name, coalesce(o.segment, n.segment) AS segment, CASE WHEN o.id IS NOT NULL THEN o.status ELSE n.status END AS status,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(o.routes, []), coalesce(n.routes, [])))), ',') AS routes FROM old o FULL JOIN new n ON o.id = n.id
 """, plain=True)
-def K01_K02_K03_K04_X02_X03_upsert(g: Graph) -> DataFrame:
+def K01_X02_X03_upsert(g: Graph) -> DataFrame:
     """Names change only to something, segments are back-filled, status belongs to the creator, routes accumulate."""
     customer, orders = g.read("customer"), g.read("orders")
     old = customer.where("c_acctbal > -500").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"), F.col("c_nationkey").alias("status"), F.array("c_mktsegment").alias("routes"))
@@ -156,7 +156,7 @@ def K06_S12_stable_ids(g: Graph) -> DataFrame:
 WITH decided AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'P' THEN 'already decided' WHEN o_totalprice > 150000 THEN 'ACCEPTED' ELSE 'REJECTED' END AS outcome FROM orders)
 SELECT outcome, count(*) AS n, min(id) AS first FROM decided GROUP BY outcome
 """, plain=True)
-def K07_K08_P21_decisions(g: Graph) -> DataFrame:
+def K08_decisions(g: Graph) -> DataFrame:
     """A pending candidate is decided once; others are refused."""
     outcome = F.when(F.col("o_orderstatus") != "P", "already decided").when(F.col("o_totalprice") > 150000, "ACCEPTED").otherwise("REJECTED")
     return g.read("orders").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
@@ -172,16 +172,6 @@ def K09_relation_upsert(g: Graph) -> DataFrame:
     return M.merged_basis(rows, ["s", "o"], "basis", "paper_id")
 
 
-@query("""
-WITH fixes AS (SELECT * FROM (VALUES ('gwas', 'variant calling'), ('phenotype description', NULL)) AS t(old, new)), dropped AS (SELECT old FROM fixes WHERE new IS NULL)
-SELECT coalesce(f.new, e.experiment_type) AS experiment_type, count(*) AS n FROM evidence e LEFT JOIN fixes f ON f.old = e.experiment_type WHERE e.experiment_type NOT IN (SELECT old FROM dropped) GROUP BY 1
-""")
-def K10_retype_or_drop(g: Graph) -> DataFrame:
-    fixes = g.spark.createDataFrame([("gwas", "variant calling", False), ("phenotype description", None, True)], "experiment_type string, to string, gone boolean")
-    rows = g.evidence.join(F.broadcast(fixes), "experiment_type", "left").where(~F.coalesce("gone", F.lit(False)))
-    return rows.groupBy(F.coalesce("to", "experiment_type").alias("experiment_type")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _RANK = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 8 END"
 
 
@@ -234,22 +224,6 @@ def W11_H6_greedy_dedupe(g: Graph) -> DataFrame:
     return M.greedy_unique(rows, "rank", "pos", ["source", "id"], "title")
 
 
-@query(f"""
-WITH {_LINKS}, known AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), topic AS (SELECT c_custkey AS id, c_name, c_acctbal FROM customer)
-SELECT (SELECT count(*) FROM links) AS raw, count(*) AS deduped, count(*) FILTER (WHERE k.id IS NULL) AS not_yet_known, count(*) FILTER (WHERE k.id IS NULL AND t.c_acctbal > 5000) AS on_topic,
-  count(*) FILTER (WHERE k.id IS NULL AND t.id IS NULL) AS no_abstract FROM kept LEFT JOIN known k USING (id) LEFT JOIN topic t USING (id)
-""", plain=True)
-def Q26_A28_J20_J21_citation_funnel(g: Graph) -> DataFrame:
-    """All stages in one pass: each row carries how far it came."""
-    customer = g.read("customer")
-    known = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.lit(True).alias("known"))
-    core = customer.select(F.col("c_custkey").alias("id"), F.lit(True).alias("held"), F.col("c_acctbal").alias("score"))
-    sizes = _links(g).withColumn("routes", F.count(F.lit(1)).over(Window.partitionBy("title")))
-    rows = first_per_key(sizes, ["title"], [F.asc("rank"), F.asc("pos")]).join(known, "id", "left").join(core, "id", "left")
-    new = F.col("known").isNull()
-    return rows.agg(F.sum("routes").alias("raw"), F.count(F.lit(1)).alias("deduped"), F.count_if(new).alias("not_yet_known"), F.count_if(new & (F.col("score") > 5000)).alias("on_topic"), F.count_if(new & F.col("held").isNull()).alias("no_abstract"))
-
-
 @query("SELECT count(*) AS papers, (count(*) + 19) // 20 AS batches FROM (SELECT DISTINCT o_custkey FROM orders)", plain=True)
 def J22_batches(g: Graph) -> DataFrame:
     rows = g.read("orders").select("o_custkey").distinct().agg(F.count(F.lit(1)).alias("papers"))

@@ -111,12 +111,6 @@ def _hits(g: Graph) -> DataFrame:
     return first.unionByName(orders.where("o_orderstatus = 'F'").select((F.col("o_orderkey") + 1000000000).alias("pos"), F.col("o_custkey").alias("id"), F.lit("second run").alias("via")))
 
 
-@query(f"WITH {_HITS} SELECT via, count(*) AS n FROM hits GROUP BY via", plain=True)
-def Q25_run_queries(g: Graph) -> DataFrame:
-    """Hits of all queries, repeats included."""
-    return _hits(g).groupBy("via").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""
 WITH {_HITS}, known AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
 marked AS (SELECT h.id, h.pos, k.id IS NOT NULL AS seeded, row_number() OVER (PARTITION BY h.id ORDER BY h.pos) AS n, CASE WHEN row_number() OVER (PARTITION BY h.id, h.via ORDER BY h.pos) = 1 THEN 1 ELSE 0 END AS fresh FROM hits h LEFT JOIN known k USING (id)),
@@ -140,15 +134,3 @@ def J23_titles_by_rebuilt_id(g: Graph) -> DataFrame:
     orders = g.read("orders").select(F.col("o_orderkey").alias("id"), T.paper_id(F.lit(None).cast("string"), F.col("o_custkey").cast("string"), F.lit(None).cast("string")).alias("paper"))
     titles = g.read("customer").select(T.paper_id(F.lit(None).cast("string"), F.col("c_custkey").cast("string"), F.lit(None).cast("string")).alias("paper"), F.col("c_name").alias("title"))
     return orders.join(titles, "paper").select("id", "title")
-
-
-@query("""
-WITH labels AS (SELECT * FROM (VALUES ('SMALL'), ('red ring'), ('Steel')) AS t(label))
-SELECT p_partkey AS id, label FROM part JOIN labels ON lower(p_name) = lower(label) OR contains(lower(p_name), lower(label))
-""", plain=True)
-def J24_fold_match(g: Graph) -> DataFrame:
-    """Equal or contained after folding; the labels are a handful, so each row is tested against them in place."""
-    labels = F.array(*map(F.lit, ("SMALL", "red ring", "Steel")))
-    name = F.lower("p_name")
-    rows = g.read("part").select(F.col("p_partkey").alias("id"), F.explode(F.filter(labels, lambda x: F.contains(name, F.lower(x)))).alias("label"))
-    return rows

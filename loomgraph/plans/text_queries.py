@@ -144,52 +144,6 @@ def T25_T26_T27_T42_fold_words(g: Graph) -> DataFrame:
     return ja.unionByName(g.spark.createDataFrame([(a,) for a, _ in _ROMAJI], "word string").select("word", X.norm_romaji(F.col("word")).alias("folded")))
 
 
-@query("""
-WITH asked AS (SELECT DISTINCT p_name || CASE p_type WHEN 'ECONOMY' THEN ' (type)' WHEN 'PROMO' THEN ' system' WHEN 'LARGE' THEN ' unknown' ELSE '' END AS name FROM part),
-index AS (SELECT p_name AS form, min(p_partkey) AS id FROM part GROUP BY p_name)
-SELECT name, id FROM asked LEFT JOIN index ON form = CASE WHEN name LIKE '% (type)' THEN left(name, length(name) - 7) WHEN name LIKE '% system' THEN left(name, length(name) - 7) ELSE name END
-""", plain=True)
-def Q38_resolve_cascade(g: Graph) -> DataFrame:
-    part = g.read("part")
-    kind = F.col("p_type")
-    names = part.select(F.concat("p_name", F.when(kind == "ECONOMY", " (type)").when(kind == "PROMO", " system").when(kind == "LARGE", " unknown").otherwise("")).alias("name")).distinct()
-    return V.resolve(names, part.select(F.col("p_name").alias("form"), F.col("p_partkey").alias("id")), (" system", " strain"))
-
-
-@query("""
-WITH both_ways AS (SELECT subject_id AS a, object_id AS b FROM subsumes UNION SELECT object_id, subject_id FROM subsumes),
-reach AS (SELECT trait_id AS node, trait_id AS seen FROM trait UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
-terms AS (SELECT trait_id AS id, name, category AS kind, coalesce(component, trait_id) AS cluster FROM trait LEFT JOIN (SELECT node, min(seen) AS component FROM reach GROUP BY node) ON node = trait_id)
-SELECT 'scattered' AS check, name AS subject, count(DISTINCT cluster) AS n FROM terms GROUP BY name HAVING count(DISTINCT cluster) > 1
-UNION ALL SELECT 'merged kinds', CAST(cluster AS VARCHAR), count(DISTINCT kind) FROM terms GROUP BY cluster HAVING count(DISTINCT kind) > 1
-UNION ALL SELECT 'collision', cluster || '/' || name, count(*) FROM terms GROUP BY cluster, name HAVING count(*) > 1
-""")
-def Q39_G02_vocabulary_audit(g: Graph) -> DataFrame:
-    terms = g.trait.select(F.col("trait_id").alias("id"), "name", F.col("category").alias("kind"))
-    return V.audit(V.clusters(terms, g.subsumes.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"))))
-
-
-@query("""
-SELECT 'id unique' AS check, count(*) - count(DISTINCT p_partkey) AS n FROM part UNION ALL SELECT 'url present', count(*) FILTER (WHERE coalesce(url, '') = '') FROM pages
-UNION ALL SELECT 'closed kinds', count(*) FILTER (WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'STANDARD')) FROM part UNION ALL SELECT 'referential', count(*) FILTER (WHERE p_partkey IS NULL) FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
-UNION ALL SELECT 'basis grammar', count(*) FILTER (WHERE NOT regexp_full_match('source:' || url, 'source:https?://.+')) FROM pages
-""", plain=True)
-def Q40_T30_vocabulary_checks(g: Graph) -> DataFrame:
-    part, pages = g.read("part"), g.read("pages")
-    one = F.count(F.lit(1))
-    checks = [
-        part.agg((one - F.countDistinct("p_partkey")).alias("n")).select(F.lit("id unique").alias("check"), "n"),
-        pages.agg(F.count_if(F.coalesce("url", F.lit("")) == "").alias("n")).select(F.lit("url present").alias("check"), "n"),
-        part.agg(F.count_if(~F.col("p_type").isin("ECONOMY", "PROMO", "STANDARD")).alias("n")).select(F.lit("closed kinds").alias("check"), "n"),
-        g.read("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left_anti").agg(one.alias("n")).select(F.lit("referential").alias("check"), "n"),
-        pages.agg(F.count_if(~V.basis_ok(F.concat(F.lit("source:"), "url"))).alias("n")).select(F.lit("basis grammar").alias("check"), "n"),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
-
-
 @query("""
 WITH words AS (SELECT p_name AS w, replace(p_name, ' ', '') AS r FROM part UNION SELECT replace(p_name, ' ', ''), '' FROM part UNION SELECT upper(p_name), p_name FROM part WHERE p_size < 5)
 SELECT DISTINCT a.w AS a, b.w AS b FROM words a JOIN words b ON a.w < b.w WHERE (a.r <> '' AND (a.r = b.w OR (b.r <> '' AND a.r = b.r))) OR (b.r <> '' AND b.r = a.w)

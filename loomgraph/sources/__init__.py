@@ -94,6 +94,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF(*(c.removeprefix("﻿") for c in rows.columns))
 
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(term, id) of a JSON store of stable ids, one object; none where there is no store yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "term string, id string")
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("term", "id"))
+
+
+def write_ids(rows: DataFrame, path: str) -> None:
+    """(term, id) as one JSON object, terms in order; the store is a vocabulary, small enough for one file."""
+    rows = rows.coalesce(1).agg(F.array_sort(F.collect_list(F.struct("term", "id"))).alias("all"))
+    rows.select(F.to_json(F.map_from_entries("all")).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_csv(rows: DataFrame, path: str, order: str) -> None:
     """All values quoted, in order."""
     rows.orderBy(order).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')

@@ -218,6 +218,15 @@ def test_stable_ids(spark):
     assert {r["term"]: r["id"] for r in M.stable_ids(known, keys, "term", "at").collect()} == {"b": "bv:0007", "c": "bv:0008", "d": "bv:0009", "a": "bv:0010"}
 
 
+def test_id_store_is_read_and_written(spark, tmp_path):
+    path = str(tmp_path / "ids.json")
+    terms = lambda *names: spark.createDataFrame([(t, k) for k, t in enumerate(names)], "term string, at int")
+    first = M.stable_ids(sources.read_ids(spark, path), terms("b", "a"), "term", "at")
+    sources.write_ids(first, path)
+    again = M.stable_ids(sources.read_ids(spark, path), terms("c", "a", "b"), "term", "at")
+    assert {r["term"]: r["id"] for r in again.collect()} == {"b": "bv:0001", "a": "bv:0002", "c": "bv:0003"}
+
+
 def test_resolution_cascade(spark):
     names = spark.createDataFrame([("a",), ("a (x)",), ("a系",), ("b (x)系",), ("none",)], "name string")
     index = spark.createDataFrame([("a", 1), ("b", 2)], "form string, id int")
