@@ -33,15 +33,15 @@ def section(title: str, body: Column, none: str | None) -> Column:
 def render(traits: DataFrame, claims: DataFrame, inbound: DataFrame, evidence: DataFrame, mechanisms: DataFrame) -> DataFrame:
     """(trait_id, dossier) of every trait.
 
-    traits: (trait_id, name, category, is_composite, aliases, unverified). claims:
-    (trait_id, predicate, object_name, n_supports, n_contradicts, best_rank, pending,
-    reasons). inbound: (trait_id, predicate, subject_name) of claims on the trait.
+    traits: (trait_id, name, category, is_composite, labels, aliases, unverified). claims:
+    (trait_id, predicate, object_name, detail, n_supports, n_contradicts, best_rank,
+    pending, reasons). inbound: (trait_id, predicate, subject_name) of claims on the trait.
     evidence: (trait_id, predicate, object_name, level_rank, stance, source, cited,
     finding, place), of which each source's finding is shown once, at its first place.
     mechanisms: (trait_id, mechanism, best_rank, genes). Each is gathered by itself, so
     that none multiplies another.
     """
-    about = claims.groupBy("trait_id").agg(F.array_sort(F.collect_list(F.struct("predicate", "object_name", "n_supports", "n_contradicts", "best_rank", "pending", "reasons"))).alias("about"))
+    about = claims.groupBy("trait_id").agg(F.array_sort(F.collect_list(F.struct("predicate", "object_name", "detail", "n_supports", "n_contradicts", "best_rank", "pending", "reasons"))).alias("about"))
     on = inbound.groupBy("trait_id").agg(F.array_sort(F.collect_set(F.struct("predicate", "subject_name"))).alias("on"))
     first = evidence.groupBy("trait_id", "source", "finding").agg(F.min(F.struct("predicate", "object_name", (-F.col("level_rank")).alias("order"), "place", "stance", "cited")).alias("e"))
     shown = first.groupBy("trait_id").agg(F.array_sort(F.collect_list(F.struct("e", "finding"))).alias("evidence"))
@@ -65,7 +65,7 @@ def render(traits: DataFrame, claims: DataFrame, inbound: DataFrame, evidence: D
     aliases = F.when(F.size("aliases") > 0, lines(F.col("aliases"), lambda a: F.concat(F.lit("- "), a))).otherwise("- _none recorded_")
     genetic, inheritance = those(GENETIC), those(INHERITANCE)
     contra = lambda c: F.when(c["n_contradicts"] > 0, F.concat(F.lit(" ("), c["n_contradicts"].cast("string"), F.lit(" contradicting)"))).otherwise("")
-    table = F.when(F.size(genetic) > 0, F.concat(F.lit("| Target | Relation | Strongest evidence |\n|---|---|---|\n"), lines(genetic, lambda c: F.concat(F.lit("| "), c["object_name"], F.lit(" | "), c["predicate"], F.lit(" | "), level(c), contra(c), F.lit(" |"))))).otherwise("")
+    table = F.when(F.size(genetic) > 0, F.concat(F.lit("| Target | Relation | Strongest evidence | Detail |\n|---|---|---|---|\n"), lines(genetic, lambda c: F.concat(F.lit("| "), c["object_name"], F.lit(" | "), c["predicate"], F.lit(" | "), level(c), contra(c), F.lit(" | "), c["detail"], F.lit(" |"))))).otherwise("")
     passed = joined(lines(inheritance, lambda c: F.concat(F.lit("| "), c["predicate"], F.lit(" | "), c["object_name"], F.lit(" | "), level(c), F.lit(" |"))), lines(those_on(("masks",)), lambda c: F.concat(F.lit("| masked by | "), c["subject_name"], F.lit(" | see there |"))))
     inherited = F.when(passed != "", F.concat(F.lit("| Relation | Target | Strongest evidence |\n|---|---|---|\n"), passed)).otherwise("")
     through = F.coalesce(lines(F.col("via"), lambda m: F.concat(F.lit("- "), m["mechanism"], F.lit(" — via "), m["genes"], F.lit(" ("), fixed.level_of(-m["order"]), F.lit(")"))), F.lit(""))
@@ -74,7 +74,7 @@ def render(traits: DataFrame, claims: DataFrame, inbound: DataFrame, evidence: D
         F.lit("\n  - "), x["e"]["predicate"], F.lit(" → "), x["e"]["object_name"], F.lit("\n  - "), x["finding"])), F.lit(""))
     related = joined(lines(those(RELATED), lambda c: F.concat(F.lit("- "), c["predicate"], F.lit(" → "), c["object_name"])), lines(those_on(RELATED), lambda c: F.concat(F.lit("- "), c["subject_name"], F.lit(" → "), c["predicate"], F.lit(" → this trait"))))
     text = F.concat(
-        F.lit("# "), "name", F.lit("\n\n"), meta, section("Aliases", F.concat(aliases, unverified), ""), section("Phenotypes", lines(those(("has_phenotype",)), lambda c: F.concat(F.lit("- "), c["object_name"])), "- _none recorded_"),
+        F.lit("# "), "name", F.lit("\n\n"), meta, section("Names", lines(F.col("labels"), lambda a: F.concat(F.lit("- "), a)), None), section("Aliases", F.concat(aliases, unverified), ""), section("Phenotypes", lines(those(("has_phenotype",)), lambda c: F.concat(F.lit("- "), c["object_name"])), "- _none recorded_"),
         section("Genetics", table, "_No genetic association recorded._"), section("Inheritance", inherited, None), section("Mechanism", through, "- _not yet linked to a mechanism_"), section("Evidence", found, "_No evidence recorded._"),
         section("Related traits", related, "- _none recorded_"), section("Open questions", _questions(genetic), "- _none flagged_"))
     return rows.select("trait_id", text.alias("dossier"))

@@ -28,13 +28,13 @@ def _any(column: str, values: str) -> str:
 
 
 @query(f"""
-WITH about AS (SELECT c.*, x.name AS object_name, CASE WHEN best_rank = 0 OR n_contradicts > 2 THEN true ELSE false END AS pending,
+WITH about AS (SELECT c.*, x.name AS object_name, 'chr' || gene_chromosome || CASE WHEN gene_id % 2 = 0 AND gene_id > 0 THEN ', ' || format('{{:,}}', gene_id * 1000) || '-' || format('{{:,}}', gene_id * 1500) ELSE '' END AS detail, CASE WHEN best_rank = 0 OR n_contradicts > 2 THEN true ELSE false END AS pending,
     list_filter([CASE WHEN n_supports > 0 AND n_contradicts > 0 THEN 'CONTRADICTORY_EVIDENCE' END, CASE WHEN n_unknown > 0 THEN 'EVIDENCE_LEVEL_UNCLEAR' END, CASE WHEN predicate = 'caused_by_variant' THEN 'NEW_CAUSAL_VARIANT' END,
       CASE WHEN predicate = 'putatively_same_as' THEN 'BREEDER_ACADEMIC_LINK' END], lambda r: r IS NOT NULL) AS reasons, CASE WHEN n_supports > 0 THEN {_LEVEL.format("best_rank")} ELSE '—' END AS level FROM claim c JOIN gene x USING (gene_id)),
-heads AS (SELECT *, CASE WHEN trait_id % 3 = 0 THEN [phenotype] ELSE [] END AS aliases, CASE WHEN trait_id % 5 = 0 THEN [upper(name)] ELSE [] END AS unverified FROM trait),
+heads AS (SELECT *, CASE WHEN trait_id % 4 = 0 THEN ['en: ' || name || ' [' || phenotype || ']', 'ja: ' || upper(name) || ' (' || name || ') [no source] UNVERIFIED'] ELSE [] END AS labels, CASE WHEN trait_id % 3 = 0 THEN [phenotype] ELSE [] END AS aliases, CASE WHEN trait_id % 5 = 0 THEN [upper(name)] ELSE [] END AS unverified FROM trait),
 sums AS (SELECT trait_id,
     string_agg('- ' || object_name, {NL} ORDER BY object_name) FILTER (WHERE predicate = 'has_phenotype') AS phenotypes,
-    string_agg('| ' || object_name || ' | ' || predicate || ' | ' || level || CASE WHEN n_contradicts > 0 THEN ' (' || n_contradicts || ' contradicting)' ELSE '' END || ' |', {NL} ORDER BY predicate, object_name) FILTER (WHERE {_any("predicate", _GENETIC)}) AS genetics,
+    string_agg('| ' || object_name || ' | ' || predicate || ' | ' || level || CASE WHEN n_contradicts > 0 THEN ' (' || n_contradicts || ' contradicting)' ELSE '' END || ' | ' || detail || ' |', {NL} ORDER BY predicate, object_name) FILTER (WHERE {_any("predicate", _GENETIC)}) AS genetics,
     string_agg('| ' || predicate || ' | ' || object_name || ' | ' || level || ' |', {NL} ORDER BY predicate, object_name) FILTER (WHERE {_any("predicate", _INHERITANCE)}) AS inherited,
     string_agg('- ' || predicate || ' → ' || object_name, {NL} ORDER BY predicate, object_name) FILTER (WHERE {_any("predicate", _RELATED)}) AS related,
     string_agg('- contradicted: ' || predicate || ' → ' || object_name || ', ' || n_contradicts || ' finding(s)', {NL} ORDER BY predicate, object_name) FILTER (WHERE n_contradicts > 0) AS contradicted,
@@ -50,9 +50,10 @@ shown AS (SELECT trait_id, string_agg(CASE stance WHEN 'CONTRADICTS' THEN '✗'
 ways AS (SELECT a.trait_id, m.name AS mechanism, a.best_rank, string_agg(a.object_name, ', ' ORDER BY a.object_name) AS genes FROM about a JOIN gene x USING (gene_id) JOIN mechanism m USING (mechanism_id) GROUP BY ALL),
 via AS (SELECT trait_id, string_agg('- ' || mechanism || ' — via ' || genes || ' (' || {_LEVEL.format("best_rank")} || ')', {NL} ORDER BY best_rank DESC, mechanism) AS via FROM ways GROUP BY trait_id)
 SELECT h.trait_id, '# ' || name || {NL} || {NL} || concat_ws(' · ', category, CASE WHEN is_composite = 1 THEN 'composite class' END)
+  || CASE WHEN len(labels) > 0 THEN {NL} || {NL} || '## Names' || {NL} || {NL} || '- ' || labels[1] || {NL} || '- ' || labels[2] ELSE '' END
   || {NL} || {NL} || '## Aliases' || {NL} || {NL} || CASE WHEN len(aliases) > 0 THEN '- ' || aliases[1] ELSE '- _none recorded_' END || CASE WHEN len(unverified) > 0 THEN {NL} || 'Unverified labels, which no source prints:' || {NL} || '- ' || unverified[1] ELSE '' END
   || {NL} || {NL} || '## Phenotypes' || {NL} || {NL} || coalesce(phenotypes, '- _none recorded_')
-  || {NL} || {NL} || '## Genetics' || {NL} || {NL} || coalesce('| Target | Relation | Strongest evidence |' || {NL} || '|---|---|---|' || {NL} || genetics, '_No genetic association recorded._')
+  || {NL} || {NL} || '## Genetics' || {NL} || {NL} || coalesce('| Target | Relation | Strongest evidence | Detail |' || {NL} || '|---|---|---|---|' || {NL} || genetics, '_No genetic association recorded._')
   || CASE WHEN inherited IS NOT NULL OR masked IS NOT NULL THEN {NL} || {NL} || '## Inheritance' || {NL} || {NL} || '| Relation | Target | Strongest evidence |' || {NL} || '|---|---|---|' || {NL} || concat_ws({NL}, inherited, masked) ELSE '' END
   || {NL} || {NL} || '## Mechanism' || {NL} || {NL} || coalesce(via, '- _not yet linked to a mechanism_')
   || {NL} || {NL} || '## Evidence' || {NL} || {NL} || coalesce(evidence, '_No evidence recorded._')
@@ -62,10 +63,13 @@ SELECT h.trait_id, '# ' || name || {NL} || {NL} || concat_ws(' · ', category, C
 FROM heads h LEFT JOIN sums USING (trait_id) LEFT JOIN whys USING (trait_id) LEFT JOIN inbound USING (trait_id) LEFT JOIN shown USING (trait_id) LEFT JOIN via USING (trait_id)
 """)
 def Q14_Q15_S15_dossiers(g: Graph) -> DataFrame:
-    """A dossier of each trait: aliases, phenotypes, genetics, inheritance, mechanism, evidence, related traits, open questions."""
+    """A dossier of each trait: names, aliases, phenotypes, genetics, inheritance, mechanism, evidence, related traits, open questions."""
     k, none = F.col("trait_id"), F.array().cast("array<string>")
-    traits = g.trait.select("trait_id", "name", "category", "is_composite", F.when(k % 3 == 0, F.array("phenotype")).otherwise(none).alias("aliases"), F.when(k % 5 == 0, F.array(F.upper("name"))).otherwise(none).alias("unverified"))
-    claims = g.claim.join(g.gene.select("gene_id", F.col("name").alias("object_name"), "mechanism_id"), "gene_id")
+    labels = F.array(X.display_label(F.lit("en"), F.col("name"), F.lit(None).cast("string"), F.array("phenotype"), F.lit(True)), X.display_label(F.lit("ja"), F.upper("name"), F.col("name"), none, F.lit(False)))
+    traits = g.trait.select("trait_id", "name", "category", "is_composite", F.when(k % 4 == 0, labels).otherwise(none).alias("labels"), F.when(k % 3 == 0, F.array("phenotype")).otherwise(none).alias("aliases"), F.when(k % 5 == 0, F.array(F.upper("name"))).otherwise(none).alias("unverified"))
+    gene = F.col("gene_id")
+    spot = X.locus_detail(F.col("gene_chromosome"), F.when(gene % 2 == 0, gene * 1000), F.when(gene % 2 == 0, gene * 1500))
+    claims = g.claim.join(g.gene.select("gene_id", F.col("name").alias("object_name"), spot.alias("detail"), "mechanism_id"), "gene_id")
     claims = claims.withColumn("pending", (F.col("best_rank") == 0) | (F.col("n_contradicts") > 2)).withColumn("reasons", C.review_reasons())
     names = g.trait.select(F.col("trait_id").alias("subject_id"), F.col("name").alias("subject_name"))
     under = g.subsumes.distinct().join(names, "subject_id").select(F.col("object_id").alias("trait_id"), "subject_name")
