@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, mixing, ngram_join, substring_dedup, warc, zip_archive
+from loomgraph.llm import components, decontamination, mixing, ngram_join, substring_dedup, warc, zip_archive
 from loomgraph.llm.session import table_path, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,7 +90,22 @@ def test_components_against_all_pairs(spark):
     assert len(set(want)) < len(rows) - 150
 
 
+@pytest.mark.parametrize("one_task", [0, 300_000])
+def test_edges_in_one_task_and_in_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
+    least = {x: x for p in pairs for x in p}
+    for _ in range(60):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = components.connected_components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == least
+    assert components.connected_components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
 def test_components_of_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", 50)
     monkeypatch.setattr(ngram_join, "PART", 16)
     monkeypatch.setattr(ngram_join, "PICKED", 0)
     rows = list(enumerate(family_texts(8)))
