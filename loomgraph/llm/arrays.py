@@ -7,6 +7,8 @@ Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -146,6 +148,19 @@ def later(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives back what memory it no longer needs when a task is through: workers wait for others beside the JVM."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def by_slices(
     make: Callable[[np.ndarray, np.ndarray], list], schema: pa.Schema, limit: int = SLICE_BYTES
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,4 +174,4 @@ def by_slices(
                 made = make(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*(k.slice(i, j - i) for k in keys), *map(pa.array, made)], schema=schema)
 
-    return run
+    return trimmed(run)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.arrays import trimmed
 from loomgraph.llm.session import discard, written
 
 
@@ -43,7 +44,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
             part = nodes[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, types), pa.array([root(x) for x in part], types)], names=["node", "component"])
 
-    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+    return edges.coalesce(1).mapInArrow(trimmed(run), f"node {kind}, component {kind}")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

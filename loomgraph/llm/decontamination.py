@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import LOWER, SPACE, flat, mix, slices
+from loomgraph.llm.arrays import LOWER, SPACE, flat, mix, slices, trimmed
 from loomgraph.llm.session import prepare
 
 Q, SMALL = 10, 5
@@ -324,7 +324,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         d, item, edits, size = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array([ids[i + x] for x in d], pa.int64()), *(pa.array(x, pa.int64()) for x in (item, edits, size))], schema=schema)
 
-        return run
+        return trimmed(run)
 
     out = None
     for index in _blocks(benchmark, item_col, item_text):
@@ -349,7 +349,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                     stays[[i + d for d, *_ in index.matches(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]] = False
                 yield b.filter(pa.array(stays))
 
-        return run
+        return trimmed(run)
 
     out = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names))
     for index in _blocks(benchmark, item_col, item_text):

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import Words, flat, mix, slices, windows
+from loomgraph.llm.arrays import Words, flat, mix, slices, trimmed, windows
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.session import discard, free_name, prepare, release, with_common, written
 
@@ -100,7 +100,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, full: bool) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32)), pa.array(np.concatenate(held)))
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(map(node_of, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], schema=schema)
 
-    return rows.mapInArrow(run, "id long, node binary, n long, tokens array<long>")
+    return rows.mapInArrow(trimmed(run), "id long, node binary, n long, tokens array<long>")
 
 
 def needed(n: Column) -> Column:
@@ -224,7 +224,7 @@ def _keys(nodes: DataFrame, hot: np.ndarray) -> DataFrame:
             take = pa.array(np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys]).astype(np.int64)), b.column("node").take(take), b.column("n").take(take)], names=["key", "node", "n"])
 
-    return nodes.select("node", "n", "tokens").mapInArrow(run, "key long, node binary, n long")
+    return nodes.select("node", "n", "tokens").mapInArrow(trimmed(run), "key long, node binary, n long")
 
 
 def _hot(nodes: DataFrame) -> np.ndarray:
@@ -269,7 +269,7 @@ def _searched(blocks: DataFrame, exact: bool) -> DataFrame:
 
     # a part is of bounded size, whole in one task and sorted together
     dealt = blocks.repartition(F.col("part")).sortWithinPartitions("part")
-    return dealt.select("part", "node", "n", "group", "asks", "tokens").mapInArrow(run, "a binary, b binary")
+    return dealt.select("part", "node", "n", "group", "asks", "tokens").mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def _measured(members: DataFrame, key: str) -> DataFrame:
@@ -422,7 +422,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(node_of, sets), pa.binary())], names=[*names, own, digest])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    marked = written(inner.mapInArrow(mark, f"{fields}, {digest} binary"), "ngram-odd")
+    marked = written(inner.mapInArrow(trimmed(mark), f"{fields}, {digest} binary"), "ngram-odd")
     named = found.where(F.col("node").isNotNull()).groupBy(F.col("node").alias(digest)).agg(F.min("component_id").alias(least))
     empty = marked.where(F.col(digest).isNull())
     kept = marked.join(named, digest).where(F.col(least).isNull() | F.col(own).eqNullSafe(F.col(least)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import boosting
-from loomgraph.llm.arrays import by_slices
+from loomgraph.llm.arrays import by_slices, trimmed
 from loomgraph.llm.labelled import SAMPLE_ROWS, features, id_remainder, sampled_features
 from loomgraph.llm.session import free_name, prepare
 from loomgraph.llm.statistics import COLUMNS, all_arrays
@@ -47,7 +47,7 @@ def score(docs: DataFrame, model: boosting.Forest, text_col: str = "text", keep:
             yield from by_slices(make, schema)(iter([batch]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return inner.mapInArrow(run, f"{fields}{', ' * bool(fields)}`{score_col}` double")
+    return inner.mapInArrow(trimmed(run), f"{fields}{', ' * bool(fields)}`{score_col}` double")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

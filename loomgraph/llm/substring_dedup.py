@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, repeated, slices
+from loomgraph.llm.arrays import BYTE, Words, flat, mix, powers, repeated, slices, trimmed
 from loomgraph.llm.session import discard, free_name, prepare, release, with_common, written
 
 #: A word starts a chunk with a chance of 1 in CUT_ONE_IN, by a hash of the WINDOW bytes before it.
@@ -179,7 +179,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS,
                 yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), *_signed(c, j - i, least)], schema=schema)
 
     rows = docs.select(_key(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = written(rows.mapInArrow(chunk, "key long, digests array<long>, sizes array<tinyint>, anchors array<long>, twice boolean"), "chunk-digests")
+    signed = written(rows.mapInArrow(trimmed(chunk), "key long, digests array<long>, sizes array<tinyint>, anchors array<long>, twice boolean"), "chunk-digests")
     found, counts = _shared(signed.select("key", F.explode("anchors").alias("digest")), "chunk-shared")
     held = written(found.groupBy("key").agg(F.collect_set("digest").alias("known")), "chunk-repeats")
     discard(counts)
@@ -205,7 +205,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, least: int = RUN_WORDS,
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
-    windows = written(met.mapInArrow(window, "key long, digests array<long>, twice boolean"), "window-digests")
+    windows = written(met.mapInArrow(trimmed(window), "key long, digests array<long>, twice boolean"), "window-digests")
     discard(signed, held)
     each, counts = _shared(windows.select("key", F.explode("digests").alias("digest")), "window-shared")
     found = each.groupBy("key").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
@@ -319,7 +319,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     columns = [F.col(f"`{c}`") for c in names]
-    done = rows.mapInArrow(cut, rows.select(*columns).schema)
+    done = rows.mapInArrow(trimmed(cut), rows.select(*columns).schema)
     return done if untouched is None else done.unionByName(untouched.select(*columns))
 
 
@@ -347,7 +347,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.select("id", "key", "text", "digests", "firsts").mapInArrow(report, "id long, n_words long, repeated_words long, removed_words long, holders array<long>").withColumnRenamed("id", id_col)
+    return rows.select("id", "key", "text", "digests", "firsts").mapInArrow(trimmed(report), "id long, n_words long, repeated_words long, removed_words long, holders array<long>").withColumnRenamed("id", id_col)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrays import flat, slices, span_hashes
+from loomgraph.llm.arrays import flat, slices, span_hashes, trimmed
 from loomgraph.llm.session import prepare
 
 #: The character that stands for a space in pieces, and its bytes (fixed values of the format).
@@ -281,7 +281,7 @@ def count_tokens(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", tex
                 counts = [n for i, j in slices(offsets) for n in model.count_slice(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).tolist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
-    out = key.mapInArrow(run, "id long, n_bytes long, n_tokens long")
+    out = key.mapInArrow(trimmed(run), "id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.arrays import trimmed
 from loomgraph.llm.labelled import SAMPLE_ROWS, id_remainder, label_sample
 from loomgraph.llm.session import discard, prepare, written
 
@@ -280,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "half": pa.array([half] * n, pa.int32()), "toxic": pa.array([toxic] * n), "n": pa.array(counts.values(), pa.int64())})
 
     at = F.when
-    counted = texts.mapInArrow(count, "term string, half int, toxic boolean, n long")
+    counted = texts.mapInArrow(trimmed(count), "term string, half int, toxic boolean, n long")
     counted = counted.groupBy("term").agg(*(F.sum(at((F.col("half") == h) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"{k}{h}") for h in (0, 1) for k, t in (("toxic", True), ("clean", False))))
     counted = written(counted, "toxic-terms")
     strong = counted.where((F.col("toxic0") + F.col("toxic1") >= 3) & (F.col("toxic0") + F.col("toxic1") >= PRECISION * 0.5 * (F.col("clean0") + F.col("clean1") + F.col("toxic0") + F.col("toxic1")))).collect()
@@ -303,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({"term": pa.array([words[i] for i in np.flatnonzero(close)], pa.string())})
 
     # a near miss that more clean documents than toxic ones hold is an ordinary word
-    used = counted.where(F.col("clean0") + F.col("clean1") > F.col("toxic0") + F.col("toxic1")).select("term").mapInArrow(near, "term string")
+    used = counted.where(F.col("clean0") + F.col("clean1") > F.col("toxic0") + F.col("toxic1")).select("term").mapInArrow(trimmed(near), "term string")
     ordinary = frozenset(r["term"] for r in used.collect())
     for m in machines:
         m.ordinary = ordinary
@@ -314,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.where((half == 0)[:, None], machines[0].features(text), machines[1].features(text)) if len(half) else np.zeros((0, 4))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), *map(pa.array, x.T)], names=["id", "label", "a", "b", "c", "d"])
 
-    got = texts.mapInArrow(measure, "id long, label int, a double, b double, c double, d double").toPandas().sort_values(["id", "a"])
+    got = texts.mapInArrow(trimmed(measure), "id long, label int, a double, b double, c double, d double").toPandas().sort_values(["id", "a"])
     discard(texts, counted)
     return Model(machines[2], *logistic(got[["a", "b", "c", "d"]].to_numpy(), got["label"].to_numpy(np.float64)))
 
@@ -333,7 +334,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.score(b.column("text").to_pylist()))], schema=schema)
 
-    return key.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return key.mapInArrow(trimmed(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

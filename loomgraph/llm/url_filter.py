@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import quality_classifier, toxicity
-from loomgraph.llm.arrays import flat, slices
+from loomgraph.llm.arrays import flat, slices, trimmed
 from loomgraph.llm.labelled import features, id_remainder
 from loomgraph.llm.session import discard, prepare, written
 from loomgraph.llm.statistics import COLUMNS, all_arrays
@@ -122,7 +122,7 @@ def labelled_pages(pages: DataFrame, docs: DataFrame, labels: DataFrame, id_col:
                 block[i:j] |= good.probability(features(stats)) < GOOD
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tokens"), pa.array(np.where(block, "block", "allow"), pa.string())], schema=schema)
 
-    return rows.mapInArrow(run, "id long, tokens array<string>, verdict string")
+    return rows.mapInArrow(trimmed(run), "id long, tokens array<string>, verdict string")
 
 
 def _alike(told: DataFrame, least: int) -> dict[str, str]:
@@ -160,7 +160,7 @@ def mine(told: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: floa
             items = [sorted({same[t] for t in tokens if t in same}) + [LABEL + v] for tokens, v in zip(b.column("tokens").to_pylist(), b.column("verdict").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], names=["items"])
 
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(told.mapInArrow(baskets, "items array<string>"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(told.mapInArrow(trimmed(baskets), "items array<string>"))
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL))
     counts = F.create_map(*(F.lit(x) for v, c in total.items() for x in (LABEL + v, c)))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.element_at("consequent", 1).alias("to"), F.round(F.col("support") * n).alias("a"), F.round(F.col("support") * n / F.col("confidence")).alias("m"))
@@ -219,7 +219,7 @@ def judge(pages: DataFrame, mined: list, id_col: str = "page_id", url_col: str =
             verdicts = [x or index.verdict(t) for x, t in zip(listed, tokens, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "host", "path", "rule")), pa.array(verdicts, pa.string())], schema=schema)
 
-    return rows.mapInArrow(run, "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:

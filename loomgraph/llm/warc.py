@@ -22,6 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.arrays import trimmed
 from loomgraph.llm import zip_archive
 from loomgraph.llm.session import prepare, table_path, with_common, written
 
@@ -168,7 +169,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             path, n = package.close()
             yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "n_records": pa.array([n], pa.int64())})
 
-    return told.mapInArrow(run, "path string, n_records long")
+    return told.mapInArrow(trimmed(run), "path string, n_records long")
 
 
 def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
@@ -190,7 +191,7 @@ def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     prepare(packages.sparkSession)
     # a package is a unit of work of bounded size, so each gets a task; a given number keeps small rows apart
-    return packages.select("path").repartition(max(1, packages.count())).mapInArrow(run, out)
+    return packages.select("path").repartition(max(1, packages.count())).mapInArrow(trimmed(run), out)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
