@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus components built on Spark.
+"""Training-data operators: corpus and vector components built on Spark.
 
 Nothing outside this subpackage imports it.  Every operator takes DataFrames and
 column names, leaves unrelated columns alone and documents what it does with
