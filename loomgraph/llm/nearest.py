@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: anisotropic product codes, four-bit table scans, exact reranking.
 
 Of the smallest Euclidean distance to q is the row x with the largest q.x - |x|^2 / 2, an
-inner product with one exact component more.  Only q.x is estimated: each two
-components of x become one of 16 codewords, chosen so that the residual parallel to x
-costs ETA times what the residual across it does, as it is the parallel part that shifts
-the inner products of near queries.  Codebooks are fitted on a bounded sample; all rows
+inner product with one exact component more; distances don't change if the sample's mean
+is taken from all vectors, and then x is short.  Only q.x is estimated: each two
+components of x (of short vectors each one) become one of 16 codewords, chosen so that
+the residual parallel to x costs ETA times what the residual across it does, as it is
+the parallel part that shifts the inner products of near queries.  Codebooks are fitted on a bounded sample; all rows
 are coded and written with their vectors.  A search is a scan: a task takes blocks of
 rows, adds up table values for two four-bit codes at a time, reranks the best of each
 block by exact distances in double precision, and keeps each query's k nearest; these
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import mix, trimmed
-from loomgraph.llm.session import prepare, written
+from loomgraph.llm.session import drawn, prepare, written
 from loomgraph.llm.vectors import blocks, column, commonest_length, finite, matrix
 
-WORDS, WIDTH = 16, 2
+WORDS = 16
+#: Vectors of fewer components get a codeword for each component, others for each two; those of fewer than LEAST are turned into that many first.
+SHORT, LEAST = 32, 16
 #: Codebooks are fitted on the rows with the smallest hashes of their ids: at most so many rows and bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 10_000, 32 << 20
 #: Inner products above this part of the norms are to be told well; it sets the weight of the parallel residual.
@@ -42,15 +45,19 @@ def eta(dim: int) -> float:
 
 
 class Codebooks:
-    """Codewords of each WIDTH components: (parts, WORDS, WIDTH)."""
+    """Codewords (parts, WORDS, width) of placed vectors, which have dim components."""
 
-    def __init__(self, words: np.ndarray, dim: int):
-        self.words, self.dim, self.eta = words, dim, eta(dim)
+    def __init__(self, words: np.ndarray, dim: int, centre: np.ndarray, frame: np.ndarray | None = None):
+        self.words, self.dim, self.eta, self.centre, self.frame = words, dim, eta(dim), centre, frame
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """Vectors less the centre; short ones in a frame that keeps inner products."""
+        return x - self.centre if self.frame is None else (x - self.centre) @ self.frame
 
     def split(self, x: np.ndarray) -> np.ndarray:
-        """(n, parts, WIDTH), padded with zeros; parts are even in number, so that codes fill bytes."""
-        wide = len(self.words) * WIDTH
-        return np.concatenate([x, np.zeros((len(x), wide - self.dim))], axis=1).reshape(len(x), -1, WIDTH)
+        """(n, parts, width), padded with zeros; parts are even in number, so that codes fill bytes."""
+        n_parts, _, width = self.words.shape
+        return np.concatenate([x, np.zeros((len(x), n_parts * width - self.dim))], axis=1).reshape(len(x), n_parts, width)
 
     def assign(self, x: np.ndarray, sweeps: int = CODE_SWEEPS) -> np.ndarray:
         """Codes (n, parts) of vectors: the nearest codewords, then part by part those with the least anisotropic loss given the others."""
@@ -69,7 +76,7 @@ class Codebooks:
         return codes
 
     def refit(self, x: np.ndarray, codes: np.ndarray) -> None:
-        """Codewords of least anisotropic loss for the codes, part by part: a system of WIDTH equations for each."""
+        """Codewords of least anisotropic loss for the codes, part by part: a small system of equations for each."""
         parts = self.split(x)
         unit = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None, None]
         rest = parts - self.words[np.arange(len(self.words)), codes]
@@ -80,7 +87,7 @@ class Codebooks:
                 own = codes[:, m] == k
                 if own.any():
                     u, v = unit[own, m], parts[own, m]
-                    left = own.sum() * np.eye(WIDTH) + (self.eta - 1) * u.T @ u
+                    left = own.sum() * np.eye(u.shape[1]) + (self.eta - 1) * u.T @ u
                     right = v.sum(0) + (self.eta - 1) * (u * (others[own] + (u * v).sum(1))[:, None]).sum(0)
                     self.words[m, k] = np.linalg.solve(left, right)
             rest[:, m] = parts[:, m] - self.words[m, codes[:, m]]
@@ -100,11 +107,14 @@ class Codebooks:
 
 
 def fit(sample: np.ndarray) -> Codebooks:
-    """Codebooks of a sample (rows in any fixed order): quantiles of random order first, then rounds of codes and codewords."""
-    n, dim = sample.shape
-    parts = -(-dim // (2 * WIDTH)) * 2
-    books = Codebooks(np.zeros((parts, WORDS, WIDTH)), dim)
-    rng, split = np.random.default_rng(11), books.split(sample)
+    """Codebooks of a sample (rows in any fixed order): parts of some rows first, then rounds of codes and codewords."""
+    (n, given), rng = sample.shape, np.random.default_rng(11)
+    dim, width = max(given, LEAST), 1 if given < SHORT else 2
+    frame = np.linalg.qr(rng.normal(size=(dim, given)))[0].T if dim > given else None
+    parts = -(-dim // (2 * width)) * 2
+    books = Codebooks(np.zeros((parts, WORDS, width)), dim, sample.mean(0), frame)
+    sample = books.placed(sample)
+    split = books.split(sample)
     for m in range(parts):
         books.words[m] = split[rng.choice(n, WORDS, replace=n < WORDS), m]
     for k in range(FIT_ROUNDS):
@@ -126,17 +136,17 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     spark = prepare(rows.sparkSession)
     v = F.col(f"`{vector}`")
     kept = rows.where(F.col(f"`{id_col}`").isNotNull() & finite(v) & F.exists(v, lambda x: x != 0)).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("vector"))
-    dim = commonest_length(kept, "vector")
+    dim, n_rows = commonest_length(kept, "vector")
     kept = kept.where(F.size("vector") == dim)
     most = max(WORDS, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(dim, 1))))
-    drawn = kept.orderBy(F.xxhash64("id"), "id", "vector").limit(most).select("vector").toArrow()
-    books = fit(matrix(column(drawn, "vector"), dim)) if len(drawn) else None
+    sample = drawn(kept, n_rows, most, "id", "vector").select("vector").toArrow()
+    books = fit(matrix(column(sample, "vector"), dim)) if len(sample) else None
     sent = spark.sparkContext.broadcast(books)
     kind = kept.schema["vector"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, dim):
-            x = matrix(column(table, "vector"), dim)
+            x = sent.value.placed(matrix(column(table, "vector"), dim))
             code = packed(sent.value.assign(x))
             half = pa.array((x * x).sum(1) / 2)
             flat = pa.Array.from_buffers(pa.binary(code.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(code))]).cast(pa.binary())
@@ -182,7 +192,7 @@ class Searcher:
         ids, x, code, half = ids[keep], x[keep], np.ascontiguousarray(code[keep].T), half[keep].astype(np.float32)
         most = self.rerank + self.k
         for i in range(0, len(self.ids), 256):
-            for j, table in enumerate(self.books.tables(self.queries[i : i + 256]), i):
+            for j, table in enumerate(self.books.tables(self.books.placed(self.queries[i : i + 256])), i):
                 near = np.arange(len(ids))
                 if len(ids) > most:
                     score = -half
@@ -196,10 +206,10 @@ class Searcher:
 
 def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of queries in blocks of about QUERY_BYTES; of rows with one id the smallest vector counts."""
-    each = queries.groupBy("id").agg(F.min("vector").alias("vector"))
-    n = max(1, -(-each.count() * 8 * dim // QUERY_BYTES))
+    n = max(1, -(-queries.count() * 8 * dim // QUERY_BYTES))
     for k in range(n):
-        held = each.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)) == k).orderBy("id").toArrow()
+        part = queries.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)) == k)
+        held = part.groupBy("id").agg(F.min("vector").alias("vector")).orderBy("id").toArrow()
         if len(held):
             yield column(held, "id").to_numpy(), matrix(column(held, "vector"), dim)
 
@@ -219,9 +229,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERA
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             books, ids, vectors = sent.value
             searcher = Searcher(books, ids, vectors, k, rerank)
-            for table in blocks(batches, books.dim):
+            for table in blocks(batches, len(books.centre)):
                 code = np.frombuffer(b"".join(column(table, "code").to_pylist()), np.uint8).reshape(len(table), -1)
-                searcher.take(column(table, "id").to_numpy(), matrix(column(table, "vector"), books.dim), code, column(table, "half").to_numpy())
+                searcher.take(column(table, "id").to_numpy(), matrix(column(table, "vector"), len(books.centre)), code, column(table, "half").to_numpy())
             sizes = [len(x) for x, _ in searcher.held]
             if sum(sizes):
                 near, score = (np.concatenate([h[i] for h in searcher.held]) for i in (0, 1))
@@ -230,7 +240,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERA
         return trimmed(run)
 
     if books is not None:
-        for ids, vectors in _query_blocks(queries, books.dim):
+        for ids, vectors in _query_blocks(queries, len(books.centre)):
             found = index.mapInArrow(scanner(spark.sparkContext.broadcast((books, ids, vectors))), schema)
             out = found if out is None else out.unionByName(found)
     if out is None:

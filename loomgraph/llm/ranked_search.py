@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.arrays import Words, flat, slices, trimmed
 from loomgraph.llm.bisection import Tree, bisected, spread
-from loomgraph.llm.session import discard, prepare, written
+from loomgraph.llm.session import discard, drawn, prepare, written
 
 #: Bytes between terms: ASCII but for digits and letters.
 BREAK = np.ones(256, bool)
@@ -98,18 +98,18 @@ def forward(docs: DataFrame, sent, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "id long, n long, terms array<int>, times array<int>")
 
 
-def fitted_tree(rows: DataFrame, n_postings: int, n_vocabulary: int) -> Tree:
+def fitted_tree(rows: DataFrame, n_holders: int, n_postings: int, n_vocabulary: int) -> Tree:
     """The upper levels: as many leaves as segments are needed, up to what is worth its bytes."""
     leaves = min(MOST_LEAVES, max(1, n_postings // SEGMENT_POSTINGS), max(1, TREE_BYTES // (4 * max(n_vocabulary, 1))))
     depth = max(0, math.ceil(math.log2(leaves)))
-    drawn = rows.where(F.size("terms") > 0).orderBy(F.xxhash64("id"), "id", "n", "terms").limit(SAMPLE_DOCS if depth else 1).select("terms").toArrow()
-    if not len(drawn):
+    sample = drawn(rows.where(F.size("terms") > 0), n_holders, SAMPLE_DOCS, "id", "n", "terms").select("terms").toArrow() if depth else []
+    if not len(sample):
         return Tree([], np.zeros(1, np.int64), np.zeros(0, np.int64), n_vocabulary)
-    offsets, terms = _lists(drawn.column("terms"))
+    offsets, terms = _lists(sample.column("terms"))
     return Tree(bisected(offsets, terms, depth), offsets, terms, n_vocabulary)
 
 
-def dealt(rows: DataFrame, tree: Tree, n_postings: int) -> DataFrame:
+def dealt(rows: DataFrame, tree: Tree) -> DataFrame:
     """rows that hold terms with leaf and piece: a leaf has as many pieces as its postings need, and its rows are dealt to them in turn."""
     sent = rows.sparkSession.sparkContext.broadcast(tree)
 
@@ -187,12 +187,12 @@ class Best:
 class Visitor:
     """Searches segments for the items of a block."""
 
-    def __init__(self, items: Items, weights: np.ndarray, k: int):
-        self.items, self.weights, self.best = items, weights, [Best(k) for _ in items.ids]
+    def __init__(self, items: Items, weights: np.ndarray, k: int, shard_docs: int):
+        self.items, self.weights, self.best, self.shard_docs = items, weights, [Best(k) for _ in items.ids], shard_docs
         self.visited = self.shards = 0
 
     def take(self, ids: np.ndarray, known: np.ndarray, term: np.ndarray, shard: np.ndarray, start: np.ndarray, most: np.ndarray, doc: np.ndarray, impact: np.ndarray) -> None:
-        n_shards = -(-len(ids) // SHARD_DOCS)
+        n_shards = -(-len(ids) // self.shard_docs)
         sizes, first = np.diff(np.append(start, len(doc))), np.searchsorted(term, np.arange(len(self.weights) + 1))
         for k, best in enumerate(self.best):
             own = slice(self.items.offsets[k], self.items.offsets[k + 1])
@@ -216,7 +216,7 @@ class Visitor:
                 g = groups[mine]
                 posting = spread(start[g], sizes[g])
                 np.add.at(score, doc[posting], np.repeat(weight[mine], sizes[g]) * impact[posting])
-                docs = spread(now * SHARD_DOCS, np.minimum(SHARD_DOCS, len(ids) - now * SHARD_DOCS))
+                docs = spread(now * self.shard_docs, np.minimum(self.shard_docs, len(ids) - now * self.shard_docs))
                 docs = docs[score[docs] >= best.least]
                 best.add(score[docs], ids[docs], known[docs])
 
@@ -241,12 +241,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     text are ranked each by itself.
     """
     spark = prepare(docs.sparkSession)
-    schema, out = "block int, at int, item long, id long, score long", None
+    schema, out, shard_docs = "block int, at int, item long, id long, score long", None, SHARD_DOCS
 
     def scanner(sent, block: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, weights = sent.value
-            visitor = Visitor(items, weights, k)
+            visitor = Visitor(items, weights, k, shard_docs)
             for batch in batches:
                 for row in range(len(batch)):
                     visitor.take(*(c.slice(row, 1).flatten().to_numpy(zero_copy_only=False) for c in batch.columns))
@@ -258,11 +258,11 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
 
     for block, held in enumerate(_blocks(items, item_col, item_text)):
         rows = written(forward(docs, spark.sparkContext.broadcast(held), id_col, text_col), "search-forward")
-        n_docs, n_terms, n_postings = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+        n_docs, n_terms, n_postings, n_holders = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.count_if(F.size("terms") > 0)).first()
         df = np.zeros(len(held.terms), np.int64)
         for r in rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row for each term of the block's items
             df[r["term"]] = r["count"]
-        spread_out = dealt(rows, fitted_tree(rows, n_postings, len(held.terms)), n_postings)
+        spread_out = dealt(rows, fitted_tree(rows, n_holders, n_postings, len(held.terms)))
         index = written(segments(spread_out, n_docs, n_terms), "search-index")
         discard(rows, spread_out)
         found = index.mapInArrow(scanner(spark.sparkContext.broadcast((held, term_weights(n_docs, df))), block), schema)

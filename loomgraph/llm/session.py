@@ -107,6 +107,16 @@ def with_common(rows: DataFrame, table: DataFrame, key: str, limit: int) -> Data
     return met.where(F.col(mark).isNotNull()).drop(mark).unionByName(rest)
 
 
+def drawn(rows: DataFrame, n_rows: int, most: int, *columns: str) -> DataFrame:
+    """The at most most rows with the smallest hashes of columns, ties by the columns themselves, the same for any layout of n_rows rows.
+
+    Only rows with hashes below a bound that twice as many are expected to meet are sorted.
+    """
+    if n_rows > 2 * most:
+        rows = rows.where(F.xxhash64(*columns) < int(-(2**63) + 2**64 * (2 * most / n_rows)))
+    return rows.orderBy(F.xxhash64(*columns), *columns).limit(most)
+
+
 def free_name(name: str, taken: Iterable[str]) -> str:
     """name, with underscores as long as a column (in any case) bears it already."""
     held = {c.lower() for c in taken}

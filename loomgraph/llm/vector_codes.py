@@ -111,7 +111,7 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     spark = prepare(rows.sparkSession)
     key = free_name("__label", [id_col])
     kept = rows.where(finite(F.col(f"`{vector}`"))).select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{vector}`").alias(vector), F.concat(F.lit("="), F.col(f"`{label}`").cast("string")).alias(key))
-    dim = commonest_length(kept, vector)
+    dim, _ = commonest_length(kept, vector)
     out_schema = f"`{id_col}` long, `{key}` string, code string, error long"
     if not dim:
         return spark.createDataFrame([], f"`{id_col}` long, code string, error long, label_error long, codebooks_sha256 string")

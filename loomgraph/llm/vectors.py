@@ -20,10 +20,10 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(odd, F.lit(True))
 
 
-def commonest_length(rows: DataFrame, vector: str) -> int:
-    """The length that most vectors have, the smaller of two alike; 0 without rows."""
+def commonest_length(rows: DataFrame, vector: str) -> tuple[int, int]:
+    """The length that most vectors have, the smaller of two alike, and how many have it; zeros without rows."""
     found = rows.groupBy(F.size(vector).alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return int(found["dim"]) if found else 0
+    return (int(found["dim"]), int(found["count"])) if found else (0, 0)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

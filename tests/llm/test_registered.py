@@ -1,8 +1,10 @@
 """The registered queries on small directories: folds, thresholds, columns, and tables that are empty or full of nulls."""
 
+import os
 import random
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,13 +21,16 @@ COLUMNS = {
     "op8_decontamination": {"doc_id": "bigint", "item_id": "bigint", "edits": "bigint"},
     "op9_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op10_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11_nearest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op12_vector_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op13_ranked_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
 }
 #: These give a row for each row of their table.
-WHOLE = set(COLUMNS) - {"op6_substring_dedup", "op8_decontamination"}
+WHOLE = set(COLUMNS) - {"op6_substring_dedup", "op8_decontamination", "op11_nearest", "op12_vector_codes", "op13_ranked_search"}
 PAGES = {"op3_url_filter", "op9_warc"}
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int",
-    "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
 
@@ -55,7 +60,8 @@ def plain(spark, tmp_path_factory):
         labels.append((i, int(not bad), int(toxic)))
     docs.append((400, docs[3][1], "en", "s1", 0))
     pages = [(i, f"http://{'x.net' if i % 3 else 'a.org'}/fr/{i}", f"<p>{text(60)}</p>" if i % 4 else "<p>same</p>") for i in range(60)]
-    return wrote(spark, tmp_path_factory.mktemp("plain"), {"documents": docs, "labels": labels, "pages": pages, "benchmark": [(1, " ".join(docs[9][1].split()[5:30]))]}, ("id", "score", "text_", "key", "host", "verdict", "path", "digest"))
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(32)], i % 5) for i in range(250)]
+    return wrote(spark, tmp_path_factory.mktemp("plain"), {"embeddings": vectors, "documents": docs, "labels": labels, "pages": pages, "benchmark": [(1, " ".join(docs[9][1].split()[5:30]))]}, ("id", "score", "text_", "key", "host", "verdict", "path", "digest"))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -107,5 +113,33 @@ def test_empty_and_null_tables(spark, tmp_path, name):
     assert run(spark, wrote(spark, tmp_path / "empty", {})).count() == 0
     nulls = {"documents": [(None, None, None, None, None), (1, None, None, None, None), (1, "", None, None, 0), (2, "\n \n", "x", "", 3), (3, "w " * 30_000, None, None, 1), (3, "w " * 30_000, None, None, 1)], "labels": [(None, None, None), (1, None, 1), (3, 1, 0), (3, 0, 1)]}
     nulls |= {"benchmark": [(None, None), (1, ""), (2, "not there at all")], "pages": [(None, None, None), (1, None, ""), (2, "", None), (2, "", None), (4, "http://" + "a." * 5_000 + "net/" + "x/" * 20_000, "h" * 2_000_000)]}
+    nulls["embeddings"] = [(None, None, None), (0, None, 1), (0, [1.0, 2.0], None), (0, [1.0, 2.0], None), (None, [3.0, 4.0], 1), (100, [], 1)]
     rows = run(spark, wrote(spark, tmp_path / "nulls", nulls)).collect()
+    assert name != "op12_vector_codes" or len(rows) == 3
     assert name not in WHOLE or len(rows) == len(nulls["pages" if name in PAGES else "documents"])
+
+
+def test_searches_and_codes(spark, plain):
+    q = registry.queries()
+    near = q["op11_nearest"](spark, plain).collect()
+    assert {r["query_id"] for r in near} == {0, 100, 200} and len(near) == 30
+    coded = q["op12_vector_codes"](spark, plain).collect()
+    assert sorted(r["vec_id"] for r in coded) == list(range(250)) and {len(r["code"]) for r in coded} == {32} and len({r["codebooks_sha256"] for r in coded}) == 1
+    best = q["op13_ranked_search"](spark, plain).collect()
+    assert [r["doc_id"] for r in best if r["rank"] == 1] == [9]
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_rows_match_sql(spark, name):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for t in SCHEMAS:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    rows = registry.queries()[name](spark, data)
+    told = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in told.description]
+    assert sorted(names) == sorted(rows.columns)
+    rounded = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    assert sorted(map(rounded, rows.select(*names).collect()), key=repr) == sorted(map(rounded, told.fetchall()), key=repr)
