@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import sources
-from loomgraph.operators import crosses
+from loomgraph.operators import crosses, phenotypes
 from loomgraph.operators.storage import written
 from loomgraph.plans import all as plans
 
@@ -38,9 +38,8 @@ def _cross(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.mother_shows or a.father_shows:
         if a.mother or a.father or not (a.mother_shows and a.father_shows):
             raise SystemExit("give both parents by genotype, or both by what they show")
-        if a.json:
-            return spark.createDataFrame([(crosses.range_json(spark, rules, set(a.mother_shows.split(",")), set(a.father_shows.split(","))),)], "document string")
-        return crosses.cross_from_phenotypes(spark, rules, set(a.mother_shows.split(",")), set(a.father_shows.split(",")), a.true_breeding)
+        pair = phenotypes.one_pair(spark, set(a.mother_shows.split(",")), set(a.father_shows.split(",")), a.true_breeding)
+        return phenotypes.range_documents(pair, rules) if a.json else phenotypes.ranges(pair, rules)
     if a.true_breeding or not (a.mother and a.father):
         raise SystemExit("give both parents; --true-breeding goes with what they show")
     table = crosses.cross_table(spark, rules, [("cross", a.mother, a.father)])

@@ -35,3 +35,15 @@ def closure(start: DataFrame, edges: DataFrame, source: str, target: str) -> Dat
         if not fresh.limit(1).count():
             return seen
         seen = written(seen.unionByName(fresh))
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """(a, b): whatever edges (a, b) reach, in one step or more. Each round joins only the pairs that are new."""
+    edges = written(edges.select("a", "b").distinct())
+    seen = fresh = edges
+    while True:
+        near = fresh.join(edges.select(F.col("a").alias("b"), F.col("b").alias("next")), "b").select("a", F.col("next").alias("b")).distinct()
+        fresh = written(near.join(seen, ["a", "b"], "left_anti"))
+        if not fresh.limit(1).count():
+            return seen
+        seen = written(seen.unionByName(fresh))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import fixed
-from loomgraph.functions.text import claim_id, evidence_id
+from loomgraph.functions.text import claim_id, clean, evidence_id, normalise_title
 from loomgraph.operators.claims import shape_problem
+from loomgraph.operators.dedupe import with_routes
 from loomgraph.operators.storage import numbered
 
 
@@ -69,35 +70,6 @@ def voted(rows: DataFrame, key: str, value: str, preference: Column, name: str)
     return counts.groupBy(key).agg(F.min(F.struct((-F.col("__n")).alias("n"), "__p", F.col(value).alias("value"))).alias("best")).select(key, F.col("best.value").alias(name))
 
 
-def greedy_unique(rows: DataFrame, rank: str, position: str, ids: list[str], title: str) -> DataFrame:
-    """Rows that no earlier kept row shares its id or a non-empty title with, in order of (rank, position).
-
-    What a merged row adds is not indexed, so the result depends on the order and is
-    not transitive. Only rows that share an id or title can decide about each other:
-    each connected block of rows is walked in order by itself.
-    """
-    from loomgraph.operators.components import connected_components
-
-    marked = rows.withColumn("__id", F.concat_ws("|", F.lit("i"), *ids)).withColumn("__title", F.when(F.col(title) != "", F.concat_ws("|", F.lit("t"), F.col(title))))
-    edges = marked.where(F.col("__title").isNotNull()).select(F.col("__id").alias("a"), F.col("__title").alias("b")).distinct()
-    block = connected_components(edges).select(F.col("node").alias("__id"), F.col("component").alias("__block"))
-    told = marked.join(block, "__id", "left").withColumn("__block", F.coalesce("__block", "__id"))
-    names = rows.columns
-
-    def walk(part):
-        part = part.sort_values([rank, position], kind="stable")
-        seen_id, seen_title, kept = set(), set(), []
-        for a, t in zip(part["__id"], part["__title"], strict=True):
-            free = a not in seen_id and (t is None or t not in seen_title)
-            kept.append(free)
-            if free:
-                seen_id.add(a)
-                seen_title.add(t)
-        return part.loc[kept, names]
-
-    return told.groupBy("__block").applyInPandas(walk, rows.schema)
-
-
 def voted_by_lane(rows: DataFrame, key: str, value: str, position: str, owns: Column) -> DataFrame:
     """The commonest value of each key. Ties go to the first row of a lane that owns its value, and without one to the value seen first."""
     last = F.lit(2**63 - 1)
@@ -144,19 +116,22 @@ def accepted(candidates: DataFrame) -> DataFrame:
 
 
 def screened(links: DataFrame, core: DataFrame, known_ids: DataFrame, known_dois: DataFrame, ranks: dict[str, int], other: int = 9) -> DataFrame:
-    """Papers behind (pos, source, id, title) links, one row for each title, and a row without pos that counts all links.
+    """Papers behind (pos, source, id, title) links, with routes, and a row without pos that counts all links.
 
-    Links without an id count as raw and lead nowhere. Of links to one title the one
-    from the best source stays. It meets its core record (source, id, title, abstract,
-    doi) by source and id; known is a paper whose PMID or lower-cased DOI is known.
+    Links without an id count as raw and lead nowhere. By rank of the source and
+    position, a link to a (source, id) or to a normalised title that is there already
+    merges into that paper; empty titles merge nothing. A paper meets its core record
+    (source, id, title, abstract, doi) by source and id; known is one whose PMID or
+    lower-cased DOI is known.
     """
     order = F.coalesce(F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))[F.col("source")], F.lit(other))
-    best = links.where(F.col("id").isNotNull()).groupBy("title").agg(F.min(F.struct(order.alias("rank"), "pos", "source", "id")).alias("first")).select("title", "first.pos", "first.source", "first.id")
+    found = links.where(F.col("id").isNotNull() & (F.col("id").cast("string") != "")).select("pos", "source", "id", "title")
+    best = with_routes(found, [order.asc(), F.asc("pos")], ["source", "id"], normalise_title(clean(F.coalesce("title", F.lit("")))))
     told = best.join(core.select("source", "id", F.col("title").alias("own"), "abstract", F.lower("doi").alias("doi"), F.lit(True).alias("fetched")), ["source", "id"], "left")
     told = told.join(known_ids.select("id", F.lit("MED").alias("source"), F.lit(True).alias("by_id")).distinct(), ["source", "id"], "left")
     told = told.join(known_dois.select("doi", F.lit(True).alias("by_doi")).distinct(), "doi", "left")
     known = F.coalesce("by_id", F.lit(False)) | F.coalesce("by_doi", F.lit(False))
-    rows = told.select("pos", "source", "id", "title", F.coalesce("fetched", F.lit(False)).alias("fetched"), known.alias("known"), F.coalesce("own", "title").alias("shown"), "abstract", F.lit(None).cast("long").alias("raw"))
+    rows = told.select("pos", "source", "id", "title", F.coalesce("fetched", F.lit(False)).alias("fetched"), known.alias("known"), F.coalesce("own", "title").alias("shown"), "abstract", "routes", F.lit(None).cast("long").alias("raw"))
     return rows.unionByName(links.agg(F.count(F.lit(1)).alias("raw")), allowMissingColumns=True)
 
 

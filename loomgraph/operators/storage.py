@@ -39,3 +39,12 @@ def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     # a row for each range
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return held.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range").withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
+
+
+#: Tables of at most so many rows are sent to every executor.
+SMALL_ROWS = 200_000
+
+
+def small(table: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A written table, to be broadcast where it has no more than limit rows; beyond that joins shuffle it."""
+    return F.broadcast(table) if table.count() <= limit else table

@@ -112,6 +112,14 @@ TABLES = {
   count(*) FILTER (WHERE stance = 'CONTRADICTS') AS n_contradicts,
   coalesce(max(CASE WHEN stance = 'SUPPORTS' THEN level_rank END), 0) AS best_rank FROM evidence GROUP BY trait_id, gene_id""",
 }
+#: First come, first kept over two keys, in rounds: what comes first of its open rows by both keys is kept.
+GREEDY = """
+  rounds AS (SELECT n, i, t, false AS kept FROM ordered UNION ALL
+    SELECT n, i, t, now FROM (SELECT *, bool_or(now) OVER (PARTITION BY i) AS by_i, t IS NOT NULL AND bool_or(now) OVER (PARTITION BY t) AS by_t FROM (
+      SELECT n, i, t, n = min(n) OVER (PARTITION BY i) AND (t IS NULL OR n = min(n) OVER (PARTITION BY t)) AS now FROM rounds WHERE NOT kept)) WHERE now OR NOT (by_i OR by_t)),
+  chosen AS (SELECT n, i, t FROM rounds WHERE kept),
+  merged AS (SELECT o.n, CASE WHEN a.n <= o.n THEN a.n ELSE b.n END AS keeper FROM ordered o LEFT JOIN chosen a ON a.i = o.i LEFT JOIN chosen b ON b.t = o.t),
+  standing AS (SELECT keeper AS n, count(*) AS routes FROM merged GROUP BY keeper)"""
 PRELUDE = "WITH RECURSIVE " + ", ".join(f"{name} AS ({sql})" for name, sql in TABLES.items())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import fixed
 from loomgraph.operators import crosses as X
 from loomgraph.operators import layer as L
+from loomgraph.operators import phenotypes as P
 from loomgraph.plans.base import Graph, query
 
 #: Two autosomal loci and a sex-linked one; A hides B, and C is A with X.
@@ -88,10 +89,59 @@ def Q30_golden_crosses(g: Graph) -> DataFrame:
     return X.shares(X.classes(X.cross_table(g.spark, rules, _GOLDEN), rules, "id")).select("id", "sex", "class", "share")
 
 
-@query()
+#: What customers are seen to show: any of four traits and one that nobody knows, whatever their genotypes; some lines are said to breed true.
+_SEEN = ("Ta", "Tb", "Tc", "Tx")
+_PAIRS = """
+seen AS (SELECT c_custkey AS id, list_concat(""" + ", ".join(f"CASE WHEN c_custkey // 3 % {2 << i} >= {1 << i} THEN ['{t}'] ELSE [] END" for i, t in enumerate(_SEEN)) + """, CASE WHEN c_nationkey = 7 THEN ['Tz'] ELSE [] END) AS shows FROM customer),
+pairs AS (SELECT m.id, m.shows AS ms, f.shows AS fs, m.id % 5 = 0 AS fixed FROM seen m JOIN seen f ON f.id = m.id + 64 WHERE m.id % 128 < 64)"""
+_RANGES = f"""
+WITH {_PAIRS.strip()},
+genos AS (SELECT s.sex, p.a1, p.a2, q.b1, q.b2, r.x1, r.x2 FROM (VALUES ('female'), ('male')) AS s(sex), (VALUES ('A', 'A'), ('A', 'a'), ('a', 'a')) AS p(a1, a2), (VALUES ('B', 'B'), ('B', 'b'), ('b', 'b')) AS q(b1, b2),
+  (VALUES ('X', 'X'), ('X', 'x'), ('x', 'X'), ('x', 'x')) AS r(x1, x2) WHERE s.sex = 'male' OR r.x1 <= r.x2),
+called AS (SELECT *, a1 = 'a' AND a2 = 'a' AS ta, x1 = 'x' AND x2 = 'x' AS tx, b1 = 'b' OR b2 = 'b' AS tb FROM genos),
+told AS (SELECT *, list_concat(CASE WHEN ta AND NOT tx THEN ['Ta'] ELSE [] END, CASE WHEN tb AND NOT ta THEN ['Tb'] ELSE [] END, CASE WHEN ta AND tx THEN ['Tc'] ELSE [] END, CASE WHEN tx AND NOT ta THEN ['Tx'] ELSE [] END) AS shown FROM called),
+asked AS (SELECT DISTINCT sex, shows, fixed, list_has_any(shows, ['Ta', 'Tb', 'Tc']) AS l1, list_contains(shows, 'Tb') AS l2, list_has_any(shows, ['Tc', 'Tx']) AS lx,
+    list_concat(CASE WHEN list_has_any(shows, ['Ta', 'Tb', 'Tc']) THEN ['Ta'] ELSE [] END, CASE WHEN list_contains(shows, 'Tb') THEN ['Tb'] ELSE [] END, CASE WHEN list_contains(shows, 'Tc') THEN ['Tc'] ELSE [] END, CASE WHEN list_has_any(shows, ['Tc', 'Tx']) THEN ['Tx'] ELSE [] END) AS near
+  FROM (SELECT 'female' AS sex, ms AS shows, fixed FROM pairs UNION SELECT 'male', fs, fixed FROM pairs)),
+found AS (SELECT k.sex, k.shows, k.fixed, t.a1, t.a2, t.b1, t.b2, t.x1, t.x2 FROM asked k JOIN told t ON t.sex = k.sex AND (k.l1 OR (t.a1 = 'A' AND t.a2 = 'A')) AND (k.l2 OR (t.b1 = 'B' AND t.b2 = 'B')) AND (k.lx OR (t.x1 = 'X' AND t.x2 = 'X'))
+  AND (NOT k.fixed OR (t.a1 = t.a2 AND t.b1 = t.b2 AND t.x1 = t.x2)) AND list_filter(t.shown, lambda x: list_contains(k.near, x)) = k.shows WHERE len(k.shows) > 0),
+counts AS (SELECT sex, shows, fixed, count(*) AS n FROM found GROUP BY ALL),
+combos AS (SELECT DISTINCT ms, fs, fixed FROM pairs),
+verdicts AS (SELECT c.ms, c.fs, c.fixed, m.n AS n_mothers, f.n AS n_fathers, coalesce(
+    CASE WHEN len(c.ms) = 0 THEN 'input: name at least one trait' WHEN list_contains(c.ms, 'Tz') THEN 'input: unknown trait Tz' WHEN m.n IS NULL THEN 'input: no genotype shows exactly ' || array_to_string(c.ms, ', ') END,
+    CASE WHEN len(c.fs) = 0 THEN 'input: name at least one trait' WHEN list_contains(c.fs, 'Tz') THEN 'input: unknown trait Tz' WHEN f.n IS NULL THEN 'input: no genotype shows exactly ' || array_to_string(c.fs, ', ') END) AS error
+  FROM combos c LEFT JOIN counts m ON m.sex = 'female' AND m.shows = c.ms AND m.fixed = c.fixed LEFT JOIN counts f ON f.sex = 'male' AND f.shows = c.fs AND f.fixed = c.fixed),
+crossed AS (SELECT row_number() OVER () AS cross_id, v.ms, v.fs, v.fixed, m.a1 AS ma1, m.a2 AS ma2, m.b1 AS mb1, m.b2 AS mb2, m.x1 AS mx1, m.x2 AS mx2, f.a1 AS fa1, f.a2 AS fa2, f.b1 AS fb1, f.b2 AS fb2, f.x1 AS fx1, f.x2 AS fx2
+  FROM verdicts v JOIN found m ON m.sex = 'female' AND m.shows = v.ms AND m.fixed = v.fixed JOIN found f ON f.sex = 'male' AND f.shows = v.fs AND f.fixed = v.fixed WHERE v.error IS NULL),
+pick AS (SELECT * FROM (VALUES (0), (1)) AS t(v)),
+kids AS (SELECT c.cross_id, s.sex, CASE p1.v WHEN 0 THEN ma1 ELSE ma2 END AS a1, CASE q1.v WHEN 0 THEN fa1 ELSE fa2 END AS a2, CASE p2.v WHEN 0 THEN mb1 ELSE mb2 END AS b1, CASE q2.v WHEN 0 THEN fb1 ELSE fb2 END AS b2,
+  CASE p3.v WHEN 0 THEN mx1 ELSE mx2 END AS x1, CASE s.sex WHEN 'female' THEN fx1 ELSE fx2 END AS x2 FROM crossed c, pick p1, pick q1, pick p2, pick q2, pick p3, (VALUES ('female'), ('male')) AS s(sex)),
+states AS (SELECT cross_id, sex, a1 = 'a' AND a2 = 'a' AS ta, (b1 = 'b')::INT + (b2 = 'b')::INT AS tb, x1 = 'x' AND x2 = 'x' AS tx FROM kids),
+named AS (SELECT cross_id, sex, coalesce(nullif(concat_ws(', ', CASE WHEN ta AND NOT tx THEN 'Ta' END, CASE WHEN NOT ta AND tb = 2 THEN 'Tb' WHEN NOT ta AND tb = 1 THEN 'Tb (partial)' END, CASE WHEN ta AND tx THEN 'Tc' END, CASE WHEN tx AND NOT ta THEN 'Tx' END), ''), 'none of the modelled traits') AS class FROM states),
+counted AS (SELECT cross_id, sex, class, count(*) AS weight, 32 AS whole FROM named GROUP BY ALL UNION ALL SELECT cross_id, 'overall', class, count(*), 64 FROM named GROUP BY cross_id, class),
+spans AS (SELECT ms, fs, fixed, sex, class, max(weight) AS high, CASE WHEN count(*) < any_value(v.n_mothers * v.n_fathers) THEN 0 ELSE min(weight) END AS low, any_value(whole) AS whole FROM counted JOIN crossed USING (cross_id) JOIN verdicts v USING (ms, fs, fixed) GROUP BY ALL)
+"""
+
+
+def _observed(g: Graph) -> DataFrame:
+    k = F.col("c_custkey")
+    bits = [F.when(F.expr(f"c_custkey div 3 % {2 << i} >= {1 << i}"), t) for i, t in enumerate(_SEEN)]
+    seen = g.read("customer").select(k.alias("id"), F.array_compact(F.array(*bits, F.when(F.col("c_nationkey") == 7, "Tz"))).alias("shows"))
+    mothers = seen.where("id % 128 < 64").select("id", F.col("shows").alias("mother_shows"), (F.col("id") % 5 == 0).alias("true_breeding"))
+    return mothers.join(seen.select((F.col("id") - 64).alias("id"), F.col("shows").alias("father_shows")), "id")
+
+
+@query(_RANGES + """SELECT p.id, s.sex, s.class, (s.low // gcd(s.low, s.whole)) || '/' || (s.whole // gcd(s.low, s.whole)) AS low, (s.high // gcd(s.high, s.whole)) || '/' || (s.whole // gcd(s.high, s.whole)) AS high,
+  CASE WHEN error IS NULL THEN n_mothers END AS n_mothers, CASE WHEN error IS NULL THEN n_fathers END AS n_fathers, error FROM pairs p JOIN verdicts v USING (ms, fs, fixed) LEFT JOIN spans s USING (ms, fs, fixed)""", plain=True)
 def Q31_Q32_J26_A25_U06_ranges(g: Graph) -> DataFrame:
-    """A parent that shows yellow times one that shows blue: ranges over all hypotheses."""
-    return X.cross_from_phenotypes(g.spark, X.seed_rules(), {"yellow"}, {"blue"})
+    """Customers crossed by what they show: ranges of every class over all genotypes that show it, or why there are none."""
+    return P.ranges(_observed(g), RULES)
+
+
+@query()
+def Q32_T39_range_documents(g: Graph) -> DataFrame:
+    """The same as documents."""
+    return P.range_documents(_observed(g), RULES)
 
 
 #: The layer over the tables: claims that need alleles, composites (some part of themselves), modes, and what masks what.
@@ -100,7 +150,9 @@ layer AS (SELECT 'r' || trait_id || '-' || gene_id AS claim_id, 'requires_allele
   UNION ALL SELECT 'c' || p_partkey || '-' || d, 'composed_of', p_partkey, (p_partkey + d)::VARCHAR, p_size, p_size = 13 FROM part, (VALUES (1), (3)) AS t(d) WHERE p_size BETWEEN 10 AND 16
   UNION ALL SELECT 'b' || p_partkey, 'composed_of', p_partkey, (p_partkey - 1)::VARCHAR, 20, false FROM part WHERE p_size = 17
   UNION ALL SELECT 'i' || p_partkey, 'inherited_as', p_partkey, CASE WHEN p_size % 3 = 0 THEN 'multilocus' ELSE 'recessive' END, 20, false FROM part WHERE p_size % 4 = 1
-  UNION ALL SELECT 'm' || subject_id || '-' || object_id, 'masks', subject_id, object_id::VARCHAR, 5, false FROM subsumes),
+  UNION ALL SELECT 'm' || subject_id || '-' || object_id, 'masks', subject_id, object_id::VARCHAR, 5, false FROM subsumes
+  UNION ALL SELECT 'a' || s_suppkey, 'allele_of', s_suppkey, s_nationkey::VARCHAR, 50, false FROM supplier
+  UNION ALL SELECT 'd' || s_suppkey || '-' || d, CASE WHEN d = 2 THEN 'incompletely_dominant_over' ELSE 'dominant_over' END, s_suppkey, (s_suppkey + d)::VARCHAR, (s_suppkey + d) % 7 * 10, s_suppkey * d % 29 = 0 FROM supplier, (VALUES (1), (2), (3), (4), (5)) AS t(d)),
 needs AS (SELECT DISTINCT subject AS trait FROM layer WHERE predicate = 'requires_allele'), whole AS (SELECT DISTINCT subject AS trait FROM layer WHERE predicate = 'composed_of'),
 edges AS (SELECT DISTINCT subject AS trait, object::BIGINT AS below FROM layer WHERE predicate = 'composed_of' AND subject NOT IN (SELECT trait FROM needs)),
 down AS (SELECT trait, below FROM edges UNION SELECT r.trait, e.below FROM down r JOIN edges e ON e.trait = r.below),
@@ -110,7 +162,10 @@ has_model AS (SELECT trait FROM needs UNION SELECT trait FROM whole WHERE trait
 own AS (SELECT trait, trait AS below FROM needs UNION SELECT trait, trait FROM whole UNION SELECT trait, below FROM down),
 facts AS (SELECT subject AS below, claim_id, rank, disputed FROM layer WHERE predicate = 'requires_allele' UNION ALL SELECT subject, claim_id, rank, disputed FROM layer WHERE predicate = 'composed_of' AND subject NOT IN (SELECT trait FROM needs)
   UNION ALL SELECT object::BIGINT, claim_id, rank, disputed FROM layer WHERE predicate = 'masks'),
-rests AS (SELECT DISTINCT trait, claim_id, rank, disputed FROM own JOIN facts USING (below))
+loci AS (SELECT DISTINCT own.trait, a.object AS locus FROM own JOIN layer r ON r.subject = own.below AND r.predicate = 'requires_allele' JOIN layer a ON a.subject = r.object::BIGINT AND a.predicate = 'allele_of'),
+locus_facts AS (SELECT a.object AS locus, d.claim_id, d.rank, d.disputed FROM layer d JOIN layer a ON a.subject = d.subject AND a.predicate = 'allele_of' JOIN layer b ON b.subject = d.object::BIGINT AND b.predicate = 'allele_of' AND b.object = a.object
+  WHERE d.predicate IN ('dominant_over', 'incompletely_dominant_over')),
+rests AS (SELECT DISTINCT trait, claim_id, rank, disputed FROM own JOIN facts USING (below) UNION SELECT trait, claim_id, rank, disputed FROM loci JOIN locus_facts USING (locus))
 """
 
 
@@ -122,7 +177,11 @@ def _layer(g: Graph) -> DataFrame:
     back = part.where("p_size = 17").select(F.concat(F.lit("b"), p), F.lit("composed_of"), p, (p - 1).cast("string"), F.lit(20), F.lit(False))
     modes = part.where("p_size % 4 = 1").select(F.concat(F.lit("i"), p), F.lit("inherited_as"), p, F.when(size % 3 == 0, "multilocus").otherwise("recessive"), F.lit(20), F.lit(False))
     masks = g.subsumes.select(F.concat(F.lit("m"), "subject_id", F.lit("-"), "object_id"), F.lit("masks"), "subject_id", F.col("object_id").cast("string"), F.lit(5), F.lit(False))
-    return L.written(needs.union(made).union(back).union(modes).union(masks))
+    supplier, s = g.read("supplier"), F.col("s_suppkey")
+    alleles = supplier.select(F.concat(F.lit("a"), s), F.lit("allele_of"), s, F.col("s_nationkey").cast("string"), F.lit(50), F.lit(False))
+    over = supplier.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(5)))).select(
+        F.concat(F.lit("d"), s, F.lit("-"), "d"), F.when(F.col("d") == 2, "incompletely_dominant_over").otherwise("dominant_over"), s, (s + F.col("d")).cast("string"), ((s + F.col("d")) % 7 * 10).cast("int"), s * F.col("d") % 29 == 0)
+    return L.written(needs.union(made).union(back).union(modes).union(masks).union(alleles).union(over))
 
 
 @query(f"WITH {_LAYER} SELECT trait, (SELECT count(*) FROM down d WHERE d.trait = h.trait) AS below FROM has_model h")
@@ -134,15 +193,44 @@ def G04_G05_modelled(g: Graph) -> DataFrame:
 
 
 @query(f"""
-WITH {_LAYER} SELECT trait, min(rank) AS rank, arg_min(claim_id, rank * 1e9 + place) AS weakest, count(*) AS n_claims
-FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY rank, claim_id) AS place FROM rests) WHERE trait IN (SELECT trait FROM has_model) GROUP BY trait HAVING NOT bool_or(disputed)
+WITH {_LAYER}, disputed AS (SELECT DISTINCT trait FROM rests WHERE disputed),
+plain AS (SELECT trait, claim_id, rank FROM rests WHERE claim_id NOT LIKE 'm%')
+SELECT trait, min(rank) AS rank, arg_min(claim_id, rank * 1e9 + place) AS weakest, count(*) AS n_claims
+FROM (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY rank, claim_id) AS place FROM plain) WHERE trait IN (SELECT trait FROM has_model) AND trait NOT IN (SELECT trait FROM disputed) GROUP BY trait
 """)
 def Q35_G06_support(g: Graph) -> DataFrame:
-    """The weakest claim under each prediction."""
+    """The weakest claim under each prediction where nothing is hidden, dominance at its loci included."""
     layer = _layer(g)
     return L.support(layer, L.reach(layer))
 
 
+#: The claims behind the rules of the crosses; how well each is supported comes from the evidence on the part with its number.
+_CLAIMS = [
+    ("requires_allele", "Ta", "a"), ("requires_allele", "Tb", "b"), ("requires_allele", "Tx", "x"), ("composed_of", "Tc", "Ta"), ("composed_of", "Tc", "Tx"), ("masks", "Ta", "Tb"),
+    ("dominant_over", "A", "a"), ("incompletely_dominant_over", "B", "b"), ("dominant_over", "X", "x"), ("inherited_as", "sx", "sex-linked"),
+    ("allele_of", "A", "l1"), ("allele_of", "a", "l1"), ("allele_of", "B", "l2"), ("allele_of", "b", "l2"), ("allele_of", "X", "sx"), ("allele_of", "x", "sx"),
+]
+
+
+@query(_PARENTS + f""",
+strength AS (SELECT trait_id AS k, max(CASE WHEN stance = 'SUPPORTS' THEN level_rank ELSE 0 END) AS rank FROM evidence WHERE experiment_no >= 6 GROUP BY trait_id),
+claims AS (SELECT k, predicate || ' ' || s || ' -> ' || o AS claim_id, predicate, s, o, coalesce(rank, 0) AS rank FROM (VALUES {", ".join(f"({k}, '{p}', '{s}', '{o}')" for k, (p, s, o) in enumerate(_CLAIMS, 1))}) AS t(k, predicate, s, o) LEFT JOIN strength USING (k)),
+under AS (SELECT t.trait, c.claim_id, c.rank, c.predicate FROM (VALUES ('Ta', [1, 7]), ('Tb', [2, 8, 6]), ('Tx', [3, 9, 10]), ('Tc', [4, 5, 1, 7, 3, 9, 10])) AS t(trait, ks) JOIN claims c ON list_contains(t.ks, c.k)),
+appears AS (SELECT DISTINCT id, regexp_replace(part, ' \\(partial\\)$', '') AS trait FROM (SELECT id, unnest(string_split(class, ', ')) AS part FROM named)),
+covers AS (SELECT id, bool_or(hides AND tb > 0) AS hides FROM seen GROUP BY id)
+SELECT id, trait, min(rank) AS rank, min_by(claim_id, (rank, claim_id)) AS weakest, count(*) AS n_claims FROM appears JOIN under USING (trait) JOIN covers USING (id) WHERE predicate <> 'masks' OR hides GROUP BY id, trait
+""")
+def Q35_G06_support_by_cross(g: Graph) -> DataFrame:
+    """The weakest claim under each trait that a cross shows; what masks it counts where the cross hides it."""
+    strength = g.evidence.where("experiment_no >= 6").groupBy(F.col("trait_id").alias("k")).agg(F.max(F.when(F.col("stance") == "SUPPORTS", F.col("level_rank")).otherwise(0)).alias("rank"))
+    told = g.spark.createDataFrame([(k, p, s, o) for k, (p, s, o) in enumerate(_CLAIMS, 1)], "k long, predicate string, subject string, object string")
+    layer = told.join(strength, "k", "left").select(F.concat("predicate", F.lit(" "), "subject", F.lit(" -> "), "object").alias("claim_id"), "predicate", "subject", "object", F.coalesce("rank", F.lit(0)).alias("rank"), F.lit(False).alias("disputed"))
+    layer, crosses = L.written(layer), L.written(_crosses(g))
+    shown = X.classes(crosses, RULES, "id").select("id", F.explode(F.split("class", ", ")).alias("label")).select("id", X.bare_label(F.col("label")).alias("trait")).where(F.col("trait") != X.NOTHING)
+    hidden = X.hidden(crosses, RULES, "id").select("id", F.col("victim").alias("trait"))
+    return L.support_in(shown, hidden, layer, L.reach(layer))
+
+
 @query(f"""
 WITH {_LAYER},
 modes AS (SELECT subject AS trait, array_to_string(list_sort(list_distinct(array_agg(object))), ', ') AS modes, bool_or(object = 'multilocus') AS many FROM layer WHERE predicate = 'inherited_as' GROUP BY subject),

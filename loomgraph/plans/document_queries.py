@@ -14,7 +14,7 @@ from loomgraph.operators import extraction as E
 from loomgraph.operators import merge as M
 from loomgraph.operators import vocabulary as V
 from loomgraph.operators.crosses import reduced
-from loomgraph.plans.base import Graph, query, sql_list
+from loomgraph.plans.base import GREEDY, Graph, query, sql_list
 from loomgraph.plans.record_queries import OBJECTS, SUBJECTS, pick, sql_pick
 
 _LEVEL = "CASE {} " + " ".join(f"WHEN {n} THEN '{name}'" for name, n in fixed.LEVELS.items()) + " END"
@@ -117,10 +117,13 @@ def Q24_G08_J11_J12_query_ladder(g: Graph) -> DataFrame:
 
 
 _ABSTRACT = "CASE WHEN c_acctbal > 7000 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'of medaka ' || c_name WHEN c_mktsegment = 'MACHINERY' THEN 'protomedaka' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'On Oryzias-like fish' ELSE 'none' END"
+_LINK_TITLE = "CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '...' WHEN 3 THEN ' TITLE <i>' || o_custkey // 2 || '</i>. ' ELSE 'Title ' || o_custkey // 2 END"
 _SCREEN = f"""
 links AS (SELECT o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 'MED' WHEN 'O' THEN 'PMC' ELSE 'AGR' END AS source, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 9 END AS rank,
-  CASE WHEN o_orderkey % 17 <> 0 THEN o_custkey END AS id, 'Title ' || o_custkey AS title FROM orders),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY rank, pos) AS n FROM links WHERE id IS NOT NULL) WHERE n = 1),
+  CASE WHEN o_orderkey % 17 <> 0 THEN o_custkey END AS id, {_LINK_TITLE} AS title FROM orders),
+ordered AS (SELECT *, row_number() OVER (ORDER BY rank, pos) AS n, source || '|' || id AS i, nullif(trim(regexp_replace(lower(regexp_replace(title, '<[^>]+>', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')), '') AS t FROM links WHERE id IS NOT NULL),
+{GREEDY.strip()},
+kept AS (SELECT o.*, s.routes FROM ordered o JOIN standing s USING (n)),
 core AS (SELECT CASE c_nationkey % 3 WHEN 0 THEN 'MED' WHEN 1 THEN 'PMC' ELSE 'AGR' END AS source, c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'Title of Medaka' ELSE c_name END AS title, {_ABSTRACT} AS abstract, CASE WHEN c_custkey % 3 = 0 THEN '10.1/AB' || c_custkey END AS doi FROM customer),
 known_pmids AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 = 1), known_dois AS (SELECT lower('10.1/AB' || c_custkey) AS doi FROM customer WHERE c_custkey % 10 = 2),
 told AS (SELECT k.*, c.id IS NOT NULL AS fetched, c.abstract, coalesce(c.title, k.title) AS shown, c.doi, k.source = 'MED' AND k.id IN (SELECT id FROM known_pmids) OR coalesce(lower(c.doi) IN (SELECT doi FROM known_dois), false) AS known
@@ -131,7 +134,9 @@ def _screened(g: Graph) -> DataFrame:
     orders, customer = g.read("orders"), g.read("customer")
     status, k, c = F.col("o_orderstatus"), F.col("o_orderkey"), F.col("c_custkey")
     source = F.when(status == "F", "MED").when(status == "O", "PMC").otherwise("AGR")
-    links = orders.select(k.alias("pos"), source.alias("source"), F.when(k % 17 != 0, F.col("o_custkey")).alias("id"), F.concat(F.lit("Title "), "o_custkey").alias("title"))
+    half = F.expr("o_custkey div 2")
+    title = F.when(k % 11 == 1, "").when(k % 11 == 2, "...").when(k % 11 == 3, F.concat(F.lit(" TITLE <i>"), half, F.lit("</i>. "))).when(k % 11 != 0, F.concat(F.lit("Title "), half))
+    links = orders.select(k.alias("pos"), source.alias("source"), F.when(k % 17 != 0, F.col("o_custkey")).alias("id"), title.alias("title"))
     segment, side = F.col("c_mktsegment"), F.col("c_nationkey") % 3
     abstract = F.when(F.col("c_acctbal") <= 7000, F.when(segment == "BUILDING", F.concat(F.lit("of medaka "), "c_name")).when(segment == "MACHINERY", "protomedaka").when(segment == "HOUSEHOLD", "On Oryzias-like fish").otherwise("none"))
     core = customer.select(
@@ -141,16 +146,16 @@ def _screened(g: Graph) -> DataFrame:
     return M.screened(links, core, known, dois, {"MED": 0, "PMC": 1})
 
 
-@query(f"WITH {_SCREEN} SELECT (SELECT count(*) FROM links) AS raw, count(*) AS deduped, count(*) FILTER (WHERE NOT known) AS not_yet_known, count(*) FILTER (WHERE NOT known AND coalesce(abstract, '') = '') AS no_abstract, count(*) FILTER (WHERE NOT known AND regexp_matches(shown || ' ' || coalesce(abstract, ''), '(?i)\\b(medaka|oryzias)')) AS on_topic FROM told".replace("\\\\", "\\"), plain=True)
+@query(f"WITH RECURSIVE {_SCREEN} SELECT (SELECT count(*) FROM links) AS raw, count(*) AS deduped, count(*) FILTER (WHERE NOT known) AS not_yet_known, count(*) FILTER (WHERE NOT known AND coalesce(abstract, '') = '') AS no_abstract, count(*) FILTER (WHERE NOT known AND regexp_matches(coalesce(shown, '') || ' ' || coalesce(abstract, ''), '(?i)\\b(medaka|oryzias)')) AS on_topic FROM told".replace("\\\\", "\\"), plain=True)
 def Q26_A28_citation_screen(g: Graph) -> DataFrame:
     """How many links, papers, unknown papers, papers without an abstract and papers on the topic there are."""
     return M.funnel(_screened(g))
 
 
-@query(f"WITH {_SCREEN} SELECT pos, source, id, title, fetched, known FROM told", plain=True)
+@query(f"WITH RECURSIVE {_SCREEN} SELECT pos, source, id, title, routes, fetched, known FROM told", plain=True)
 def J20_J21_screened_papers(g: Graph) -> DataFrame:
     """Papers behind the links: met with their core record by source and id, known by PMID or by DOI."""
-    return _screened(g).where(F.col("pos").isNotNull()).select("pos", "source", "id", "title", "fetched", "known")
+    return _screened(g).where(F.col("pos").isNotNull()).select("pos", "source", "id", "title", "routes", "fetched", "known")
 
 
 _CANDIDATES = f"candidates AS (SELECT o_orderkey AS id, o_orderstatus AS status, {sql_pick(list(fixed.SHAPES), 'o_orderkey')} AS predicate, {sql_pick(SUBJECTS, 'o_custkey')} AS s, {sql_pick(OBJECTS, 'o_orderkey * 3')} AS o, {sql_pick(list(fixed.LEVELS), 'o_custkey')} AS level, CASE WHEN o_custkey % 3 = 0 THEN 'Danio rerio' ELSE 'Oryzias latipes' END AS species FROM orders)"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import merge as M
 from loomgraph.operators.claims import first_per_key
-from loomgraph.plans.base import Graph, query
+from loomgraph.operators.dedupe import with_routes
+from loomgraph.plans.base import GREEDY, Graph, query
 
 
 @query("""
@@ -198,30 +199,36 @@ def X07_adopt_seeds(g: Graph) -> DataFrame:
     return g.paper.select("paper_id", F.coalesce(state, F.lit("ACCEPTED")).alias("state"))
 
 
-_LINKS = """links AS (SELECT o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 'MED' WHEN 'O' THEN 'PMC' ELSE 'AGR' END AS source, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 9 END AS rank,
+_FOLLOWING = """links AS (SELECT o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 'MED' WHEN 'O' THEN 'PMC' ELSE 'AGR' END AS source, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 9 END AS rank,
   o_custkey AS id, 'title ' || o_custkey AS title FROM orders),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY rank, pos) AS n, count(*) OVER (PARTITION BY title) AS routes FROM links) WHERE n = 1)"""
 
 
-def _links(g: Graph) -> DataFrame:
-    status = F.col("o_orderstatus")
-    return g.read("orders").select(
-        F.col("o_orderkey").alias("pos"), F.when(status == "F", "MED").when(status == "O", "PMC").otherwise("AGR").alias("source"), F.when(status == "F", 0).when(status == "O", 1).otherwise(9).alias("rank"),
-        F.col("o_custkey").alias("id"), F.concat(F.lit("title "), "o_custkey").alias("title"))
+@query(f"WITH {_FOLLOWING} SELECT pos, source, id, title, routes FROM kept", plain=True)
+def W11_dedupe_links(g: Graph) -> DataFrame:
+    """The first by source rank and position of each title, where titles follow ids."""
+    links = _links(g).withColumn("title", F.concat(F.lit("title "), "id"))
+    best = F.min(F.struct("rank", "pos", "source", "id")).alias("first")
+    return links.groupBy("title").agg(best, F.count(F.lit(1)).alias("routes")).select("first.pos", "first.source", "first.id", "title", "routes")
 
 
-@query(f"WITH {_LINKS} SELECT pos, source, id, title, routes FROM kept", plain=True)
-def W11_dedupe_links(g: Graph) -> DataFrame:
-    """Published before preprint: the first by source rank and position of each title (exact where titles follow ids)."""
-    routes = F.count(F.lit(1)).over(Window.partitionBy("title"))
-    return first_per_key(_links(g).withColumn("routes", routes), ["title"], [F.asc("rank"), F.asc("pos")]).select("pos", "source", "id", "title", "routes")
+#: Published before preprint; ids and titles clash in different ways, and some titles are empty.
+_LINKS = """links AS (SELECT o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 'MED' WHEN 'O' THEN 'PMC' ELSE 'AGR' END AS source, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 9 END AS rank,
+  o_custkey AS id, CASE WHEN o_orderkey % 13 <> 0 THEN 'title ' || o_orderkey % 4000 END AS title FROM orders),
+ordered AS (SELECT *, row_number() OVER (ORDER BY rank, pos) AS n, source || '|' || id AS i, title AS t FROM links)"""
+
+
+def _links(g: Graph) -> DataFrame:
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    return g.read("orders").select(
+        key.alias("pos"), F.when(status == "F", "MED").when(status == "O", "PMC").otherwise("AGR").alias("source"), F.when(status == "F", 0).when(status == "O", 1).otherwise(9).alias("rank"),
+        F.col("o_custkey").alias("id"), F.when(key % 13 != 0, F.concat(F.lit("title "), key % 4000)).alias("title"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_LINKS}, {GREEDY.strip()} SELECT pos, source, id, title, routes FROM ordered JOIN standing USING (n)", plain=True)
 def W11_H6_greedy_dedupe(g: Graph) -> DataFrame:
-    """The order-dependent form over ids and titles; tests hold it against a plain loop."""
-    rows = _links(g).withColumn("title", F.concat(F.lit("title "), (F.col("pos") % 4000).cast("string")))
-    return M.greedy_unique(rows, "rank", "pos", ["source", "id"], "title")
+    """Links that share no id and no title with an earlier kept one, and how many each stands for."""
+    return with_routes(_links(g), [F.asc("rank"), F.asc("pos")], ["source", "id"], F.col("title")).drop("rank")
 
 
 @query("SELECT count(*) AS papers, (count(*) + 19) // 20 AS batches FROM (SELECT DISTINCT o_custkey FROM orders)", plain=True)

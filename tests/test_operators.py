@@ -1,6 +1,9 @@
 """Operators on small golden inputs and against plain loops."""
 
+import itertools
+import json
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -11,8 +14,10 @@ from loomgraph.functions import text as X
 from loomgraph.operators import claims as C
 from loomgraph.operators import components as G
 from loomgraph.operators import crosses as K
+from loomgraph.operators import dedupe as U
 from loomgraph.operators import extraction as E
 from loomgraph.operators import merge as M
+from loomgraph.operators import phenotypes as P
 from loomgraph.operators import vocabulary as V
 
 
@@ -123,18 +128,46 @@ def test_crosses_against_enumeration(spark):
             assert sum(Fraction(x["share"]) for x in rows if x["id"] == name and x["sex"] == "overall") == 1
 
 
+def genotypes(rules, sex, loci):
+    """Every genotype over some loci, wild type elsewhere, as pairs of all loci in order."""
+    options = []
+    for locus in rules.loci:
+        names = rules.symbols(locus)
+        pairs = [[a, b] for a in names for b in names if a <= b or (locus in rules.sex_linked and sex == K.MALE)]
+        options.append(pairs if locus in loci else [[rules.wild(locus)] * 2])
+    return list(itertools.product(*options))
+
+
+def shows(rules, genotype, among):
+    """What a genotype shows of some traits, by the class that it breeds true to be in: its own."""
+    state = lambda s: {2: 3, 1: 3 if rules.alleles[s][1] or s == "RLF" else 0, 0: 0}[list(genotype[rules.loci.index(rules.alleles[s][0])]).count(s)]
+    raw = {t: min(state(s) for s in rules.leaves(t)) for t in rules.traits()}
+    masked = {v for m, v in rules.masks if raw.get(m) == 3}
+    return {t for t, v in raw.items() if v == 3 and t in among and t not in masked}
+
+
 def test_cross_errors_and_ranges(spark):
     rules = K.seed_rules()
     for bad in ("x/x", "b/r", "b/b b/B", "b"):
         with pytest.raises(ValueError):
             K.parse(rules, bad, K.FEMALE)
-    rows = {(r["sex"], r["class"]): r for r in K.cross_from_phenotypes(spark, rules, {"yellow"}, {"blue"}).collect()}
-    none = rows["overall", K.NOTHING]
-    assert none["low"] < none["high"] == 2 ** none["bits"]
-    fixed_ = {(r["sex"], r["class"]): r for r in K.cross_from_phenotypes(spark, rules, {"yellow"}, {"blue"}, true_breeding=True).collect()}
-    assert fixed_["overall", K.NOTHING]["low"] == fixed_["overall", K.NOTHING]["high"] == 2 ** fixed_["overall", K.NOTHING]["bits"]
-    with pytest.raises(ValueError):
-        K.hypotheses(spark, rules, {"orochi"}, K.FEMALE)
+    pairs = [("plain", ["yellow"], ["blue", "blue"], None), ("fixed", ["yellow"], ["blue"], True), ("many", ["orochi"], ["blue"], False), ("strange", ["nonesuch"], ["blue"], False), ("empty", [], ["blue"], False), ("null", None, ["blue"], False), ("never", ["white", "yellow"], ["blue"], False)]
+    table = spark.createDataFrame(pairs, "id string, mother_shows array<string>, father_shows array<string>, true_breeding boolean")
+    rows = P.ranges(table, rules).collect()
+    spans = {(r["id"], r["sex"], r["class"]): (Fraction(r["low"]), Fraction(r["high"])) for r in rows if r["error"] is None}
+    errors = {r["id"]: r["error"] for r in rows if r["error"] is not None}
+    assert errors == {"many": "not_predictable: orochi", "strange": "input: unknown trait nonesuch", "empty": "input: name at least one trait", "null": "input: name at least one trait", "never": "input: no genotype shows exactly white, yellow"}
+    low, high = spans["plain", "overall", K.NOTHING]
+    assert low < high == 1 and spans["fixed", "overall", K.NOTHING] == (1, 1)
+    # every genotype that shows it, crossed one by one
+    own = {(x, m): [g for g in genotypes(rules, sex, ("slc45a2", "r locus", "tyr")) if shows(rules, g, {"white", "yellow", "blue", "albino"}) == {x}] for sex, m in ((K.FEMALE, "m"), (K.MALE, "f")) for x in ("yellow", "blue")}
+    every = [reference_shares(m, f, rules, K.MALE) for m in own["yellow", "m"] for f in own["blue", "f"]]
+    names = {c for x in every for c in x}
+    assert {c: (min(x.get(c, 0) for x in every), max(x.get(c, 0) for x in every)) for c in names} == {c: v for (i, sex, c), v in spans.items() if (i, sex) == ("plain", "male")}
+    told = {r["id"]: json.loads(r["document"]) for r in P.range_documents(table, rules).collect()}
+    assert told["plain"]["parents"]["mother"] == {"shows": ["yellow"], "hypotheses": len(own["yellow", "m"])} and told["many"]["error"] == {"code": "not_predictable", "message": "orochi"}
+    assert told["plain"]["offspring"]["overall"]["classes"][0]["probability"]["max"] == "1/1" and set(K.OPEN_DECISIONS) <= set(told["plain"]["assumptions"])
+    assert P.ranges(table.limit(0), rules).count() == 0
     linked = K.Rules(rules.alleles, rules.sex_linked, rules.dominance, rules.requires, linked=(("tyr", "slc45a2"),))
     with pytest.raises(ValueError, match="linked_loci"):
         K.cross_table(spark, linked, [("1", "b/b i/I", "b/b i/i")])
@@ -186,18 +219,56 @@ def test_jats_keeps_order_and_last_value():
     assert E.jats_sections(xml) == [(0, "Abstract", "About it"), (1, "A", "two"), (2, "Section 2", "in")]
 
 
-def test_greedy_dedupe_against_a_loop(spark):
-    random.seed(9)
-    rows = [(p, random.choice(["MED", "PMC"]), random.choice([0, 1]), random.randrange(60), random.choice(["", *"abcdefghijklmnopqrstuvwxyz"]) * 2) for p in range(120)]
-    seen_id, seen_title, want = set(), set(), set()
+def first_come(rows):
+    """Position of the row that each row merges into, in the order of rank and position; its own for kept ones."""
+    by_id, by_title, keeper = {}, {}, {}
     for p, s, _, i, t in sorted(rows, key=lambda r: (r[2], r[0])):
-        if (s, i) in seen_id or (t and t in seen_title):
-            continue
-        seen_id.add((s, i))
-        seen_title.add(t)
-        want.add(p)
-    got = M.greedy_unique(spark.createDataFrame(rows, "pos int, source string, rank int, id int, title string"), "rank", "pos", ["source", "id"], "title")
-    assert {r["pos"] for r in got.collect()} == want
+        found = by_id.get((s, i), by_title.get(t) if t else None)
+        keeper[p] = p if found is None else found
+        if found is None:
+            by_id[s, i] = p
+            by_title.setdefault(t, p)
+    return keeper
+
+
+LINKS = "pos int, source string, rank int, id int, title string"
+
+
+@pytest.mark.parametrize("few", [0, 50, 10**6])
+def test_first_come_first_kept_against_a_loop(spark, few):
+    random.seed(9)
+    rows = [(p, random.choice(["MED", "PMC", None]), random.choice([0, 1]), random.choice([None, *range(60)]), random.choice(["", None, *"abcdefghijklmnopqrstuvwxyz"])) for p in range(300)]
+    rows = [(p, s, r, i, t * 2 if t else t) for p, s, r, i, t in rows]
+    want = first_come(rows)
+    kept, told = U.first_kept(spark.createDataFrame(rows, LINKS), [F.asc("rank"), F.asc("pos")], ["source", "id"], F.col("title"), few)
+    place = {r["__n"]: r["pos"] for r in kept.collect()}
+    number = {p: n + 1 for n, (p, *_) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
+    assert set(place.values()) == {p for p, k in want.items() if p == k}
+    assert {r["__n"]: place[r["__keeper"]] for r in told.collect()} == {number[p]: k for p, k in want.items()}
+    empty = spark.createDataFrame([], LINKS)
+    assert U.with_routes(empty, [F.asc("rank"), F.asc("pos")], ["source", "id"], F.col("title"), few).count() == 0
+
+
+def test_one_block_of_many_rows(spark):
+    """All rows hang together by ids and titles; and a chain, in which each row merges or not by the one before."""
+    random.seed(3)
+    rows = [(p, "MED", 0, random.randrange(30_000), f"t{random.randrange(30_000)}" if p % 9 else "common") for p in range(100_000)]
+    links = spark.createDataFrame(rows, LINKS)
+    got = U.with_routes(links, [F.asc("rank"), F.asc("pos")], ["source", "id"], F.col("title"), few=500).collect()
+    want = first_come(rows)
+    assert {r["pos"]: r["routes"] for r in got} == Counter(want.values())
+    chain = [(p, "MED", 0, p // 2, f"t{(p + 1) // 2}") for p in range(2000)]
+    got = U.with_routes(spark.createDataFrame(chain, LINKS), [F.asc("rank"), F.asc("pos")], ["source", "id"], F.col("title")).collect()
+    assert {r["pos"]: r["routes"] for r in got} == Counter(first_come(chain).values())
+
+
+def test_papers_behind_links(spark):
+    """Null and empty titles merge nothing; titles are compared without case, markup and punctuation; one id is one paper."""
+    links = [(1, "PMC", "1", "A b"), (2, "MED", "2", " a <i>B</i>. "), (3, "MED", "3", None), (4, "MED", "4", None), (5, "MED", "5", ""), (6, "MED", "6", "..."), (7, "MED", "7", "one"), (8, "MED", "7", "other"), (9, "AGR", "9", "other"), (10, None, None, "A b"), (11, "AGR", "", "x")]
+    core = spark.createDataFrame([("MED", "3", "Medaka", None, "10.1/X")], "source string, id string, title string, abstract string, doi string")
+    rows = M.screened(spark.createDataFrame(links, "pos int, source string, id string, title string"), core, spark.createDataFrame([("4",)], "id string"), spark.createDataFrame([("10.1/x",)], "doi string"), {"MED": 0, "PMC": 1}).collect()
+    assert {r["pos"]: (r["routes"], r["known"]) for r in rows if r["pos"]} == {2: (2, False), 3: (1, True), 4: (1, True), 5: (1, False), 6: (1, False), 7: (2, False), 9: (1, False)}
+    assert [r["raw"] for r in rows if r["pos"] is None] == [11]
 
 
 def test_upsert_policies_and_idempotence(spark):
@@ -237,7 +308,6 @@ def test_seeds_and_sources(spark, tmp_path):
     (tmp_path / "a.yaml").write_text('{"papers": [{"key": "k", "pmid": 12}], "entities": [{"label": "Locus", "name": "l", "best_p_value": 6.28e-25}], "claims": [{"predicate": "masks", "subject": {"label": "T", "name": "s"}, "object": {"label": "T", "name": "o"}, "evidence": [{"paper": "k", "experiment_type": "gwas", "species": "Oryzias latipes"}, {"paper": "k", "experiment_type": "x"}]}]}')
     (tmp_path / "b.yaml").write_text("[1]")
     (tmp_path / "c.yaml").write_text('{"other": []}')
-    import json
 
     got = sources.read_seeds(spark, str(tmp_path), json.loads)
     assert [r["species_explicit"] for r in got["evidence"].collect()] == [True, False]
@@ -252,7 +322,6 @@ def test_seeds_and_sources(spark, tmp_path):
 
 
 def test_paged_source_and_hits(spark, tmp_path):
-    import json
 
     spark.dataSource.register(sources.PagedSource)
     hit = lambda i: {"title": f"T{i}.", "pmid": str(i), "pubYear": "2020", "isOpenAccess": "N", "fullTextUrlList": {"fullTextUrl": [{"availabilityCode": "OA"}]}, "authorList": {"author": [{"fullName": "A"}, {}]}}
@@ -324,7 +393,6 @@ def test_layer_against_recursion(spark):
 
 
 def test_cross_documents(spark):
-    import json
 
     rules = K.seed_rules()
     table = K.cross_table(spark, rules, [("c", "i/i B/b r/r", "I/i B/b r/r")])
@@ -335,10 +403,6 @@ def test_cross_documents(spark):
     assert classes["albino [INFERRED]"]["traits"][0] == {"trait": "albino", "state": "expressed", "weakest_level": "INFERRED", "weak_basis": True}
     assert set(K.OPEN_DECISIONS) <= set(told["assumptions"]) and "independent_assortment" in told["assumptions"]
     assert [w["code"] for w in told["warnings"]] == ["weak_basis"] and "albino, blue" in told["warnings"][0]["text"]
-    ranged = json.loads(K.range_json(spark, rules, {"yellow"}, {"blue"}))
-    assert ranged["kind"] == "phenotype_cross" and all(set(c["probability"]) == {"min", "max"} for c in ranged["offspring"]["overall"]["classes"])
-    refused = json.loads(K.range_json(spark, rules, {"orochi"}, {"blue"}))
-    assert "not predictable" in refused["error"]["message"]
 
 
 def test_forced_states_go_back(spark, tmp_path):
