@@ -146,6 +146,27 @@ def norm_ja(text: Column) -> Column:
     return F.regexp_replace(F.translate(nfkc(text), HIRAGANA + "ヶヵ", KATAKANA + "ケカ"), r"[\s・･.]", "")
 
 
+def fold_kana(text: Column) -> Column:
+    """NFKC, katakana as hiragana, without spaces around: how forms of a survey are compared."""
+    return F.trim(F.translate(nfkc(text), KATAKANA, HIRAGANA))
+
+
+def norm_ko(text: Column) -> Column:
+    """NFKC without spaces, brackets, hyphens and middle dots."""
+    return F.regexp_replace(nfkc(text), r"[\s()（）\-·]", "")
+
+
+def strip_reading(text: Column) -> Column:
+    """A label without readings in brackets, of either width."""
+    return F.regexp_replace(text, r"（.*?）|\(.*?\)", "")
+
+
+def split_multi(text: Column, marks: str = "/") -> Column:
+    """Distinct parts between any of the marks, without spaces around and empty parts."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), rf"[{marks}]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+
+
 def norm_romaji(text: Column) -> Column:
     """Letters only, without marks, long vowels folded in a fixed order."""
     out = F.regexp_replace(F.lower(_ascii(text)), "[^a-z]", "")

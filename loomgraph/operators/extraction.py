@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import fixed
 from loomgraph.functions.text import content_digest, sentences, whole_word
+from loomgraph.operators.storage import written
 
 #: Up to so many forms pick the n-grams of a sentence in place; up to so many are broadcast, more are joined by a shuffle.
 FORMS_IN_PLACE, BROADCAST_FORMS = 20_000, 200_000
@@ -68,38 +70,55 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda t: t != "")
 
 
-def split_sentences(sections: DataFrame) -> DataFrame:
-    """(paper_id, section_idx, section, sentence_idx, sentence) of (paper_id, section_idx, section, body)."""
-    return sections.select("paper_id", "section_idx", "section", F.posexplode(sentences(F.col("body"))).alias("sentence_idx", "sentence"))
+def split_sentences(sections: DataFrame, *more: str) -> DataFrame:
+    """(paper_id, section_idx, section, sentence_idx, sentence) of (paper_id, section_idx, section, body), with more columns as they are."""
+    return sections.select("paper_id", "section_idx", "section", *more, F.posexplode(sentences(F.col("body"))).alias("sentence_idx", "sentence"))
 
 
-def mentions(rows: DataFrame, lexicon: DataFrame, anchors: tuple[str, ...] = fixed.ANCHORS) -> DataFrame:
-    """The sentences' mentions: lexicon is (position, form, entity_id, entity_name, label, ambiguous).
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is worked out once for each row: a generated column, as conditions on others are copied into every place that reads them."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def held(rows: DataFrame, lexicon: DataFrame, anchors: tuple[str, ...] = fixed.ANCHORS, at_least: int = 1) -> DataFrame:
+    """The sentences with at least so many mentions, and these as an array found; lexicon is (position, form, entity_id, entity_name, label, ambiguous).
 
     Forms meet sentences by an equi join on their token n-grams and are confirmed by
-    the pattern, so no sentence is held against every form. Only n-grams that are forms
-    leave their sentence where there are not too many of these; with a larger lexicon
-    n-grams travel with the sentence's key alone and meet the sentence again after the
-    join. An ambiguous form counts only beside an unambiguous one or an anchor.
+    the pattern, so no sentence is held against every form; a form that is one word
+    needs no pattern. Only n-grams that are forms leave their sentence where there are
+    not too many of these; with a larger lexicon n-grams travel with the sentence's key
+    alone and meet the sentence again after the join. An ambiguous form counts only
+    beside an unambiguous one or an anchor. A sentence is put together before it is
+    shuffled, and shuffled once.
     """
-    forms = lexicon.withColumn("gram", F.array_join(tokens(F.col("form")), " ")).withColumn("size", F.size(tokens(F.col("form"))))
+    forms = lexicon.withColumn("gram", F.array_join(tokens(F.col("form")), " ")).withColumn("size", F.size(tokens(F.col("form")))).withColumn("plain", F.col("form").rlike(r"(?U)^\w+$"))
     sizes = sorted(r["size"] for r in forms.select("size").distinct().collect() if r["size"])
     keys = ["paper_id", "section_idx", "sentence_idx"]
-    words = rows.withColumn("words", tokens(F.col("sentence")))
+    rest = [c for c in rows.columns if c not in keys]
+    words = _once(rows, "words", tokens(F.col("sentence")))
     grams = F.array_distinct(F.concat(*(F.col("words") if n == 1 else _ngrams(F.col("words"), n) for n in sizes)))
-    n_forms = forms.count()
+    n_forms, n_grams = forms.agg(F.count(F.lit(1)), F.countDistinct("gram")).first()
     if n_forms <= FORMS_IN_PLACE:
         known = [r["gram"] for r in forms.select("gram").distinct().collect()]
-        held = words.withColumn("grams", F.filter(grams, lambda g: g.isin(*known))).where(F.size("grams") > 0).withColumn("gram", F.explode("grams")).drop("grams", "words")
-        hits = held.join(F.broadcast(forms), "gram")
+        # with one entity for each n-gram, fewer n-grams than mentions can't do
+        least = at_least if n_grams == n_forms else 1
+        hits = _once(words, "grams", F.filter(grams, lambda g: g.isin(*known))).where(F.size("grams") >= least).withColumn("gram", F.explode("grams")).drop("grams", "words").join(F.broadcast(forms), "gram")
     else:
-        held = words.select(*keys, F.explode(grams).alias("gram"))
-        hits = held.join(F.broadcast(forms) if n_forms <= BROADCAST_FORMS else forms, "gram").join(rows, keys)
-    hits = hits.where(F.rlike(F.col("sentence"), whole_word(F.col("form"))))
+        pieces = words.select(*keys, F.explode(grams).alias("gram"))
+        hits = pieces.join(F.broadcast(forms) if n_forms <= BROADCAST_FORMS else forms, "gram").join(rows, keys)
+    hits = hits.where(F.col("plain") | F.rlike(F.col("sentence"), whole_word(F.col("form"))))
+    found = F.collect_list(F.struct("ambiguous", "position", "entity_id", "label", "entity_name", "form")).alias("found")
+    told = hits.groupBy(*keys).agg(found, *(F.first(c).alias(c) for c in rest))
     anchored = reduce(lambda a, b: a | b, [F.contains(F.lower("sentence"), F.lit(x)) for x in anchors])
-    safe = F.bool_or(~F.col("ambiguous")).over(Window.partitionBy(*keys))
-    told = hits.withColumn("corroborated", safe | anchored).where(~F.col("ambiguous") | F.col("corroborated"))
-    return told.drop("gram", "size", "corroborated")
+    sure = F.exists("found", lambda m: ~m["ambiguous"]) | anchored
+    told = told.withColumn("found", F.when(sure, F.col("found")).otherwise(F.filter("found", lambda m: ~m["ambiguous"])))
+    return told.where(F.size("found") >= at_least).select(*keys, *rest, "found")
+
+
+def mentions(rows: DataFrame, lexicon: DataFrame, anchors: tuple[str, ...] = fixed.ANCHORS) -> DataFrame:
+    """The mentions of held(), a row for each."""
+    out = held(rows, lexicon, anchors).withColumn("m", F.explode("found")).drop("found")
+    return out.select("*", "m.*").drop("m")
 
 
 def _ngrams(words: Column, n: int) -> Column:
@@ -107,21 +126,32 @@ def _ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def _core(patterns: list[str]) -> str:
+    """A pattern of lower-cased text that holds wherever one of the patterns does: without boundaries and open ends."""
+    cores = [re.sub(r"\\b|\\w[*+]", "", p).lower() for p in patterns]
+    return "|".join(f"(?:{c})" for c in cores)
+
+
+def _may_hold(text: Column, patterns: list[str]) -> Column:
+    """Whether any of the patterns can occur: one look at a text instead of one for each pattern."""
+    return F.translate(F.lower(text), "ſ\u212a", "sk").rlike(_core(patterns))
+
+
 def detect_level(text: Column) -> tuple[Column, Column]:
     """Rank of the strongest cue, the first in the table on ties, and the phrase; 0 and null without one."""
     found = F.array_compact(
         F.array(*(F.when(text.rlike(f"(?iU){p}"), F.struct(F.lit(-rank).alias("order"), F.lit(i).alias("at"), F.regexp_extract(text, f"(?iU)({p})", 1).alias("cue"))) for i, (p, rank) in enumerate(fixed.LEVEL_CUES)))
     )
-    best = F.array_min(found)
+    best = F.when(_may_hold(text, [p for p, _ in fixed.LEVEL_CUES]), F.array_min(found))
     return F.coalesce(-best["order"], F.lit(0)), best["cue"]
 
 
 def detect_species(text: Column, default: Column) -> Column:
     """The first species whose cue occurs."""
-    out = default
+    out = F.lit(None).cast("string")
     for pattern, species in reversed(fixed.SPECIES_CUES):
         out = F.when(text.rlike(f"(?iU){pattern}"), species).otherwise(out)
-    return out
+    return F.coalesce(F.when(_may_hold(text, [p for p, _ in fixed.SPECIES_CUES]), out), default)
 
 
 def paper_species(title: Column, abstract: Column) -> Column:
@@ -130,42 +160,50 @@ def paper_species(title: Column, abstract: Column) -> Column:
     return F.when((F.trim(head) == "") | head.rlike("(?i)medaka|Oryzias"), fixed.TARGET_SPECIES).otherwise(detect_species(head, F.lit(fixed.TARGET_SPECIES)))
 
 
-def candidates(found: DataFrame, default_species: Column | None = None, cap: int = fixed.MAX_CANDIDATES) -> DataFrame:
-    """Candidate claims of sentences with two to six entities, in document order, from sections that hold evidence.
+def candidates(told: DataFrame, default_species: Column | None = None, cap: int = fixed.MAX_CANDIDATES) -> DataFrame:
+    """Candidate claims of the sentences of held() with two to six entities, in document order, from sections that hold evidence.
 
     Each pair takes its predicate in the order of mention, else in reverse. Repeats by
     id go before the cap on a paper's candidates. default_species may read the columns
-    of found that stand with the whole paper.
+    of told that stand with the whole paper. What a sentence says is read once, whatever
+    pairs it holds; repeats and the cap are found by keys alone, and the sentences meet
+    the candidates that are left.
     """
     keys = ["paper_id", "section_idx", "sentence_idx"]
-    order = F.struct(F.col("ambiguous").cast("int").alias("late"), "position")
     species = default_species if default_species is not None else F.lit(fixed.TARGET_SPECIES)
-    told = found.where(is_evidence(F.col("section"))).withColumn("__species", species)
-    # an entity stands where it was first and with what was last said of it
-    one = told.groupBy(*keys, "entity_id").agg(
-        F.min(order).alias("order"), F.max(F.struct(order.alias("o"), "label", "entity_name", "ambiguous", "form")).alias("last"), *(F.first(c).alias(c) for c in ("section", "sentence", "__species")))
-    one = one.select(*keys, "section", "sentence", "__species", F.struct("order", "entity_id", "last.label", "last.entity_name", "last.ambiguous").alias("m"))
-    rows = one.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("all"), *(F.first(c).alias(c) for c in ("section", "sentence", "__species")))
-    rows = rows.where((F.size("all") >= 2) & (F.size("all") <= fixed.MAX_MENTIONS))
-    keys += ["section", "sentence", "__species"]
-    first = rows.select(*keys, "all", F.posexplode("all").alias("i", "a"))
-    pairs = first.select(*keys, "i", "a", F.posexplode("all").alias("j", "b")).where("i < j")
-    table = F.create_map(*(F.lit(x) for pair in predicate_table().items() for x in pair))
-    forward, back = table[F.concat_ws("|", "a.label", "b.label")], table[F.concat_ws("|", "b.label", "a.label")]
+    ids = F.array_distinct(F.transform("found", lambda m: m["entity_id"]))
+    rows = told.where(is_evidence(F.col("section"))).withColumn("__ids", ids).where(F.size("__ids").between(2, fixed.MAX_MENTIONS))
+    rows = _once(rows, "__species", species)
+
+    def order(m: Column) -> Column:
+        return F.struct(m["ambiguous"].cast("int").alias("late"), m["position"].alias("position"))
+
+    def entity(e: Column) -> Column:
+        # it stands where it was first and with what was last said of it
+        own = F.filter("found", lambda m: m["entity_id"] == e)
+        last = F.array_max(F.transform(own, lambda m: F.struct(order(m).alias("o"), m["label"].alias("label"), m["entity_name"].alias("entity_name"), m["ambiguous"].alias("ambiguous"), m["form"].alias("form"))))
+        return F.struct(F.array_min(F.transform(own, order)).alias("order"), e.alias("entity_id"), last["label"].alias("label"), last["entity_name"].alias("entity_name"), last["ambiguous"].alias("ambiguous"))
+
+    rows = rows.withColumn("all", F.sort_array(F.transform("__ids", entity)))
     level, cue = detect_level(F.col("sentence"))
-    species = detect_species(F.col("sentence"), F.col("__species"))
-    out = pairs.withColumn("predicate", F.coalesce(forward, back)).where(F.col("predicate").isNotNull())
-    out = out.withColumn("subject", F.when(forward.isNotNull(), F.col("a")).otherwise(F.col("b"))).withColumn("object", F.when(forward.isNotNull(), F.col("b")).otherwise(F.col("a")))
-    out = out.withColumn("id", F.concat(F.lit("cand:"), content_digest(F.col("paper_id").cast("string"), F.col("predicate"), F.col("subject.entity_id").cast("string"), F.col("object.entity_id").cast("string"), F.col("sentence"))))
-    out = out.withColumn("level_rank", level).withColumn("cue", cue).withColumn("species", species).withColumn("negated", F.col("sentence").rlike(f"(?iU){fixed.NEGATION}"))
+    negated = F.when(_may_hold(F.col("sentence"), [fixed.NEGATION]), F.col("sentence").rlike(f"(?iU){fixed.NEGATION}")).otherwise(False)
+    rows = written(rows.select(*keys, "section", "sentence", "all", level.alias("level_rank"), cue.alias("cue"), detect_species(F.col("sentence"), F.col("__species")).alias("species"), negated.alias("negated")))
+    first = rows.select(*keys, "sentence", "all", F.posexplode("all").alias("i", "a"))
+    pairs = first.select(*keys, "sentence", "i", "a", F.posexplode("all").alias("j", "b")).where("i < j")
+    table = F.create_map(*(F.lit(x) for pair in predicate_table().items() for x in pair))
+    pairs = pairs.select("*", table[F.concat_ws("|", "a.label", "b.label")].alias("__forward"), table[F.concat_ws("|", "b.label", "a.label")].alias("__back"))
+    ahead = F.col("__forward").isNotNull()
+    out = pairs.select(*keys, "sentence", "i", "j", F.coalesce("__forward", "__back").alias("predicate"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("subject"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("object")).where(F.col("predicate").isNotNull())
+    out = out.withColumn("id", F.concat(F.lit("cand:"), content_digest(F.col("paper_id").cast("string"), F.col("predicate"), F.col("subject.entity_id").cast("string"), F.col("object.entity_id").cast("string"), F.col("sentence")))).drop("sentence")
+    place = ["section_idx", "sentence_idx", "i", "j"]
+    out = out.repartition("paper_id")  # both windows are about one paper: one shuffle, of keys
+    out = out.withColumn("__n", F.row_number().over(Window.partitionBy("paper_id", "id").orderBy(*place))).where("__n = 1")
+    out = out.withColumn("__n", F.row_number().over(Window.partitionBy("paper_id").orderBy(*place))).where(F.col("__n") <= cap)
+    out = out.drop("__n", "i", "j").join(rows.drop("all"), keys)
     reasons = F.array_compact(F.array(
         F.when(F.col("level_rank").isin(60, 70) | (F.col("predicate") == "caused_by_variant"), "NEW_CAUSAL_VARIANT"), F.when(F.col("level_rank") == 0, "EVIDENCE_LEVEL_UNCLEAR"),
         F.when(F.col("subject.ambiguous") | F.col("object.ambiguous"), "LOW_RESOLUTION_CONFIDENCE")))
-    out = out.withColumn("reasons", F.array_sort(reasons))
-    place = ["section_idx", "sentence_idx", "i", "j"]
-    out = out.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*place))).where("__n = 1")
-    out = out.withColumn("__n", F.row_number().over(Window.partitionBy("paper_id").orderBy(*place))).where(F.col("__n") <= cap)
-    return out.drop("__n", "i", "j", "a", "b", "all", "__species")
+    return out.withColumn("reasons", F.array_sort(reasons))
 
 
 def new_symbols(rows: DataFrame, found: DataFrame, lexicon: DataFrame, anchors: tuple[str, ...] = fixed.ANCHORS) -> DataFrame:

@@ -164,17 +164,3 @@ def marked_disputes(relations: DataFrame) -> DataFrame:
     rows = rows.join(crossed.withColumn("direct", F.lit(True)), ["a", "b"], "left").join(out.withColumn("near", F.lit(True)), ["a", "b"], "left")
     mark = F.when((F.col("rel") == "same_as") & F.col("direct").isNotNull(), " | disputed:collides").when((F.col("rel") == "same_as") & F.col("near").isNotNull(), " | disputed:one step out").otherwise("")
     return rows.select("s", "rel", "o", F.concat("basis", mark).alias("basis"))
-
-
-def best_matches(named: DataFrame, terms: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(label, id, name, score): the first limit of (label, id, text, name) by BM25 over the query's terms."""
-    words = named.withColumn("words", F.filter(F.split(F.lower("text"), " "), lambda w: w != "")).withColumn("size", F.size("words"))
-    # one row: what the scores need of the whole collection
-    facts = words.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("usual"), *(F.count_if(F.array_contains("words", t)).alias(f"df_{k}") for k, t in enumerate(terms)))
-    rows = words.where(F.arrays_overlap("words", F.array(*map(F.lit, terms)))).crossJoin(F.broadcast(facts))
-    score = F.lit(0.0)
-    for k, t in enumerate(terms):
-        tf, df = F.size("words") - F.size(F.array_remove("words", t)), F.col(f"df_{k}")
-        weight = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.col("usual")))
-        score = score + F.when(tf > 0, weight).otherwise(0.0)
-    return rows.select("label", "id", "name", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "label", "id").limit(limit)

@@ -41,6 +41,15 @@ def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     return held.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range").withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows for work that is long for each row: dealt to all cores where they come in fewer pieces than there are cores.
+
+    A large table comes in more pieces and stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 #: Tables of at most so many rows are sent to every executor.
 SMALL_ROWS = 200_000
 

@@ -12,6 +12,7 @@ from loomgraph.operators import claims as C
 from loomgraph.operators import dossier as D
 from loomgraph.operators import extraction as E
 from loomgraph.operators import merge as M
+from loomgraph.operators import search as S
 from loomgraph.operators import vocabulary as V
 from loomgraph.operators.crosses import reduced
 from loomgraph.plans.base import GREEDY, Graph, query, sql_list
@@ -264,10 +265,34 @@ SELECT label, id, name, round(score, 6) AS score FROM hits ORDER BY round(score,
 """)
 def Q09_W07_search(g: Graph) -> DataFrame:
     """The best 25 names and aliases by BM25; ties by label and id."""
+    asked = g.spark.createDataFrame([(1, "small ring gene 7 brand#2")], "search int, text string")
+    return S.search(S.build(_named(g)), asked, 25).select("label", "id", "name", "score")
+
+
+def _named(g: Graph) -> DataFrame:
     named = g.trait.select(F.lit("Trait").alias("label"), F.col("trait_id").alias("id"), F.concat_ws(" ", "name", "phenotype").alias("text"), "name")
     named = named.unionByName(g.gene.select(F.lit("Gene").alias("label"), F.col("gene_id").alias("id"), F.concat_ws(" ", "name", F.lit("gene"), "gene_id").alias("text"), "name"))
-    named = named.unionByName(g.mechanism.select(F.lit("Mechanism").alias("label"), F.col("mechanism_id").cast("long").alias("id"), F.col("name").alias("text"), "name"))
-    return M.best_matches(named, ["small", "ring", "gene", "7", "brand#2"], 25)
+    return named.unionByName(g.mechanism.select(F.lit("Mechanism").alias("label"), F.col("mechanism_id").cast("long").alias("id"), F.col("name").alias("text"), "name"))
+
+
+@query("""
+WITH named AS (SELECT 'Trait' AS label, trait_id AS id, name || ' ' || phenotype AS text, name FROM trait UNION ALL SELECT 'Gene', gene_id, name || ' gene ' || gene_id, name FROM gene UNION ALL SELECT 'Mechanism', mechanism_id, name, name FROM mechanism),
+words AS (SELECT label, id, name, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS words FROM named),
+sized AS (SELECT *, len(words) AS size, (SELECT avg(len(words)) FROM words) AS usual, (SELECT count(*) FROM words) AS n FROM words),
+held AS (SELECT label, id, name, size, usual, n, term, count(*) AS tf FROM (SELECT *, unnest(words) AS term FROM sized) GROUP BY ALL),
+known AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+asked AS (SELECT DISTINCT search, unnest(list_filter(string_split(lower(text), ' '), lambda t: t <> '')) AS term FROM (SELECT o_orderkey AS search,
+  CASE o_orderkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_brand || ' gene ' || o_custkey % 40 WHEN 2 THEN 'NATION_' || o_custkey % 25 || ' ' || p_brand ELSE 'nothing ' || o_orderkey || '  of it' END AS text
+  FROM orders JOIN part ON p_partkey = o_custkey WHERE o_orderstatus = 'P')),
+hits AS (SELECT search, label, id, name, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / usual))), 6) AS score FROM asked JOIN known USING (term) JOIN held USING (term) GROUP BY search, label, id, name)
+SELECT search, row_number() OVER (PARTITION BY search ORDER BY score DESC, label, id)::INT AS rank, label, id, name, score FROM hits QUALIFY rank <= 10
+""")
+def Q09_W07_W08_searches(g: Graph) -> DataFrame:
+    """What each pending order asks for: the ten best names and aliases, from an index that is read in blocks."""
+    k, name, brand = F.col("o_orderkey"), F.col("p_name"), F.col("p_brand")
+    text = F.when(k % 4 == 0, name).when(k % 4 == 1, F.concat_ws(" ", name, brand, F.lit("gene"), F.col("o_custkey") % 40)).when(k % 4 == 2, F.concat(F.lit("NATION_"), F.col("o_custkey") % 25, F.lit(" "), brand)).otherwise(F.concat(F.lit("nothing "), k, F.lit("  of it")))
+    asked = g.read("orders").where("o_orderstatus = 'P'").join(g.read("part"), F.col("p_partkey") == F.col("o_custkey")).select(k.alias("search"), text.alias("text"))
+    return S.search(S.build(_named(g)), asked, 10)
 
 
 @query("""

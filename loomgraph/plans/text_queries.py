@@ -11,6 +11,7 @@ from loomgraph import fixed
 from loomgraph.functions import text as X
 from loomgraph.operators import extraction as E
 from loomgraph.operators import vocabulary as V
+from loomgraph.operators.storage import spread
 from loomgraph.plans.base import Graph, query, sql_list
 from loomgraph.plans.record_queries import pick, sql_pick
 
@@ -20,11 +21,7 @@ LEXICON = [
 ]
 ANCHOR = ("not",)
 
-#: Sentences that end the documents, so that cues of every kind occur; and sections by document.
-_CUES = [
-    "No CRISPR work on this from carp was found.", "Genome editing of this was responsible for it from then on, without doubt.", "Mice with this from a GWAS, and fine-mapping of it.", "RNA-seq of this with Danio rerio.",
-    "It was from this that an expression profile of human skin came.", "Nothing of the kind was seen.",
-]
+#: Sections by document.
 _SECTIONS = ["Results", "Results", "Discussion", "Author contributions", "Methods", "Reference list"]
 _FOUND_ORDER = {row[0]: k for k, row in enumerate(sorted(LEXICON, key=lambda r: (r[5], r[0])))}
 
@@ -33,7 +30,7 @@ _HITS = " UNION ALL ".join(
     for at, form, entity, _, label, ambiguous in LEXICON
 )
 _SENTENCES = rf"""
-WITH bodies AS (SELECT doc_id, coalesce(text, '') || ' ' || {sql_pick(_CUES, "doc_id")} AS text, regexp_extract(coalesce(text, ''), '^[^\n]*') AS head, {sql_pick(_SECTIONS, "doc_id")} AS section FROM documents),
+WITH bodies AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '^[^\n]*') AS head, {sql_pick(_SECTIONS, "doc_id")} AS section FROM documents),
 split AS (SELECT doc_id, head, section, string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z(])', '\1' || chr(7) || '\2', 'g'), chr(7)) AS l FROM bodies),
 parts AS (SELECT doc_id, head, section, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM split),
 hits AS ({_HITS}),
@@ -59,7 +56,7 @@ _PREDICATES = ", ".join(f"('{k.split('|')[0]}', '{k.split('|')[1]}', '{v}')" for
 def _sections(g: Graph) -> DataFrame:
     doc = F.col("doc_id")
     text = F.coalesce("text", F.lit(""))
-    return g.read("documents").select(doc.alias("paper_id"), F.lit(0).alias("section_idx"), pick(_SECTIONS, doc).alias("section"), F.concat_ws(" ", text, pick(_CUES, doc)).alias("body"), F.regexp_extract(text, "^[^\n]*", 0).alias("title"))
+    return spread(g.read("documents")).select(doc.alias("paper_id"), F.lit(0).alias("section_idx"), pick(_SECTIONS, doc).alias("section"), text.alias("body"), F.regexp_extract(text, "^[^\n]*", 0).alias("title"))
 
 
 def _lexicon(g: Graph) -> DataFrame:
@@ -90,9 +87,8 @@ SELECT doc_id, md5(s) AS sentence, predicate, subject, object, level_rank, {_spe
   array_to_string(list_sort(list_filter([CASE WHEN level_rank IN (60, 70) OR predicate = 'caused_by_variant' THEN 'NEW_CAUSAL_VARIANT' END, CASE WHEN level_rank = 0 THEN 'EVIDENCE_LEVEL_UNCLEAR' END, CASE WHEN unsure THEN 'LOW_RESOLUTION_CONFIDENCE' END], lambda r: r IS NOT NULL)), ',') AS reasons FROM read""", plain=True)
 def Q27_J17_T14_candidates(g: Graph) -> DataFrame:
     """Every candidate with its predicate, ends, level, species, negation and reasons."""
-    rows, found = _mentions(g)
-    head = _sections(g).select("paper_id", E.paper_species(F.col("title"), F.lit(None).cast("string")).alias("usual"))
-    out = E.candidates(found.join(head, "paper_id"), F.col("usual"))
+    sections = _sections(g).withColumn("usual", E.paper_species(F.col("title"), F.lit(None).cast("string"))).drop("title")
+    out = E.candidates(E.held(E.split_sentences(sections, "usual"), _lexicon(g), ANCHOR, at_least=2), F.col("usual"))
     return out.select(
         F.col("paper_id").alias("doc_id"), F.md5(F.col("sentence").cast("binary")).alias("sentence"), "predicate", F.col("subject.entity_id").alias("subject"), F.col("object.entity_id").alias("object"), "level_rank", "species", "negated",
         F.array_join("reasons", ",").alias("reasons"))

@@ -192,15 +192,16 @@ def test_mentions(spark, text, names):
 
 
 def test_candidates(spark):
-    _, found, _ = mentions(spark, "Neither cross tied orochi to adcy5 at all. Later, knockout lines of hikari zebrafish without a tail restored adcy5 by genome editing.")
-    got = {(r["subject"]["entity_name"], r["object"]["entity_name"]): r for r in E.candidates(found).collect()}
+    rows, _, lexicon = mentions(spark, "Neither cross tied orochi to adcy5 at all. Later, knockout lines of hikari zebrafish without a tail restored adcy5 by genome editing.")
+    told = E.held(rows, lexicon, at_least=2)
+    got = {(r["subject"]["entity_name"], r["object"]["entity_name"]): r for r in E.candidates(told).collect()}
     assert set(got) == {("orochi", "adcy5"), ("hikari", "adcy5")}
-    sections = found.withColumn("section", F.lit("Author contributions"))
-    assert E.candidates(sections).count() == 0 and E.candidates(found, F.lit("Carassius auratus")).where("species = 'Carassius auratus'").count() == 1
+    sections = told.withColumn("section", F.lit("Author contributions"))
+    assert E.candidates(sections).count() == 0 and E.candidates(told, F.lit("Carassius auratus")).where("species = 'Carassius auratus'").count() == 1
     assert got["orochi", "adcy5"]["negated"] and got["orochi", "adcy5"]["reasons"] == ["EVIDENCE_LEVEL_UNCLEAR"]
     other = got["hikari", "adcy5"]
     assert (other["level_rank"], other["species"], other["reasons"]) == (60, "Danio rerio", ["NEW_CAUSAL_VARIANT"])
-    assert E.candidates(found, cap=1).count() == 1
+    assert E.candidates(told, cap=1).count() == 1
 
 
 def test_new_symbols(spark):
@@ -367,27 +368,37 @@ def test_layer_against_recursion(spark):
     parts = {t: sorted({rng.randrange(30) for _ in range(2)}) for t in range(30) if rng.random() < 0.5}
     rows = [(f"r{t}{k}", "requires_allele", t, "a", rng.choice([5, 20, 70]), rng.random() < 0.1) for t, n in needs.items() for k in range(n)]
     rows += [(f"c{t}-{x}", "composed_of", t, str(x), 20, False) for t, xs in parts.items() for x in xs]
-    rows += [(f"m{t}", "masks", (t + 1) % 30, str(t), 10, False) for t in range(0, 30, 4)]
+    rows += [(f"m{t}", "masks", (t + 1) % 30, str(t), 1, False) for t in range(0, 30, 4)]
+    rows += [("al-a", "allele_of", 1000, "l1", 50, False), ("al-b", "allele_of", 1001, "l1", 50, False), ("al-c", "allele_of", 1002, "l2", 50, False), ("d1", "dominant_over", 1000, "1001", 3, False), ("d2", "dominant_over", 1000, "1002", 2, False)]
+    rows = [(c, p, s, "1000" if p == "requires_allele" else o, r, d) for c, p, s, o, r, d in rows]
     layer = spark.createDataFrame(rows, "claim_id string, predicate string, subject long, object string, rank int, disputed boolean")
 
     def has_model(t, seen=()):
         return t in needs or (t in parts and t not in seen and all(has_model(x, (*seen, t)) for x in parts[t]))
 
-    def claims(t, seen=()):
-        out = {r[0]: r for r in rows if r[1] == "masks" and r[3] == str(t)}
+    def claims(t, hidden, seen=()):
+        """What a prediction rests on: claims of its locus's alleles included, of masks those on hidden traits."""
+        out = {r[0]: r for r in rows if r[1] == "masks" and r[3] == str(t) and t in hidden}
         if t in needs:
-            return out | {r[0]: r for r in rows if r[1] == "requires_allele" and r[2] == t}
+            return out | {r[0]: r for r in rows if (r[1] == "requires_allele" and r[2] == t) or r[0] == "d1"}
         if t in parts and t not in seen:
             out |= {r[0]: r for r in rows if r[1] == "composed_of" and r[2] == t}
             for x in parts[t]:
-                out |= claims(x, (*seen, t))
+                out |= claims(x, hidden, (*seen, t))
         return out
 
     below = L.reach(layer)
     assert {r["trait"] for r in L.modelled(layer, below).collect()} == {t for t in range(30) if has_model(t)}
+    every = set(range(30))
+    weakest = lambda t, hidden: (min(r[4] for r in claims(t, hidden).values()), len(claims(t, hidden)))
     got = {r["trait"]: (r["rank"], r["n_claims"]) for r in L.support(layer, below).collect()}
-    want = {t: (min(r[4] for r in claims(t).values()), len(claims(t))) for t in range(30) if has_model(t) and not any(r[5] for r in claims(t).values())}
-    assert got == want and any(t not in needs for t in want)
+    want = {t: weakest(t, set()) for t in every if has_model(t) and not any(r[5] for r in claims(t, every).values())}
+    assert got == want and any(t not in needs for t in want) and any(n[0] == 3 for n in want.values())
+    shown, hidden = [(k, t) for k in range(3) for t in want], [(1, t) for t in range(0, 30, 8)] + [(2, t) for t in every]
+    tables = [spark.createDataFrame(x, "id long, trait long") for x in (shown, hidden)]
+    got = {(r["id"], r["trait"]): (r["rank"], r["n_claims"]) for r in L.support_in(*tables, layer, below).collect()}
+    assert got == {(k, t): weakest(t, {x for i, x in hidden if i == k}) for k, t in shown}
+    assert any(got[0, t] != got[2, t] for t in want) and any(got[0, t] == got[1, t] for t in want)
     refused = {r["trait"] for r in L.refusals(spark.range(30).select(F.col("id").alias("trait")), layer, below).collect()}
     assert refused == set(range(30)) - set(want)
 
