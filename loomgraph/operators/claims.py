@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import fixed
-from loomgraph.operators.storage import written
+from loomgraph.operators.storage import small, written
 
 
 def supports() -> Column:
@@ -89,13 +89,16 @@ def review_reasons(explicit: Column | None = None) -> Column:
 def bounded(evidence: DataFrame, ceilings: dict[str, dict[str, int]] = fixed.CEILINGS_OF) -> DataFrame:
     """evidence (predicate, experiment_type, level_rank, ...) of the predicates that have ceilings, with its parts, those unknown to the predicate's table, and the ceiling.
 
-    The tables are a few hundred facts and become one map, so nothing is joined.
+    The tables are a few hundred facts in one map. It is read for each distinct pair of
+    predicate and experiment, of which there are few, and these meet the evidence.
     """
     facts = F.create_map(*(F.lit(x) for predicate, table in ceilings.items() for kind, rank in table.items() for x in (f"{predicate}|{kind}", rank)))
-    rows = evidence.where(F.col("predicate").isin(*ceilings)).withColumn("parts", experiment_parts(F.coalesce("experiment_type", F.lit(""))))
-    ranks = F.transform("parts", lambda p: F.element_at(facts, F.concat_ws("|", "predicate", p)))
-    rows = rows.withColumn("unknown", F.filter("parts", lambda p: F.element_at(facts, F.concat_ws("|", "predicate", p)).isNull()))
-    return rows.withColumn("ceiling", F.when((F.size("unknown") == 0) & (F.size("parts") > 0), F.array_max(ranks)))
+    rows = evidence.where(F.col("predicate").isin(*ceilings)).withColumn("__kind", F.coalesce("experiment_type", F.lit("")))
+    kinds = rows.select("predicate", "__kind").distinct().withColumn("parts", experiment_parts(F.col("__kind")))
+    kinds = kinds.withColumn("__ranks", F.transform("parts", lambda p: F.element_at(facts, F.concat_ws("|", "predicate", p))))
+    kinds = kinds.withColumn("unknown", F.transform(F.filter(F.arrays_zip("parts", "__ranks"), lambda x: x["__ranks"].isNull()), lambda x: x["parts"]))
+    kinds = written(kinds.withColumn("ceiling", F.when((F.size("unknown") == 0) & (F.size("parts") > 0), F.array_max("__ranks"))).drop("__ranks"))
+    return rows.join(small(kinds), ["predicate", "__kind"]).drop("__kind")
 
 
 def ceiling_problems(evidence: DataFrame, ceilings: dict[str, dict[str, int]] = fixed.CEILINGS_OF) -> DataFrame:
@@ -144,9 +147,10 @@ def nominate(evidence: DataFrame, phenotypes: DataFrame, roots: DataFrame) -> Da
     root's part; a trait never meets its neighbours one by one. Only pairs that come
     from several phenotypes are counted again, as neighbours may share more than one.
     """
-    basis = classify(evidence, ["trait_id", "gene_id"]).where(F.col("basis").isin("DIRECT", "MAPPED"))
-    fits = F.when(F.col("basis") == "DIRECT", is_direct()).otherwise(is_mapped())
-    told = evidence.join(basis.select("trait_id", "gene_id", "basis"), ["trait_id", "gene_id"]).where(fits).select("trait_id", "gene_id", "paper_id").distinct()
+    # a claim is DIRECT if any of its evidence is, else MAPPED if any is: only such evidence is looked at, once for each paper
+    fits = evidence.where(is_direct() | is_mapped()).groupBy("trait_id", "gene_id", "paper_id").agg(F.bool_or(is_direct()).alias("direct"), F.bool_or(is_mapped()).alias("mapped"))
+    best = fits.groupBy("trait_id", "gene_id").agg(F.bool_or("direct").alias("any_direct"))
+    told = fits.join(best, ["trait_id", "gene_id"]).where(F.when(F.col("any_direct"), F.col("direct")).otherwise(F.col("mapped"))).select("trait_id", "gene_id", "paper_id")
     located = phenotypes.select("trait_id", "phenotype").distinct().join(roots, "trait_id")
     near = written(told.join(located, "trait_id").select("phenotype", "gene_id", "root", F.col("trait_id").alias("neighbour"), "paper_id"))
     pair, own = ["phenotype", "gene_id"], ["phenotype", "gene_id", "root"]
