@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import contextlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import merge as M
 from loomgraph.operators.claims import first_per_key
 from loomgraph.operators.dedupe import with_routes
+from loomgraph.operators.storage import table_path
+from loomgraph.operators.store import ConstraintError, Store
 from loomgraph.plans.base import GREEDY, Graph, query
 
 
@@ -131,6 +135,26 @@ def K01_X02_X03_upsert(g: Graph) -> DataFrame:
     return out.withColumn("routes", F.array_join(F.array_sort("routes"), ","))
 
 
+@query(f"""
+WITH {_OLD}, {_NEW}
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN trim(n.name) <> '' THEN n.name ELSE o.name END AS name, coalesce(o.segment, n.segment) AS segment, CASE WHEN o.id IS NOT NULL THEN o.status ELSE n.status END AS status, 2 AS version FROM old o FULL JOIN new n ON o.id = n.id
+""", plain=True)
+def K01_K11_stored_upsert(g: Graph) -> DataFrame:
+    """The same upsert into a stored table, merged again, which changes nothing; one more that breaks a constraint leaves it as it is."""
+    customer, orders = g.read("customer"), g.read("orders")
+    old = customer.where("c_acctbal > -500").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"), F.col("c_nationkey").alias("status"))
+    name = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.concat(F.lit("Order "), "o_orderkey"))
+    new = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max(name).alias("name"), F.max("o_orderpriority").alias("segment"), F.lit(99).alias("status"))
+    store = Store(g.spark, table_path(g.spark, "store"), "id", "id long, name string, segment string, status int", required=("status",), buckets=8)
+    policy = {"create_only": ("status",), "back_fill": ("segment",), "non_empty": ("name",)}
+    store.merge(old, **policy)
+    store.merge(new, **policy)
+    again = store.merge(new, **policy)
+    with contextlib.suppress(ConstraintError):
+        store.merge(orders.select((-F.col("o_orderkey") - 1).alias("id"), F.lit("x").alias("name"), F.lit("x").alias("segment"), F.lit(None).cast("int").alias("status")), **policy)
+    return store.read().withColumn("version", F.lit(again))
+
+
 @query("""
 WITH used AS (SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_quantity > 49)
 SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT id, 'on demand' FROM used WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = used.id AND s.s_acctbal > 0)
@@ -181,10 +205,13 @@ def X01_monotone_state(g: Graph) -> DataFrame:
     return M.advanced(transitions(g.read("events")), "user_id", "state_rank")
 
 
-def transitions(events: DataFrame) -> DataFrame:
+def state_rank() -> Column:
     kind = F.col("event_type")
-    rank = F.when(kind == "view", 0).when(kind == "click", 1).when(kind == "error", 2).when(kind == "signup", 3).otherwise(8)
-    return events.select("event_id", "ts", "user_id", rank.alias("state_rank"))
+    return F.when(kind == "view", 0).when(kind == "click", 1).when(kind == "error", 2).when(kind == "signup", 3).otherwise(8)
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    return events.select("event_id", "ts", "user_id", state_rank().alias("state_rank"))
 
 
 @query("SELECT user_id, event_type, min(ts) AS created_at, max(ts) AS last_seen, count(*) - 1 AS seen_again FROM events GROUP BY user_id, event_type", plain=True)

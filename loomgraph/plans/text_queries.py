@@ -11,9 +11,10 @@ from loomgraph import fixed
 from loomgraph.functions import text as X
 from loomgraph.operators import extraction as E
 from loomgraph.operators import vocabulary as V
-from loomgraph.operators.storage import spread
+from loomgraph.operators.storage import small, spread, table_path, written
 from loomgraph.plans.base import Graph, query, sql_list
 from loomgraph.plans.record_queries import pick, sql_pick
+from loomgraph.sources import cache as K
 
 LEXICON = [
     (0, "from", 1, "trait one", "OrnamentalTrait", False), (1, "this", 2, "gene one", "Gene", False), (2, "with", 3, "phenotype one", "Phenotype", False),
@@ -103,16 +104,21 @@ def Q28_T19_new_symbols(g: Graph) -> DataFrame:
     return _symbols(g, *_mentions(g))
 
 
-_LINES = [
-    ("GWAS followed by genome editing confirmed the variant", 60, "Oryzias latipes"), ("Positional cloning in zebrafish was responsible for it", 70, "Danio rerio"), ("RNA-seq of mouse skin", 30, "Mus musculus"),
-    ("Nothing to see", 0, "Oryzias latipes"), ("fine-mapping by linkage analysis in carp", 50, "Cyprinus carpio"), ("in situ hybridisation of Gasterosteus", 30, "Gasterosteus aculeatus"),
-]
+#: What a line of evidence says was done, and in which animal, by its number and gene.
+_DONE = ["GWAS followed by genome editing confirmed it", "Positional cloning found what was responsible for it", "RNA-seq", "Nothing to see", "fine-mapping by linkage analysis", "in situ hybridisation"]
+_IN = ["", " in zebrafish", " of mouse skin", " in carp", " of Gasterosteus", " beside MEDAKA and D. rerio"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in _LINES) + ") AS t(line, level_rank, species)", plain=True)
+@query(f"""
+WITH said AS (SELECT paper_id, trait_id, gene_id, experiment_no, {sql_pick(_DONE, "experiment_no + trait_id")} || {sql_pick(_IN, "gene_id")} AS s FROM evidence)
+SELECT paper_id, trait_id, gene_id, experiment_no, md5(s) AS line, {_RANK} AS level_rank, {_species_sql("s", f"'{fixed.TARGET_SPECIES}'")} AS species FROM said
+""")
 def T15_T16_cues(g: Graph) -> DataFrame:
-    rows = g.spark.createDataFrame([(a,) for a, _, _ in _LINES], "line string")
-    return rows.select("line", E.detect_level(F.col("line"))[0].alias("level_rank"), E.detect_species(F.col("line"), F.lit(fixed.TARGET_SPECIES)).alias("species"))
+    """The strongest level and the first species that each line of evidence names; equal lines are read once."""
+    line = F.concat(pick(_DONE, F.col("experiment_no") + F.col("trait_id")), pick(_IN, F.col("gene_id")))
+    rows = g.evidence.select("paper_id", "trait_id", "gene_id", "experiment_no", line.alias("line"))
+    read = written(rows.select("line").distinct().select("line", E.detect_level(F.col("line"))[0].alias("level_rank"), E.detect_species(F.col("line"), F.lit(fixed.TARGET_SPECIES)).alias("species")))
+    return rows.join(small(read), "line").withColumn("line", F.md5(F.col("line").cast("binary")))
 
 
 @query("""
@@ -130,14 +136,26 @@ def S07_S09_T20_jats_sections(g: Graph) -> DataFrame:
     return E.parse_jats(papers).select("paper_id", "section_idx", "section", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
-_WORDS = [("ひかり めだか", "ヒカリメダカ"), ("ﾒﾀﾞｶ", "メダカ"), ("三ヶ月・ヵ", "三ケ月カ"), ("Ａ１.ラメ", "A1ラメ")]
-_ROMAJI = [("Yōkihi", "yokihi"), ("Oorochi", "orochi"), ("Kouhaku", "kohaku"), ("Sanshoku!", "sanshoku")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _WORDS + _ROMAJI) + ") AS t(word, folded)", plain=True)
-def T25_T26_T27_T42_fold_words(g: Graph) -> DataFrame:
-    ja = g.spark.createDataFrame([(a,) for a, _ in _WORDS], "word string").select("word", X.norm_ja(F.col("word")).alias("folded"))
-    return ja.unionByName(g.spark.createDataFrame([(a,) for a, _ in _ROMAJI], "word string").select("word", X.norm_romaji(F.col("word")).alias("folded")))
+@query("""
+SELECT doc_id AS paper_id, CASE WHEN doc_id % 11 IN (0, 4, 5) OR doc_id % 3 <> 0 AND doc_id % 11 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN 'cache' ELSE 'fetched' END AS source,
+  CASE doc_id % 11 WHEN 0 THEN 'no PMCID' WHEN 4 THEN 'empty response' WHEN 5 THEN 'http error' WHEN 7 THEN 'not well-formed XML' WHEN 3 THEN CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'http error' END END AS reason,
+  CASE WHEN doc_id % 11 IN (0, 4, 5, 7) OR doc_id % 3 <> 0 AND doc_id % 11 = 3 THEN NULL ELSE len(regexp_replace(coalesce(text, ''), '[ \t\n\r\f]', '', 'g')) END AS n_chars FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 11 NOT IN (4, 5)
+""", plain=True)
+def S07_S08_acquire(g: Graph) -> DataFrame:
+    """Full texts through a cache that holds a third of them: some papers have no id, some texts are empty, missing or broken at the service."""
+    doc = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    body = F.concat(F.lit("<article><body><sec><title>T</title><p>x "), F.regexp_replace(text, r"[\x00-\x08\x0b\x0e-\x1f]", ""), F.lit("</p></sec></body>"), F.when(doc % 11 == 7, "").otherwise("</article>"))
+    papers = g.read("documents").where("doc_id % 3 <> 0 OR doc_id % 11 NOT IN (4, 5)").select(doc.alias("paper_id"), F.when(doc % 11 != 0, F.concat(F.lit("PMC"), doc)).alias("pmcid"), body.alias("body"), doc)
+    service, folder = table_path(g.spark, "service"), table_path(g.spark, "cache")
+    at_service = papers.where("doc_id % 11 NOT IN (0, 3, 5)").withColumn("body", F.when(doc % 11 == 4, " ").otherwise(F.col("body")))
+    K.put(spread(at_service), service)
+    K.put(papers.where("doc_id % 3 = 0 AND pmcid IS NOT NULL"), folder)
+    rows = K.acquire(papers, folder, K.from_folder(service))
+    plain = F.regexp_replace(F.array_join(F.transform("sections", lambda s: s["body"]), ""), r"[ \t\n\r\f]", "")
+    return rows.select("paper_id", "source", F.substring_index("reason", ":", 1).alias("reason"), (F.length(plain) - 1).alias("n_chars"))
 
 
 @query("""
