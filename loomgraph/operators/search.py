@@ -3,9 +3,10 @@
 Postings of a term stand in blocks, those that add most to a score first, each block
 with its largest impact.  A search first scores what the first block of each of its
 terms holds: the k-th best of these partial sums is a bound that the k-th best document
-reaches at least.  A document that is in no block whose impact reaches the bound's even
-share among the search's terms can't reach the bound, so all other blocks are left
-unread.  What is left is scored in full from its own words.
+reaches at least.  Terms whose largest impacts together stay below the bound are left
+out, and what they leave of it is shared evenly among the others: a document that is in
+no block whose impact reaches that share can't reach the bound, so all other blocks are
+left unread.  What is left is scored in full from its own words.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _gain(tf: Column, size: Column, usual: Column) -> Column:
 
 @dataclass
 class Index:
-    """documents (label, id, name, words, size), terms (term, idf, first), blocks (term, block, most) and postings (term, block, label, id, impact)."""
+    """documents (label, id, name, words, size), terms (term, idf), blocks (term, block, most) and postings (term, block, label, id, impact)."""
 
     documents: DataFrame
     terms: DataFrame
@@ -63,22 +64,29 @@ def build(named: DataFrame, block: int = BLOCK) -> Index:
     each = documents.select("label", "id", "size", F.explode("words").alias("term")).groupBy("term", "label", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
     gains = each.withColumn("gain", _gain(F.col("tf"), F.col("size"), F.lit(usual)))
     at = numbered(gains.select("term", "label", "id", "gain"), "n", F.asc("term"), F.desc("gain"), F.asc("label"), F.asc("id"))
-    at = written(at.withColumn("block", F.expr(f"(n - 1) div {block}")).drop("n"))
-    terms = at.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("block").alias("first"))
-    terms = written(terms.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "first"))
-    postings = written(at.join(terms.drop("first"), "term").select("term", "block", "label", "id", (F.col("idf") * F.col("gain")).alias("impact")).repartition("term", "block").sortWithinPartitions("term", "block"))
+    at = written(at)
+    terms = at.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("n").alias("start"))
+    terms = written(terms.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "start"))
+    placed = at.join(terms, "term").select("term", F.expr(f"(n - start) div {block}").alias("block"), "label", "id", (F.col("idf") * F.col("gain")).alias("impact"))
+    postings = written(placed.repartition("term", "block").sortWithinPartitions("term", "block"))
+    terms = terms.drop("start")
     blocks = written(postings.groupBy("term", "block").agg(F.max("impact").alias("most")))
     return Index(documents, terms, blocks, postings, usual)
 
 
 def kept_blocks(index: Index, asked: DataFrame, k: int) -> DataFrame:
-    """(search, term, block) of the blocks that can hold one of a search's k best; asked has (search, term, idf, first, n_terms)."""
-    first = asked.join(index.postings, (asked["term"] == index.postings["term"]) & (asked["first"] == index.postings["block"])).select("search", "label", "id", "impact")
+    """(search, term, block) of the blocks that can hold one of a search's k best; asked has (search, term)."""
+    first = asked.join(index.postings.where("block = 0"), "term").select("search", "label", "id", "impact")
     sums = first.groupBy("search", "label", "id").agg(F.sum("impact").alias("sum"))
     place = F.row_number().over(Window.partitionBy("search").orderBy(F.desc("sum"), "label", "id"))
     bound = sums.withColumn("place", place).where(F.col("place") <= k).groupBy("search").agg(F.when(F.max("place") == k, F.min("sum")).alias("bound"))
-    share = (F.coalesce("bound", F.lit(0.0)) - _ROOM) / F.col("n_terms")
-    return asked.join(bound, "search", "left").join(index.blocks, "term").where(F.col("most") >= share).select("search", "term", "block")
+    reach = F.coalesce("bound", F.lit(0.0)) - _ROOM
+    tops = asked.join(index.blocks.where("block = 0").select("term", F.col("most").alias("top")), "term").join(bound, "search", "left")
+    # terms that together can't reach the bound, from the least on, bring no document in by themselves
+    tops = tops.withColumn("sum", F.sum("top").over(Window.partitionBy("search").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("needed", F.col("sum") >= reach)
+    spare = tops.groupBy("search").agg(F.coalesce(F.max(F.when(~F.col("needed"), F.col("sum"))), F.lit(0.0)).alias("spare"), F.count_if("needed").alias("n_needed"))
+    share = (reach - F.col("spare")) / F.col("n_needed")
+    return tops.where("needed").join(spare, "search").select("search", "term", share.alias("share")).join(index.blocks, "term").where(F.col("most") >= F.col("share")).select("search", "term", "block")
 
 
 def search(index: Index, searches: DataFrame, k: int) -> DataFrame:
@@ -90,8 +98,7 @@ def search(index: Index, searches: DataFrame, k: int) -> DataFrame:
     given = written(searches.select("search", F.array_sort(F.array_distinct(words_of(F.col("text")))).alias("terms")))
     alike = given.where(F.size("terms") > 0).select("terms").distinct().withColumn("search", F.xxhash64("terms"))
     known = alike.select("search", F.explode("terms").alias("term")).join(index.terms, "term")
-    count = F.count(F.lit(1)).over(Window.partitionBy("search"))
-    asked = written(known.select("search", "term", "idf", "first", count.alias("n_terms")))
+    asked = written(known.select("search", "term", "idf"))
     chosen = written(kept_blocks(index, asked, k))
     found = chosen.join(index.postings, ["term", "block"]).select("search", "label", "id").distinct()
     weights = asked.groupBy("search").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("weights"))
