@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import fixed
 from loomgraph.functions.text import content_digest, sentences, whole_word
-from loomgraph.operators.storage import written
+from loomgraph.operators.storage import small, written
 
 #: Up to so many forms pick the n-grams of a sentence in place; up to so many are broadcast, more are joined by a shuffle.
 FORMS_IN_PLACE, BROADCAST_FORMS = 20_000, 200_000
@@ -216,7 +216,7 @@ def new_symbols(rows: DataFrame, found: DataFrame, lexicon: DataFrame, anchors:
     number, stem = F.regexp_extract("symbol", "^[a-z]+([0-9]+)$", 1), F.regexp_extract("symbol", "^([a-z]+)[0-9]+$", 1)
     counted = reduce(lambda a, b: a | b, [stem.isin(*names) & number.try_cast("int").between(1, top) & ~number.startswith("0") for top, names in fixed.NOT_SYMBOLS.items()])
     each = each.where(~F.coalesce(counted, F.lit(False)) & ~F.col("symbol").isin(*fixed.NOT_SYMBOLS_OTHER))
-    each = each.join(F.broadcast(lexicon.select(F.lower("form").alias("symbol")).distinct()), "symbol", "left_anti")
+    each = each.join(small(lexicon.select(F.lower("form").alias("symbol")).distinct()), "symbol", "left_anti")
     first = F.row_number().over(Window.partitionBy("paper_id", "symbol").orderBy("section_idx", "sentence_idx"))
     return each.withColumn("n", first).where("n = 1").select("paper_id", "symbol", F.col("sentence").alias("quote"), F.coalesce("near", F.array().cast("array<string>")).alias("near"))
 

@@ -9,7 +9,7 @@ from loomgraph import fixed
 from loomgraph.functions.text import claim_id, clean, evidence_id, normalise_title
 from loomgraph.operators.claims import shape_problem
 from loomgraph.operators.dedupe import with_routes
-from loomgraph.operators.storage import numbered
+from loomgraph.operators.storage import numbered, small, written
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, create_only: tuple[str, ...] = (), back_fill: tuple[str, ...] = (), non_empty: tuple[str, ...] = (), append: tuple[str, ...] = ()) -> DataFrame:
@@ -147,7 +147,7 @@ def funnel(rows: DataFrame) -> DataFrame:
 def revised(relations: DataFrame, fixes: DataFrame) -> DataFrame:
     """(s, rel, o, basis) after fixes (s, rel, o, new): retyped with a note on the basis, or dropped without a new type; a fix holds in both directions."""
     both = fixes.unionByName(fixes.select(F.col("o").alias("s"), "rel", F.col("s").alias("o"), "new")).distinct().withColumn("__fix", F.lit(True))
-    rows = relations.join(F.broadcast(both), ["s", "rel", "o"], "left").where(F.col("__fix").isNull() | F.col("new").isNotNull())
+    rows = relations.join(small(written(both)), ["s", "rel", "o"], "left").where(F.col("__fix").isNull() | F.col("new").isNotNull())
     basis = F.when(F.col("new").isNotNull(), F.concat("basis", F.lit(" | revised"))).otherwise(F.col("basis"))
     rows = rows.select("s", F.coalesce("new", "rel").alias("rel"), "o", basis.alias("basis"))
     return rows.groupBy("s", "rel", "o").agg(F.array_join(F.array_sort(F.collect_set("basis")), " | ").alias("basis"))

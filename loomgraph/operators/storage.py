@@ -20,9 +20,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths in the shared folder that were given out and not deleted yet.
+_HELD: list[str] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _HELD.append(path)
+    return path
+
+
+def held_paths() -> list[str]:
+    """Paths in the shared folder that stand at the moment."""
+    return list(_HELD)
+
+
+def discard_since(spark: SparkSession, before: list[str], *keep: str) -> int:
+    """Deletes what was put into the shared folder since before was taken, but for keep: once a result that reads it is written or shown.
+
+    Nothing goes while a job runs, as that may still read it; how many paths went.
+    """
+    tracker, gone = spark.sparkContext.statusTracker(), 0
+    for path in [p for p in _HELD if p not in before and p not in keep]:
+        if tracker.getActiveJobsIds():
+            break
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _HELD.remove(path)
+        gone += 1
+    return gone
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def Q30_Q33_J25_A22_A24_T34_T35_crosses(g: Graph) -> DataFrame:
 
 @query(_PARENTS + "SELECT id, sex, class, 'Tb' AS victim, count(*) FILTER (WHERE hides)::BIGINT AS part, count(*)::BIGINT AS total FROM named GROUP BY ALL HAVING count(*) FILTER (WHERE hides) > 0", plain=True)
 def A23_hidden_mass(g: Graph) -> DataFrame:
-    return X.hidden(_crosses(g), RULES, "id").withColumnRenamed("of", "total")
+    return X.hidden(_crosses(g), RULES, "id").withColumnRenamed("of", "total").drop("maskers")
 
 
 @query("""
@@ -285,6 +285,30 @@ def Q37_assumptions(g: Graph) -> DataFrame:
     return X.assumptions_of(_crosses(g), RULES, "id", inferred={"Tc": "Tc"}, modes={"Tb": "Tb"})
 
 
+@query(_PARENTS + f""",
+placed AS (SELECT id, sex, class, replace({_MARKED}, ', ', ' + ') AS label, weight, whole, row_number() OVER (PARTITION BY id, sex ORDER BY weight DESC, replace(class, ', ', ' + ')) AS position FROM counted),
+under AS (SELECT id, sex, class, count(*) FILTER (WHERE hides) AS part, count(*) AS total FROM named GROUP BY ALL HAVING count(*) FILTER (WHERE hides) > 0)
+SELECT id, sex, position, 0 AS place, '  ' || lpad((weight // gcd(weight, whole)) || CASE WHEN weight = whole THEN '' ELSE '/' || (whole // gcd(weight, whole)) END || ' (' || format('{{:.1f}}', 100.0 * weight / whole) || '%)', 14, ' ') || '  ' || label AS line FROM placed
+UNION ALL SELECT id, sex, position, 1, '      hides Tb (masked by Ta) in ' || CASE WHEN part = total THEN 'all' ELSE (part // gcd(part, total)) || '/' || (total // gcd(part, total)) END || ' of it' FROM under JOIN placed USING (id, sex, class)
+""", plain=True)
+def Q36_text_lines(g: Graph) -> DataFrame:
+    """Crosses as text: classes with percentage and share, and what each hides."""
+    return X.text_lines(_crosses(g), RULES, RANKS)
+
+
+@query(_PARENTS + """,
+pairs AS (SELECT m.id, (m.l1a = 'a' OR m.l1b = 'a' OR f.l1a = 'a' OR f.l1b = 'a')::INT AS p1, (m.l2a = 'b' OR m.l2b = 'b' OR f.l2a = 'b' OR f.l2b = 'b')::INT AS p2, (m.sx1 = 'x' OR m.sx2 = 'x' OR f.sx1 = 'x' OR f.sx2 = 'x')::INT AS p3
+  FROM parents m JOIN parents f ON f.id = m.id + 64 AND m.sex = 'female' AND f.sex = 'male'),
+shown AS (SELECT id, bool_or(class LIKE '%Tc%') AS tc, bool_or(class LIKE '%Tb%') AS tb FROM named GROUP BY id),
+codes AS (SELECT id, list_filter(['sex_ratio', CASE WHEN p1 + p2 > 1 OR (p1 + p2 = 1 AND p3 = 1) THEN 'independent_assortment' END, 'wild_type_default', CASE WHEN tc THEN 'inferred:Tc' END, CASE WHEN tb THEN 'mode:Tb' END, 'strain_scope', 'source_authority', 'r_sex_recombination', 'albino_allele'], lambda x: x IS NOT NULL) AS codes FROM pairs JOIN shown USING (id)),
+each AS (SELECT id, unnest(codes) AS word, generate_subscripts(codes, 1) - 1 AS place FROM codes), texts AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', '{t}')" for c, t in X.ASSUMED.items()) + """) AS t(code, text))
+SELECT id, place, code, CASE WHEN word LIKE '%:%' THEN split_part(word, ':', 2) END AS claim, text, code IN ('strain_scope', 'source_authority', 'r_sex_recombination', 'albino_allele') AS open FROM each JOIN texts ON code = split_part(word, ':', 1)
+""", plain=True)
+def Q37_assumption_texts(g: Graph) -> DataFrame:
+    """The assumptions of each prediction in words, with the claims behind them."""
+    return X.assumption_texts(X.assumptions_of(_crosses(g), RULES, "id", inferred={"Tc": "Tc"}, modes={"Tb": "Tb"}), "id")
+
+
 @query()
 def Q36_T39_cross_documents(g: Graph) -> DataFrame:
     return X.cross_json(_crosses(g), RULES, RANKS, inferred={"Tc": "Tc"}, modes={"Tb": "Tb"})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import merge as M
 from loomgraph.operators.claims import first_per_key
 from loomgraph.operators.dedupe import with_routes
-from loomgraph.operators.storage import table_path
+from loomgraph.operators.storage import small, table_path
 from loomgraph.operators.store import ConstraintError, Store
 from loomgraph.plans.base import GREEDY, Graph, query
 
@@ -273,7 +273,7 @@ def J27_range_join(g: Graph) -> DataFrame:
     intervals = g.read("nation").select(F.col("n_nationkey").alias("bin"), (F.col("n_nationkey") * step).alias("low")).withColumn("high", F.col("low") + 30000)
     intervals = intervals.withColumn("bucket", F.explode(F.sequence((F.col("low") / step).cast("long"), ((F.col("high") - 1) / step).cast("long"))))
     points = g.read("orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", F.floor(F.col("o_totalprice") / step).alias("bucket"))
-    met = points.join(F.broadcast(intervals), "bucket").where((F.col("o_totalprice") >= F.col("low")) & (F.col("o_totalprice") < F.col("high")))
+    met = points.join(small(intervals), "bucket").where((F.col("o_totalprice") >= F.col("low")) & (F.col("o_totalprice") < F.col("high")))
     return met.select("id", "bin")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomgraph.operators.storage import shared_dir
+from loomgraph.operators.storage import table_path
 
 
 def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -105,9 +105,7 @@ def first_seen(rows: DataFrame, keys: list[str], time: str, late: str) -> DataFr
 
 def collected(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
     """Runs a stream over all that is there; its rows, in a table in the shared folder, with the number of their batch."""
-    import uuid
-
-    path = f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    path = table_path(stream.sparkSession, f"stream-{name}")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
@@ -123,9 +121,7 @@ def merged(stream: DataFrame, key: str, latest: str, name: str) -> DataFrame:
     batch that is repeated after a failure only repeats rows that the last step folds.
     """
     spark = stream.sparkSession
-    import uuid
-
-    path = f"{shared_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, f"stream-{name}")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from loomgraph.operators.storage import discard_since, held_paths, shared_dir
 from loomgraph.plans import all as plans
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -32,6 +33,15 @@ def plain(v):
     return v
 
 
+@pytest.fixture(autouse=True)
+def nothing_stays(spark):
+    """What a query has put into the shared folder can all be deleted once its rows are read."""
+    before, there = held_paths(), set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    yield
+    discard_since(spark, before)
+    assert set(os.listdir(shared_dir(spark).removeprefix("file:"))) <= there
+
+
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_rows_match_sql(spark, duck, name):
     df = plans.QUERIES[name](spark, DATA)
