@@ -76,7 +76,8 @@ def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """rows for work that is long for each row: dealt to all cores where they come in fewer pieces than there are cores.
 
-    A large table comes in more pieces and stays as it is.
+    A large table comes in more pieces and stays as it is. For rows as they are read from
+    tables: to count the pieces of what is shuffled, its shuffles would have to run.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

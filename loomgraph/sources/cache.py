@@ -86,7 +86,7 @@ def acquire(papers: DataFrame, folder: str, fetch: Callable[[str], str]) -> Data
     spark = ship(papers.sparkSession)
     asked = papers.select("paper_id", F.when(F.trim("pmcid") != "", F.col("pmcid")).alias("pmcid"))
     held = written(cached(spark, folder).join(asked.select("pmcid").distinct(), "pmcid", "left_semi"))
-    missing = asked.where("pmcid IS NOT NULL").select("pmcid").distinct().join(held.select("pmcid"), "pmcid", "left_anti")
+    missing = written(asked.where("pmcid IS NOT NULL").select("pmcid").distinct().join(held.select("pmcid"), "pmcid", "left_anti"))
     fetched = written(spread(missing).mapInArrow(_through(folder, fetch), "pmcid string, body string, reason string"))
     texts = held.select("pmcid", "body", F.lit(None).cast("string").alias("reason"), F.lit("cache").alias("source")).unionByName(fetched.withColumn("source", F.lit("fetched")))
     parsed = spread(texts).select("pmcid", "reason", "source", "body").mapInArrow(_parsed, "pmcid string, reason string, source string, sections array<struct<section_idx:int,section:string,body:string>>")
