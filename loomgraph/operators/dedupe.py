@@ -16,30 +16,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.storage import numbered, written
+from loomgraph.operators.storage import written
 
 #: So few undecided rows are walked in order by one task, as a long chain of conflicts takes a round for every two of its rows.
 FEW = 50_000
 
 
 def _walked(rows: DataFrame) -> DataFrame:
-    """(n) of the rows that are kept of few (n, i, t), one after another."""
+    """(i, t) of the rows that are kept of few (n, i, t), one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, titles, kept = set(), set(), []
-        every = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in "nit"), strict=True))
-        for n, i, t in every:
-            if i not in ids and (t is None or t not in titles):
-                ids.add(i)
-                titles.add(t)
-                kept.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["n"])
+        for b in batches:
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True):
+                if i not in ids and (t is None or t not in titles):
+                    ids.add(i)
+                    titles.add(t)
+                    kept.append((i, t))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.string()) for k in (0, 1)], names=["i", "t"])
 
-    return rows.coalesce(1).mapInArrow(run, "n long")
+    return rows.repartition(1).sortWithinPartitions("n").select("i", "t").mapInArrow(run, "i string, t string")
 
 
-def kept_numbers(rows: DataFrame, few: int = FEW) -> DataFrame:
-    """(n, i, t) of the rows that are kept of (n, i, t): distinct numbers, ids, and titles or null."""
+def kept_places(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """(n, i, t) of the rows that are kept of (n, i, t): places in an order, ids, and titles or null."""
     # of rows with one id and one title only the first can be kept
     left = written(rows.groupBy("i", "t").agg(F.min("n").alias("n")).select("n", "i", "t"))
     kept = []
@@ -50,7 +50,8 @@ def kept_numbers(rows: DataFrame, few: int = FEW) -> DataFrame:
         kept.append(sure)
         left = written(left.join(sure.select("i"), "i", "left_anti").join(sure.select("t").where("t IS NOT NULL"), "t", "left_anti").select("n", "i", "t"))
     if open_rows:
-        kept.append(written(left.join(_walked(left), "n", "left_semi")))
+        one = _walked(left).withColumnsRenamed({"i": "__i", "t": "__t"})
+        kept.append(written(left.join(one, (F.col("i") == F.col("__i")) & F.col("t").eqNullSafe(F.col("__t")), "left_semi")))
     out = kept[0] if kept else left
     for part in kept[1:]:
         out = out.unionByName(part)
@@ -58,15 +59,16 @@ def kept_numbers(rows: DataFrame, few: int = FEW) -> DataFrame:
 
 
 def first_kept(rows: DataFrame, order: list[Column], ids: list[str], title: Column, few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """The kept rows, and (__n, __keeper) of all rows: the number of each in the order and of the kept row that it merged into, its own for kept ones.
+    """The kept rows, and (__n, __keeper) of all rows: the place of each in the order (a struct) and that of the kept row it merged into, its own for kept ones.
 
-    Rows that stand alike in the order are told apart in no defined way. Ids may be
-    null, and are alike then; null and empty titles are no titles and merge nothing.
+    Order is ascending, nulls first. Rows that stand alike in it go by ids and title;
+    of rows that agree in all of this one is kept. Ids may be null, and are alike then;
+    null and empty titles are no titles and merge nothing.
     """
-    at = numbered(rows.withColumn("__i", F.to_json(F.struct(*ids), {"ignoreNullFields": "false"})).withColumn("__t", F.when(title != "", title)), "__n", *order)
-    at = written(at)
-    found = kept_numbers(at.select(F.col("__n").alias("n"), F.col("__i").alias("i"), F.col("__t").alias("t")), few)
-    kept = at.join(found.select(F.col("n").alias("__n")), "__n", "left_semi").drop("__i", "__t")
+    at = rows.withColumn("__i", F.to_json(F.struct(*ids), {"ignoreNullFields": "false"})).withColumn("__t", F.when(title != "", title))
+    at = written(at.withColumn("__n", F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), F.col("__i").alias("i"), F.col("__t").alias("t"))))
+    found = kept_places(at.select(F.col("__n").alias("n"), F.col("__i").alias("i"), F.col("__t").alias("t")), few)
+    kept = at.join(found.select(F.col("n").alias("__n")), "__n", "left_semi").dropDuplicates(["__n"]).drop("__i", "__t")
     by_id, by_title = (found.where(f"{c} IS NOT NULL").select(F.col(c).alias(f"__{c}"), F.col("n").alias(f"__by_{c}")) for c in "it")
     told = at.select("__n", "__i", "__t").join(by_id, "__i", "left").join(by_title, "__t", "left")
     keeper = F.when(F.col("__by_i") <= F.col("__n"), F.col("__by_i")).otherwise(F.col("__by_t"))

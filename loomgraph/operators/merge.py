@@ -126,7 +126,7 @@ def screened(links: DataFrame, core: DataFrame, known_ids: DataFrame, known_dois
     """
     order = F.coalesce(F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))[F.col("source")], F.lit(other))
     found = links.where(F.col("id").isNotNull() & (F.col("id").cast("string") != "")).select("pos", "source", "id", "title")
-    best = with_routes(found, [order.asc(), F.asc("pos")], ["source", "id"], normalise_title(clean(F.coalesce("title", F.lit("")))))
+    best = with_routes(found, [order, F.col("pos")], ["source", "id"], normalise_title(clean(F.coalesce("title", F.lit("")))))
     told = best.join(core.select("source", "id", F.col("title").alias("own"), "abstract", F.lower("doi").alias("doi"), F.lit(True).alias("fetched")), ["source", "id"], "left")
     told = told.join(known_ids.select("id", F.lit("MED").alias("source"), F.lit(True).alias("by_id")).distinct(), ["source", "id"], "left")
     told = told.join(known_dois.select("doi", F.lit(True).alias("by_doi")).distinct(), "doi", "left")

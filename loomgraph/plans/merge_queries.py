@@ -255,7 +255,7 @@ def _links(g: Graph) -> DataFrame:
 @query(f"WITH RECURSIVE {_LINKS}, {GREEDY.strip()} SELECT pos, source, id, title, routes FROM ordered JOIN standing USING (n)", plain=True)
 def W11_H6_greedy_dedupe(g: Graph) -> DataFrame:
     """Links that share no id and no title with an earlier kept one, and how many each stands for."""
-    return with_routes(_links(g), [F.asc("rank"), F.asc("pos")], ["source", "id"], F.col("title")).drop("rank")
+    return with_routes(_links(g), [F.col("rank"), F.col("pos")], ["source", "id"], F.col("title")).drop("rank")
 
 
 @query("SELECT count(*) AS papers, (count(*) + 19) // 20 AS batches FROM (SELECT DISTINCT o_custkey FROM orders)", plain=True)
