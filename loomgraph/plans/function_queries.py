@@ -68,7 +68,7 @@ SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regex
 FROM pages
 """.replace("\\\\", "\\"), plain=True)
 def T08_clean_titles(g: Graph) -> DataFrame:
-    return g.read("pages").select("page_id", X.clean(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    return g.read("pages").select("page_id", X.clean_markup(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
 
 @query("SELECT c_custkey AS id, TRY_CAST(substr(c_name, 10) AS INTEGER) AS number, TRY_CAST(c_name AS INTEGER) AS none FROM customer", plain=True)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import unicodedata
 
+import duckdb
 import pytest
 
 from loomgraph.plans import all as plans
@@ -46,3 +47,14 @@ def test_slugs_of_the_smallest_table(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["T01_H13_slugify_unicode"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: plain_slug(t) for i, t in texts.items()}
+
+
+def test_titles_as_their_sql_gives_them(spark, tmp_path):
+    titles = ["a &quot;b&quot;", "c &amp", "&amp;lt;b&amp;gt; d", "&lt;i&gt;e&lt;/i&gt;", "f&nbsp;g", "h\x0bi\n j", "&#39;k", " ", None]
+    pages = [(i, None if t is None else f"<html><title>{t}</title></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame([*pages, (99, "no title")], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {(r["page_id"], r["title"]) for r in plans.QUERIES["T08_clean_titles"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(plans.ORACLES["T08_clean_titles"]).fetchall())
+    assert dict(got)[0] == "a &quot;b&quot;"
