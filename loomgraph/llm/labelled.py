@@ -17,17 +17,28 @@ def id_remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def label_sample(labels: DataFrame, id_col: str, label_col: str, fold: Column | None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, label): the rows with the smallest hashes among those that fold admits; one per id, the smallest label on ties."""
+def label_rows(labels: DataFrame, id_col: str, label_col: str, fold: Column | None) -> DataFrame:
+    """(id, label) of what fold admits; one per id, the smallest label on ties."""
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if fold is not None:
         picked = picked.where(fold)
-    return (
-        picked.groupBy(F.col(id_col).cast("long").alias("id"))
-        .agg(F.min(F.col(label_col).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(rows)
-    )
+    return picked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
+
+
+def label_sample(labels: DataFrame, id_col: str, label_col: str, fold: Column | None, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The label_rows with the smallest hashes."""
+    return label_rows(labels, id_col, label_col, fold).orderBy(F.xxhash64("id"), "id").limit(rows)
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column | None) -> DataFrame:
+    """(id, label, statistics...) of every labelled document, a row for each id.
+
+    Texts stay where they are read, and only their statistics meet the labels. Ids that
+    repeat are taken as in a sample.
+    """
+    marks = label_rows(labels, id_col, label_col, fold)
+    stats = with_statistics(docs, id_col, text_col).groupBy("id").agg(F.min(F.struct(*COLUMNS)).alias("least")).select("id", "least.*")
+    return marks.join(stats, "id")
 
 
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:

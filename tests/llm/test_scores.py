@@ -120,6 +120,33 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs, empty).where("kept = base_failed").count() == 0
 
 
+def test_quality_rules_are_fitted_on_all_labelled_rows(spark):
+    n = 21_000
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("abcdefg"[k] * (k + 1 + i % 3) for k in rng.integers(0, 7, 24)) + ("!" if i % 5 else "#")) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i % 9 > 0), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    model = quality_rules.train(docs, labels)
+    got = statistics.with_statistics(docs, "doc_id", "text").toPandas()
+    fit = got[(got.n_words >= 20) & (100 * got.n_repeat_words <= 30 * got.n_words)]
+    x = quality_rules.features({c: fit[c] for c in statistics.COLUMNS})[:, quality_rules.SHAPE]
+    good, bounds = x[(fit.id % 9 > 0).to_numpy()], (x.min(0), x.max(0))
+    forest = quality_rules.isolate(good, bounds)
+    assert len(good) > 18_000 and np.array_equal(forest.path, model.path) and np.array_equal(forest.threshold, model.threshold)
+    counts = quality_rules.leaf_counts(forest.feature, forest.threshold, good)
+    unseen = quality_rules.weighed(forest.feature, forest.threshold, counts, left_out=1)
+    assert model.limit == np.sort(unseen.anomaly(good))[-1 - int(0.002 * len(good))]
+
+
+def test_rows_left_out_are_scored_as_unseen():
+    x = np.random.default_rng(4).normal(size=(60, 3))
+    bounds = (x.min(0), x.max(0))
+    f = quality_rules.isolate(x, bounds, trees=8)
+    unseen = quality_rules.weighed(f.feature, f.threshold, quality_rules.leaf_counts(f.feature, f.threshold, x), left_out=1)
+    want = [quality_rules.isolate(np.delete(x, i, 0), bounds, trees=8).anomaly(x[i : i + 1])[0] for i in range(60)]
+    assert np.allclose(unseen.anomaly(x), want)
+
+
 def test_the_limit_drops_a_share_of_unseen_good_rows():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 4))
