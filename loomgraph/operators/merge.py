@@ -153,13 +153,23 @@ def revised(relations: DataFrame, fixes: DataFrame) -> DataFrame:
     return rows.groupBy("s", "rel", "o").agg(F.array_join(F.array_sort(F.collect_set("basis")), " | ").alias("basis"))
 
 
+def steps_around(crossed: DataFrame, same: DataFrame) -> DataFrame:
+    """(s, other, o): the synonyms o of that end s of each crossed (a, b) that has fewer in the symmetric same (s, o); what both ends share is among them."""
+    degree = same.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    ends = crossed.join(degree.select(F.col("s").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("s").alias("b"), F.col("n").alias("n_b")), "b")
+    fewer = F.col("n_a") <= F.col("n_b")
+    ends = ends.select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    return ends.join(same, "s")
+
+
 def marked_disputes(relations: DataFrame) -> DataFrame:
     """relations with a mark on the basis of synonyms between which a collision stands, or that tie both ends of one to a third term."""
+    relations = written(relations)
     crossed = relations.where("rel = 'collides_with'").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
     same = relations.where("rel = 'same_as'").select("s", "o")
-    same = same.union(same.select("o", "s")).distinct()
-    met = crossed.join(same.select(F.col("s").alias("a"), F.col("o").alias("c")), "a").join(same.select(F.col("s").alias("b"), F.col("o").alias("c")), ["b", "c"])
-    out = met.select(F.explode(F.array(*(F.struct(F.least(x, "c").alias("a"), F.greatest(x, "c").alias("b")) for x in "ab"))).alias("e")).select("e.*").distinct()
+    same = written(same.union(same.select("o", "s")).distinct())
+    met = steps_around(crossed, same).join(same.select(F.col("s").alias("other"), "o"), ["other", "o"])
+    out = met.select(F.explode(F.array(*(F.struct(F.least(x, "o").alias("a"), F.greatest(x, "o").alias("b")) for x in ("s", "other")))).alias("e")).select("e.*").distinct()
     rows = relations.withColumns({"a": F.least("s", "o"), "b": F.greatest("s", "o")})
     rows = rows.join(crossed.withColumn("direct", F.lit(True)), ["a", "b"], "left").join(out.withColumn("near", F.lit(True)), ["a", "b"], "left")
     mark = F.when((F.col("rel") == "same_as") & F.col("direct").isNotNull(), " | disputed:collides").when((F.col("rel") == "same_as") & F.col("near").isNotNull(), " | disputed:one step out").otherwise("")

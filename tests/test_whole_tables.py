@@ -6,7 +6,9 @@ import unicodedata
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from loomgraph.operators import merge as M
 from loomgraph.plans import all as plans
 
 TEXTS = [(1, "He saw this from afar with abc12.", "de"), (2, "Qui dit this from there with abc12?", "fr"), (3, "It is this from here with abc12.", "en"), (4, "No language but this from us with abc12.", None)]
@@ -58,3 +60,19 @@ def test_titles_as_their_sql_gives_them(spark, tmp_path):
     got = {(r["page_id"], r["title"]) for r in plans.QUERIES["T08_clean_titles"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(plans.ORACLES["T08_clean_titles"]).fetchall())
     assert dict(got)[0] == "a &quot;b&quot;"
+
+
+def test_synonyms_around_collisions_are_met_from_the_end_with_fewer(spark):
+    # a hub with 3,000 synonyms collides with 300 terms, each of which shares one synonym with it
+    hub, shared = range(1000, 4000), range(1000, 1300)
+    rows = [(0, "same_as", x, "r") for x in hub] + [(0, "collides_with", 5000 + k, "r") for k in range(300)] + [(5000 + k, "same_as", x, "r") for k, x in enumerate(shared)] + [(0, "same_as", 5000, "r")]
+    relations = spark.createDataFrame(rows, "s long, rel string, o long, basis string")
+    got = {(r["s"], r["rel"], r["o"]): r["basis"] for r in M.marked_disputes(relations).collect()}
+    assert len(got) == len(rows)
+    for s, rel, o, _ in rows:
+        near = rel == "same_as" and (s >= 5000 or o in shared)
+        assert got[s, rel, o] == ("r | disputed:collides" if (s, o) == (0, 5000) and rel == "same_as" else "r | disputed:one step out" if near else "r")
+    same = relations.where("rel = 'same_as'").select("s", "o")
+    crossed = relations.where("rel = 'collides_with'").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    # from the hub there would be 900,000
+    assert M.steps_around(crossed, same.union(same.select("o", "s"))).count() == 301
