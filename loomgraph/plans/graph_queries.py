@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph import fixed
 from loomgraph.operators import claims as C
 from loomgraph.operators.components import connected_components
-from loomgraph.operators.storage import numbered
+from loomgraph.operators.storage import numbered, written
 from loomgraph.plans.base import Graph, query
 
 LEVEL = fixed.level_sql("best_rank")
@@ -239,7 +239,8 @@ FROM basis b LEFT JOIN nominated n USING (trait_id, gene_id) LEFT JOIN trait t U
 WHERE (b.basis = 'MAPPED' AND {_POSITION} = 'vetoed') OR (b.basis = 'INFERRED' AND (coalesce(n.via, 0) < 2 OR coalesce(n.papers, 0) < 2 OR {_POSITION} <> 'consistent'))""")
 def Q21_gene_claim_violations(g: Graph) -> DataFrame:
     basis = C.classify(g.evidence, ["trait_id", "gene_id"]).where(F.col("basis").isin("MAPPED", "INFERRED"))
-    nominated = C.nominate(g.evidence, *_places(g)).select("trait_id", "gene_id", "via", "papers")
+    basis = written(basis)
+    nominated = C.nominate(g.evidence, *_places(g), asked=basis.where("basis = 'INFERRED'")).select("trait_id", "gene_id", "via", "papers")
     rows = _with_position(g, basis).join(nominated, ["trait_id", "gene_id"], "left").na.fill(0, ["via", "papers"])
     alone = (F.col("via") < fixed.MIN_NEIGHBOURS) | (F.col("papers") < fixed.MIN_PAPERS)
     said = F.concat(F.lit("inferred gene without convergence ("), F.col("via"), F.lit(" neighbours, "), F.col("papers"), F.lit(" papers)"))

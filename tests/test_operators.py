@@ -452,3 +452,15 @@ def test_commands(spark, tmp_path, capsys):
     if os.path.isdir("/root/testdata/sf0.001"):
         cli.main(["export", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "x")])
         assert spark.read.text(str(tmp_path / "x")).count() > 100
+
+
+def test_nominations_of_asked_pairs(spark):
+    rng = random.Random(5)
+    evidence = [(t, rng.randrange(6), rng.randrange(9), 1, "genome editing", rng.choice([60, 50, 20]), "SUPPORTS", 1) for t in range(24) for _ in range(4)]
+    frame = spark.createDataFrame(evidence, "trait_id long, gene_id long, paper_id long, experiment_no int, experiment_type string, level_rank int, stance string, species_is_target int")
+    places = spark.createDataFrame([(t, f"p{rng.randrange(5)}") for t in range(24) for _ in range(3)], "trait_id long, phenotype string")
+    roots = spark.createDataFrame([(t, t // 3) for t in range(24)], "trait_id long, root long")
+    pairs = [(t, g) for t in range(24) for g in range(6) if (t + g) % 3 == 0] * 2 + [(99, 1)]
+    every = {tuple(r) for r in C.nominate(frame, places, roots).collect()}
+    some = C.nominate(frame, places, roots, asked=spark.createDataFrame(pairs, "trait_id long, gene_id long")).collect()
+    assert {tuple(r) for r in some} == {r for r in every if r[:2] in set(pairs)} and 0 < len(some) == len(set(some)) < len(every)
