@@ -16,8 +16,9 @@ nodes that share a key form a block:
 
 A group of more than PART nodes is searched in pieces.  Some nodes of it, the hubs, go
 to every piece, so that pieces are tied through them; after that only the nodes that
-are apart from the group's largest part are held against all of its pieces.  A search
-stops as soon as all that is left belongs together.
+are apart from the group's largest part are held against its pieces, those of sizes that
+a link allows.  Blocks with the same nodes are searched once.  A search stops as soon as
+all that is left belongs together.
 
 So every link lies within a cluster, while no step emits the pairs of a group.  Sets
 of up to SKETCH shingles are their own sketch and are treated exactly.  For larger
@@ -30,7 +31,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ HOT_LIST = 500_000
 COLD_SHARE = 0.6
 #: Groups are searched in pieces of about so many nodes, each with about so many hubs of a larger group.
 PART, HUBS = 256, 32
+#: Sizes of sets in a band differ by less than this factor, which is above 100 / LINKED, so that links lead one band away at most.
+BAND = 1.26
 #: Ids that are sent to executors to pick texts; more are joined by a shuffle.
 PICKED = 500_000
 LAST_ID = 2**63 - 1
@@ -273,9 +276,15 @@ def _searched(blocks: DataFrame, exact: bool) -> DataFrame:
 
 
 def _measured(members: DataFrame, key: str) -> DataFrame:
-    """members of keys with several groups, with m, the key's nodes, alone, those outside its largest group, and asks, whether a node is one of them."""
-    counts = members.groupBy(key, "group").count().groupBy(key).agg(F.sum("count").alias("m"), F.max(F.struct("count", "group")).alias("top"))
-    counts = counts.select(key, F.col("m").alias("n"), "m", (F.col("m") - F.col("top.count")).alias("alone"), F.col("top.group").alias("top")).where(F.col("alone") > 0)
+    """members of keys with several groups, with m, the key's nodes, alone, those outside its largest group, and asks, whether a node is one of them.
+
+    Of keys with the same nodes, told by digests, one stays.
+    """
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
+    counts = members.groupBy(key, "group").agg(F.count(F.lit(1)).alias("count"), *digests)
+    counts = counts.groupBy(key).agg(F.sum("count").alias("m"), F.max(F.struct("count", "group")).alias("top"), *(F.bit_xor(f"x{k}").alias(f"x{k}") for k in range(2)))
+    counts = counts.where(F.col("m") > F.col("top.count")).groupBy("m", "x0", "x1").agg(F.min(F.struct(key, "top")).alias("one"))
+    counts = counts.select(F.col(f"one.{key}").alias(key), F.col("m").alias("n"), "m", (F.col("m") - F.col("one.top.count")).alias("alone"), F.col("one.top.group").alias("top"))
     counts = written(counts, "ngram-sizes")
     met = with_common(members.withColumnRenamed("n", "size"), counts, key, PICKED).where(F.col("m").isNotNull())
     return met.withColumn("asks", F.col("group") != F.col("top")).withColumnRenamed("size", "n").drop("top")
@@ -296,15 +305,32 @@ def _with_hubs(members: DataFrame, key: str) -> DataFrame:
     return dealt.withColumn("part", F.xxhash64(key, "piece")).withColumn("asks", F.lit(True)).drop("piece")
 
 
+def _banded(members: DataFrame, key: str) -> DataFrame:
+    """members with their band of sizes and ways, (at, pieces, slots) of the bands at most one away that hold nodes which some that ask may link with; others go.
+
+    Sets that link lie at most one band apart. A band's slots take those that ask of it and of both bands beside it.
+    """
+    members = members.withColumn("band", F.floor(F.log("n") / log(BAND)).cast("int"))
+    beside = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    sizes = members.groupBy(key, "band").agg(F.count(F.lit(1)).alias("held"), F.count_if("asks").alias("asking")).withColumn("at", beside("band"))
+    sizes = sizes.groupBy(key, "at").agg(F.sum(F.when(F.col("at") == F.col("band"), F.col("held")).otherwise(0)).alias("held"), F.sum("asking").alias("asking")).where("held > 0 AND asking > 0")
+    way = F.struct("at", F.ceil(F.col("held") / PART).cast("int").alias("pieces"), F.ceil(F.col("asking") / PART).cast("int").alias("slots"))
+    ways = sizes.withColumn("band", beside("at")).groupBy(key, "band").agg(F.collect_list(way).alias("ways"))
+    return members.join(ways, [key, "band"])
+
+
 def _parted(members: DataFrame, key: str) -> DataFrame:
-    """members with a part: each piece of a key meets each piece of the nodes in it that ask, so others go nowhere twice where few ask."""
-    pieces, askers = F.ceil(F.col("m") / PART).cast("int"), F.ceil(F.col("alone") / PART).cast("int")
-    mine, slot = F.pmod(F.xxhash64("node"), pieces).cast("int"), F.pmod(F.xxhash64(F.lit("asks"), "node"), askers).cast("int")
-    told = F.transform(F.sequence(F.lit(0), askers - 1), lambda k: F.struct(mine.alias("piece"), k.alias("slot"), F.lit(False).alias("asks")))
-    told = F.filter(told, lambda r: ~F.col("asks") | (r["slot"] != slot))
-    asking = F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.struct(k.alias("piece"), slot.alias("slot"), F.lit(True).alias("asks")))
-    dealt = members.withColumn("role", F.explode(F.when(F.col("asks"), F.concat(told, asking)).otherwise(told)))
-    return dealt.withColumn("part", F.xxhash64(key, "role.piece", "role.slot")).withColumn("asks", F.col("role.asks")).drop("role")
+    """members with a part: each piece of a key meets each piece of the nodes in it that ask and are near in size, so others go nowhere twice where few ask."""
+    whole = members.where(F.col("m") <= PART).withColumn("part", F.xxhash64(key))
+    slot = lambda w: F.pmod(F.xxhash64(F.lit("asks"), "node"), w["slots"]).cast("int")
+    mine = lambda w: F.pmod(F.xxhash64("node"), w["pieces"]).cast("int")
+    role = lambda w, piece, slot, asks: F.struct(w["at"].alias("at"), piece.alias("piece"), slot.alias("slot"), F.lit(asks).alias("asks"))
+    own = F.filter("ways", lambda w: w["at"] == F.col("band"))
+    told = F.flatten(F.transform(own, lambda w: F.transform(F.filter(F.sequence(F.lit(0), w["slots"] - 1), lambda k: ~F.col("asks") | (k != slot(w))), lambda k: role(w, mine(w), k, False))))
+    asking = F.flatten(F.transform("ways", lambda w: F.transform(F.sequence(F.lit(0), w["pieces"] - 1), lambda k: role(w, k, slot(w), True))))
+    dealt = _banded(members.where(F.col("m") > PART), key).withColumn("role", F.explode(F.when(F.col("asks"), F.concat(told, asking)).otherwise(told)))
+    dealt = dealt.withColumn("part", F.xxhash64(key, "role.at", "role.piece", "role.slot")).withColumn("asks", F.col("role.asks"))
+    return whole.unionByName(dealt.select(*whole.columns))
 
 
 def _tied(members: DataFrame, key: str, tokens: DataFrame, exact: bool, known: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:

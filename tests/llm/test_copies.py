@@ -155,6 +155,23 @@ def test_parts_grow_with_their_nodes_only(spark):
     assert parts["count"].max() < 2 * ngram_join.PART and parts["count"].sum() < 1.3 * 20_000
 
 
+def test_equal_blocks_are_searched_once_and_only_near_sizes_meet(spark):
+    rng = random.Random(8)
+    size = {i: rng.choice([20, 24, 25, 26, 31, 32, 40, 50, 63, 64, 80, 100, 125, 126, 200]) for i in range(1200)}
+    rows = [(k, bytes([i % 256, i // 256]), size[i], i if i % 10 == 0 else 1) for k in ("k", "l") for i in size]
+    members = spark.createDataFrame(rows, "key string, node binary, n int, `group` long")
+    dealt = ngram_join._parted(ngram_join._measured(members, "key"), "key").collect()
+    # in both blocks and with all sizes there would be 3,360
+    assert len(dealt) < 1600
+    parts, met = {}, set()
+    for r in dealt:
+        parts.setdefault(r["part"], []).append((r["node"][0] + 256 * r["node"][1], r["asks"]))
+    for part in parts.values():
+        met |= {frozenset((i, j)) for i, asks in part if asks for j, _ in part if i != j}
+    linkable = {frozenset((i, j)) for i in range(0, 1200, 10) for j in size if i != j and 4 * max(size[i], size[j]) <= 5 * min(size[i], size[j])}
+    assert linkable <= met
+
+
 def test_components_of_repeated_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, long), (5, long), (5, "quite another text of six words"), (2, long), (None, long), (None, "nobody else has this text at all"), (9, None), (9, "")]
