@@ -464,3 +464,23 @@ def test_nominations_of_asked_pairs(spark):
     every = {tuple(r) for r in C.nominate(frame, places, roots).collect()}
     some = C.nominate(frame, places, roots, asked=spark.createDataFrame(pairs, "trait_id long, gene_id long")).collect()
     assert {tuple(r) for r in some} == {r for r in every if r[:2] in set(pairs)} and 0 < len(some) == len(set(some)) < len(every)
+
+
+def test_nominations_are_made_last_and_not_written(spark, monkeypatch):
+    # 300 traits of a common phenotype with a gene each, and four that share two phenotypes and a gene
+    rows = [(t, t, t, 1, "gwas", 40, "SUPPORTS", 1) for t in range(300)] + [(t, 999, 1000 + t, 1, "gwas", 40, "SUPPORTS", 1) for t in range(4)]
+    evidence = spark.createDataFrame(rows, "trait_id long, gene_id long, paper_id long, experiment_no int, experiment_type string, level_rank int, stance string, species_is_target int")
+    places = spark.createDataFrame([(t, "p") for t in range(300)] + [(t, "q") for t in range(4)], "trait_id long, phenotype string")
+    roots = spark.createDataFrame([(t, 1 if t == 2 else t) for t in range(300)], "trait_id long, root long")
+    counts, plain = [], C.written
+
+    def counted(df):
+        out = plain(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "written", counted)
+    got = {(r["trait_id"], r["gene_id"]): tuple(r)[2:6] for r in C.nominate(evidence, places, roots).collect()}
+    assert len(got) == 300 * 299 - 2 + 300 and max(counts) < 2000
+    assert got[5, 7] == (1, 1, 1, 1) and got[5, 999] == (1, 4, 3, 4) and got[0, 999] == (2, 3, 2, 3) and got[1, 999] == (2, 2, 2, 2)
+    assert got[0, 1] == (2, 1, 1, 1) and (1, 2) not in got and (2, 1) not in got
