@@ -258,14 +258,22 @@ SELECT count(DISTINCT trait_id) AS traits_tested, count(*) AS nominations, count
   count(*) FILTER (WHERE position = 'consistent' AND NOT correct) AS veto_kept_wrong, count(*) FILTER (WHERE position = 'vetoed') AS vetoed,
   count(*) FILTER (WHERE position = 'vetoed' AND correct) AS vetoed_correct FROM rows""")
 def Q22_A21_leave_one_out(g: Graph) -> DataFrame:
-    known = g.claim.where(F.col("best_rank") >= fixed.TRUTH_FLOOR).select("trait_id", "gene_id", F.lit(True).alias("known"))
-    rows = C.nominate(g.evidence, *_places(g)).join(known.select("trait_id").distinct(), "trait_id", "left_semi").join(known, ["trait_id", "gene_id"], "left")
-    rows = _with_position(g, rows).withColumn("correct", F.coalesce("known", F.lit(False)))
-    right, kept, vetoed = F.col("correct"), F.col("position") == "consistent", F.col("position") == "vetoed"
-    return rows.agg(
-        F.countDistinct("trait_id").alias("traits_tested"), F.count(F.lit(1)).alias("nominations"), F.count_if(right).alias("correct"), F.count_if("convergent").alias("convergent"),
-        F.count_if(F.col("convergent") & right).alias("convergent_correct"), F.count_if(kept).alias("veto_kept"), F.count_if(kept & ~right).alias("veto_kept_wrong"),
-        F.count_if(vetoed).alias("vetoed"), F.count_if(vetoed & right).alias("vetoed_correct"),
+    """Nominations of the traits with a known gene are counted as they are made; which of them are right, over the known pairs alone."""
+    told = C.told(g.evidence, *_places(g))
+    known = written(g.claim.where(F.col("best_rank") >= fixed.TRUTH_FLOOR).select("trait_id", "gene_id"))
+    truth = known.select("trait_id").distinct().join(g.trait.select("trait_id", "trait_chromosome"), "trait_id", "left")
+    rows = C.nominated(told, truth, g.gene.select("gene_id", "gene_chromosome"))
+    chromosomes = F.when(F.col("trait_chromosome").isNotNull(), F.array("trait_chromosome"))
+    rows = rows.withColumn("position", C.position(chromosomes, F.col("gene_chromosome")))
+    kept, vetoed = F.col("position") == "consistent", F.col("position") == "vetoed"
+    every = rows.groupBy("trait_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("convergent").alias("convergent"), F.count_if(kept).alias("kept"), F.count_if(vetoed).alias("vetoed"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "convergent", "kept", "vetoed")]
+    every = every.agg(F.count(F.lit(1)).alias("traits"), *sums)
+    right = _with_position(g, C.nominated_of(told, known)).agg(F.count(F.lit(1)).alias("correct"), F.count_if("convergent").alias("convergent_correct"), F.count_if(kept).alias("kept_correct"), F.count_if(vetoed).alias("vetoed_correct"))
+    # a row each
+    return every.crossJoin(right).select(
+        F.col("traits").alias("traits_tested"), F.col("n").alias("nominations"), "correct", "convergent", "convergent_correct",
+        F.col("kept").alias("veto_kept"), (F.col("kept") - F.col("kept_correct")).alias("veto_kept_wrong"), "vetoed", "vetoed_correct",
     )
 
 
